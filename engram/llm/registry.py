@@ -2,12 +2,22 @@
 
 from __future__ import annotations
 
+from .packing import op5_packing
+from .quality import op8_quality
 from .token_store import op3_token_store
+from .url_filter import OP9_SQL, op9_url_filter
+from .warc import OP10_SQL, op10_warc
 
 
 def queries():
-    return {"op3_token_store": op3_token_store}
+    return {
+        "op3_token_store": op3_token_store,
+        "op5_packing": op5_packing,
+        "op8_quality": op8_quality,
+        "op9_url_filter": op9_url_filter,
+        "op10_warc": op10_warc,
+    }
 
 
 def oracle_sql():
-    return {}
+    return {"op9_url_filter": OP9_SQL, "op10_warc": OP10_SQL}
