@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from .decontaminate import OP7_SQL, op7_decontamination
+from .line_dedup import OP4_SQL, op4_line_dedup
 from .packing import op5_packing
 from .quality import op8_quality
 from .token_store import op3_token_store
@@ -12,7 +14,9 @@ from .warc import OP10_SQL, op10_warc
 def queries():
     return {
         "op3_token_store": op3_token_store,
+        "op4_line_dedup": op4_line_dedup,
         "op5_packing": op5_packing,
+        "op7_decontamination": op7_decontamination,
         "op8_quality": op8_quality,
         "op9_url_filter": op9_url_filter,
         "op10_warc": op10_warc,
@@ -20,4 +24,4 @@ def queries():
 
 
 def oracle_sql():
-    return {"op9_url_filter": OP9_SQL, "op10_warc": OP10_SQL}
+    return {"op4_line_dedup": OP4_SQL, "op7_decontamination": OP7_SQL, "op9_url_filter": OP9_SQL, "op10_warc": OP10_SQL}
