@@ -31,9 +31,10 @@ def new_folder(spark: SparkSession, name: str) -> str:
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: a later stage starts from the
     written table, so a lost executor costs no recomputation of what stands before it."""
-    path = new_folder(df.sparkSession, name)
+    spark = df.sparkSession
+    path = new_folder(spark, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def drop_folder(spark: SparkSession, path: str) -> None:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .decontaminate import OP7_SQL, op7_decontamination
 from .line_dedup import OP4_SQL, op4_line_dedup
+from .near_dup import op2_near_dup
 from .packing import op5_packing
 from .quality import op8_quality
 from .token_store import op3_token_store
@@ -13,6 +14,7 @@ from .warc import OP10_SQL, op10_warc
 
 def queries():
     return {
+        "op2_near_dup": op2_near_dup,
         "op3_token_store": op3_token_store,
         "op4_line_dedup": op4_line_dedup,
         "op5_packing": op5_packing,
