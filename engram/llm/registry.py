@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .decontaminate import OP7_SQL, op7_decontamination
+from .embed_dup import op6_embedding_dup
 from .line_dedup import OP4_SQL, op4_line_dedup
 from .near_dup import op2_near_dup
 from .packing import op5_packing
@@ -18,6 +19,7 @@ def queries():
         "op3_token_store": op3_token_store,
         "op4_line_dedup": op4_line_dedup,
         "op5_packing": op5_packing,
+        "op6_embedding_dup": op6_embedding_dup,
         "op7_decontamination": op7_decontamination,
         "op8_quality": op8_quality,
         "op9_url_filter": op9_url_filter,
