@@ -8,6 +8,7 @@ from .line_dedup import OP4_SQL, op4_line_dedup
 from .near_dup import op2_near_dup
 from .packing import op5_packing
 from .quality import op8_quality
+from .substring_dedup import op1_substring_dedup
 from .token_store import op3_token_store
 from .url_filter import OP9_SQL, op9_url_filter
 from .warc import OP10_SQL, op10_warc
@@ -15,6 +16,7 @@ from .warc import OP10_SQL, op10_warc
 
 def queries():
     return {
+        "op1_substring_dedup": op1_substring_dedup,
         "op2_near_dup": op2_near_dup,
         "op3_token_store": op3_token_store,
         "op4_line_dedup": op4_line_dedup,
