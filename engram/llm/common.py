@@ -28,13 +28,29 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/engram/{name}-{uuid.uuid4().hex}"
 
 
+#: Spark's setting for deleting an execution's shuffle files at its end.
+CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def written(df: DataFrame, path: str) -> DataFrame:
+    """Write ``df`` and read it back.  The write's shuffle files go when it has ended, as nothing needs them then."""
+    spark = df.sparkSession
+    before = spark.conf.get(CLEAN, None)
+    spark.conf.set(CLEAN, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(CLEAN)
+        else:
+            spark.conf.set(CLEAN, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: a later stage starts from the
     written table, so a lost executor costs no recomputation of what stands before it."""
-    spark = df.sparkSession
-    path = new_folder(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return written(df, new_folder(df.sparkSession, name))
 
 
 def drop_folder(spark: SparkSession, path: str) -> None:

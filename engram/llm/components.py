@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_folder, new_folder
+from .common import drop_folder, new_folder, written
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -21,13 +21,9 @@ def components(links: DataFrame) -> DataFrame:
     spark = links.sparkSession
     base = new_folder(spark, "components")
 
-    def written(df: DataFrame, name: str) -> DataFrame:
-        df.write.parquet(f"{base}/{name}")
-        return spark.read.schema(df.schema).parquet(f"{base}/{name}")
-
     both = links.where("u <> v").select("u", "v").unionByName(links.where("u <> v").select(F.col("v").alias("u"), F.col("u").alias("v")))
-    edges = written(both.distinct(), "edges")
-    labels = written(edges.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.first("u")).alias("component")), "0")
+    edges = written(both.distinct(), f"{base}/edges")
+    labels = written(edges.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.first("u")).alias("component")), f"{base}/0")
     n = 0
     while True:
         n += 1
@@ -35,7 +31,7 @@ def components(links: DataFrame) -> DataFrame:
         lower = labels.join(near, "node").select("node", F.col("component").alias("was"), F.least("component", "near").alias("c"))
         jump = labels.select(F.col("node").alias("c"), F.col("component").alias("jumped"))
         after = lower.join(jump, "c", "left").select("node", "was", F.least("c", F.coalesce("jumped", "c")).alias("component"))
-        after = written(after, str(n))
+        after = written(after, f"{base}/{n}")
         if after.where("was <> component").isEmpty():
             return labels
         if n > 1:

@@ -119,11 +119,11 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, bits: in
     return np.frombuffer(row.w, np.float32) if row else np.zeros(size + 1, np.float32)
 
 
-def scored(docs: DataFrame, weights: np.ndarray, bits: int = BITS, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, score and the columns in ``keep``."""
+def scored(docs: DataFrame, weights: np.ndarray, bits: int = BITS, keep: tuple[str, ...] = (), score: str = "score") -> DataFrame:
+    """doc_id, the columns in ``keep`` and the score under the name given."""
     shared = docs.sparkSession.sparkContext.broadcast(weights)  # 1 << bits floats
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = shared.value
         for batch in slices(batches, "text"):
             found, bounds = features(batch["text"], bits)
@@ -131,12 +131,12 @@ def scored(docs: DataFrame, weights: np.ndarray, bits: int = BITS, keep: tuple[s
             n = np.maximum(np.diff(bounds), 1)
             logit = (sums[bounds[1:]] - sums[bounds[:-1]]) / n + float(w[-1])
             p = 1 / (1 + np.exp(-np.clip(logit, -35, 35)))
-            yield pa.RecordBatch.from_arrays([*(batch[c] for c in kept), pa.array(p)], [*kept, "score"])
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in kept), pa.array(p)], [*kept, score])
 
     kept = ["doc_id", *(c for c in keep if c != "doc_id")]
     needed = list(dict.fromkeys([*kept, "text"]))
     schema = ", ".join(f"`{c}` {t}" for c, t in docs.select(*kept).dtypes)
-    return docs.select(*needed).mapInArrow(score, f"{schema}, score double")
+    return docs.select(*needed).mapInArrow(judge, f"{schema}, {score} double")
 
 
 def held_out():

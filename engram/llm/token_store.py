@@ -27,7 +27,6 @@ from __future__ import annotations
 
 import posixpath
 import struct
-import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -38,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import drop_folder, new_folder, parts_of, slices
+from .common import new_folder, parts_of, slices, written
 from .tokens import Encoder
 
 MAGIC = b"EDAC"
@@ -149,7 +148,6 @@ def write_store(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 2, s
 
     Files close at ``file_tokens`` ids, which bounds a task's memory.
     """
-    spark = docs.sparkSession
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seq, held, count = TaskContext.get().partitionId(), 0, [], 0
@@ -175,10 +173,9 @@ def write_store(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 2, s
         if held:
             yield close()
 
-    ordered = docs.select("doc_id", "text").where("doc_id is not null").repartitionByRange(parts_of(spark), "doc_id").sortWithinPartitions("doc_id")
+    ordered = docs.select("doc_id", "text").where("doc_id is not null").repartitionByRange(parts_of(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id")
     files = ordered.mapInArrow(write, "file string, part int, seq int, first_doc long, n_docs long, n_tokens long")
-    files.write.parquet(f"{folder}/index")
-    return spark.read.parquet(f"{folder}/index")
+    return written(files, f"{folder}/index")
 
 
 def read_store(files: DataFrame, buffer: int = 500_000) -> DataFrame:
@@ -223,4 +220,3 @@ def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_store(files).select("doc_id", "start", "n_tokens", F.crc32("tokens_le").alias("ids_crc32"))
 
 
-__all__ = ["DacFile", "dac_encode", "drop_folder", "op3_token_store", "read_store", "token", "write_store", "zlib"]

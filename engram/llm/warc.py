@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_folder, parts_of, slices
+from .common import new_folder, parts_of, slices, written
 from .token_store import read_bytes, write_bytes
 
 # Fixed values of the Zstandard seekable format.
@@ -141,7 +141,6 @@ def revisits(pages: DataFrame, least: int = 100) -> DataFrame:
 def write_bundles(pages: DataFrame, folder: str, least: int = 100, frame_bytes: int = 1 << 20, bundle_bytes: int = 64 << 20) -> DataFrame:
     """Write ``pages`` (page_id, url, html) under ``folder``; returns the table of bundles
     (file, n_records, n_frames, first_page, last_page) written beside them."""
-    spark = pages.sparkSession
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seq = TaskContext.get().partitionId(), 0
@@ -165,9 +164,9 @@ def write_bundles(pages: DataFrame, folder: str, least: int = 100, frame_bytes:
             yield close()
 
     marked = pages.select("page_id", "url", "html").where("page_id is not null").join(revisits(pages, least), "page_id", "left")
-    dealt = marked.repartition(parts_of(spark), "page_id").sortWithinPartitions("page_id")
-    dealt.mapInArrow(write, "file string, n_records long, n_frames long, first_page long, last_page long").write.parquet(f"{folder}/index")
-    return spark.read.parquet(f"{folder}/index")
+    dealt = marked.repartition(parts_of(pages.sparkSession), "page_id").sortWithinPartitions("page_id")
+    bundles = dealt.mapInArrow(write, "file string, n_records long, n_frames long, first_page long, last_page long")
+    return written(bundles, f"{folder}/index")
 
 
 def read_bundles(bundles: DataFrame) -> DataFrame:
