@@ -7,6 +7,7 @@ Edits of a case are sequential, cases are independent.  What a prefix sum can sa
 from __future__ import annotations
 
 import hashlib
+import re
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -65,8 +66,6 @@ def fold_edits(edits: DataFrame, start: DataFrame | None = None) -> DataFrame:
                 }
         return pd.DataFrame(list(nodes.values()), columns=[c.split()[0] for c in NODE.split(", ")])
 
-    import re
-
     TOKENS = re.compile(text.TOKEN)
     start = start if start is not None else edits.sparkSession.createDataFrame([], NODE)
     return edits.groupBy("case_id").cogroup(start.groupBy("case_id")).applyInPandas(fold, NODE)
@@ -137,7 +136,7 @@ def support(hits: DataFrame, still_answered) -> DataFrame:
     the last node never does, and one whose trial raises stays.
     """
 
-    def eliminate(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def eliminate(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("rank")
         kept = rows["node_id"].tolist()
         for node in reversed(rows["node_id"].tolist()):

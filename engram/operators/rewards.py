@@ -58,7 +58,7 @@ def fidelity(mode: Column, evidence_source_ids: Column, used: Column) -> Column:
 
 def novelty(max_cosine: Column, p: AttackParams = AttackParams()) -> Column:
     """1 without earlier questions."""
-    return F.coalesce(clip((F.lit(p.novelty_high) - max_cosine) / (p.novelty_high - p.novelty_low)), F.lit(1.0))
+    return F.when(max_cosine.isNull(), 1.0).otherwise(clip((F.lit(p.novelty_high) - max_cosine) / (p.novelty_high - p.novelty_low)))
 
 
 def attack_rewards(rows: DataFrame, p: AttackParams = AttackParams()) -> DataFrame:
