@@ -2,13 +2,14 @@
 
 A document's set holds the 64-bit hashes of its distinct word shingles; its sketch
 is the ``K`` smallest.  Documents with equal sets form a class, and only the
-class's smallest doc_id goes on.  Inverted lists are kept on runs of retained
-values: ``RUN`` values that follow one another in a sketch.  Where two sets have a
-Jaccard similarity of at least 0.8, at most a fifth of their union is not shared,
-so some run of three shared values has nothing between; for sets that fit their
-sketch this is certain (pairs of values serve those of up to 7), for larger ones
-it fails with a chance of about 1e-10.  Lists on runs rather than values stay
-short for words and passages that many documents share.
+class's smallest doc_id goes on.  Inverted lists are kept on runs of values that
+follow one another in a sketch: four, or three and two in sets of up to 15 and 5.
+Of two sets with a Jaccard similarity of 0.8 at most a fifth of the union is not
+shared, so it cuts the shared values into few runs, and one of them is that long.
+For sets that fit their sketch this is certain at any union's size (13 shared and
+3 others leave a run of four, and so on); for larger ones it fails with a chance
+of about 2e-9.  Lists on runs rather than values stay short for words and passages
+that many documents share.
 
 A list links its members to its smallest, never to each other.  Connected lists
 are clusters; only inside a cluster can links be.  Clusters are compared in
@@ -38,7 +39,9 @@ from .common import parts_of, slices, staged
 from .components import components
 
 #: Values that a sketch retains.
-K = 64
+K = 96
+#: (values in a run, set sizes from, to) of list keys.
+RUNS = ((2, 2, 5), (3, 5, 15), (4, 13, None))
 #: Documents of a block.
 BLOCK = 256
 SPACES = r"[\x20\x09-\x0D]+"
@@ -65,7 +68,8 @@ def shingle_sets(texts: pa.Array, size: int) -> list[np.ndarray]:
     empty = np.fromiter((w == "" for w in distinct), bool, len(distinct))[coded.indices.to_numpy()]
     run = words.copy()
     for k in range(1, size):
-        run[: len(run) - k] = run[: len(run) - k] * MIX + words[k:]
+        most = max(len(run) - k, 0)
+        run[:most] = run[:most] * MIX + words[k:]
     run = finish(run).view(np.int64)
     out = []
     for a, b in zip(bounds, bounds[1:], strict=False):
@@ -83,12 +87,13 @@ def shingle_sets(texts: pa.Array, size: int) -> list[np.ndarray]:
 
 def list_keys(values: np.ndarray) -> np.ndarray:
     """Keys of the runs of retained values; ``values`` is sorted."""
-    v = values[:K].view(np.uint64)
-    keys = []
-    if 2 <= len(values) <= 7:
-        keys.append(finish(v[:-1] * MIX + v[1:]))
-    if len(values) >= 6:
-        keys.append(finish((v[:-2] * MIX + v[1:-1]) * MIX + v[2:]))
+    v, keys = values[:K].view(np.uint64), []
+    for length, least, most in RUNS:
+        if len(values) >= least and (most is None or len(values) <= most):
+            h = v[: len(v) - length + 1].copy()
+            for k in range(1, length):
+                h = h * MIX + v[k : len(v) - length + 1 + k]
+            keys.append(finish(h + np.uint64(length)))
     return np.concatenate(keys).view(np.int64) if keys else np.zeros(0, np.int64)
 
 
