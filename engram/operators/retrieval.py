@@ -55,14 +55,14 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(norms == 0, F.lit(0.0)).otherwise(dot(a, b) / norms)
 
 
-def vector_scores(queries: DataFrame, vectors: DataFrame) -> DataFrame:
+def vector_scores(queries: DataFrame, vectors: DataFrame, blocks: int = 16) -> DataFrame:
     """query_id, id, score: every query vector against every row.
 
-    The stated query set is compared in blocks: each row's vector is read once against
-    the array of a block's queries, so no pair table is shuffled.
+    The stated query set is compared in blocks: each row's vector meets the arrays of the
+    blocks' queries, so the pairs never are a shuffled table.
     """
-    block = queries.agg(F.collect_list(F.struct("query_id", "vector")).alias("qs"))
-    each = vectors.crossJoin(F.broadcast(block)).select("id", "vector", F.explode("qs").alias("q"))
+    block = queries.groupBy(F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("block")).agg(F.collect_list(F.struct("query_id", "vector")).alias("qs"))
+    each = vectors.crossJoin(block.drop("block")).select("id", "vector", F.explode("qs").alias("q"))
     return each.select("q.query_id", "id", F.round(cosine(F.col("q.vector"), F.col("vector")), 6).alias("score"))
 
 
@@ -72,7 +72,7 @@ def metadata_matches(queries: DataFrame, nodes: DataFrame) -> DataFrame:
     low = lambda c: F.transform(F.coalesce(c, none), F.lower)
     tags = queries.select("query_id", F.explode(low(F.col("tags"))).alias("tag")).distinct().join(nodes.select("id", F.explode(F.array_distinct(low(F.col("tags")))).alias("tag")), "tag").select("query_id", "id")
     words = queries.select("query_id", F.explode(low(F.col("keywords"))).alias("word")).distinct()
-    said = nodes.select("id", F.lower("content").alias("content")).join(F.broadcast(words), F.expr("contains(content, word)")).select("query_id", "id")
+    said = nodes.select("id", F.lower("content").alias("content")).join(words, F.expr("contains(content, word)")).select("query_id", "id")
     return tags.unionByName(said).distinct().withColumn("score", F.lit(1.0))
 
 

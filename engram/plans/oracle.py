@@ -245,4 +245,24 @@ SELECT k AS event_id, CASE WHEN k % 13 = 0 OR k % 11 = 0 THEN 'keys' WHEN op = '
 a AS (SELECT batch, CASE WHEN event_id % 10 = 3 THEN event_id % 4 + 1 ELSE event_id % 4 END AS item, count(*) AS n FROM e WHERE event_id % 9 <> 0 GROUP BY 1, 2)
 SELECT e.batch, e.event_id % 4 AS item, CASE WHEN a.n IS NULL THEN 'omitted' WHEN a.n > 1 THEN 'duplicate' ELSE 'ok' END AS status FROM e LEFT JOIN a ON e.batch = a.batch AND e.event_id % 4 = a.item""",
     "training_records": "SELECT 'attacker' AS data_source, 'memory_attack' AS ability, doc_id AS id, sha256(text) AS truth, 'system' AS first_role, CAST(2 AS BIGINT) AS turns FROM documents",
+    "route_bundle": f"""WITH {GRAPH},
+e AS (SELECT w.case_id, w.topic AS route, w.k, n.type, n.memory FROM (SELECT case_id, topic, unnest(walk) AS id, unnest(range(1, len(walk) + 1)) AS k FROM walks) w JOIN nodes n ON w.case_id = n.case_id AND w.id = n.id)
+SELECT case_id, route, string_agg(memory, chr(10) ORDER BY k) FILTER (type = 'fact') AS query, count(*) FILTER (type = 'fact') AS n_evidence, count(*) FILTER (type = 'topic') AS n_connectors FROM e GROUP BY case_id, route""",
+    "mode_fallback": f"""WITH {GRAPH},
+dim AS (SELECT case_id, id, unnest({DIMENSIONS}) AS dimension FROM active),
+u AS (SELECT atf.*, dim.dimension FROM atf JOIN dim ON atf.case_id = dim.case_id AND atf.fact = dim.id),
+p AS (SELECT a.case_id, a.fact AS first FROM u a JOIN u b ON a.case_id = b.case_id AND a.topic = b.topic AND a.dimension = b.dimension AND a.fact < b.fact WHERE a.dimension = 'location' AND a.case_id % 3 = 0)
+SELECT * FROM p UNION ALL SELECT case_id, id AS first FROM active WHERE case_id NOT IN (SELECT case_id FROM p)""",
+    "mode_funnel": """SELECT o_orderpriority AS mode, count(*) AS sampled, count(*) FILTER (o_orderkey % 3 <> 0) AS attempted, count(*) FILTER (o_totalprice < 150000) AS fits, count(*) FILTER (o_orderstatus = 'O') AS selected FROM orders GROUP BY 1""",
+    "time_hull": 'SELECT o_custkey, min(CASE WHEN o_orderkey % 5 <> 0 THEN o_orderpriority END) AS start, max(CASE WHEN o_orderkey % 5 <> 0 THEN o_orderpriority END) AS "end" FROM orders GROUP BY 1',
+    "compaction_audit": """WITH r AS (SELECT o_custkey AS case_id, o_orderkey AS k, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS place FROM orders)
+SELECT case_id, min(place) AS place FROM r WHERE k % 5 <> 0 AND k % 13 < k % 11 AND (k % 2 = 1 OR k % 3 = 0) GROUP BY 1""",
+    "round_outcomes": """WITH r AS (SELECT user_id AS case_id, CASE WHEN event_type = 'error' OR value IS NULL THEN 'unavailable' WHEN abs(value / 100) >= 0.8 THEN 'success' ELSE 'pending' END AS o FROM events)
+SELECT case_id, count(*) FILTER (o = 'success') AS success, count(*) FILTER (o = 'pending') AS pending, count(*) FILTER (o = 'unavailable') AS unavailable FROM r GROUP BY 1""",
+    "guarded_commit": """WITH r AS (SELECT event_id, CASE WHEN event_id % 5 = 0 OR event_id % 7 = 0 OR value <= 0 THEN 'discarded' WHEN event_id % 4 > 0 THEN 'committed' ELSE 'unsupported' END AS outcome FROM events)
+SELECT event_id, outcome, CASE WHEN outcome = 'committed' THEN 'success' ELSE 'high_priority' END AS pool FROM r""",
+    "replay_queue": """SELECT case_id, question_id, place FROM (SELECT o_custkey AS case_id, o_orderkey AS question_id, row_number() OVER (PARTITION BY o_custkey ORDER BY CASE WHEN o_orderstatus = 'P' THEN 0 ELSE 1 END, o_orderkey) AS place
+FROM orders WHERE o_orderstatus IN ('P', 'O') AND o_totalprice > 50000) WHERE place <= 4""",
+    "context_blocks": """WITH r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, coalesce(text, '')) AS k FROM conversations)
+SELECT conv_id, sha256(string_agg('[' || k || '] ' || role || ': ' || coalesce(text, ''), chr(10) || chr(10) ORDER BY k)) AS block_sha256 FROM r GROUP BY 1""",
 }

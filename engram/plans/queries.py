@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from engram.functions import jsonx, text
-from engram.operators import convergence, datasets, graph, memory, retrieval, rewards
+from engram.operators import convergence, datasets, graph, memory, retrieval, rewards, rounds
 
 from .views import Views
 
@@ -331,13 +331,70 @@ def training_records(spark: SparkSession, sf: str) -> DataFrame:
     return r.select("data_source", "ability", F.col("extra_info.index").alias("id"), F.col("reward_model.ground_truth").alias("truth"), F.col("prompt")[0]["role"].alias("first_role"), F.size("prompt").cast("long").alias("turns"))
 
 
+def route_bundle(spark: SparkSession, sf: str) -> DataFrame:
+    v = Views(spark, sf)
+    routes = graph.same_topic(v.edges(), v.nodes()).select("case_id", F.col("topic").alias("route"), graph.topic_walk(F.col("topic"), F.slice("facts", 1, 3)).alias("walk"))
+    b = graph.route_bundles(routes, v.nodes())
+    return b.select("case_id", "route", rounds.observation_query(F.col("evidence")).alias("query"), F.size("evidence").cast("long").alias("n_evidence"), F.size("connectors").cast("long").alias("n_connectors"))
+
+
+def mode_fallback(spark: SparkSession, sf: str) -> DataFrame:
+    v = Views(spark, sf)
+    single = graph.single_fact(v.nodes()).select("case_id", F.col("walk")[0].alias("first"))
+    pairs = graph.comparison(v.edges(), v.nodes()).where("dimension = 'location' and case_id % 3 = 0").select("case_id", F.col("fact_a").alias("first"))
+    return graph.fallback(pairs, single, v.nodes().select("case_id").distinct())
+
+
+def mode_funnel(spark: SparkSession, sf: str) -> DataFrame:
+    o = Views(spark, sf).table("orders")
+    return datasets.funnel(o.select(F.col("o_orderpriority").alias("mode"), (F.col("o_orderkey") % 3 != 0).alias("attempted"), (F.col("o_totalprice") < 150000).alias("fits"), (F.col("o_orderstatus") == "O").alias("selected")))
+
+
+def time_hull(spark: SparkSession, sf: str) -> DataFrame:
+    o = Views(spark, sf).table("orders").groupBy("o_custkey").agg(F.collect_list(F.when(F.col("o_orderkey") % 5 != 0, F.col("o_orderpriority"))).alias("t"))
+    return o.select("o_custkey", memory.time_hull(F.col("t")).alias("h")).select("o_custkey", "h.start", "h.end")
+
+
+def compaction_audit(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    place = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
+    protected = F.when(k % 2 == 0, F.array(F.struct(F.lit(1.0).alias("before"), F.when(k % 3 == 0, 0.97).otherwise(0.9).alias("after")))).otherwise(F.array().cast("array<struct<before:double,after:double>>"))
+    rows = Views(spark, sf).table("orders").select(F.col("o_custkey").alias("case_id"), place.alias("place"), (k % 5 != 0).alias("valid"), (k % 11).alias("tokens_before"), (k % 13).alias("tokens_after"), protected.alias("protected"))
+    return convergence.first_compaction(rows).withColumn("place", F.col("place").cast("long"))
+
+
+def round_outcomes(spark: SparkSession, sf: str) -> DataFrame:
+    e = Views(spark, sf).table("events")
+    rows = e.select(F.col("user_id").alias("case_id"), "event_id", F.abs(F.col("value") / 100).alias("correctness"), F.when(F.col("event_type") == "error", "timeout").alias("error"))
+    return rounds.round_counters(rounds.defended(rows))
+
+
+def guarded_commit(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.col("event_id")
+    e = Views(spark, sf).table("events")
+    rows = e.select("event_id", (k % 5 != 0).alias("commit_valid"), F.when(k % 7 == 0, 0.0).otherwise(F.col("value")).alias("score"), (k % 4).alias("n_retrieved"))
+    return rounds.committed(rows).select("event_id", "outcome", "pool")
+
+
+def replay_queue(spark: SparkSession, sf: str) -> DataFrame:
+    o = Views(spark, sf).table("orders").select(F.col("o_custkey").alias("case_id"), F.col("o_orderkey").alias("question_id"), F.col("o_orderkey").alias("seq"), "o_orderstatus", "o_totalprice")
+    got = rounds.replayed(o.where("o_orderstatus = 'P'"), o.where("o_orderstatus = 'O'"), o.where("o_totalprice > 50000"))
+    return got.withColumn("place", F.col("place").cast("long"))
+
+
+def context_blocks(spark: SparkSession, sf: str) -> DataFrame:
+    c = Views(spark, sf).table("conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.lit(None).cast("string").alias("chat_time"), "role", F.coalesce("text", F.lit("")).alias("content")))).alias("s"))
+    return c.select("conv_id", F.sha2(rounds.context_block(F.col("s")), 256).alias("block_sha256"))
+
+
 QUERIES = [
     case_summary, relation_histogram, case_edges, case_index_parse, missing_users, topic_fact_index, single_fact_candidates, same_topic_candidates,
     temporal_candidates, comparison_candidates, walk_signature, walk_directions, source_dedup, token_counts, doc_freq, bm25_topk, vector_topk,
     metadata_match, provenance_neighbours, graph_expand, hybrid_fusion, question_constraints, question_forms, duplicate_antijoin, route_fidelity,
     attacker_reward, reward_summary, builder_reward, grpo_advantage, novelty, memory_versions, edit_fold, pool_membership, link_binding,
     protected_questions, round_robin, priority_fill, stratified_sizes, weighted_sample, compaction_pairs, stop_streak, saturation,
-    action_validation, oracle_reconcile, training_records,
+    action_validation, oracle_reconcile, training_records, route_bundle, mode_fallback, mode_funnel, time_hull, compaction_audit, round_outcomes,
+    guarded_commit, replay_queue, context_blocks,
 ]
 
 
