@@ -40,7 +40,7 @@ MAX_ROWS = 6000
 _LOWER, _UPPER, _DIGIT = re.compile(r"[^\W\d_A-Z]+"), re.compile(r"[A-Z]+"), re.compile(r"\d+")
 
 
-@lru_cache(maxsize=300_000)
+@lru_cache(maxsize=100_000)
 def word_hashes(word: str) -> tuple[int, int]:
     """32-bit hashes of a word and of its shape."""
     shape = word if len(word) < 40 else word[:20] + word[-20:]

@@ -266,28 +266,34 @@ def removed_spans(docs: DataFrame) -> DataFrame:
     return staged(found.groupBy("doc_id", "crc").agg(F.collect_list("data").alias("data")), "spans")
 
 
-def dedup_substrings(docs: DataFrame) -> DataFrame:
-    """``docs`` with _kept (remaining bytes), _n_bytes, _n_removed and _n_spans added."""
-
-    @F.arrow_udf("struct<kept:binary,n_bytes:long,n_removed:long,n_spans:long>")
-    def cut(text, crcs, data):
-        out = []
-        for t, cs, ds in zip(text.to_pylist(), crcs.to_pylist(), data.to_pylist(), strict=True):
-            raw = (t or "").encode()
-            own = [np.frombuffer(x, "<i8").reshape(-1, 2) for c, d in zip(cs or (), ds or (), strict=True) if c == zlib.crc32(raw) for x in d]
-            spans = united(np.concatenate(own)) if own else np.zeros((0, 2), np.int64)
-            parts, at = [], 0
-            for a, b in spans.tolist():
-                parts.append(raw[at:a])
-                at = b
-            parts.append(raw[at:])
-            out.append({"kept": b"".join(parts), "n_bytes": len(raw), "n_removed": int((spans[:, 1] - spans[:, 0]).sum()), "n_spans": len(spans)})
-        return pa.array(out, pa.struct([("kept", pa.binary()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64())]))
+def dedup_substrings(docs: DataFrame, as_text: bool = False) -> DataFrame:
+    """``docs`` with _kept, _n_bytes, _n_removed and _n_spans added.
+
+    _kept is the remaining bytes, or with ``as_text`` a string of them, without what is left of a character cut through.
+    """
+    names = docs.columns
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            kept, counts = [], []
+            for t, cs, ds in zip(*(batch[c].to_pylist() for c in ("text", "_c", "_s")), strict=True):
+                raw = (t or "").encode()
+                own = [np.frombuffer(x, "<i8").reshape(-1, 2) for c, d in zip(cs or (), ds or (), strict=True) if c == zlib.crc32(raw) for x in d]
+                spans = united(np.concatenate(own)) if own else np.zeros((0, 2), np.int64)
+                parts, at = [], 0
+                for a, b in spans.tolist():
+                    parts.append(raw[at:a])
+                    at = b
+                left = b"".join([*parts, raw[at:]])
+                kept.append(left.decode("utf-8", "ignore") if as_text else left)
+                counts.append((len(raw), int((spans[:, 1] - spans[:, 0]).sum()), len(spans)))
+            numbers = np.array(counts, np.int64).reshape(-1, 3)
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in names), pa.array(kept, pa.string() if as_text else pa.binary()), *map(pa.array, numbers.T)], [*names, "_kept", "_n_bytes", "_n_removed", "_n_spans"])
 
     by_doc = removed_spans(docs).groupBy(F.col("doc_id").alias("_d")).agg(F.collect_list("crc").alias("_c"), F.collect_list("data").alias("_s"))
-    by_doc = by_doc.select("_d", "_c", "_s")
-    both = docs.join(by_doc, F.col("doc_id") == F.col("_d"), "left")
-    return both.withColumn("_r", cut("text", "_c", "_s")).select(*(f"`{c}`" for c in docs.columns), *(F.col(f"_r.{c}").alias(f"_{c}") for c in ("kept", "n_bytes", "n_removed", "n_spans")))
+    both = docs.join(by_doc, F.col("doc_id") == F.col("_d"), "left").select(*(f"`{c}`" for c in names), "_c", "_s")
+    schema = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes)
+    return both.mapInArrow(cut, f"{schema}, _kept {'string' if as_text else 'binary'}, _n_bytes long, _n_removed long, _n_spans long")
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

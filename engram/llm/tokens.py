@@ -22,8 +22,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Pieces of each of two generations that a worker remembers (together about 250 MB at most).
-MEMORY = 500_000
+#: Pieces of each of two generations that a worker remembers (together about 100 MB at most).
+MEMORY = 200_000
 #: Marks places to cut at; texts that hold it go to the library whole.
 MARK = "\x01"
 AFTER_SPACE = r"[\s\p{Z}\x{0b}\x{85}][ ]"
