@@ -14,7 +14,6 @@ besides the usual ones are carried.
 
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,8 +48,8 @@ def near_dup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 1.  A cut through a character drops what is left of it; n_chars follows the text."""
-    cut = dedup_substrings(docs)
-    text = F.when(F.col("_n_removed") == 0, F.col("text")).otherwise(_decoded()("_kept"))
+    cut = dedup_substrings(docs, as_text=True)
+    text = F.when(F.col("_n_removed") == 0, F.col("text")).otherwise(F.col("_kept"))
     changed = {"text": text.alias("text")}
     if "n_chars" in docs.columns:
         kind = dict(docs.dtypes)["n_chars"]
@@ -58,14 +57,6 @@ def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return cut.select(*(changed.get(c, F.col(f"`{c}`")) for c in docs.columns))
 
 
-def _decoded():
-    @F.arrow_udf("string")
-    def decode(kept):
-        return pa.array([None if b is None else b.decode("utf-8", "ignore") for b in kept.to_pylist()], pa.string())
-
-    return decode
-
-
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 7."""
     found = contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))

@@ -7,12 +7,17 @@ from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+#: Rows of an Arrow batch, where the session doesn't say: texts may be long, and a batch is held whole on either side.
+BATCH_ROWS = "1000"
+_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 ROOT = str(Path(__file__).resolve().parent.parent)
 
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Let Python workers import this package from where the driver has it (a shared or local path).
-    On a cluster without that path, submit the package with ``--py-files`` instead."""
+    """Let Python workers import this package from where the driver has it (a shared or local path), in batches
+    of few rows.  On a cluster without that path, submit the package with ``--py-files`` instead."""
+    if spark.conf.get(_ROWS) == "10000":  # Spark's own
+        spark.conf.set(_ROWS, BATCH_ROWS)
     env = spark.sparkContext.environment
     paths = env.get("PYTHONPATH", "").split(os.pathsep)
     if ROOT not in paths:
