@@ -8,6 +8,7 @@ from .line_dedup import OP4_SQL, op4_line_dedup
 from .near_dup import op2_near_dup
 from .packing import op5_packing
 from .quality import op8_quality
+from .sql import OP1_SQL, OP2_SQL, OP6_SQL
 from .substring_dedup import op1_substring_dedup
 from .token_store import op3_token_store
 from .url_filter import OP9_SQL, op9_url_filter
@@ -30,4 +31,4 @@ def queries():
 
 
 def oracle_sql():
-    return {"op4_line_dedup": OP4_SQL, "op7_decontamination": OP7_SQL, "op9_url_filter": OP9_SQL, "op10_warc": OP10_SQL}
+    return {"op1_substring_dedup": OP1_SQL, "op2_near_dup": OP2_SQL, "op6_embedding_dup": OP6_SQL, "op4_line_dedup": OP4_SQL, "op7_decontamination": OP7_SQL, "op9_url_filter": OP9_SQL, "op10_warc": OP10_SQL}

@@ -53,13 +53,11 @@ SELECT gram, CAST(round((ln(pa) - ln(pr)) * {m}) AS BIGINT) AS q FROM p3
 """
 
 
-def split_url(pages: DataFrame) -> DataFrame:
-    """page_id, url, host, path."""
-    at = F.locate("://", F.col("url"))
-    rest = F.when(at > 0, F.expr("substring(url, locate('://', url) + 3)")).otherwise(F.lit(""))
-    host = F.translate(F.regexp_extract("_rest", r"^([^/?#]*)", 1), UPPER, LOWER)
-    path = F.regexp_extract("_rest", r"^[^/?#]*([^?#]*)", 1)
-    return pages.select("page_id", "url").withColumn("_rest", rest).select("page_id", "url", host.alias("host"), path.alias("path"))
+def split_url(rows: DataFrame) -> DataFrame:
+    """``rows`` with host and path of their url."""
+    rest = F.when(F.locate("://", F.col("url")) > 0, F.expr("substring(url, locate('://', url) + 3)")).otherwise(F.lit(""))
+    host = F.translate(F.regexp_extract(rest, r"^([^/?#]*)", 1), UPPER, LOWER)
+    return rows.withColumns({"host": host, "path": F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1)})
 
 
 def rule_columns(rules: list[tuple[str, str]]):
@@ -84,14 +82,14 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
     """page_id, host, path, rule, verdict, score (null where a rule decides), threshold."""
     spark = pages.sparkSession
     rule, ruled = rule_columns(rules)
-    rows = split_url(pages).withColumn("rule", rule).withColumn("ruled", ruled)
+    rows = split_url(pages.select("page_id", "url")).withColumn("rule", rule).withColumn("ruled", ruled)
     counts = grams(rows, "ruled").groupBy("gram").agg(F.count_if(F.col("ruled") == "allow").alias("a"), F.count_if(F.col("ruled") == "block").alias("r"))
     g = staged(counts.select("gram", *(F.substring("gram", i + 1, 1).alias(c) for i, c in enumerate("xyz")), "a", "r"), "url-grams")
     ratios = spark.sql(RATIOS.replace("{v}", str(SYMBOLS)).replace("{m}", str(MILLIONTHS)), g=g)
     each = grams(rows, "page_id", "url").join(F.broadcast(ratios), "gram")  # at most SYMBOLS ** 3 rows
     scored = each.groupBy("page_id", "url").agg(F.sum("q").alias("q"), F.count("*").alias("n"), F.count_if(F.col("_i") == 0).alias("copies"))
     scored = scored.withColumn("score", F.col("q") / (F.col("n") * MILLIONTHS)).drop("q", "n")
-    scored = staged(split_url_of(scored).withColumn("rule", rule).withColumn("ruled", ruled), "url-scores")
+    scored = staged(split_url(scored).withColumn("rule", rule).withColumn("ruled", ruled), "url-scores")
     part = lambda f, kind: f(F.when(F.col("ruled") == kind, F.col("score")))
     seen = scored.select("ruled", "score", F.explode(F.sequence(F.lit(1), "copies"))).agg(part(F.avg, "allow").alias("ma"), part(F.stddev_pop, "allow").alias("sa"), part(F.avg, "block").alias("mr"), part(F.stddev_pop, "block").alias("sr")).first()
     least = threshold(seen.ma, seen.sa, seen.mr, seen.sr)
@@ -100,15 +98,6 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
     return out.drop("col")
 
 
-def split_url_of(scored: DataFrame) -> DataFrame:
-    """The scored rows with host and path made again from the URL."""
-    at = F.locate("://", F.col("url"))
-    rest = F.when(at > 0, F.expr("substring(url, locate('://', url) + 3)")).otherwise(F.lit(""))
-    host = F.translate(F.regexp_extract(rest, r"^([^/?#]*)", 1), UPPER, LOWER)
-    path = F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1)
-    return scored.withColumn("host", host).withColumn("path", path)
-
-
 def threshold(ma: float | None, sa: float | None, mr: float | None, sr: float | None) -> float:
     """Where both classes' deviations from their means are equal."""
     if mr is None:
