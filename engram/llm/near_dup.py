@@ -157,7 +157,8 @@ def block_links(ids: np.ndarray, sets: list[np.ndarray], side: np.ndarray, perce
 
 def verified(members: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
     """Links (u, v) among ``members`` (rep, hi, lo, cluster, n): a spanning forest for each block."""
-    texts = docs.select(F.col("doc_id").alias("rep"), "text").join(members, "rep")
+    # a shuffle of both at any size: members grow with the corpus, too far for a broadcast
+    texts = docs.select(F.col("doc_id").alias("rep"), "text").join(members.hint("merge"), "rep")
 
     def full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with np.errstate(over="ignore"):
@@ -203,7 +204,9 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     classes = staged(real.groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"), F.any_value("keys").alias("keys")), "classes")
     lists = classes.select("rep", F.explode("keys").alias("key"))
     least = F.min("rep").over(Window.partitionBy("key"))
-    stars = lists.withColumn("least", least).where("rep > least").select(F.col("rep").alias("u"), F.col("least").alias("v")).distinct()
+    met = lists.withColumn("least", least).where("rep > least").groupBy("rep").agg(F.min("least").alias("v"), F.collect_set("least").alias("firsts"))
+    # a document's lists start with at most as many others as it has keys; all are tied to the smallest of them
+    stars = met.select("v", F.explode(F.array_append("firsts", F.col("rep"))).alias("u")).where("u <> v").distinct()
     clusters = components(stars).withColumnsRenamed({"node": "rep", "component": "cluster"})
     sizes = clusters.groupBy("cluster").agg(F.count("*").alias("n"))
     members = classes.select("rep", "hi", "lo").join(clusters.join(sizes, "cluster"), "rep")
