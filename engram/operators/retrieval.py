@@ -6,12 +6,19 @@ for all queries at once, ranked by a window that Spark limits before its shuffle
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from engram.functions import text
 
 RECALL_K, CANDIDATES, DEPTH, DECAY, K1, B = 20, 40, 1, 0.8, 1.5, 0.75
+#: Rows of a block of queries and of a block of vectors.
+QUERY_ROWS, VECTOR_ROWS = 512, 4096
 
 
 def term_frequencies(docs: DataFrame) -> DataFrame:
@@ -55,15 +62,64 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(norms == 0, F.lit(0.0)).otherwise(dot(a, b) / norms)
 
 
-def vector_scores(queries: DataFrame, vectors: DataFrame, blocks: int = 16) -> DataFrame:
-    """query_id, id, score: every query vector against every row.
+def vector_scores(queries: DataFrame, vectors: DataFrame, k: int | None = None, others: bool = False) -> DataFrame:
+    """query_id, id, score: every query vector against every row, or each query's ``k`` best in each block of rows.
 
-    The stated query set is compared in blocks: each row's vector meets the arrays of the
-    blocks' queries, so the pairs never are a shuffled table.
+    Queries (query_id, vector) are dealt to blocks of about ``QUERY_ROWS`` rows and ``vectors`` (id, vector) to blocks of
+    about ``VECTOR_ROWS``, however many there are; each pair of blocks is one matrix product in a task of its own.
+    With ``k``, what leaves it is at most k rows a query (ties by id), so the best k overall are among them.
+    ``others`` leaves out a query's own id.  Vectors that are null, empty or not finite, and pairs of different lengths,
+    have no score.
     """
-    block = queries.groupBy(F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("block")).agg(F.collect_list(F.struct("query_id", "vector")).alias("qs"))
-    each = vectors.crossJoin(block.drop("block")).select("id", "vector", F.explode("qs").alias("q"))
-    return each.select("q.query_id", "id", F.round(cosine(F.col("q.vector"), F.col("vector")), 6).alias("score"))
+    n_q, n_v = -(-queries.count() // QUERY_ROWS) or 1, -(-vectors.count() // VECTOR_ROWS) or 1
+    deal = lambda key, n: F.pmod(F.xxhash64(key, "vector"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    # columns of their own on either side: a cogroup of a table with itself mixes up shared ones
+    q = queries.select(F.col("query_id").alias("asked"), F.col("vector").alias("a"), deal("query_id", n_q).alias("block")).withColumn("part", every(n_v))
+    v = vectors.select(F.col("id").alias("row"), F.col("vector").alias("b"), deal("id", n_v).alias("part")).withColumn("block", every(n_q))
+
+    def score(left: pa.Table, right: pa.Table) -> pa.Table:
+        of_q, of_v = _by_length(left["asked"], left["a"]), _by_length(right["row"], right["b"])
+        parts = []
+        for length in sorted(of_q.keys() & of_v.keys()):
+            (q_ids, a), (ids, b) = of_q[length], of_v[length]
+            found = _cosines(a, b)
+            kept = np.ones(found.shape, bool)
+            if others:
+                kept = q_ids.to_numpy(zero_copy_only=False)[:, None] != ids.to_numpy(zero_copy_only=False)[None, :]
+            if k is not None and k < len(ids):  # ids ascend, so a stable order breaks ties by id
+                best = np.argsort(np.where(kept, -found, np.inf), axis=1, kind="stable")[:, :k]
+                row, column = np.repeat(np.arange(len(a)), best.shape[1]), best.reshape(-1)
+                real = kept[row, column]
+                row, column = row[real], column[real]
+            else:
+                row, column = np.nonzero(kept)
+            parts.append(pa.table([q_ids.take(pa.array(row)), ids.take(pa.array(column)), pa.array(found[row, column])], schema))
+        return pa.concat_tables(parts) if parts else schema.empty_table()
+
+    kind = StructType().add("query_id", queries.schema["query_id"].dataType).add("id", vectors.schema["id"].dataType).add("score", "double")
+    schema = to_arrow_schema(kind)
+    return q.groupBy("block", "part").cogroup(v.groupBy("block", "part")).applyInArrow(score, kind)
+
+
+def _by_length(ids: pa.ChunkedArray, vectors: pa.ChunkedArray) -> dict[int, tuple[pa.Array, np.ndarray]]:
+    """For each length of vectors, their ids in order and the matrix of them in doubles."""
+    order = pc.sort_indices(ids)
+    ids, lists, out = ids.take(order).combine_chunks(), vectors.take(order).combine_chunks(), {}
+    sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    for length in np.unique(sizes[sizes > 0]):
+        rows = np.flatnonzero(sizes == length)
+        flat = pc.fill_null(lists.take(pa.array(rows)).flatten().cast(pa.float64()), np.nan)
+        matrix = flat.to_numpy(zero_copy_only=False).reshape(len(rows), length)
+        finite = np.isfinite(matrix).all(axis=1)
+        out[int(length)] = ids.take(pa.array(rows[finite])), matrix[finite]
+    return out
+
+
+def _cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Rounded to 6 places; 0 where a norm is 0."""
+    norms = np.sqrt((a * a).sum(axis=1))[:, None] * np.sqrt((b * b).sum(axis=1))[None, :]
+    return np.round(np.divide(a @ b.T, norms, out=np.zeros(norms.shape), where=norms != 0), 6) + 0.0
 
 
 def metadata_matches(queries: DataFrame, nodes: DataFrame) -> DataFrame:

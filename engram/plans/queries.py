@@ -94,10 +94,25 @@ def bm25_topk(spark: SparkSession, sf: str) -> DataFrame:
     return retrieval.top_k(retrieval.bm25(v.queries(), v.memories()), retrieval.RECALL_K)
 
 
+def _embeddings(v: Views) -> DataFrame:
+    return v.table("embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+
+
+def _nearest(v: Views, asked: str) -> DataFrame:
+    """The nearest rows of all, for each row of the ``asked`` ones."""
+    e = _embeddings(v)
+    queries = e.where(asked).withColumnRenamed("id", "query_id")
+    return retrieval.top_k(retrieval.vector_scores(queries, e, retrieval.RECALL_K), retrieval.RECALL_K)
+
+
 def vector_topk(spark: SparkSession, sf: str) -> DataFrame:
-    e = Views(spark, sf).table("embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
-    queries = e.where("id < 5").withColumnRenamed("id", "query_id")  # the view's five stated queries
-    return retrieval.top_k(retrieval.vector_scores(queries, e), retrieval.RECALL_K)
+    """The five queries that the SQL names; ``vector_topk_20`` has the required ones."""
+    return _nearest(Views(spark, sf), "id < 5")
+
+
+def vector_topk_20(spark: SparkSession, sf: str) -> DataFrame:
+    """Every row whose id is divisible by 20, against all rows."""
+    return _nearest(Views(spark, sf), "id % 20 = 0")
 
 
 def _plans(v: Views) -> DataFrame:
@@ -215,13 +230,22 @@ def grpo_advantage(spark: SparkSession, sf: str) -> DataFrame:
     return rewards.advantages(Views(spark, sf).rewards()).select("event_id", "advantage")
 
 
-def novelty(spark: SparkSession, sf: str) -> DataFrame:
-    """Each of the view's five stated questions against all others."""
-    e = Views(spark, sf).table("embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
-    scored = retrieval.vector_scores(e.where("id < 5").withColumnRenamed("id", "query_id"), e).where("query_id <> id")
+def _novelty(v: Views, asked: str) -> DataFrame:
+    e = _embeddings(v)
+    scored = retrieval.vector_scores(e.where(asked).withColumnRenamed("id", "query_id"), e, 1, others=True)
     return scored.groupBy("query_id").agg(F.round(rewards.novelty(F.max("score")), 6).alias("novelty"))
 
 
+def novelty(spark: SparkSession, sf: str) -> DataFrame:
+    """Each of the five questions that the SQL names against all others; ``novelty_20`` has the required ones."""
+    return _novelty(Views(spark, sf), "id < 5")
+
+
+def novelty_20(spark: SparkSession, sf: str) -> DataFrame:
+    """Every row whose id is divisible by 20 against all others."""
+    return _novelty(Views(spark, sf), "id % 20 = 0")
+
+
 def memory_versions(spark: SparkSession, sf: str) -> DataFrame:
     return memory.running_version(Views(spark, sf).edits()).select("case_id", "seq", "op", "version")
 
@@ -389,9 +413,9 @@ def context_blocks(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = [
     case_summary, relation_histogram, case_edges, case_index_parse, missing_users, topic_fact_index, single_fact_candidates, same_topic_candidates,
-    temporal_candidates, comparison_candidates, walk_signature, walk_directions, source_dedup, token_counts, doc_freq, bm25_topk, vector_topk,
+    temporal_candidates, comparison_candidates, walk_signature, walk_directions, source_dedup, token_counts, doc_freq, bm25_topk, vector_topk, vector_topk_20,
     metadata_match, provenance_neighbours, graph_expand, hybrid_fusion, question_constraints, question_forms, duplicate_antijoin, route_fidelity,
-    attacker_reward, reward_summary, builder_reward, grpo_advantage, novelty, memory_versions, edit_fold, pool_membership, link_binding,
+    attacker_reward, reward_summary, builder_reward, grpo_advantage, novelty, novelty_20, memory_versions, edit_fold, pool_membership, link_binding,
     protected_questions, round_robin, priority_fill, stratified_sizes, weighted_sample, compaction_pairs, stop_streak, saturation,
     action_validation, oracle_reconcile, training_records, route_bundle, mode_fallback, mode_funnel, time_hull, compaction_audit, round_outcomes,
     guarded_commit, replay_queue, context_blocks,
