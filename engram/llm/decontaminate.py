@@ -1,14 +1,20 @@
 """Operator 7: benchmark decontamination with a distributed positional inverted index.
 
 Test items are cut into windows of ``width`` consecutive words.  A first pass
-counts the test terms in the training documents.  Each window is then entered
-under its rarest term; a window with a term that no document has is dropped.
+counts the test terms in the training documents.  For phrases, each window is entered
+under its rarest term; a window with a term that no document has is dropped.  For
+proximity, a window of d different terms of which m must be met is entered under
+those of its d - m + 1 rarest that any document has: at most d - m are missing
+where it matches, so one of these is there.
 The second pass writes the index: for every occurrence of such a term a posting
 of (term, document, position) with the terms at up to ``width - 1`` places on
 either side.  Matching is one join on the term; the lists of a window's other
 terms are intersected, shifted by their offsets, in the neighbourhood that the
-posting carries.  An equal run is an exact phrase match; most of a window's terms
-in another order, or with others between, is a proximity match.
+posting carries.  An equal run is an exact phrase match; at least ``share`` of a window's
+different terms in another order, with others between or some of them changed, is a
+proximity match, one for each place of a term that the window is entered under.  Every
+stretch of ``width`` words with that many of the terms has such a place.
+``contaminated`` goes by phrases alone.
 
 Only postings of test terms leave a task: both passes filter by a bitmap of
 ``BITS`` bits, which is broadcast with that fixed size and whose false hits the
@@ -37,6 +43,8 @@ from pyspark.sql import functions as F
 from .common import slices, staged
 
 WIDTH = 10
+#: Part of a window's different terms that a proximity match has.
+SHARE = 0.8
 #: Size of the bitmap of test terms.
 BITS = 1 << 22
 #: What stands between words, before lower-casing.
@@ -99,13 +107,22 @@ def term_counts(docs: DataFrame, marks: np.ndarray) -> DataFrame:
     return docs.select("text").mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
 
 
-def ranked_windows(windows: DataFrame, counts: DataFrame) -> DataFrame:
-    """terms, items, term (the rarest), at (its first place in the window)."""
-    each = windows.select("terms", F.posexplode("terms").alias("at", "term"))
-    known = each.join(counts, "term")
-    rarest = known.groupBy("terms").agg(F.count("*").alias("n_known"), F.min(F.struct("n", "at", "term")).alias("rarest"))
-    whole = rarest.where(F.col("n_known") == F.size("terms"))
-    return windows.join(whole, "terms").select("terms", "items", "rarest.term", "rarest.at")
+def needed(share: float):
+    """How many of a window's different terms are ``share`` of them, rounded up."""
+    return F.ceil(F.lit(share) * F.size(F.array_distinct("terms")) - 1e-9).cast("int")
+
+
+def ranked_windows(windows: DataFrame, counts: DataFrame, share: float | None = SHARE) -> DataFrame:
+    """terms, items, term (to look up), at (its first place in the window), near: one row for phrases, under the rarest
+    term, if documents have all terms; with ``share``, rows for proximity (``near``) under the rarest terms."""
+    each = windows.select("terms", F.posexplode("terms").alias("at", "term")).groupBy("terms", "term").agg(F.min("at").alias("at"))
+    by = each.join(counts, "term", "left").groupBy("terms").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "at", "term"))).alias("by"))
+    entered = F.when(F.col("by")[0]["n"] > 0, F.array(F.struct(F.lit(False).alias("near"), F.col("by")[0].alias("e")))).otherwise(F.array())
+    if share is not None:
+        rarest = F.filter(F.slice("by", F.lit(1), F.size("by") - needed(share) + 1), lambda e: e["n"] > 0)
+        entered = F.concat(entered, F.transform(rarest, lambda e: F.struct(F.lit(True).alias("near"), e.alias("e"))))
+    rows = windows.join(by, "terms").select("terms", "items", F.explode(entered).alias("w"))
+    return rows.select("terms", "items", "w.e.term", "w.e.at", "w.near")
 
 
 def index(docs: DataFrame, marks: np.ndarray, width: int = WIDTH) -> DataFrame:
@@ -134,14 +151,18 @@ def index(docs: DataFrame, marks: np.ndarray, width: int = WIDTH) -> DataFrame:
 
 def phrase_matches(indexed: DataFrame, ranked: DataFrame, width: int = WIDTH) -> DataFrame:
     """doc_id, text_hash, start, length, items of each place where a window stands word for word."""
-    return _joined(indexed, ranked).where(F.slice("near", F.lit(width) - F.col("at"), F.size("terms")) == F.col("terms")).select("doc_id", "text_hash", (F.col("pos") - F.col("at")).alias("start"), F.size("terms").alias("length"), "items")
+    joined = _joined(indexed, ranked.where("not near").drop("near"))
+    return joined.where(F.slice("near", F.lit(width) - F.col("at"), F.size("terms")) == F.col("terms")).select("doc_id", "text_hash", (F.col("pos") - F.col("at")).alias("start"), F.size("terms").alias("length"), "items")
 
 
-def proximity_matches(indexed: DataFrame, ranked: DataFrame, share: float = 0.8, width: int = WIDTH) -> DataFrame:
-    """doc_id, text_hash, pos, items, found: places of a window's rarest term that have at least ``share`` of the
-    window's different terms around them, but not the phrase."""
+def proximity_matches(indexed: DataFrame, ranked: DataFrame, share: float = SHARE, width: int = WIDTH) -> DataFrame:
+    """doc_id, text_hash, pos, items, found: places of a term that a window is entered under with at least ``share`` of the
+    window's different terms around them, but not the phrase.  ``ranked`` is for the same share or a smaller one."""
     found = F.size(F.array_intersect("terms", "near"))
-    near = _joined(indexed, ranked).where((found >= F.lit(share) * F.size(F.array_distinct("terms"))) & (F.slice("near", F.lit(width) - F.col("at"), F.size("terms")) != F.col("terms")))
+    size = F.size("terms")
+    places = F.filter(F.sequence(F.lit(0), size - 1), lambda at: F.get("terms", at) == F.col("term"))
+    phrase = F.exists(places, lambda at: F.slice("near", F.lit(width) - at, size) == F.col("terms"))
+    near = _joined(indexed, ranked.where("near").drop("near")).where(found >= needed(share)).where(~phrase)
     return near.select("doc_id", "text_hash", "pos", "items", found.alias("found"))
 
 
@@ -149,26 +170,43 @@ def _joined(indexed: DataFrame, ranked: DataFrame) -> DataFrame:
     return indexed.select("doc_id", "text_hash", F.explode("postings").alias("p")).select("doc_id", "text_hash", "p.*").join(ranked, "term")
 
 
-def build(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> tuple[DataFrame, DataFrame]:
-    """The written index and the ranked windows to look up in it."""
+def build(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, share: float | None = SHARE) -> tuple[DataFrame, DataFrame]:
+    """The written index and the ranked windows to look up in it; without ``share`` for phrases only."""
     windows = staged(test_windows(benchmark, width), "windows")
     counts = term_counts(docs, bitmap(windows.select(F.explode("terms").alias("t")), "t"))
-    ranked = staged(ranked_windows(windows, counts), "ranked")
+    ranked = staged(ranked_windows(windows, counts, share), "ranked")
     return staged(index(docs, bitmap(ranked, "term"), width), "postings"), ranked
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
-    """One row a document: doc_id, text_hash, n_words, n_hit, n_items, items, contaminated."""
-    indexed, ranked = build(docs, benchmark, width)
+def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, share: float | None = None) -> DataFrame:
+    """One row a document: doc_id, text_hash, n_words, n_hit, n_items, items, contaminated; with ``share`` also
+    n_near (places of proximity matches), n_near_items and near_items."""
+    indexed, ranked = build(docs, benchmark, width, share)
     matches = phrase_matches(indexed, ranked, width)
     hit = F.size(F.array_distinct(F.flatten(F.transform(F.collect_set(F.struct("start", "length")), lambda m: F.sequence(m["start"], m["start"] + m["length"] - 1)))))
     found = matches.groupBy("doc_id", "text_hash").agg(hit.cast("long").alias("n_hit"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"))
-    rows = indexed.select("doc_id", "text_hash", "n_words").alias("r")
-    f = found.alias("f")
-    both = rows.join(f, F.col("r.doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("r.text_hash") == F.col("f.text_hash")), "left")
-    n_hit = F.coalesce("f.n_hit", F.lit(0).cast("long"))
-    items = F.coalesce(F.array_sort(F.transform("f.items", lambda x: x.cast("string"))), F.array().cast("array<string>"))
-    return both.select("r.doc_id", "r.text_hash", "r.n_words", n_hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"), items.alias("items"), (n_hit > 0).alias("contaminated"))
+    both = _with(indexed.select("doc_id", "text_hash", "n_words"), found)
+    n_hit, items = _count("n_hit"), _names("items")
+    out = both.select("doc_id", "text_hash", "n_words", n_hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"), items.alias("items"), (n_hit > 0).alias("contaminated"))
+    if share is None:
+        return out
+    close = proximity_matches(indexed, ranked, share, width).groupBy("doc_id", "text_hash").agg(F.size(F.collect_set("pos")).cast("long").alias("n_near"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("near_items"))
+    near_items = _names("near_items")
+    return _with(out, close).select(*out.columns, _count("n_near").alias("n_near"), F.size(near_items).cast("long").alias("n_near_items"), near_items.alias("near_items"))
+
+
+def _with(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """``rows`` with the columns of ``found`` for the same document."""
+    f = found.withColumnsRenamed({"doc_id": "_d", "text_hash": "_x"})
+    return rows.join(f, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("text_hash") == F.col("_x")), "left").drop("_d", "_x")
+
+
+def _count(column: str):
+    return F.coalesce(column, F.lit(0).cast("long"))
+
+
+def _names(column: str):
+    return F.coalesce(F.array_sort(F.transform(column, lambda x: x.cast("string"))), F.array().cast("array<string>"))
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -177,6 +215,13 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), "contaminated")
 
 
+def op7_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of ``op7_decontamination``, and for each document its proximity matches."""
+    found = contamination(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), share=SHARE)
+    digest = lambda c: F.sha2(F.array_join(c, ",").cast("binary"), 256)
+    return found.select("doc_id", "n_words", "n_hit", "n_items", digest("items").alias("items_sha256"), "contaminated", "n_near", "n_near_items", digest("near_items").alias("near_items_sha256"))
+
+
 OP7_SQL = r"""
 WITH d AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),

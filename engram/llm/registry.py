@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .decontaminate import OP7_SQL, op7_decontamination
+from .decontaminate import OP7_SQL, op7_decontamination, op7_proximity
 from .embed_dup import op6_embedding_dup
 from .line_dedup import OP4_SQL, op4_line_dedup
 from .near_dup import op2_near_dup
@@ -24,6 +24,7 @@ def queries():
         "op5_packing": op5_packing,
         "op6_embedding_dup": op6_embedding_dup,
         "op7_decontamination": op7_decontamination,
+        "op7_proximity": op7_proximity,
         "op8_quality": op8_quality,
         "op9_url_filter": op9_url_filter,
         "op10_warc": op10_warc,
