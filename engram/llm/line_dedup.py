@@ -107,8 +107,12 @@ def _cut():
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines over ``documents``: one row a document with what was removed and a digest of what is left."""
-    out = dedup_units(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    """Lines of at least ``MIN_CHARS`` over ``documents``, as the SQL has them: one row a document with what was removed and a digest of what is left."""
+    return _op4(spark, sf_dir, MIN_CHARS)
+
+
+def _op4(spark: SparkSession, sf_dir: str, min_chars: int) -> DataFrame:
+    out = dedup_units(spark.read.parquet(f"{sf_dir}/documents.parquet"), min_chars=min_chars)
     return out.select(
         "doc_id",
         F.size("spans").cast("long").alias("n_removed"),
@@ -118,6 +122,11 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_line_dedup_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``op4_line_dedup`` over all lines that aren't blank, short ones too."""
+    return _op4(spark, sf_dir, 1)
+
+
 OP4_SQL = r"""
 WITH l AS (
   SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM documents WHERE text IS NOT NULL),

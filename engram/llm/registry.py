@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from .decontaminate import OP7_SQL, op7_decontamination, op7_proximity
 from .embed_dup import op6_embedding_dup
-from .line_dedup import OP4_SQL, op4_line_dedup
+from .line_dedup import OP4_SQL, op4_line_dedup, op4_line_dedup_whole
 from .near_dup import op2_near_dup
 from .packing import op5_packing
 from .quality import op8_quality
@@ -21,6 +21,7 @@ def queries():
         "op2_near_dup": op2_near_dup,
         "op3_token_store": op3_token_store,
         "op4_line_dedup": op4_line_dedup,
+        "op4_line_dedup_whole": op4_line_dedup_whole,
         "op5_packing": op5_packing,
         "op6_embedding_dup": op6_embedding_dup,
         "op7_decontamination": op7_decontamination,
