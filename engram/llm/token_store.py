@@ -13,13 +13,14 @@ File layout (little endian)::
     per level: entries u64, bytes of chunks u64
     doc ids i64[documents] | doc ends u64[documents]
     per level: chunks (u8 or u16 each) | bitmap u64[] | directory u32[]
+    version 2 only: documents without a doc_id u64 (the last ones; 0 stands in doc ids)
 
 Writing is one range exchange by ``doc_id`` so that files hold ascending ids and
 follow each other in order; a small table of files carries the running total
 from which every document's global start is read.
 
 Null texts are empty: such a document holds just the end id.  Repeated doc_ids
-are kept as separate rows.  An empty table makes no files and an empty result.
+are kept as separate rows.  A null doc_id is kept and ranks last.  An empty table makes no files and an empty result.
 Extra columns are not carried.
 """
 
@@ -32,6 +33,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -45,6 +47,7 @@ CHUNK = 8
 BLOCK = 512
 HEAD = struct.Struct("<4sBBHQQ")
 LEVEL = struct.Struct("<QQ")
+NULLS = struct.Struct("<Q")
 
 
 @lru_cache(maxsize=4)
@@ -53,8 +56,8 @@ def encoder(path: str, spaced: bool) -> Encoder:
     return Encoder(path, spaced)
 
 
-def dac_encode(ids: np.ndarray, doc_ids: np.ndarray, ends: np.ndarray) -> bytes:
-    """One file's bytes: ``ids`` of all documents, and where each document ends in them."""
+def dac_encode(ids: np.ndarray, doc_ids: np.ndarray, ends: np.ndarray, nulls: int = 0) -> bytes:
+    """One file's bytes: ``ids`` of all documents, where each document ends in them, and how many of the last have no doc_id."""
     rest, levels = np.asarray(ids, np.uint32), []
     while True:
         more = (rest >> CHUNK) != 0
@@ -66,11 +69,13 @@ def dac_encode(ids: np.ndarray, doc_ids: np.ndarray, ends: np.ndarray) -> bytes:
         rest = rest[more] >> CHUNK
         if not len(rest):
             break
-    out = [HEAD.pack(MAGIC, 1, CHUNK, len(levels), len(ids), len(doc_ids))]
+    out = [HEAD.pack(MAGIC, 2 if nulls else 1, CHUNK, len(levels), len(ids), len(doc_ids))]
     out += [LEVEL.pack(len(c), c.nbytes) for c, _, _ in levels]
     out += [np.asarray(doc_ids, "<i8").tobytes(), np.asarray(ends, "<u8").tobytes()]
     for chunks, bitmap, directory in levels:
         out += [chunks.tobytes(), bitmap.tobytes(), directory.tobytes()]
+    if nulls:
+        out.append(NULLS.pack(nulls))
     return b"".join(out)
 
 
@@ -78,7 +83,7 @@ class DacFile:
     """Random access to a file's ids; ``data`` is its bytes or a memory map of them."""
 
     def __init__(self, data):
-        magic, _, self.chunk, n, self.tokens, docs = HEAD.unpack_from(data, 0)
+        magic, version, self.chunk, n, self.tokens, docs = HEAD.unpack_from(data, 0)
         if magic != MAGIC:
             raise ValueError("not a DAC file")
         at = HEAD.size
@@ -99,6 +104,7 @@ class DacFile:
             directory = view("<u4", blocks + 1)
             at += directory.nbytes
             self.levels.append((chunks, bitmap, directory))
+        self.nulls = NULLS.unpack_from(data, at)[0] if version == 2 else 0
 
     def get(self, places) -> np.ndarray:
         """Ids at any places, each found by ranks alone."""
@@ -157,15 +163,17 @@ def write_store(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 2, s
             ids = np.concatenate([x[0] for x in held])
             doc_ids = np.concatenate([x[1] for x in held])
             ends = np.cumsum(np.concatenate([x[2] for x in held]))
+            nulls = sum(x[3] for x in held)
             name = f"{folder}/files/part-{part:06d}-{seq:05d}.dac"
-            write_bytes(name, dac_encode(ids, doc_ids, ends))
-            row = {"file": [name], "part": [part], "seq": [seq], "first_doc": [int(doc_ids[0])], "n_docs": [len(doc_ids)], "n_tokens": [len(ids)]}
+            write_bytes(name, dac_encode(ids, doc_ids, ends, nulls))
+            row = {"file": [name], "part": [part], "seq": [seq], "first_doc": [int(doc_ids[0]) if nulls < len(doc_ids) else None], "n_docs": [len(doc_ids)], "n_tokens": [len(ids)]}
             return pa.RecordBatch.from_pydict(row, pa.schema([("file", pa.string()), ("part", pa.int32()), ("seq", pa.int32()), ("first_doc", pa.int64()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())]))
 
         for batch in slices(batches, "text"):
             ids, offsets = enc.batch(batch["text"])
             ended = np.insert(ids, offsets[1:], np.uint32(end_id))
-            held.append((ended, batch["doc_id"].to_numpy(), np.diff(offsets) + 1))
+            named = pc.fill_null(batch["doc_id"].cast(pa.int64()), 0).to_numpy()
+            held.append((ended, named, np.diff(offsets) + 1, batch["doc_id"].null_count))
             count += len(ended)
             if count >= file_tokens:
                 yield close()
@@ -173,7 +181,9 @@ def write_store(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 2, s
         if held:
             yield close()
 
-    ordered = docs.select("doc_id", "text").where("doc_id is not null").repartitionByRange(parts_of(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id")
+    # rows without a doc_id are dealt by their texts, as they may be many
+    order = [F.col("doc_id").asc_nulls_last(), F.when(F.col("doc_id").isNull(), F.xxhash64("text"))]
+    ordered = docs.select("doc_id", "text").repartitionByRange(parts_of(docs.sparkSession), *order).sortWithinPartitions(*order)
     files = ordered.mapInArrow(write, "file string, part int, seq int, first_doc long, n_docs long, n_tokens long")
     return written(files, f"{folder}/index")
 
@@ -188,6 +198,7 @@ def read_store(files: DataFrame, buffer: int = 500_000) -> DataFrame:
         for batch in batches:
             for name, base in zip(batch["file"].to_pylist(), batch["base"].to_pylist(), strict=True):
                 dac = DacFile(read_bytes(name))
+                none = np.arange(len(dac.doc_ids)) >= len(dac.doc_ids) - dac.nulls
                 starts = np.concatenate([[0], dac.ends[:-1]]).astype(np.int64)
                 lo = 0
                 while lo < len(starts):
@@ -195,7 +206,7 @@ def read_store(files: DataFrame, buffer: int = 500_000) -> DataFrame:
                     ids = dac.get(np.arange(starts[lo], dac.ends[hi - 1])).astype("<u4")
                     cuts = np.concatenate([starts[lo:hi], dac.ends[hi - 1 : hi]]) - starts[lo]
                     raw = [ids[a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)]
-                    yield pa.RecordBatch.from_arrays([pa.array(dac.doc_ids[lo:hi]), pa.array(starts[lo:hi] + base), pa.array(np.diff(cuts)), pa.array(raw, pa.binary())], ["doc_id", "start", "n_tokens", "tokens_le"])
+                    yield pa.RecordBatch.from_arrays([pa.array(dac.doc_ids[lo:hi], mask=none[lo:hi]), pa.array(starts[lo:hi] + base), pa.array(np.diff(cuts)), pa.array(raw, pa.binary())], ["doc_id", "start", "n_tokens", "tokens_le"])
                     lo = hi
 
     return placed.repartition(parts_of(files.sparkSession), "file").mapInArrow(read, "doc_id long, start long, n_tokens long, tokens_le binary")

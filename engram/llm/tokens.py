@@ -7,7 +7,8 @@ of its pieces between such places.  ``Encoder`` marks these places in a batch,
 dictionary-encodes the pieces, asks the tokenizers library only for pieces it
 doesn't remember, and gathers the ids with numpy.  A piece of letters only is one
 pre-token, so it goes to the library's BPE model directly, its bytes written in
-the byte-level alphabet; any other piece takes the library's whole way.
+the byte-level alphabet; any other piece takes the library's whole way.  A text that
+holds an added token's literal (such as ``<|endoftext|>``) goes there uncut.
 
 A null text counts as empty and has no ids of its own; the end id is the
 caller's business.
@@ -16,6 +17,7 @@ caller's business.
 from __future__ import annotations
 
 import os
+import re
 import unicodedata
 
 import numpy as np
@@ -24,7 +26,7 @@ import pyarrow.compute as pc
 
 #: Pieces of each of two generations that a worker remembers (together about 100 MB at most).
 MEMORY = 200_000
-#: Marks places to cut at; texts that hold it go to the library whole.
+#: Marks places to cut at; texts that hold it or an added token's literal go to the library whole.
 MARK = "\x01"
 AFTER_SPACE = r"[\s\p{Z}\x{0b}\x{85}][ ]"
 SPACE_BEGINS = r"([^\s\p{Z}\x{0b}\x{85}])([ \n\t\r])"
@@ -46,7 +48,9 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        literals = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        #: In any case of letters: a literal may be sought after the normaliser.
+        self.uncut = "(?i)" + "|".join(map(re.escape, [MARK, *literals]))
         self.spaced = spaced
         self.memory = memory
         self.model, self.alphabet = self.tokenizer.model, byte_alphabet()
@@ -99,7 +103,7 @@ class Encoder:
     def batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts as uint32, offsets of each text in them, one more than texts)."""
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
-        held = pc.match_substring(texts, MARK)
+        held = pc.match_substring_regex(texts, self.uncut)
         whole = np.flatnonzero(held.to_numpy(zero_copy_only=False))
         lists = pc.split_pattern(self._marked(pc.if_else(held, "", texts) if len(whole) else texts), MARK)
         bounds = lists.offsets.to_numpy().astype(np.int64)
