@@ -17,9 +17,11 @@ SHARED = "spark.checkpoint.dir"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where the session names none (tests)."""
+    """The folder that driver and executors share.  Only a local session (tests) may leave it out; it gets a folder of its own."""
     named = spark.conf.get(SHARED, None) or spark.sparkContext.getConf().get(SHARED)
     if not named:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError(f"{SHARED} is not set: name a folder that the driver and all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="engram-")
         spark.conf.set(SHARED, named)
     return named.rstrip("/")
@@ -84,6 +86,16 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 2 <
     give_back()
 
 
+def fresh(columns: list[str], *names: str) -> list[str]:
+    """``names`` for columns to add to ``columns``; one that is taken, in any case of letters, gets as many ``_`` as it needs."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def parts_of(spark: SparkSession) -> int:
     """Number of partitions for a keyed repartition, as the session sets it for shuffles."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

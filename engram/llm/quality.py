@@ -43,9 +43,7 @@ _LOWER, _UPPER, _DIGIT = re.compile(r"[^\W\d_A-Z]+"), re.compile(r"[A-Z]+"), re.
 @lru_cache(maxsize=100_000)
 def word_hashes(word: str) -> tuple[int, int]:
     """32-bit hashes of a word and of its shape."""
-    shape = word if len(word) < 40 else word[:20] + word[-20:]
-    if shape.isupper():
-        shape = re.sub(r"[^\W\d_]+", "A", shape)
+    shape = re.sub(r"[^\W\d_]+", "A", word) if word.isupper() else word
     shape = _LOWER.sub("a", _UPPER.sub("A", _DIGIT.sub("0", shape)))
     return zlib.crc32(word.encode()), zlib.crc32(b"shape " + shape.encode())
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from .decontaminate import OP7_SQL, op7_decontamination, op7_proximity
 from .embed_dup import op6_embedding_dup
-from .line_dedup import OP4_SQL, op4_line_dedup, op4_line_dedup_whole
+from .line_dedup import OP4_SQL, OP4_WHOLE_SQL, op4_line_dedup, op4_line_dedup_whole
 from .near_dup import op2_near_dup
 from .packing import op5_packing
 from .quality import op8_quality
@@ -33,4 +33,4 @@ def queries():
 
 
 def oracle_sql():
-    return {"op1_substring_dedup": OP1_SQL, "op2_near_dup": OP2_SQL, "op6_embedding_dup": OP6_SQL, "op4_line_dedup": OP4_SQL, "op7_decontamination": OP7_SQL, "op9_url_filter": OP9_SQL, "op10_warc": OP10_SQL}
+    return {"op1_substring_dedup": OP1_SQL, "op2_near_dup": OP2_SQL, "op6_embedding_dup": OP6_SQL, "op4_line_dedup": OP4_SQL, "op4_line_dedup_whole": OP4_WHOLE_SQL, "op7_decontamination": OP7_SQL, "op9_url_filter": OP9_SQL, "op10_warc": OP10_SQL}

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import parts_of, slices, staged
+from .common import fresh, parts_of, slices, staged
 from .near_dup import finish
 
 LENGTH = 50
@@ -266,39 +266,46 @@ def removed_spans(docs: DataFrame) -> DataFrame:
     return staged(found.groupBy("doc_id", "crc").agg(F.collect_list("data").alias("data")), "spans")
 
 
+def added(columns: list[str]) -> list[str]:
+    """Names of the columns that ``dedup_substrings`` adds to ``columns``: kept, n_bytes, n_removed, n_spans, where they are free."""
+    return fresh(columns, "kept", "n_bytes", "n_removed", "n_spans")
+
+
 def dedup_substrings(docs: DataFrame, as_text: bool = False) -> DataFrame:
-    """``docs`` with _kept, _n_bytes, _n_removed and _n_spans added.
+    """``docs`` with kept, n_bytes, n_removed and n_spans added, under the names of ``added``.
 
-    _kept is the remaining bytes, or with ``as_text`` a string of them, without what is left of a character cut through.
+    kept is the remaining bytes, or with ``as_text`` a string of them, without what is left of a character cut through.
     """
-    names = docs.columns
+    names, new = docs.columns, added(docs.columns)
+    crcs, spans = fresh([*names, *new], "crcs", "spans")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             kept, counts = [], []
-            for t, cs, ds in zip(*(batch[c].to_pylist() for c in ("text", "_c", "_s")), strict=True):
+            for t, cs, ds in zip(*(batch[c].to_pylist() for c in ("text", crcs, spans)), strict=True):
                 raw = (t or "").encode()
                 own = [np.frombuffer(x, "<i8").reshape(-1, 2) for c, d in zip(cs or (), ds or (), strict=True) if c == zlib.crc32(raw) for x in d]
-                spans = united(np.concatenate(own)) if own else np.zeros((0, 2), np.int64)
+                gone = united(np.concatenate(own)) if own else np.zeros((0, 2), np.int64)
                 parts, at = [], 0
-                for a, b in spans.tolist():
+                for a, b in gone.tolist():
                     parts.append(raw[at:a])
                     at = b
                 left = b"".join([*parts, raw[at:]])
                 kept.append(left.decode("utf-8", "ignore") if as_text else left)
-                counts.append((len(raw), int((spans[:, 1] - spans[:, 0]).sum()), len(spans)))
+                counts.append((len(raw), int((gone[:, 1] - gone[:, 0]).sum()), len(gone)))
             numbers = np.array(counts, np.int64).reshape(-1, 3)
-            yield pa.RecordBatch.from_arrays([*(batch[c] for c in names), pa.array(kept, pa.string() if as_text else pa.binary()), *map(pa.array, numbers.T)], [*names, "_kept", "_n_bytes", "_n_removed", "_n_spans"])
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in names), pa.array(kept, pa.string() if as_text else pa.binary()), *map(pa.array, numbers.T)], [*names, *new])
 
-    by_doc = removed_spans(docs).groupBy(F.col("doc_id").alias("_d")).agg(F.collect_list("crc").alias("_c"), F.collect_list("data").alias("_s"))
-    both = docs.join(by_doc, F.col("doc_id") == F.col("_d"), "left").select(*(f"`{c}`" for c in names), "_c", "_s")
+    by_doc = removed_spans(docs).groupBy("doc_id").agg(F.collect_list("crc").alias("c"), F.collect_list("data").alias("s"))
+    by_doc = by_doc.select(F.col("doc_id").alias("found_for"), "c", "s").alias("by_doc")
+    both = docs.alias("docs").join(by_doc, F.col("docs.doc_id") == F.col("by_doc.found_for"), "left")
+    both = both.select(*(F.col(f"docs.`{c}`") for c in names), F.col("by_doc.c").alias(crcs), F.col("by_doc.s").alias(spans))
     schema = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes)
-    return both.mapInArrow(cut, f"{schema}, _kept {'string' if as_text else 'binary'}, _n_bytes long, _n_removed long, _n_spans long")
+    kinds = ("string" if as_text else "binary", "long", "long", "long")
+    return both.mapInArrow(cut, ", ".join([schema, *(f"`{c}` {t}" for c, t in zip(new, kinds, strict=True))]))
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The contract's query over ``documents``."""
     out = dedup_substrings(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
-    return out.select("doc_id", F.col("_n_bytes").alias("n_bytes"), F.col("_n_removed").alias("n_removed"), F.col("_n_spans").alias("n_spans"), F.sha2("_kept", 256).alias("kept_sha256"))
-
-
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 import zlib
 
 import numpy as np
@@ -49,7 +50,7 @@ def none(spark):
 def test_substring_dedup(spark, docs, none):
     want = brute.substring_dedup(odd_docs())
     got = substring_dedup.dedup_substrings(docs).collect()
-    assert {r.doc_id: (r._n_bytes, r._n_removed, r._n_spans, hashlib.sha256(r._kept).hexdigest()) for r in got} == want
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(r.kept).hexdigest()) for r in got} == want
     assert got[0].key == "k" and substring_dedup.dedup_substrings(none).count() == 0
     again = docs.unionByName(docs.where("doc_id = 9")).unionByName(docs.limit(1).withColumn("doc_id", F.lit(None).cast("long")))
     assert substring_dedup.dedup_substrings(again).count() == docs.count() + 2
@@ -59,7 +60,7 @@ def test_substring_dedup_of_hot_buckets(spark, docs, monkeypatch):
     monkeypatch.setattr(substring_dedup, "HOT", 2)
     want = brute.substring_dedup(odd_docs())
     got = substring_dedup.dedup_substrings(docs).collect()
-    assert {r.doc_id: (r._n_bytes, r._n_removed, r._n_spans) for r in got} == {k: v[:3] for k, v in want.items()}
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans) for r in got} == {k: v[:3] for k, v in want.items()}
 
 
 @pytest.mark.parametrize("size", [2, 5])
@@ -104,23 +105,75 @@ def test_proximity(spark):
     assert {r.doc_id for r in decontaminate.proximity_matches(indexed, ranked).collect()} == {1}
 
 
-def test_lines(docs, none):
-    seen, want = set(), {}
-    for i, text in odd_docs():
+def lines_left(docs, cut):
+    """{doc_id: text} by one pass in order; ``cut`` gives a text's units."""
+    seen, out = set(), {}
+    for i, text in docs:
         kept = []
-        for part in (text or "").split("\n"):
-            normal = " ".join(part.translate(brute.LOWER).split())
-            gone = len(normal) >= 20 and normal in seen
+        for part in cut(text) if text is not None else ():
+            normal = " ".join(part.translate(brute.LOWER).split(" "))
+            normal = re.sub(r"[ \t\r\n\f\v]+", " ", normal).strip(" ")
+            gone = normal != "" and normal in seen
             seen.add(normal)
-            kept.append("" if gone else part + "\n")
-        want[i] = None if text is None else "".join(kept)
-    got = {r.doc_id: r.text for r in line_dedup.dedup_units(docs).collect()}
-    assert got.keys() == want.keys()
-    for i, t in want.items():
-        # the last unit has no break of its own
-        assert (got[i] is None) == (t is None) and (t is None or got[i] in (t, t[:-1])), i
-    assert line_dedup.dedup_units(none).count() == 0
-    assert line_dedup.dedup_units(docs, unit="paragraph").count() == len(odd_docs())
+            kept += [] if gone else [part]
+        out[i] = None if text is None else "".join(kept)
+    return out
+
+
+PIECES = re.compile(r"\n|(?:(?<=[.!?,;:\n])|(?<![\s\S])|(?<=[ \t]))[^.!?,;:\n]{29,}[.!?,;:][ \t]++(?=[^\n]{30})")
+
+
+def pieces(text):
+    at, out = 0, []
+    for m in PIECES.finditer(text):
+        out.append(text[at : m.end()])
+        at = m.end()
+    return [*out, text[at:]]
+
+
+def test_lines(docs, none):
+    r = random.Random(3)
+    passage = "; ".join(" ".join(f"p{r.randrange(300)}" for _ in range(12)) for _ in range(6))
+    extra = [(1000 + k, " ".join(f"w{r.randrange(400)}" for _ in range(40)) + ". " + passage + ". " + " ".join(f"v{r.randrange(400)}" for _ in range(40)) + ", end.") for k in range(5)]
+    rows = odd_docs() + extra
+    both = docs.unionByName(docs.sparkSession.createDataFrame([(i, t, "en", "s", 1, 2, "k") for i, t in extra], SCHEMA))
+    for unit, cut in (("piece", pieces), ("line", lambda t: re.findall(r"[^\n]*\n|[^\n]+", t)), ("paragraph", lambda t: re.split(r"(?<=\n)(?=[^\n])", t))):
+        found = line_dedup.dedup_units(both, unit=unit).collect()
+        got = {r.doc_id: r.text for r in found}
+        if unit != "paragraph":
+            assert got == lines_left(rows, cut)
+        assert all(r._h == 2 and r.key == "k" for r in found) and len(found) == len(rows)
+        assert line_dedup.dedup_units(none, unit=unit).count() == 0
+    cut = {r.doc_id: r.spans for r in line_dedup.dedup_units(both).collect()}
+    for i, text in extra[1:]:  # all of the passage but its first and last piece
+        at = text.index(passage)
+        gone = sum(min(s.end, at + len(passage)) - max(s.start, at) for s in cut[i] if s.end > at and s.start < at + len(passage))
+        assert gone > 0.6 * len(passage)
+
+
+def test_paragraphs(spark):
+    rows = [(2, "One two\n\nThree\nfour\n \n\nFive"), (1, "three  four\n\nsix"), (3, "five\n\n\n"), (None, "SIX"), (None, "SIX"), (3, "Five")]
+    got = sorted((str(r.doc_id), r.text) for r in line_dedup.dedup_units(spark.createDataFrame(rows, "doc_id long, text string"), "paragraph").collect())
+    assert got[:3] == [("1", "three  four\n\nsix"), ("2", "One two\n\nFive"), ("3", got[2][1])] and got[4:] == [("None", ""), ("None", "")]
+    assert sorted(t for i, t in got[2:4]) == ["", ""]
+
+
+CLASHES = ["_h", "_d", "_x", "_c", "_s", "_o", "y", "spans", "gone", "row", "h", "d", "x", "kept", "n_removed", "_kept", "_n_removed", "score", "_score", "codes", "key", "rep", "cluster", "keys", "text_hash"]
+
+
+def with_clashes(docs):
+    return docs.select("doc_id", "text", *(F.lit(f"own {c}").alias(c) for c in CLASHES))
+
+
+def test_clashing_columns(docs):
+    odd = with_clashes(docs)
+    plain = {r.doc_id: r for r in line_dedup.dedup_units(docs.select("doc_id", "text")).collect()}
+    for r in line_dedup.dedup_units(odd).collect():
+        assert all(r[c] == f"own {c}" for c in CLASHES) and (r.text, r["spans_"]) == (plain[r.doc_id].text, plain[r.doc_id].spans)
+    kept, *_ = substring_dedup.added(odd.columns)
+    plain = {r.doc_id: r.kept for r in substring_dedup.dedup_substrings(docs.select("doc_id", "text")).collect()}
+    for r in substring_dedup.dedup_substrings(odd).collect():
+        assert all(r[c] == f"own {c}" for c in CLASHES) and r[kept] == plain[r.doc_id]
 
 
 def tokenizer(name):
