@@ -17,12 +17,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from engram.llm.common import new_folder, staged, written
+from engram.llm.common import fresh, new_folder, staged, written
 from engram.llm.decontaminate import contamination
 from engram.llm.near_dup import near_duplicates
 from engram.llm.packing import pack_documents
 from engram.llm.quality import scored, train_on
-from engram.llm.substring_dedup import dedup_substrings
+from engram.llm.substring_dedup import added, dedup_substrings
 from engram.session import ship
 
 #: A document stays if its chance of being good is at least this.
@@ -32,8 +32,9 @@ LEAST_SCORE = 0.3
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 8."""
     weights = train_on(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    out = scored(docs, weights, keep=tuple(docs.columns), score="_score")
-    return out.where(F.col("_score") >= LEAST_SCORE).select(*(f"`{c}`" for c in docs.columns))
+    (score,) = fresh(docs.columns, "score")
+    out = scored(docs, weights, keep=tuple(docs.columns), score=score)
+    return out.where(F.col(score) >= LEAST_SCORE).select(*(f"`{c}`" for c in docs.columns))
 
 
 def _keep(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -49,11 +50,12 @@ def near_dup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 1.  A cut through a character drops what is left of it; n_chars follows the text."""
     cut = dedup_substrings(docs, as_text=True)
-    text = F.when(F.col("_n_removed") == 0, F.col("text")).otherwise(F.col("_kept"))
+    kept, _, n_removed, _ = added(docs.columns)
+    text = F.when(F.col(n_removed) == 0, F.col("text")).otherwise(F.col(kept))
     changed = {"text": text.alias("text")}
     if "n_chars" in docs.columns:
         kind = dict(docs.dtypes)["n_chars"]
-        changed["n_chars"] = F.when(F.col("_n_removed") == 0, F.col("n_chars")).otherwise(F.length(text)).cast(kind).alias("n_chars")
+        changed["n_chars"] = F.when(F.col(n_removed) == 0, F.col("n_chars")).otherwise(F.length(text)).cast(kind).alias("n_chars")
     return cut.select(*(changed.get(c, F.col(f"`{c}`")) for c in docs.columns))
 
 
