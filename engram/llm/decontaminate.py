@@ -1,30 +1,35 @@
 """Operator 7: benchmark decontamination with a distributed positional inverted index.
 
-Test items are cut into windows of ``width`` consecutive words.  A first pass
-counts the test terms in the training documents.  For phrases, each window is entered
-under its rarest term; a window with a term that no document has is dropped.  For
-proximity, a window of d different terms of which m must be met is entered under
-those of its d - m + 1 rarest that any document has: at most d - m are missing
-where it matches, so one of these is there.
-The second pass writes the index: for every occurrence of such a term a posting
-of (term, document, position) with the terms at up to ``width - 1`` places on
-either side.  Matching is one join on the term; the lists of a window's other
-terms are intersected, shifted by their offsets, in the neighbourhood that the
-posting carries.  An equal run is an exact phrase match; at least ``share`` of a window's
-different terms in another order, with others between or some of them changed, is a
-proximity match, one for each place of a term that the window is entered under.  Every
-stretch of ``width`` words with that many of the terms has such a place.
-``contaminated`` goes by phrases alone.
-
-Only postings of test terms leave a task: both passes filter by a bitmap of
-``BITS`` bits, which is broadcast with that fixed size and whose false hits the
-join drops.  A term that a third of all documents share stands in rows of its
-own, which an adaptive join may split.  Terms are 64-bit hashes of words; a
-window matches if all its hashes do.
+The index holds the postings of every training term: a row for each term and
+block of documents with the places where it stands.  A block is a slice of about
+``BLOCK_BYTES`` of text, so the list of a word that all documents use stands in as
+many rows as there are blocks, none longer than a block.  A place is the document's
+number in its block times 2^32 plus the word's number in the document: neighbours
+differ by one, and no run of places crosses documents.  Building it is one pass
+over the texts without a shuffle; any benchmark can be looked up in it afterwards.
+
+Test items are cut into windows of ``width`` consecutive words.  The index counts
+the test terms, and each window's terms are taken from the rarest on.
+
+*Phrases*: the list of the rarest term, shifted back by its offset, gives the
+candidate starts; they are intersected with the list of the second rarest term,
+shifted by its own, and what is left with those of all others.  A window with a
+term that no document has is dropped.
+
+*Proximity*: of a window's d different terms m must be met within ``width`` - 1
+places of one of them.  Its d - m + 1 rarest include one that is there, and its
+d - m + 2 rarest two: places of the former with another of the latter nearby are
+candidates, whose neighbourhood is then sought for all terms.  A place of a term that
+the window is entered under is a proximity match if m different terms are met and
+the window doesn't stand there word for word.  ``contaminated`` goes by phrases alone.
+
+Lists meet candidates in equi-joins on (term, block), which an adaptive join may
+split; a side is broadcast only if it has few rows (``small_side``).  Terms are
+64-bit hashes of words; a window matches if all its hashes do.
 
 Null and empty texts have no words.  An item without words has no window.
-Rows with equal doc_id and text get equal results; rows that share a doc_id but
-not the text are told apart; a null doc_id is kept.  Equal windows of several
+Repeated rows, rows that share a doc_id and rows without one are documents of
+their own with a row each in the result.  Equal windows of several
 items count for each of them; null item_ids are left out.  Empty tables give no
 hits.  Other columns are ignored.
 """
@@ -32,21 +37,22 @@ hits.  Other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, staged
+from .common import slices, small_side, staged
 
 WIDTH = 10
 #: Part of a window's different terms that a proximity match has.
 SHARE = 0.8
-#: Size of the bitmap of test terms.
-BITS = 1 << 22
+BLOCK_BYTES = 1 << 20
 #: What stands between words, before lower-casing.
 BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
@@ -65,19 +71,7 @@ def words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return hashes[codes[real]], np.concatenate([[0], np.cumsum(real)])[bounds]
 
 
-def bit(terms: np.ndarray) -> np.ndarray:
-    return (terms.view(np.uint64) >> np.uint64(20)) % np.uint64(BITS)
-
-
-def bitmap(terms: DataFrame, column: str) -> np.ndarray:
-    """Marks of the terms in ``column``; what comes to the driver is at most BITS numbers."""
-    place = F.shiftrightunsigned(column, 20).bitwiseAND(BITS - 1).cast("int")
-    marks = np.zeros(BITS, bool)
-    marks[terms.select(place.alias("p")).distinct().toPandas()["p"].to_numpy(np.int64)] = True
-    return marks
-
-
-def test_windows(benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
+def windows_of(benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
     """terms (array of hashes) and items (sorted distinct item_ids) of each different window."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -94,119 +88,133 @@ def test_windows(benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
     return cuts.groupBy("terms").agg(F.array_sort(F.collect_set("item_id")).alias("items"))
 
 
-def term_counts(docs: DataFrame, marks: np.ndarray) -> DataFrame:
-    """term, n: occurrences over all documents of the terms that the bitmap lets through."""
-    shared = docs.sparkSession.sparkContext.broadcast(marks)
+class Index(NamedTuple):
+    """``postings``: term, block, n, places; ``documents``: doc_id, block, doc (its number there), n_words."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
-            found, _ = words(batch["text"])
-            terms, n = np.unique(found[shared.value[bit(found)]], return_counts=True)
-            yield pa.RecordBatch.from_pydict({"term": pa.array(terms), "n": pa.array(n, pa.int64())})
+    postings: DataFrame
+    documents: DataFrame
 
-    return docs.select("text").mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
 
+def build_index(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> Index:
+    """The written index of ``docs`` (doc_id, text)."""
+    schema = f"block long, doc int, doc_id {dict(docs.dtypes)['doc_id']}, n_words long, term long, n int, places array<long>"
 
-def needed(share: float):
-    """How many of a window's different terms are ``share`` of them, rounded up."""
-    return F.ceil(F.lit(share) * F.size(F.array_distinct("terms")) - 1e-9).cast("int")
+    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = TaskContext.get().partitionId() << 32
+        for batch in slices(batches, "text", block_bytes):
+            found, bounds = words(batch["text"])
+            n = np.diff(bounds)
+            place = np.arange(len(found)) + np.repeat((np.arange(len(n)) << 32) - bounds[:-1], n)
+            order = np.argsort(found, kind="stable")
+            terms = found[order]
+            first = np.flatnonzero(np.append(True, terms[1:] != terms[:-1])) if len(terms) else np.zeros(0, np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(terms)), pa.int32()), pa.array(place[order]))
+            none = lambda kind, rows: pa.nulls(rows, kind)
+            names = ["block", "doc", "doc_id", "n_words", "term", "n", "places"]
+            kind, rows = batch.schema.field("doc_id").type, len(first)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), block)), pa.array(np.arange(len(n), dtype=np.int32)), batch["doc_id"], pa.array(n), none(pa.int64(), len(n)), none(pa.int32(), len(n)), none(lists.type, len(n))], names)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(rows, block)), none(pa.int32(), rows), none(kind, rows), none(pa.int64(), rows), pa.array(terms[first]), pa.array(np.diff(np.append(first, len(terms))).astype(np.int32)), lists], names)
+            block += 1
+
+    both = staged(docs.select("doc_id", "text").mapInArrow(post, schema), "index")
+    return Index(both.where("term is not null").select("term", "block", "n", "places"), both.where("doc is not null").select("doc_id", "block", "doc", "n_words"))
+
+
+def ranked_windows(windows: DataFrame, index: Index) -> DataFrame:
+    """w (the window's number), items, terms, and its terms from the rarest on as (n, at, term): ``pairs`` with
+    every place in the window, ``different`` with the first place of each.  Written."""
+    numbered = staged(windows.withColumn("w", F.monotonically_increasing_id()), "windows")
+    each = numbered.select("w", F.posexplode("terms").alias("at", "term"))
+    sought = staged(each.select("term").distinct(), "test-terms")
+    counts = index.postings.join(small_side(sought), "term").groupBy("term").agg(F.sum("n").alias("n"))
+    rank = F.struct(F.coalesce("n", F.lit(0)).alias("n"), "at", "term")
+    counted = each.join(counts, "term", "left")
+    pairs = counted.groupBy("w").agg(F.array_sort(F.collect_list(rank)).alias("pairs"))
+    first = counted.groupBy("w", "term").agg(F.min(rank).alias("r")).groupBy("w").agg(F.array_sort(F.collect_list("r")).alias("different"))
+    return staged(numbered.join(pairs, "w").join(first, "w"), "ranked")
+
+
+def _entries(ranked: DataFrame, chosen) -> DataFrame:
+    """w, term, at of the chosen (n, at, term) of each window; written, as few rows may be broadcast."""
+    return staged(ranked.select("w", F.explode(chosen).alias("e")).select("w", "e.term", "e.at"), "entries")
+
+
+def _probed(index: Index, probes: DataFrame, met) -> DataFrame:
+    """``probes`` (term, block and more) whose list fulfils ``met``."""
+    return index.postings.select("term", "block", "places").join(probes, ["term", "block"]).where(met).drop("places")
+
+
+def phrase_matches(index: Index, ranked: DataFrame) -> DataFrame:
+    """w, block, start, size of each place where a window stands word for word."""
+    known = ranked.where(F.col("pairs")[0]["n"] > 0).withColumn("size", F.size("pairs"))
+    sizes = known.select("w", "size")
+    stands = F.array_contains("places", F.col("start") + F.col("at"))
+    rarest = small_side(_entries(known, F.slice("pairs", 1, 1)).join(sizes, "w"))
+    found = index.postings.join(rarest, "term").select("w", "size", "block", F.explode("places").alias("place"), "at").select("w", "size", "block", (F.col("place") - F.col("at")).alias("start"))
+    second = small_side(_entries(known, F.slice("pairs", 2, 1)))
+    two = staged(_probed(index, found.where("size > 1").join(second, "w"), stands).select("w", "size", "block", "start"), "candidates")
+    rest = small_side(_entries(known, F.slice("pairs", F.lit(3), F.greatest(F.size("pairs") - 2, F.lit(0)))))
+    probes = small_side(staged(two.where("size > 2").join(rest, "w").select("term", "block", "w", "size", "start", "at"), "probes"))
+    whole = _probed(index, probes, stands).groupBy("w", "size", "block", "start").agg(F.count("*").alias("met")).where("met = size - 2").drop("met")
+    return found.where("size = 1").unionByName(two.where("size = 2")).unionByName(whole).select("w", "block", "start", "size")
 
 
-def ranked_windows(windows: DataFrame, counts: DataFrame, share: float | None = SHARE) -> DataFrame:
-    """terms, items, term (to look up), at (its first place in the window), near: one row for phrases, under the rarest
-    term, if documents have all terms; with ``share``, rows for proximity (``near``) under the rarest terms."""
-    each = windows.select("terms", F.posexplode("terms").alias("at", "term")).groupBy("terms", "term").agg(F.min("at").alias("at"))
-    by = each.join(counts, "term", "left").groupBy("terms").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "at", "term"))).alias("by"))
-    entered = F.when(F.col("by")[0]["n"] > 0, F.array(F.struct(F.lit(False).alias("near"), F.col("by")[0].alias("e")))).otherwise(F.array())
+def needed(share: float):
+    """How many of a window's different terms are ``share`` of them, rounded up."""
+    return F.ceil(F.lit(share) * F.size("different") - 1e-9).cast("int")
+
+
+def entered(share: float):
+    """The (n, at, term) a window is entered under for proximity: its rarest, one of which is there wherever it matches."""
+    return F.filter(F.slice("different", F.lit(1), F.size("different") - needed(share) + 1), lambda e: e["n"] > 0)
+
+
+def proximity_matches(index: Index, ranked: DataFrame, phrases: DataFrame, share: float = SHARE, width: int = WIDTH) -> DataFrame:
+    """w, block, place, found: places of a term that a window is entered under with at least ``share`` of the window's
+    different terms around them, but not the phrase (``phrases``, of the same windows)."""
+    near = lambda p: F.abs(p - F.col("place")) < width
+    sizes = ranked.select("w", needed(share).alias("m"))
+    seeds = small_side(_entries(ranked, entered(share)).join(sizes, "w"))
+    found = index.postings.join(seeds, "term").select("w", "m", "block", F.col("term").alias("own"), F.explode("places").alias("place"))
+    rarest = F.filter(F.slice("different", F.lit(1), F.size("different") - needed(share) + 2), lambda e: e["n"] > 0)
+    others = found.where("m > 1").join(small_side(_entries(ranked, rarest)), "w").where("term <> own").select("term", "block", "w", "m", "own", "place")
+    two = staged(_probed(index, others, F.exists("places", near)).select("w", "m", "block", "own", "place").distinct(), "near-candidates")
+    rest = two.join(small_side(_entries(ranked, F.filter("different", lambda e: e["n"] > 0))), "w").where("term <> own").select("term", "block", "w", "m", "place")
+    met = _probed(index, small_side(staged(rest, "near-probes")), F.exists("places", near)).groupBy("w", "m", "block", "place").agg((F.count("*") + 1).alias("found")).where("found >= m")
+    every = met.select("w", "block", "place", "found").unionByName(found.where("m <= 1").select("w", "block", "place", F.lit(1).cast("long").alias("found")))
+    over = F.explode(F.transform(F.sequence(F.lit(0), F.col("size") - 1), lambda k: F.col("start") + k))
+    return every.join(phrases.select("w", "block", over.alias("place")), ["w", "block", "place"], "left_anti")
+
+
+def _doc(place: str):
+    return F.shiftright(place, 32).cast("int").alias("doc")
+
+
+def _items(matches: DataFrame, ranked: DataFrame, name: str) -> DataFrame:
+    """block, doc and the sorted item_ids (as strings) of the windows matched."""
+    each = matches.select("block", "doc", "w").distinct().join(ranked.select("w", F.explode("items").alias("item")), "w")
+    return each.groupBy("block", "doc").agg(F.array_sort(F.collect_set(F.col("item").cast("string"))).alias(name))
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, share: float | None = None, index: Index | None = None) -> DataFrame:
+    """One row a document: doc_id, n_words, n_hit, n_items, items, contaminated; with ``share`` also n_near (places of
+    proximity matches), n_near_items and near_items.  An ``index`` made before saves building it from ``docs``."""
+    index = index or build_index(docs)
+    ranked = ranked_windows(windows_of(benchmark, width), index)
+    matches = staged(phrase_matches(index, ranked), "matches").withColumn("doc", _doc("start"))
+    spans = F.array_sort(F.collect_set(F.struct("start", (F.col("start") + F.col("size")).alias("end"))))
+    nothing = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("reach"))
+    more = lambda a, s: F.struct((a["n"] + F.greatest(F.lit(0).cast("long"), s["end"] - F.greatest(s["start"], a["reach"]))).alias("n"), F.greatest(a["reach"], s["end"]).alias("reach"))
+    hits = matches.groupBy("block", "doc").agg(F.aggregate(spans, nothing, more)["n"].alias("n_hit"))
+    none = F.array().cast("array<string>")
+    found = index.documents.join(hits, ["block", "doc"], "left").join(_items(matches, ranked, "items"), ["block", "doc"], "left")
+    columns = ["doc_id", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"), F.coalesce("items", none).alias("items"), F.col("n_hit").isNotNull().alias("contaminated")]
     if share is not None:
-        rarest = F.filter(F.slice("by", F.lit(1), F.size("by") - needed(share) + 1), lambda e: e["n"] > 0)
-        entered = F.concat(entered, F.transform(rarest, lambda e: F.struct(F.lit(True).alias("near"), e.alias("e"))))
-    rows = windows.join(by, "terms").select("terms", "items", F.explode(entered).alias("w"))
-    return rows.select("terms", "items", "w.e.term", "w.e.at", "w.near")
-
-
-def index(docs: DataFrame, marks: np.ndarray, width: int = WIDTH) -> DataFrame:
-    """doc_id, text_hash, n_words and the postings (term, pos, near) of a document's terms in the bitmap."""
-    shared = docs.sparkSession.sparkContext.broadcast(marks)
-    side = width - 1
-
-    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
-            found, bounds = words(batch["text"])
-            at = np.flatnonzero(shared.value[bit(found)])
-            doc = np.searchsorted(bounds, at, "right") - 1
-            spread = at[:, None] + np.arange(-side, side + 1)
-            inside = (spread >= bounds[doc][:, None]) & (spread < bounds[doc + 1][:, None])
-            near = np.where(inside, found[np.clip(spread, 0, max(len(found) - 1, 0))] if len(found) else 0, 0)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1) * (2 * side + 1), pa.int32()), pa.array(near.reshape(-1), pa.int64()))
-            rows = pa.StructArray.from_arrays([pa.array(found[at]), pa.array((at - bounds[doc]).astype(np.int32)), lists], ["term", "pos", "near"])
-            held = pa.ListArray.from_arrays(pa.array(np.searchsorted(doc, np.arange(len(bounds))), pa.int32()), rows)
-            hashes = [xxhash.xxh64_intdigest(t or "") - (1 << 63) for t in batch["text"].to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(hashes, pa.int64()), pa.array(np.diff(bounds)), held], ["doc_id", "text_hash", "n_words", "postings"])
-
-    kind = dict(docs.dtypes)["doc_id"]
-    schema = f"doc_id {kind}, text_hash long, n_words long, postings array<struct<term:long,pos:int,near:array<long>>>"
-    return docs.select("doc_id", "text").mapInArrow(post, schema)
-
-
-def phrase_matches(indexed: DataFrame, ranked: DataFrame, width: int = WIDTH) -> DataFrame:
-    """doc_id, text_hash, start, length, items of each place where a window stands word for word."""
-    joined = _joined(indexed, ranked.where("not near").drop("near"))
-    return joined.where(F.slice("near", F.lit(width) - F.col("at"), F.size("terms")) == F.col("terms")).select("doc_id", "text_hash", (F.col("pos") - F.col("at")).alias("start"), F.size("terms").alias("length"), "items")
-
-
-def proximity_matches(indexed: DataFrame, ranked: DataFrame, share: float = SHARE, width: int = WIDTH) -> DataFrame:
-    """doc_id, text_hash, pos, items, found: places of a term that a window is entered under with at least ``share`` of the
-    window's different terms around them, but not the phrase.  ``ranked`` is for the same share or a smaller one."""
-    found = F.size(F.array_intersect("terms", "near"))
-    size = F.size("terms")
-    places = F.filter(F.sequence(F.lit(0), size - 1), lambda at: F.get("terms", at) == F.col("term"))
-    phrase = F.exists(places, lambda at: F.slice("near", F.lit(width) - at, size) == F.col("terms"))
-    near = _joined(indexed, ranked.where("near").drop("near")).where(found >= needed(share)).where(~phrase)
-    return near.select("doc_id", "text_hash", "pos", "items", found.alias("found"))
-
-
-def _joined(indexed: DataFrame, ranked: DataFrame) -> DataFrame:
-    return indexed.select("doc_id", "text_hash", F.explode("postings").alias("p")).select("doc_id", "text_hash", "p.*").join(ranked, "term")
-
-
-def build(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, share: float | None = SHARE) -> tuple[DataFrame, DataFrame]:
-    """The written index and the ranked windows to look up in it; without ``share`` for phrases only."""
-    windows = staged(test_windows(benchmark, width), "windows")
-    counts = term_counts(docs, bitmap(windows.select(F.explode("terms").alias("t")), "t"))
-    ranked = staged(ranked_windows(windows, counts, share), "ranked")
-    return staged(index(docs, bitmap(ranked, "term"), width), "postings"), ranked
-
-
-def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, share: float | None = None) -> DataFrame:
-    """One row a document: doc_id, text_hash, n_words, n_hit, n_items, items, contaminated; with ``share`` also
-    n_near (places of proximity matches), n_near_items and near_items."""
-    indexed, ranked = build(docs, benchmark, width, share)
-    matches = phrase_matches(indexed, ranked, width)
-    hit = F.size(F.array_distinct(F.flatten(F.transform(F.collect_set(F.struct("start", "length")), lambda m: F.sequence(m["start"], m["start"] + m["length"] - 1)))))
-    found = matches.groupBy("doc_id", "text_hash").agg(hit.cast("long").alias("n_hit"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"))
-    both = _with(indexed.select("doc_id", "text_hash", "n_words"), found)
-    n_hit, items = _count("n_hit"), _names("items")
-    out = both.select("doc_id", "text_hash", "n_words", n_hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"), items.alias("items"), (n_hit > 0).alias("contaminated"))
-    if share is None:
-        return out
-    close = proximity_matches(indexed, ranked, share, width).groupBy("doc_id", "text_hash").agg(F.size(F.collect_set("pos")).cast("long").alias("n_near"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("near_items"))
-    near_items = _names("near_items")
-    return _with(out, close).select(*out.columns, _count("n_near").alias("n_near"), F.size(near_items).cast("long").alias("n_near_items"), near_items.alias("near_items"))
-
-
-def _with(rows: DataFrame, found: DataFrame) -> DataFrame:
-    """``rows`` with the columns of ``found`` for the same document."""
-    f = found.withColumnsRenamed({"doc_id": "_d", "text_hash": "_x"})
-    return rows.join(f, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("text_hash") == F.col("_x")), "left").drop("_d", "_x")
-
-
-def _count(column: str):
-    return F.coalesce(column, F.lit(0).cast("long"))
-
-
-def _names(column: str):
-    return F.coalesce(F.array_sort(F.transform(column, lambda x: x.cast("string"))), F.array().cast("array<string>"))
+        close = staged(proximity_matches(index, ranked, matches, share, width), "near-matches").withColumn("doc", _doc("place"))
+        near = close.groupBy("block", "doc").agg(F.count_distinct("place").alias("n_near"))
+        found = found.join(near, ["block", "doc"], "left").join(_items(close, ranked, "near_items"), ["block", "doc"], "left")
+        columns += [F.coalesce("n_near", F.lit(0).cast("long")).alias("n_near"), F.coalesce(F.size("near_items"), F.lit(0)).cast("long").alias("n_near_items"), F.coalesce("near_items", none).alias("near_items")]
+    return found.select(*columns)
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -44,13 +44,16 @@ def test_proximity_against_brute_force(spark):
     rows = proximity_docs()
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     bench = spark.createDataFrame([(7, " ".join(WORDS)), (8, "a b a c"), (9, "a unheard b c d e f g h i")], "item_id long, text string")
-    indexed, ranked = decontaminate.build(docs, bench)
+    index = decontaminate.build_index(docs, block_bytes=300)  # several blocks
+    ranked = decontaminate.ranked_windows(decontaminate.windows_of(bench), index)
+    item_of = {r.w: r["items"][0] for r in ranked.collect()}
     entries = {}
-    for r in ranked.where("near").collect():
-        entries.setdefault(tuple(r["items"]), set()).add(r["term"])
+    for r in ranked.select("w", decontaminate.entered(0.8).alias("e")).collect():
+        entries[(item_of[r.w],)] = {e["term"] for e in r.e}
+    ids = {(r.block, r.doc): r.doc_id for r in index.documents.collect()}
     got = {}
-    for r in decontaminate.proximity_matches(indexed, ranked).collect():
-        got.setdefault((r["items"][0], r.doc_id), set()).add(r.pos)
+    for r in decontaminate.proximity_matches(index, ranked, decontaminate.phrase_matches(index, ranked)).collect():
+        got.setdefault((item_of[r.w], ids[r.block, r.place >> 32]), set()).add(r.place & 0xFFFFFFFF)
     term = lambda w: xxhash.xxh64_intdigest(w) - (1 << 64 if xxhash.xxh64_intdigest(w) >> 63 else 0)
     for item, window in ((7, WORDS), (8, "a b a c".split()), (9, "a unheard b c d e f g h i".split())):
         entered = {w for w in window if term(w) in entries.get((item,), set())}

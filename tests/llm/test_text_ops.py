@@ -97,12 +97,25 @@ def test_contamination(spark, docs, none):
     assert len(clean) == len(odd_docs()) and not any(r.contaminated for r in clean)
 
 
-def test_proximity(spark):
-    docs = spark.createDataFrame([(1, "b a c d e f g h i j"), (2, "a b c d e f g h i j"), (3, "a x")], "doc_id long, text string")
-    bench = spark.createDataFrame([(7, "a b c d e f g h i j")], "item_id long, text string")
-    indexed, ranked = decontaminate.build(docs, bench)
-    assert {r.doc_id for r in decontaminate.phrase_matches(indexed, ranked).collect()} == {2}
-    assert {r.doc_id for r in decontaminate.proximity_matches(indexed, ranked).collect()} == {1}
+def test_an_index_answers_any_benchmark(spark, docs):
+    """Built once; other items, other widths, and lists in many blocks."""
+    index = decontaminate.build_index(docs, block_bytes=2000)
+    assert index.documents.select("block").distinct().count() > 5
+    texts = dict(odd_docs())
+    other = [(k, " ".join((texts[i] or "").split()[a : a + n])) for k, (i, a, n) in enumerate([(3, 0, 60), (6, 5, 3), (9, 2, 1), (12, 30, 12), (300, 0, 9)])]
+    for rows, width in ((items(), 10), (other, 10), (other, 4), (items(), 1)):
+        bench = spark.createDataFrame(rows, "item_id long, text string")
+        got = {r.doc_id: (r.n_words, r.n_hit, r["items"]) for r in decontaminate.contamination(docs, bench, width, index=index).collect()}
+        assert got == brute.contamination(odd_docs(), rows, width)
+
+
+def test_contamination_of_odd_rows(spark):
+    """Null and repeated doc_ids, repeated rows and null item_ids: each row is judged by itself."""
+    phrase = "one two three four"
+    docs = spark.createDataFrame([(None, phrase), (None, phrase), (1, phrase), (1, "nothing here"), (2, None)], "doc_id long, text string")
+    bench = spark.createDataFrame([(None, phrase), (5, phrase), (5, phrase), (6, "two three")], "item_id long, text string")
+    got = sorted((str(r.doc_id), r.n_hit, r["items"]) for r in decontaminate.contamination(docs, bench).collect())
+    assert got == [("1", 0, []), ("1", 4, ["5", "6"]), ("2", 0, []), ("None", 4, ["5", "6"]), ("None", 4, ["5", "6"])]
 
 
 def lines_left(docs, cut):
