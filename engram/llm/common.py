@@ -37,13 +37,13 @@ def new_folder(spark: SparkSession, name: str) -> str:
 CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def written(df: DataFrame, path: str) -> DataFrame:
+def written(df: DataFrame, path: str, **options: str) -> DataFrame:
     """Write ``df`` and read it back.  The write's shuffle files go when it has ended, as nothing needs them then."""
     spark = df.sparkSession
     before = spark.conf.get(CLEAN, None)
     spark.conf.set(CLEAN, "true")
     try:
-        df.write.parquet(path)
+        df.write.options(**options).parquet(path)
     finally:
         if before is None:
             spark.conf.unset(CLEAN)
@@ -52,10 +52,10 @@ def written(df: DataFrame, path: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
+def staged(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: a later stage starts from the
     written table, so a lost executor costs no recomputation of what stands before it."""
-    return written(df, new_folder(df.sparkSession, name))
+    return written(df, new_folder(df.sparkSession, name), **options)
 
 
 def small_side(df: DataFrame, most_rows: int = 1 << 17) -> DataFrame:

@@ -3,9 +3,9 @@
 The index holds the postings of every training term: a row for each term and
 block of documents with the places where it stands.  A block is a slice of about
 ``BLOCK_BYTES`` of text, so the list of a word that all documents use stands in as
-many rows as there are blocks, none longer than a block.  A place is the document's
-number in its block times 2^32 plus the word's number in the document: neighbours
-differ by one, and no run of places crosses documents.  Building it is one pass
+many rows as there are blocks, none longer than a block.  Places number a block's
+words, with ``GAP`` left out after each document, so that no window crosses
+documents; the table of documents has each one's first place.  Building it is one pass
 over the texts without a shuffle; any benchmark can be looked up in it afterwards.
 
 Test items are cut into windows of ``width`` consecutive words.  The index counts
@@ -52,7 +52,11 @@ from .common import slices, small_side, staged
 WIDTH = 10
 #: Part of a window's different terms that a proximity match has.
 SHARE = 0.8
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 2 << 20
+#: Places between documents; windows are no wider.
+GAP = 1000
+#: Ascending numbers are written as differences.
+DELTAS = {"parquet.writer.version": "v2", "parquet.enable.dictionary": "false"}
 #: What stands between words, before lower-casing.
 BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
@@ -89,7 +93,7 @@ def windows_of(benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
 
 
 class Index(NamedTuple):
-    """``postings``: term, block, n, places; ``documents``: doc_id, block, doc (its number there), n_words."""
+    """``postings``: term, block, n, places; ``documents``: doc_id, block, doc (its number there), first (its first place), n_words."""
 
     postings: DataFrame
     documents: DataFrame
@@ -97,27 +101,28 @@ class Index(NamedTuple):
 
 def build_index(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> Index:
     """The written index of ``docs`` (doc_id, text)."""
-    schema = f"block long, doc int, doc_id {dict(docs.dtypes)['doc_id']}, n_words long, term long, n int, places array<long>"
+    schema = f"block long, doc int, doc_id {dict(docs.dtypes)['doc_id']}, first int, n_words long, term long, n int, places array<int>"
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = TaskContext.get().partitionId() << 32
         for batch in slices(batches, "text", block_bytes):
             found, bounds = words(batch["text"])
             n = np.diff(bounds)
-            place = np.arange(len(found)) + np.repeat((np.arange(len(n)) << 32) - bounds[:-1], n)
+            skipped = GAP * np.arange(len(n))
+            place = (np.arange(len(found)) + np.repeat(skipped, n)).astype(np.int32)
             order = np.argsort(found, kind="stable")
             terms = found[order]
-            first = np.flatnonzero(np.append(True, terms[1:] != terms[:-1])) if len(terms) else np.zeros(0, np.int64)
-            lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(terms)), pa.int32()), pa.array(place[order]))
+            begins = np.flatnonzero(np.append(True, terms[1:] != terms[:-1])) if len(terms) else np.zeros(0, np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(np.append(begins, len(terms)), pa.int32()), pa.array(place[order]))
             none = lambda kind, rows: pa.nulls(rows, kind)
-            names = ["block", "doc", "doc_id", "n_words", "term", "n", "places"]
-            kind, rows = batch.schema.field("doc_id").type, len(first)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), block)), pa.array(np.arange(len(n), dtype=np.int32)), batch["doc_id"], pa.array(n), none(pa.int64(), len(n)), none(pa.int32(), len(n)), none(lists.type, len(n))], names)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(rows, block)), none(pa.int32(), rows), none(kind, rows), none(pa.int64(), rows), pa.array(terms[first]), pa.array(np.diff(np.append(first, len(terms))).astype(np.int32)), lists], names)
+            names = ["block", "doc", "doc_id", "first", "n_words", "term", "n", "places"]
+            kind, rows = batch.schema.field("doc_id").type, len(begins)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), block)), pa.array(np.arange(len(n), dtype=np.int32)), batch["doc_id"], pa.array((bounds[:-1] + skipped).astype(np.int32)), pa.array(n), none(pa.int64(), len(n)), none(pa.int32(), len(n)), none(lists.type, len(n))], names)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(rows, block)), none(pa.int32(), rows), none(kind, rows), none(pa.int32(), rows), none(pa.int64(), rows), pa.array(terms[begins]), pa.array(np.diff(np.append(begins, len(terms))).astype(np.int32)), lists], names)
             block += 1
 
-    both = staged(docs.select("doc_id", "text").mapInArrow(post, schema), "index")
-    return Index(both.where("term is not null").select("term", "block", "n", "places"), both.where("doc is not null").select("doc_id", "block", "doc", "n_words"))
+    both = staged(docs.select("doc_id", "text").mapInArrow(post, schema), "index", **DELTAS)
+    return Index(both.where("term is not null").select("term", "block", "n", "places"), both.where("doc is not null").select("doc_id", "block", "doc", "first", "n_words"))
 
 
 def ranked_windows(windows: DataFrame, index: Index) -> DataFrame:
@@ -139,9 +144,10 @@ def _entries(ranked: DataFrame, chosen) -> DataFrame:
     return staged(ranked.select("w", F.explode(chosen).alias("e")).select("w", "e.term", "e.at"), "entries")
 
 
-def _probed(index: Index, probes: DataFrame, met) -> DataFrame:
-    """``probes`` (term, block and more) whose list fulfils ``met``."""
-    return index.postings.select("term", "block", "places").join(probes, ["term", "block"]).where(met).drop("places")
+def _probed(index: Index, entries: DataFrame, probes: DataFrame, met) -> DataFrame:
+    """``probes`` (term, block and more) whose list fulfils ``met``; their terms are among the ``entries``'."""
+    sought = small_side(staged(entries.select("term").distinct(), "terms"))
+    return index.postings.select("term", "block", "places").join(sought, "term", "left_semi").join(probes, ["term", "block"]).where(met).drop("places")
 
 
 def phrase_matches(index: Index, ranked: DataFrame) -> DataFrame:
@@ -151,11 +157,11 @@ def phrase_matches(index: Index, ranked: DataFrame) -> DataFrame:
     stands = F.array_contains("places", F.col("start") + F.col("at"))
     rarest = small_side(_entries(known, F.slice("pairs", 1, 1)).join(sizes, "w"))
     found = index.postings.join(rarest, "term").select("w", "size", "block", F.explode("places").alias("place"), "at").select("w", "size", "block", (F.col("place") - F.col("at")).alias("start"))
-    second = small_side(_entries(known, F.slice("pairs", 2, 1)))
-    two = staged(_probed(index, found.where("size > 1").join(second, "w"), stands).select("w", "size", "block", "start"), "candidates")
-    rest = small_side(_entries(known, F.slice("pairs", F.lit(3), F.greatest(F.size("pairs") - 2, F.lit(0)))))
-    probes = small_side(staged(two.where("size > 2").join(rest, "w").select("term", "block", "w", "size", "start", "at"), "probes"))
-    whole = _probed(index, probes, stands).groupBy("w", "size", "block", "start").agg(F.count("*").alias("met")).where("met = size - 2").drop("met")
+    second = _entries(known, F.slice("pairs", 2, 1))
+    two = staged(_probed(index, second, found.where("size > 1").join(small_side(second), "w"), stands).select("w", "size", "block", "start"), "candidates")
+    rest = _entries(known, F.slice("pairs", F.lit(3), F.greatest(F.size("pairs") - 2, F.lit(0))))
+    probes = small_side(staged(two.where("size > 2").join(small_side(rest), "w").select("term", "block", "w", "size", "start", "at"), "probes"))
+    whole = _probed(index, rest, probes, stands).groupBy("w", "size", "block", "start").agg(F.count("*").alias("met")).where("met = size - 2").drop("met")
     return found.where("size = 1").unionByName(two.where("size = 2")).unionByName(whole).select("w", "block", "start", "size")
 
 
@@ -177,17 +183,21 @@ def proximity_matches(index: Index, ranked: DataFrame, phrases: DataFrame, share
     seeds = small_side(_entries(ranked, entered(share)).join(sizes, "w"))
     found = index.postings.join(seeds, "term").select("w", "m", "block", F.col("term").alias("own"), F.explode("places").alias("place"))
     rarest = F.filter(F.slice("different", F.lit(1), F.size("different") - needed(share) + 2), lambda e: e["n"] > 0)
-    others = found.where("m > 1").join(small_side(_entries(ranked, rarest)), "w").where("term <> own").select("term", "block", "w", "m", "own", "place")
-    two = staged(_probed(index, others, F.exists("places", near)).select("w", "m", "block", "own", "place").distinct(), "near-candidates")
-    rest = two.join(small_side(_entries(ranked, F.filter("different", lambda e: e["n"] > 0))), "w").where("term <> own").select("term", "block", "w", "m", "place")
-    met = _probed(index, small_side(staged(rest, "near-probes")), F.exists("places", near)).groupBy("w", "m", "block", "place").agg((F.count("*") + 1).alias("found")).where("found >= m")
+    rare = _entries(ranked, rarest)
+    others = found.where("m > 1").join(small_side(rare), "w").where("term <> own").select("term", "block", "w", "m", "own", "place")
+    two = staged(_probed(index, rare, others, F.exists("places", near)).select("w", "m", "block", "own", "place").distinct(), "near-candidates")
+    every_term = _entries(ranked, F.filter("different", lambda e: e["n"] > 0))
+    rest = two.join(small_side(every_term), "w").where("term <> own").select("term", "block", "w", "m", "place")
+    met = _probed(index, every_term, small_side(staged(rest, "near-probes")), F.exists("places", near)).groupBy("w", "m", "block", "place").agg((F.count("*") + 1).alias("found")).where("found >= m")
     every = met.select("w", "block", "place", "found").unionByName(found.where("m <= 1").select("w", "block", "place", F.lit(1).cast("long").alias("found")))
     over = F.explode(F.transform(F.sequence(F.lit(0), F.col("size") - 1), lambda k: F.col("start") + k))
     return every.join(phrases.select("w", "block", over.alias("place")), ["w", "block", "place"], "left_anti")
 
 
-def _doc(place: str):
-    return F.shiftright(place, 32).cast("int").alias("doc")
+def _placed(matches: DataFrame, index: Index, place: str) -> DataFrame:
+    """``matches`` with the number of the document that ``place`` is in; a block's documents meet its matches only."""
+    inside = (F.col(place) >= F.col("first")) & (F.col(place) < F.col("first") + F.col("n_words"))
+    return matches.join(index.documents.select("block", "doc", "first", "n_words").where("n_words > 0"), "block").where(inside).drop("first", "n_words")
 
 
 def _items(matches: DataFrame, ranked: DataFrame, name: str) -> DataFrame:
@@ -199,18 +209,20 @@ def _items(matches: DataFrame, ranked: DataFrame, name: str) -> DataFrame:
 def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, share: float | None = None, index: Index | None = None) -> DataFrame:
     """One row a document: doc_id, n_words, n_hit, n_items, items, contaminated; with ``share`` also n_near (places of
     proximity matches), n_near_items and near_items.  An ``index`` made before saves building it from ``docs``."""
+    if not 0 < width <= GAP:
+        raise ValueError(f"windows have 1 to {GAP} words")
     index = index or build_index(docs)
     ranked = ranked_windows(windows_of(benchmark, width), index)
-    matches = staged(phrase_matches(index, ranked), "matches").withColumn("doc", _doc("start"))
+    matches = staged(_placed(phrase_matches(index, ranked), index, "start"), "matches")
     spans = F.array_sort(F.collect_set(F.struct("start", (F.col("start") + F.col("size")).alias("end"))))
-    nothing = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("reach"))
-    more = lambda a, s: F.struct((a["n"] + F.greatest(F.lit(0).cast("long"), s["end"] - F.greatest(s["start"], a["reach"]))).alias("n"), F.greatest(a["reach"], s["end"]).alias("reach"))
-    hits = matches.groupBy("block", "doc").agg(F.aggregate(spans, nothing, more)["n"].alias("n_hit"))
+    nothing = F.struct(F.lit(0).alias("n"), F.lit(0).alias("reach"))
+    more = lambda a, s: F.struct((a["n"] + F.greatest(F.lit(0), s["end"] - F.greatest(s["start"], a["reach"]))).alias("n"), F.greatest(a["reach"], s["end"]).alias("reach"))
+    hits = matches.groupBy("block", "doc").agg(F.aggregate(spans, nothing, more)["n"].cast("long").alias("n_hit"))
     none = F.array().cast("array<string>")
     found = index.documents.join(hits, ["block", "doc"], "left").join(_items(matches, ranked, "items"), ["block", "doc"], "left")
     columns = ["doc_id", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"), F.coalesce("items", none).alias("items"), F.col("n_hit").isNotNull().alias("contaminated")]
     if share is not None:
-        close = staged(proximity_matches(index, ranked, matches, share, width), "near-matches").withColumn("doc", _doc("place"))
+        close = staged(_placed(proximity_matches(index, ranked, matches, share, width), index, "place"), "near-matches")
         near = close.groupBy("block", "doc").agg(F.count_distinct("place").alias("n_near"))
         found = found.join(near, ["block", "doc"], "left").join(_items(close, ranked, "near_items"), ["block", "doc"], "left")
         columns += [F.coalesce("n_near", F.lit(0).cast("long")).alias("n_near"), F.coalesce(F.size("near_items"), F.lit(0)).cast("long").alias("n_near_items"), F.coalesce("near_items", none).alias("near_items")]

@@ -50,10 +50,11 @@ def test_proximity_against_brute_force(spark):
     entries = {}
     for r in ranked.select("w", decontaminate.entered(0.8).alias("e")).collect():
         entries[(item_of[r.w],)] = {e["term"] for e in r.e}
-    ids = {(r.block, r.doc): r.doc_id for r in index.documents.collect()}
+    texts_of = [(r.block, r.first, r.n_words, r.doc_id) for r in index.documents.collect()]
     got = {}
     for r in decontaminate.proximity_matches(index, ranked, decontaminate.phrase_matches(index, ranked)).collect():
-        got.setdefault((item_of[r.w], ids[r.block, r.place >> 32]), set()).add(r.place & 0xFFFFFFFF)
+        ((first, doc),) = [(f, d) for b, f, n, d in texts_of if b == r.block and f <= r.place < f + n]
+        got.setdefault((item_of[r.w], doc), set()).add(r.place - first)
     term = lambda w: xxhash.xxh64_intdigest(w) - (1 << 64 if xxhash.xxh64_intdigest(w) >> 63 else 0)
     for item, window in ((7, WORDS), (8, "a b a c".split()), (9, "a unheard b c d e f g h i".split())):
         entered = {w for w in window if term(w) in entries.get((item,), set())}
