@@ -7,6 +7,8 @@ import json
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from engram.functions.text import strip
+
 SOURCE = "role string, chat_time string, content string"
 
 
@@ -47,21 +49,28 @@ def first_object(required: tuple[str, ...]):
 
 
 def action_error(c: Column, neighbourhood: Column) -> Column:
-    """Why an edit action (JSON: operation, targets, content) is not well formed, or null.  Targets are places in the neighbourhood."""
-    operation = F.get_json_object(c, "$.operation")
-    targets = F.from_json(F.get_json_object(c, "$.targets"), "array<int>")
-    content = F.get_json_object(c, "$.content")
+    """Why an edit action (JSON: operation, targets, content) is not well formed, or null.
+
+    Targets are places in the neighbourhood.  Types are strict: true, 1.0 and "1" are no places, a number is no content.
+    """
+    v = F.try_parse_json(c)
+    kind = lambda path: F.coalesce(F.schema_of_variant(F.try_variant_get(v, path, "variant")), F.lit(""))
+    operation = F.when(kind("$.operation") == "STRING", F.try_variant_get(v, "$.operation", "string"))
+    raw = F.when(kind("$.targets").startswith("ARRAY"), F.try_variant_get(v, "$.targets", "array<variant>"))
+    targets = F.when(F.forall(raw, lambda t: F.coalesce(F.schema_of_variant(t) == "BIGINT", F.lit(False))), F.transform(raw, lambda t: F.try_variant_get(t, "$", "long")))
+    content = F.when(kind("$.content") == "STRING", F.try_variant_get(v, "$.content", "string"))
     n = F.size(targets)
-    keys = F.array_sort(F.json_object_keys(c))
-    has = F.coalesce(content, F.lit("")) != ""
+    keys = F.array_sort(F.json_object_keys(F.to_json(v)))
+    has, empty = strip(content) != "", content == ""
     return (
         F.when(~is_object(c) | ~F.coalesce(keys == F.array(*map(F.lit, ("content", "operation", "targets"))), F.lit(False)), "keys")
+        .when(targets.isNull(), "targets")
+        .when(content.isNull(), "content")
         .when(~F.coalesce(operation.isin("add", "merge", "delete", "noop"), F.lit(False)), "operation")
-        .when(targets.isNull() | F.exists(targets, lambda t: t.isNull()), "targets")
         .when(F.size(F.array_distinct(targets)) != n, "repeated")
         .when(F.exists(targets, lambda t: (t < 0) | (t >= neighbourhood)), "range")
         .when((operation == "add") & ((n > 0) | ~has), "shape")
         .when((operation == "merge") & ((n == 0) | ~has), "shape")
-        .when((operation == "delete") & ((n == 0) | has), "shape")
-        .when((operation == "noop") & ((n > 0) | has), "shape")
+        .when((operation == "delete") & ((n == 0) | ~empty), "shape")
+        .when((operation == "noop") & ((n > 0) | ~empty), "shape")
     )

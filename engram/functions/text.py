@@ -131,3 +131,13 @@ def temporal_dimension(target_text: Column, source_tags: Column, target_tags: Co
 def short_hash(*parts: Column, sep: str = "|") -> Column:
     """The first 20 hex digits of the parts' SHA-256; null parts count as empty."""
     return F.substring(F.sha2(F.concat_ws(sep, *(F.coalesce(p, F.lit("")) for p in parts)), 256), 1, 20)
+
+
+def iso_time(c: Column) -> Column:
+    """An ISO time as a timestamp, UTC where it names no zone (with the session's zone set so); null if it isn't one."""
+    return F.when(strip(c).rlike(r"^\d{4}-\d{2}-\d{2}"), F.try_to_timestamp(strip(c)))
+
+
+def latest_time(times: Column) -> Column:
+    """The last of several ISO times; null if none is one."""
+    return F.array_max(F.transform(times, iso_time))

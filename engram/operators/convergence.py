@@ -18,15 +18,19 @@ def active_cases(cases: DataFrame, stopped: DataFrame) -> DataFrame:
     return cases.join(stopped.where("stopped").select("case_id").distinct(), "case_id", "left_anti")
 
 
-def saturation(fresh: DataFrame, waiting: DataFrame, least: int = 4) -> DataFrame:
+def saturation(fresh: DataFrame, waiting: DataFrame, cases: DataFrame | None = None, least: int = 4) -> DataFrame:
     """case_id, saturated: enough fresh questions, all judged, none open, nothing waiting.
 
-    ``fresh``: case_id, available, resolved; ``waiting``: case_id of questions in the high-priority queue.
+    ``fresh``: case_id, available, resolved; ``waiting``: case_id of questions in the high-priority queue.  With ``cases``
+    (case_id, active_nodes) every case has a row, one without fresh questions too, and builder_saturated says whether the
+    builder has nothing to compact: the questions are saturated and no node is active.
     """
     counted = fresh.groupBy("case_id").agg(F.count("*").alias("n"), F.bool_and("available").alias("judged"), F.count_if(~F.col("resolved")).alias("open"))
     queued = waiting.groupBy("case_id").agg(F.count("*").alias("queued"))
-    both = counted.join(queued, "case_id", "left")
-    return both.select("case_id", ((F.col("n") >= least) & F.col("judged") & (F.col("open") == 0) & F.col("queued").isNull()).alias("saturated"))
+    both = (counted if cases is None else cases.join(counted, "case_id", "left")).join(queued, "case_id", "left")
+    saturated = F.coalesce((F.col("n") >= least) & F.col("judged") & (F.col("open") == 0) & F.col("queued").isNull(), F.lit(False))
+    out = both.withColumn("saturated", saturated)
+    return out.select("case_id", "saturated") if cases is None else out.select("case_id", "saturated", (F.col("saturated") & (F.col("active_nodes") == 0)).alias("builder_saturated"))
 
 
 def compaction_candidates(nodes: DataFrame, most: int = 8) -> DataFrame:

@@ -89,6 +89,22 @@ def stratified_split(rows: DataFrame, fraction: float = 0.1, seed: int = 0, stri
     return out.drop("_all")
 
 
+def shuffled(rows: DataFrame, seed: int, key: str = "id") -> DataFrame:
+    """``rows`` in an order that only seed and key fix."""
+    return rows.orderBy(uniform(seed, key), key)
+
+
+def random_split(rows: DataFrame, fraction: float = 0.1, seed: int = 0) -> DataFrame:
+    """``rows`` (id) with split, drawn as one group; for rows that have no mode.  A lone row is in both splits."""
+    return stratified_split(rows.withColumn("mode", F.lit("all")), fraction, seed, strict=True).drop("mode")
+
+
+def mode_histogram(records: DataFrame) -> DataFrame:
+    """place, mode, n of the modes that ``records`` (extra_info.route.attack_mode) have, in their order; records without one don't count."""
+    found = records.select(F.col("extra_info.route.attack_mode").alias("mode")).where("mode is not null")
+    return found.groupBy("mode").agg(F.count("*").alias("n")).select(mode_order(F.col("mode")).alias("place"), "mode", "n").orderBy("place")
+
+
 def funnel(rows: DataFrame) -> DataFrame:
     """Counts for each mode of ``rows`` (mode, attempted, fits, selected)."""
     return rows.groupBy("mode").agg(F.count("*").alias("sampled"), *(F.count_if(F.col(c)).alias(c) for c in ("attempted", "fits", "selected")))

@@ -114,10 +114,13 @@ def walk_signature(user: Column, mode: Column, dimension: Column, walk: Column)
 def walk_steps(walks: DataFrame, edges: DataFrame) -> DataFrame:
     """case_id, route, step, from_id, to_id, type, direction: each step of ``walks`` (case_id, route, walk) with how its edge points.
 
-    Of edges that conflict the last by (source, target) wins, reversed over forward.
+    Edges that conflict go by their place (column ``pos`` of ``edges``, else source and target): the last one says
+    how its two ends lie, and an edge from a node to itself is reversed.
     """
-    known = edges.select("case_id", F.col("source").alias("from_id"), F.col("target").alias("to_id"), "type", F.lit("forward").alias("direction")).unionByName(edges.select("case_id", F.col("target").alias("from_id"), F.col("source").alias("to_id"), "type", F.lit("reverse").alias("direction")))
-    known = known.groupBy("case_id", "from_id", "to_id", "type").agg(F.max("direction").alias("direction"))
+    place = F.col("pos") if "pos" in edges.columns else F.struct("source", "target")
+    way = lambda a, b, name, back: edges.select("case_id", F.col(a).alias("from_id"), F.col(b).alias("to_id"), "type", F.lit(name).alias("direction"), F.struct(place.alias("place"), F.lit(back).alias("back")).alias("turn"))
+    known = way("source", "target", "forward", 0).unionByName(way("target", "source", "reverse", 1))
+    known = known.groupBy("case_id", "from_id", "to_id", "type").agg(F.max_by("direction", "turn").alias("direction"))
     steps = walks.select("case_id", "route", F.posexplode(F.arrays_zip(F.slice("walk", 1, F.greatest(F.size("walk") - 1, F.lit(0))).alias("a"), F.slice("walk", 2, F.greatest(F.size("walk") - 1, F.lit(0))).alias("b"))).alias("step", "s"))
     return steps.select("case_id", "route", "step", F.col("s.a").alias("from_id"), F.col("s.b").alias("to_id")).join(known, ["case_id", "from_id", "to_id"])
 
@@ -136,11 +139,61 @@ def canonical_sources(sources: DataFrame, route: str = "route") -> DataFrame:
     return sources.withColumn("canonical_id", F.first("source_id").over(w))
 
 
-def route_bundles(routes: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``routes`` (case_id, route, walk) with evidence (facts) and connectors (topics) nested in walk order."""
+def route_bundles(routes: DataFrame, nodes: DataFrame, sources: DataFrame | None = None) -> DataFrame:
+    """``routes`` (case_id, route, walk) with evidence (facts) and connectors (topics) nested in walk order.
+
+    With ``sources`` (of ``exploded_sources``, and case_id) evidence also has source_ids, each source once for a route by
+    its first id, and the bundle source_records, in order of first use.
+    """
     each = routes.select("case_id", "route", F.posexplode("walk").alias("pos", "id")).join(nodes.select("case_id", "id", "type", "memory"), ["case_id", "id"])
-    part = lambda kind: F.array_sort(F.collect_list(F.when(F.col("type") == kind, F.struct("pos", "id", "memory"))))
-    return routes.join(each.groupBy("case_id", "route").agg(part("fact").alias("evidence"), part("topic").alias("connectors")), ["case_id", "route"], "left")
+    nested, extra = ["pos", "id", "memory"], []
+    if sources is not None:
+        used = each.where("type = 'fact'").groupBy("case_id", "route", "id").agg(F.min("pos").alias("node_pos"))
+        of_nodes = used.join(sources.withColumnRenamed("node_id", "id"), ["case_id", "id"]).withColumn("of_route", F.struct("case_id", "route"))
+        named = canonical_sources(of_nodes.withColumn("source_pos", F.col("ordinal")), "of_route")
+        ids = named.groupBy("case_id", "route", "id").agg(F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "canonical_id"))), lambda x: x["canonical_id"])).alias("source_ids"))
+        each = each.join(ids, ["case_id", "route", "id"], "left").withColumn("source_ids", F.coalesce("source_ids", F.array().cast("array<string>")))
+        nested.append("source_ids")
+        firsts = named.where("source_id = canonical_id").groupBy("case_id", "route").agg(F.array_sort(F.collect_list(F.struct("node_pos", "ordinal", "source_id", "id", "role", "chat_time", "content"))).alias("s"))
+        extra = [firsts.select("case_id", "route", F.transform("s", lambda x: x.dropFields("node_pos", "ordinal")).alias("source_records"))]
+    part = lambda kind: F.array_sort(F.collect_list(F.when(F.col("type") == kind, F.struct(*nested))))
+    out = routes.join(each.groupBy("case_id", "route").agg(part("fact").alias("evidence"), part("topic").alias("connectors")), ["case_id", "route"], "left")
+    return out.join(extra[0], ["case_id", "route"], "left") if extra else out
+
+
+def drawn_routes(edges: DataFrame, nodes: DataFrame, seen: DataFrame | None = None, visits: DataFrame | None = None, seed: int = 0, least: int = 2, most: int = 3) -> DataFrame:
+    """One route of mode same_topic for each topic: case_id, topic, facts, walk, signature.
+
+    Of a topic's active facts ``least`` to ``most`` are drawn, rarely visited ones rather (``visits``: case_id, node_id,
+    visits).  Routes whose signature is among ``seen`` are left out.
+    """
+    from engram.operators import datasets
+
+    facts = same_topic(edges, nodes, least).select("case_id", "topic", "n_facts", F.explode("facts").alias("fact"))
+    if visits is not None:
+        facts = facts.join(visits.withColumnRenamed("node_id", "fact"), ["case_id", "fact"], "left")
+    else:
+        facts = facts.withColumn("visits", F.lit(0))
+    size = datasets.draw_size(seed, least, F.least(F.lit(most), F.col("n_facts")), "case_id", "topic")
+    drawn = datasets.weighted_sample(facts, ["case_id", "topic"], "fact", size, seed, datasets.visit_weight(F.col("visits")))
+    routes = drawn.groupBy("case_id", "topic").agg(F.transform(F.array_sort(F.collect_list(F.struct("draw", "fact"))), lambda x: x["fact"]).alias("facts"))
+    routes = routes.withColumn("walk", topic_walk(F.col("topic"), F.col("facts")))
+    routes = routes.withColumn("signature", walk_signature(F.col("case_id").cast("string"), F.lit("same_topic"), F.lit(None).cast("string"), F.col("walk")))
+    return routes if seen is None else datasets.unseen(routes, seen)
+
+
+def mode_candidates(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """case_id, mode, dimension, walk of the candidates of all four modes; a topic's first three facts stand for its draws."""
+    kind = lambda df, mode, dimension, walk: df.select("case_id", F.lit(mode).alias("mode"), dimension.cast("string").alias("dimension"), walk.alias("walk"))
+    none = F.lit(None)
+    topics = same_topic(edges, nodes)
+    pairs = comparison(edges, nodes)
+    return (
+        kind(single_fact(nodes), "single_fact", none, F.col("walk"))
+        .unionByName(kind(topics, "same_topic", none, topic_walk(F.col("topic"), F.slice("facts", 1, 3))))
+        .unionByName(kind(temporal(edges, nodes), "temporal_evolution", F.col("dimension"), F.array("source", "target")))
+        .unionByName(kind(pairs, "comparison", F.col("dimension"), F.array("fact_a", "topic", "fact_b")))
+    )
 
 
 def fallback(primary: DataFrame, single: DataFrame, cases: DataFrame) -> DataFrame:

@@ -1,22 +1,20 @@
 """Versioned memory: edits folded from a change feed, queues, links, protected questions.
 
 Edits of a case are sequential, cases are independent.  What a prefix sum can say
-(versions, pools, links) is a window; only the full fold of nodes runs case by case.
+(versions, pools, links) is a window; the fold of nodes is joins, one round for each depth of merging.
 """
 
 from __future__ import annotations
 
-import hashlib
-import re
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from engram.functions import text
+from engram.operators import store
+from engram.operators.store import new_id
+from engram.session import checkpointed
 
-#: Schema of a folded memory node.
-NODE = "case_id long, id string, content string, status string, provenance array<string>, source_ids array<string>, linked_questions array<string>, tags array<string>, token_count int, created_version long, updated_version long"
+LISTS = ["provenance", "source_ids", "linked_questions", "tags"]
 
 
 def running_version(edits: DataFrame) -> DataFrame:
@@ -25,50 +23,42 @@ def running_version(edits: DataFrame) -> DataFrame:
     return edits.withColumn("version", F.sum(F.when(F.col("op") != "noop", 1).otherwise(0)).over(w).cast("long"))
 
 
-def new_id(case: Column, version: Column, content: Column) -> Column:
-    """A memory's id, the same whenever the fold is run again."""
-    return text.short_hash(case.cast("string"), version.cast("string"), content)
-
-
-def _unique(*lists) -> list:
-    return list(dict.fromkeys(x for xs in lists for x in (xs if xs is not None else ())))
+def fold_edits(edits: DataFrame, start: DataFrame | None = None, cut=checkpointed) -> DataFrame:
+    """Memory nodes after all edits of each case: the same as ``store.apply_actions`` one by one, but all at once.
 
-
-def fold_edits(edits: DataFrame, start: DataFrame | None = None) -> DataFrame:
-    """Memory nodes after all edits of each case.
-
-    ``edits``: case_id, seq, op, targets, content, question_id, provenance, source_ids, tags;
-    ``start``: nodes to begin with.  MERGE and DELETE archive their targets, ADD and MERGE insert
-    a node whose lists are the edit's then the targets', questions the other way round.
-    Targets that don't exist are an error of the case.
+    ``edits``: case_id, seq, op, targets, content, question_id, provenance, source_ids, tags and, if there is one,
+    time_span; ``start``: nodes to begin with.  Versions are a running sum; a node is archived if an edit aims at it,
+    at the last such version.  Lists of merged nodes are joined from their targets in rounds, as many as merges of
+    merges are deep, each a join on (case_id, id); no case is gathered anywhere.  Each round is cut by ``cut``.
+    A target that doesn't exist by then is an error.
     """
-
-    def fold(key, rows: pd.DataFrame, before: pd.DataFrame) -> pd.DataFrame:
-        nodes = {r["id"]: r for r in before.to_dict("records")}
-        version = 0 if before.empty else int(before["updated_version"].max())
-        for e in rows.sort_values("seq").to_dict("records"):
-            if e["op"] == "noop":
-                continue
-            version += 1
-            targets = [nodes[t] for t in (e["targets"] if e["targets"] is not None else ())]
-            if e["op"] in ("merge", "delete"):
-                for t in targets:
-                    nodes[t["id"]] = t | {"status": "archived", "updated_version": version}
-            if e["op"] in ("add", "merge"):
-                made = hashlib.sha256(f"{key[0]}|{version}|{e['content']}".encode()).hexdigest()[:20]
-                nodes[made] = {
-                    "case_id": key[0], "id": made, "content": e["content"], "status": "active",
-                    "provenance": _unique(e["provenance"], *(t["provenance"] for t in targets)),
-                    "source_ids": _unique(e["source_ids"], *(t["source_ids"] for t in targets)),
-                    "linked_questions": _unique(*(t["linked_questions"] for t in targets), [e["question_id"]] if e["question_id"] else []),
-                    "tags": _unique(e["tags"], *(t["tags"] for t in targets)),
-                    "token_count": len(TOKENS.findall(e["content"])), "created_version": version, "updated_version": version,
-                }
-        return pd.DataFrame(list(nodes.values()), columns=[c.split()[0] for c in NODE.split(", ")])
-
-    TOKENS = re.compile(text.TOKEN)
-    start = start if start is not None else edits.sparkSession.createDataFrame([], NODE)
-    return edits.groupBy("case_id").cogroup(start.groupBy("case_id")).applyInPandas(fold, NODE)
+    if "time_span" not in edits.columns:
+        edits = edits.withColumn("time_span", F.lit(None).cast("struct<start:string,end:string>"))
+    before = start.groupBy("case_id").agg(F.max("updated_version").alias("_v0")) if start is not None else None
+    real = running_version(edits).where("op <> 'noop'")
+    real = cut(real if before is None else real.join(before, "case_id", "left").withColumn("version", F.col("version") + F.coalesce("_v0", F.lit(0))).drop("_v0"))
+    adds = real.where("op in ('add', 'merge')").withColumn("id", new_id(F.col("case_id"), F.col("version"), F.col("content")))
+    aimed = real.select("case_id", "version", "op", F.posexplode("targets").alias("pos", "id"))
+    known = adds.select("case_id", "id", F.col("version").alias("since"))
+    if start is not None:
+        known = known.unionByName(start.select("case_id", "id", F.lit(0).cast("long").alias("since")))
+    store._refuse(aimed.join(known, ["case_id", "id"], "left").where("since is null or since >= version").select("case_id", "version", "id"), "edits aim at memory nodes that don't exist")
+    free = adds.where(F.size(F.coalesce("targets", F.array().cast("array<string>"))) == 0)
+    none = aimed.join(start.select("case_id", "id", *LISTS), ["case_id", "id"]).limit(0) if start is not None else aimed.limit(0).select("*", *(F.array().cast("array<string>").alias(c) for c in LISTS))
+    done = store.made_nodes(free, none)
+    done = cut(done if start is None else done.unionByName(start))
+    waiting = adds.where(F.size("targets") > 0).select("case_id", "version", "id").join(aimed.withColumnRenamed("id", "target").drop("op"), ["case_id", "version"])
+    while not waiting.isEmpty():
+        held = done.select("case_id", F.col("id").alias("target"), *LISTS)
+        met = waiting.join(held.withColumn("here", F.lit(1)), ["case_id", "target"], "left")
+        ready = met.groupBy("case_id", "version").agg((F.count("here") == F.count("*")).alias("ready")).where("ready").select("case_id", "version")
+        made = store.made_nodes(adds.join(ready, ["case_id", "version"], "left_semi"), met.join(ready, ["case_id", "version"], "left_semi"))
+        done = cut(done.unionByName(made))
+        waiting = cut(waiting.join(done.select("case_id", "id"), ["case_id", "id"], "left_anti"))
+    archived = aimed.where("op in ('merge', 'delete')").groupBy("case_id", "id").agg(F.max("version").alias("_at"))
+    gone = F.col("_at").isNotNull()
+    out = done.join(archived, ["case_id", "id"], "left").withColumn("status", F.when(gone, "archived").otherwise(F.col("status")))
+    return out.withColumn("updated_version", F.coalesce("_at", "updated_version")).select(*store.COLUMNS)
 
 
 def active_tokens(nodes: DataFrame) -> DataFrame:
@@ -129,11 +119,12 @@ def protected_questions(capabilities: DataFrame, retrieved: DataFrame, most: int
     return chosen.withColumn("rank", rank).where(F.col("rank") <= most).select("case_id", "question_id", "rank")
 
 
-def support(hits: DataFrame, still_answered) -> DataFrame:
+def support(hits: DataFrame, still_answered, failures: tuple[type[Exception], ...] = (ValueError,)) -> DataFrame:
     """Backward elimination: ``hits`` (question_id, rank, node_id) that the answer needs.
 
     From the last rank up a node goes if ``still_answered(question_id, node_ids)`` without it;
-    the last node never does, and one whose trial raises stays.
+    the last node never does, and one whose trial raises one of ``failures`` (what a provider raises without a valid
+    answer) stays.
     """
 
     def eliminate(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
@@ -143,7 +134,7 @@ def support(hits: DataFrame, still_answered) -> DataFrame:
             rest = [n for n in kept if n != node]
             try:
                 gone = bool(rest) and still_answered(key[0], rest)
-            except Exception:  # a judge's failure keeps the node
+            except failures:  # a judge's failure keeps the node
                 gone = False
             kept = rest if gone else kept
         return rows[rows["node_id"].isin(kept)]

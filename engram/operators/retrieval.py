@@ -15,15 +15,22 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from engram.functions import text
+from engram.session import checkpointed
 
 RECALL_K, CANDIDATES, DEPTH, DECAY, K1, B = 20, 40, 1, 0.8, 1.5, 0.75
 #: Rows of a block of queries and of a block of vectors.
 QUERY_ROWS, VECTOR_ROWS = 512, 4096
 
 
+def _texts(docs: DataFrame) -> DataFrame:
+    """id and terms of ``docs`` (id, content and, if there are any, tags, which count as words of the text)."""
+    whole = text.document_text(F.col("content"), F.col("tags")) if "tags" in docs.columns else F.col("content")
+    return docs.select("id", text.tokens(whole).alias("terms"))
+
+
 def term_frequencies(docs: DataFrame) -> DataFrame:
-    """id, term, tf from ``docs`` (id, content)."""
-    return docs.select("id", F.explode(text.tokens(F.col("content"))).alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
+    """id, term, tf from ``docs`` (id, content, tags)."""
+    return _texts(docs).select("id", F.explode("terms").alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
 
 
 def document_frequencies(tf: DataFrame) -> DataFrame:
@@ -31,21 +38,24 @@ def document_frequencies(tf: DataFrame) -> DataFrame:
 
 
 def bm25(queries: DataFrame, docs: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
-    """query_id, id, score (rounded to 6 places) of each document with a term of the query.
+    """query_id, id, score (rounded to 6 places) of each document with a term of the query, in its content or its tags.
 
-    Only terms of queries are counted past the scan, so what is shuffled is bounded
-    by the queries' vocabulary rather than the corpus'.
+    Documents are tokenised once, and only the queries' terms are counted past the scan, so what is written and shuffled
+    is bounded by the queries' vocabulary rather than the corpus'.  Each document's counts of them stand in one row.
     """
     wanted = queries.select("query_id", F.explode(F.array_distinct(text.tokens(F.col("query")))).alias("term"))
-    sized = docs.select("id", text.tokens(F.col("content")).alias("terms")).withColumn("len", F.size("terms"))
-    totals = sized.agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"))
-    each = sized.select("id", "len", F.explode("terms").alias("term")).join(wanted.select("term").distinct(), "term", "left_semi")
-    tf = each.groupBy("id", "term", "len").agg(F.count("*").alias("tf"))
-    df = document_frequencies(tf)
-    matched = wanted.join(tf, "term").join(df, "term").crossJoin(F.broadcast(totals))  # one row
+    known = checkpointed(wanted.select("term").distinct())
+    marks = _texts(docs).select("id", F.size("terms").alias("len"), F.explode_outer("terms").alias("term")).join(known.withColumn("asked", F.lit(1)), "term", "left")
+    counts = checkpointed(marks.groupBy("id", "len", F.when(F.col("asked") == 1, F.col("term")).alias("term")).agg(F.count("*").alias("tf")))
+    # a document's length counts once, in whichever of its rows comes first by term
+    each = counts.groupBy("id", "len").agg(F.count("*").alias("rows"))
+    totals = each.agg(F.count("*").alias("n"), F.avg(F.greatest("len", F.lit(0))).alias("avg_len"))
+    tf = counts.where("term is not null")
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
-    return matched.groupBy("query_id", "id").agg(F.round(F.sum(weight), 6).alias("score"))
+    df = document_frequencies(tf).crossJoin(F.broadcast(totals)).select("term", "avg_len", idf.alias("idf"))  # one row
+    weight = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
+    weighted = tf.join(df, "term").select("term", "id", weight.alias("weight"))
+    return wanted.join(weighted, "term").groupBy("query_id", "id").agg(F.round(F.sum("weight"), 6).alias("score"))
 
 
 def top_k(scored: DataFrame, k: int, positive: bool = True, by: str = "query_id", score: str = "score") -> DataFrame:
@@ -122,39 +132,75 @@ def _cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.round(np.divide(a @ b.T, norms, out=np.zeros(norms.shape), where=norms != 0), 6) + 0.0
 
 
+GRAM = 6
+
+
+def said(words: DataFrame, docs: DataFrame) -> DataFrame:
+    """query_id, id where a document's ``content`` holds a ``word`` of the query (both lower-cased already).
+
+    A word is looked up by its first ``GRAM`` characters among those that begin at each place of a document, in an
+    equi-join, and confirmed by containment; shorter words by as many as they have.  An empty word is in every document.
+    """
+    sized = words.withColumn("k", F.least(F.length("word"), F.lit(GRAM))).distinct()
+    out = docs.select("id").crossJoin(sized.where("k = 0").select("query_id").distinct()).select("query_id", "id")
+    keyed = sized.where("k > 0").withColumn("key", F.substring("word", 1, GRAM))
+    sizes = sorted(r.k for r in keyed.select("k").distinct().collect())  # at most GRAM
+    for k in sizes:
+        asked = keyed.where(F.col("k") == k).select("query_id", "word", "key")
+        keys = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("content") - k + 1), lambda i: F.substring(F.col("content"), i, F.lit(k))))
+        places = docs.where(F.length("content") >= k).select("id", F.explode(keys).alias("key")).join(asked.select("key").distinct(), "key")
+        pairs = places.join(asked.select("key", "word").distinct(), "key").join(docs.select("id", "content"), "id").where(F.contains("content", "word")).select("id", "word")
+        out = out.unionByName(pairs.join(asked.select("query_id", "word"), "word").select("query_id", "id"))
+    return out.distinct()
+
+
 def metadata_matches(queries: DataFrame, nodes: DataFrame) -> DataFrame:
     """query_id, id, score 1.0 where a tag or a keyword of ``queries`` (query_id, keywords, tags) is met."""
     none = F.array().cast("array<string>")
     low = lambda c: F.transform(F.coalesce(c, none), F.lower)
     tags = queries.select("query_id", F.explode(low(F.col("tags"))).alias("tag")).distinct().join(nodes.select("id", F.explode(F.array_distinct(low(F.col("tags")))).alias("tag")), "tag").select("query_id", "id")
-    words = queries.select("query_id", F.explode(low(F.col("keywords"))).alias("word")).distinct()
-    said = nodes.select("id", F.lower("content").alias("content")).join(words, F.expr("contains(content, word)")).select("query_id", "id")
-    return tags.unionByName(said).distinct().withColumn("score", F.lit(1.0))
+    words = queries.select("query_id", F.explode(low(F.col("keywords"))).alias("word")).where("word is not null").distinct()
+    found = said(words, nodes.select("id", F.lower("content").alias("content")))
+    return tags.unionByName(found).distinct().withColumn("score", F.lit(1.0))
+
+
+def memberships(nodes: DataFrame) -> DataFrame:
+    """group, id: what makes nodes (id, provenance) neighbours.  Each provenance id is a group of the nodes that name it, and
+    a pair of its own for each of them where it is a node itself; the groups stand for all pairs in them."""
+    each = nodes.select("id", F.explode(F.array_distinct("provenance")).alias("p")).where("p is not null")
+    named = each.join(nodes.select(F.col("id").cast("string").alias("p")), "p", "left_semi").where(F.col("id").cast("string") != F.col("p"))
+    pair = F.concat_ws(chr(1), F.lit("n"), "id", "p")
+    kind = dict(nodes.dtypes)["id"]
+    return each.select(F.concat_ws(chr(1), F.lit("p"), "p").alias("group"), "id").unionByName(named.select(pair.alias("group"), "id")).unionByName(named.select(pair.alias("group"), F.col("p").try_cast(kind).alias("id")))
 
 
 def provenance_neighbours(nodes: DataFrame) -> DataFrame:
-    """a, b: nodes (id, provenance) that share a provenance id or name one another; both ways."""
-    each = nodes.select("id", F.explode(F.array_distinct("provenance")).alias("p"))
-    shared = each.withColumnRenamed("id", "a").join(each.withColumnRenamed("id", "b"), "p").where("a <> b").select("a", "b")
-    named = each.join(nodes.select(F.col("id").alias("p")), "p", "left_semi").where("id <> p")
-    return shared.unionByName(named.select(F.col("id").alias("a"), F.col("p").alias("b"))).unionByName(named.select(F.col("p").alias("a"), F.col("id").alias("b"))).distinct()
+    """a, b: nodes (id, provenance) that share a provenance id or name one another; both ways.  As many rows as pairs:
+    ``expand`` goes by ``memberships`` instead."""
+    m = memberships(nodes)
+    return m.withColumnRenamed("id", "a").join(m.withColumnRenamed("id", "b"), "group").where("a <> b").select("a", "b").distinct()
 
 
-def expand(seeds: DataFrame, neighbours: DataFrame, depth: int = DEPTH, decay: float = DECAY) -> DataFrame:
+def expand(seeds: DataFrame, members: DataFrame, depth: int = DEPTH, decay: float = DECAY, active: DataFrame | None = None) -> DataFrame:
     """query_id, id, seed, hop, score: nodes reached from ``seeds`` (query_id, id, score), each by the first seed to reach it.
 
-    Seeds go by (score descending, id), neighbours by id, as a queue would; each hop is a join.
+    Seeds go by (score descending, id), neighbours by id, as a queue would.  Neighbours are those that share a group of
+    ``members`` (group, id; of ``memberships``): of a query's nodes in a group only the first in turn matters, and the group's members
+    are joined to that one, so a group of m nodes gives m rows a query and never m x m.  With ``active`` (id) other
+    nodes are bridges only.
     """
-    frontier = seeds.select("query_id", "id", F.col("id").alias("seed"), "score", F.array(F.struct((-F.col("score")).alias("s"), F.col("id").alias("i"))).alias("turn"))
+    turn = lambda s, i: F.struct(s.alias("s"), i.alias("i"))
+    frontier = seeds.select("query_id", "id", F.col("id").alias("seed"), "score", F.array(turn(-F.col("score"), F.col("id"))).alias("turn"))
     visited, out = seeds.select("query_id", "id"), None
     for hop in range(1, depth + 1):
-        met = frontier.join(neighbours, F.col("id") == F.col("a")).select("query_id", F.col("b").alias("id"), "seed", "score", F.concat("turn", F.array(F.struct(F.lit(0.0).alias("s"), F.col("b").alias("i")))).alias("turn"))
-        first = met.join(visited, ["query_id", "id"], "left_anti").groupBy("query_id", "id").agg(F.min_by(F.struct("seed", "score", "turn"), "turn").alias("m"))
-        frontier = first.select("query_id", "id", "m.seed", "m.score", "m.turn")
+        entered = frontier.join(members, "id").groupBy("query_id", "group").agg(F.min_by(F.struct("seed", "score", "turn"), "turn").alias("m"))
+        met = entered.join(members, "group").join(visited, ["query_id", "id"], "left_anti")
+        first = met.groupBy("query_id", "id").agg(F.min_by("m", "m.turn").alias("m"))
+        frontier = first.select("query_id", "id", "m.seed", "m.score", F.concat("m.turn", F.array(turn(F.lit(0.0), F.col("id")))).alias("turn"))
         reached = frontier.select("query_id", "id", "seed", F.lit(hop).alias("hop"), F.round(F.col("score") * decay**hop, 6).alias("score"))
         out = reached if out is None else out.unionByName(reached)
         visited = visited.unionByName(frontier.select("query_id", "id"))
-    return out
+    return out if active is None else out.join(active.select("id"), "id", "left_semi")
 
 
 def max_normalised(scored: DataFrame) -> DataFrame:
@@ -176,3 +222,37 @@ def reranked(candidates: DataFrame, scores: DataFrame, k: int) -> DataFrame:
     """Candidates by an outside score (query_id, id, rerank); a score that is missing counts 0."""
     both = candidates.join(scores, ["query_id", "id"], "left").withColumn("rerank", F.coalesce("rerank", F.lit(0.0)))
     return top_k(both, k, positive=False, score="rerank")
+
+
+def plan_scores(vectors: DataFrame, nodes: DataFrame, k: int = RECALL_K) -> DataFrame:
+    """query_id, id, score: the best of each plan's query ``vectors`` (query_id, part, vector) on each node (id, vector), as
+    (cosine + 1) / 2; only rows that can be among a query's ``k`` best."""
+    kind = dict(vectors.dtypes)["query_id"]
+    parts = vectors.select(F.concat_ws(chr(1), "query_id", "part").alias("query_id"), "vector")
+    best = vector_scores(parts, nodes, k).withColumn("query_id", F.substring_index("query_id", chr(1), 1).cast(kind))
+    return best.groupBy("query_id", "id").agg(F.round((F.max("score") + 1) / 2, 7).alias("score"))
+
+
+def hybrid_retrieve(plans: DataFrame, vectors: DataFrame, nodes: DataFrame, node_vectors: DataFrame, rerank=None, k: int = 5, recall_k: int = RECALL_K, most: int = CANDIDATES, depth: int = DEPTH) -> DataFrame:
+    """query_id, id, score, rank, recall_score, sources, seed, hop of each query's ``k`` best memories.
+
+    ``plans``: query_id, query, rewritten_query, keywords, tags; ``vectors``: query_id, part, vector; ``nodes``: id, content,
+    tags, provenance, status; ``node_vectors``: id, vector.  BM25 (over query, rewritten query, keywords and tags, divided by the
+    best) and vectors each recall ``recall_k`` active nodes, metadata any number; all of them are seeds of the graph, where
+    archived nodes are bridges only.  The ``most`` best go to ``rerank(candidates)``, which gives query_id, id, rerank from
+    (query_id, id, rewritten_query, content); without one the recalled score counts.
+    """
+    active = nodes.where("status = 'active'")
+    asked = plans.select("query_id", F.concat_ws(" ", "query", "rewritten_query", F.array_join("keywords", " "), F.array_join("tags", " ")).alias("query"))
+    cut = lambda df: top_k(df, recall_k).select("query_id", "id", "score")
+    lexical = cut(max_normalised(bm25(asked, active)))
+    dense = cut(plan_scores(vectors, node_vectors.join(active.select("id"), "id", "left_semi"), recall_k))
+    recalled = checkpointed(fuse({"bm25": lexical, "embedding": dense, "metadata": metadata_matches(plans, active)}))
+    graph = checkpointed(expand(recalled.select("query_id", "id", "score"), memberships(nodes), depth, active=active))
+    reached = graph.select("query_id", "id", "score", F.array(F.lit("graph")).alias("sources"))
+    both = recalled.unionByName(reached).groupBy("query_id", "id").agg(F.round(F.max("score"), 7).alias("score"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("sources")))).alias("sources"))
+    few = top_k(both, most, positive=False).withColumnRenamed("score", "recall_score").drop("rank")
+    shown = few.join(plans.select("query_id", "rewritten_query"), "query_id").join(active.select("id", "content"), "id")
+    scores = few.select("query_id", "id", F.col("recall_score").alias("rerank")) if rerank is None else rerank(shown)
+    ranked = reranked(few, scores, k).withColumnRenamed("rerank", "score")
+    return ranked.join(graph.select("query_id", "id", "seed", "hop"), ["query_id", "id"], "left").select("query_id", "id", "score", "rank", "recall_score", "sources", "seed", F.coalesce("hop", F.lit(0)).alias("hop"))

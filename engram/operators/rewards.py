@@ -133,16 +133,95 @@ def compaction_valid(op: Column, targets: Column, neighbourhood: Column) -> Colu
     return (n > 0) & (F.size(F.array_except(targets, neighbourhood)) == 0) & ((op == "delete") | ((op == "merge") & (n >= 2)))
 
 
-def reward_summary(rows: DataFrame) -> DataFrame:
-    """One row of counts over ``attack_rewards``."""
+def attack_metrics(rows: DataFrame, p: AttackParams = AttackParams()) -> DataFrame:
+    """``attack_rewards`` as the full vector of metrics, 0 for what a stage doesn't come to; other columns stay in front.
+
+    Columns that already have a metric's name give way to it.
+    """
+    c, s = F.col, F.col("stage")
+    early = ["schema_invalid", "question_invalid", "multiple_questions", "metadata_leak", "id_leak"]
+    hard = ["answer_leak", "route_unfaithful", "gold_insufficient", "judge_unavailable"]
+    valid = ~s.isin(*early, "duplicate", "oracle_unavailable", "oracle_invalid")
+    judged = valid & ~s.isin(hard)
+    marked = text.has_question_mark(F.coalesce(c("question"), F.lit("")))
+    at = lambda when, value: F.when(when, F.coalesce(value.cast("double"), F.lit(0.0))).otherwise(0.0)
+    metrics = {
+        "score": c("score"), "reward_available": c("reward_available"), "schema_valid": at(s != "schema_invalid", F.lit(1)), "question_valid": at(~s.isin(early), F.lit(1)),
+        "question_mark": at(s != "schema_invalid", marked), "oracle_valid": at(valid, F.lit(1)), "gold_correctness": at(judged, c("gold")), "gold_pass": at(judged, c("gold") >= p.gold),
+        "memory_correctness": at(judged, c("memory")), "uncovered": at(judged, 1 - c("memory")), "uncovered_pass": at(judged, c("memory") < p.memory),
+        "parametric_correctness": at(judged, c("parametric")), "parametric_pass": at(judged, c("parametric") < p.parametric), "value": at(judged, c("value")), "value_pass": at(judged, c("value") >= p.value),
+        "novelty": at(judged, c("novelty")), "novelty_pass": at(judged, c("novelty") >= p.novelty), "route_fidelity": at(valid, c("fidelity")), "route_pass": at(valid, c("fidelity") >= p.route),
+        "attack_valid": at(s == "scored", F.lit(1)),
+    }
+    metrics["format_valid"] = metrics["schema_valid"]
+    return rows.select(*(f"`{n}`" for n in rows.columns if n not in metrics), *(value.alias(name) for name, value in metrics.items()))
+
+
+def builder_metrics(rows: DataFrame, p: BuilderParams = BuilderParams()) -> DataFrame:
+    """``builder_rewards`` as the full vector of metrics, as ``attack_metrics``."""
+    c, s = F.col, F.col("stage")
+    acted = ~s.isin("schema_invalid", "constraint_invalid", "action_invalid")
+    judged = acted & (s != "judge_unavailable")
+    kept = F.coalesce(F.array_min("retention"), F.lit(1.0))
+    at = lambda when, value: F.when(when, F.coalesce(value.cast("double"), F.lit(0.0))).otherwise(0.0)
+    metrics = {
+        "score": c("score"), "reward_available": at(s != "judge_unavailable", F.lit(1)), "schema_valid": at(s != "schema_invalid", F.lit(1)), "action_valid": at(acted, F.lit(1)),
+        "groundedness": at(judged, c("groundedness")), "after_correctness": at(judged, c("after")), "answer_pass": at(judged, c("after") >= p.answer), "action_quality": at(judged, c("action_quality")),
+        "memory_quality": at(judged, c("memory_quality")), "retention_min": at(judged, kept), "retention_pass": at(judged, kept >= p.retention), "growth": at(acted, c("growth")), "shrink": at(acted, c("shrink")),
+        "commit_valid": c("commit_valid"), "gain": at(judged, F.greatest(F.lit(0.0), c("after") - c("before"))),
+    }
+    metrics |= {"retention": metrics["retention_min"], "memory_cost": metrics["growth"]}
+    return rows.select(*(f"`{n}`" for n in rows.columns if n not in metrics), *(value.alias(name) for name, value in metrics.items()))
+
+
+def compute_score(solutions: DataFrame, context: DataFrame, p: AttackParams = AttackParams()) -> DataFrame:
+    """A trainer's reward hook: metrics of each of ``solutions`` (id, group_id, solution), ``context`` (id and the columns of
+    ``attack_rewards`` but question, error and duplicate; also identifiers and prior, an array of earlier questions)."""
+    both = solutions.join(context, "id").withColumn("question", text.parsed_question(F.col("solution")))
+    known = F.transform(F.coalesce("prior", F.array().cast("array<string>")), text.normal_question)
+    both = both.withColumn("error", text.question_error(F.col("question"), F.col("identifiers"))).withColumn("duplicate", F.coalesce(F.array_contains(known, text.normal_question(F.col("question"))), F.lit(False)))
+    return attack_metrics(attack_rewards(both, p), p).drop("solution", "identifiers", "prior")
+
+
+def reward_summary(metrics: DataFrame) -> DataFrame:
+    """One row of counts over ``attack_metrics``; batch_fallbacks counts the different batches whose oracle call failed whole
+    (a column batch_error, if there is one)."""
     n = lambda c: F.count_if(c)
-    s = F.col("stage")
-    return rows.agg(
-        F.count("*").alias("samples"), n(F.col("score") > 0).alias("positive"), n(F.col("score") == 0).alias("zero"), n(F.col("score") < 0).alias("negative"),
-        n(s == "oracle_unavailable").alias("oracle_unavailable"), n(s == "judge_unavailable").alias("judge_unavailable"), n(s == "scored").alias("attack_valid"),
+    off = F.col("reward_available") == 0
+    passes = ["schema_valid", "question_valid", "oracle_valid", "route_pass", "gold_pass", "parametric_pass", "uncovered_pass", "value_pass", "novelty_pass", "attack_valid"]
+    fallbacks = F.count_distinct("batch_error") if "batch_error" in metrics.columns else F.lit(0).cast("long")
+    return metrics.agg(
+        F.count("*").alias("samples"), n(F.col("score") > 0).alias("positive"), n(F.col("score") == 0).alias("neutral"), n(F.col("score") < 0).alias("negative"),
+        n(off & (F.col("oracle_valid") == 0)).alias("oracle_unavailable"), n(off & (F.col("oracle_valid") > 0)).alias("judge_unavailable"),
+        *(n(F.col(c) > 0).alias(c) for c in passes), fallbacks.alias("batch_fallbacks"),
     )
 
 
+def question_text(question: Column, answer: Column) -> Column:
+    """What novelty compares: the question with its answer."""
+    return F.concat(question, F.lit("\nAnswer: "), answer)
+
+
+def route_relevance(question: Column, evidence: Column) -> Column:
+    """The best cosine of a question's vector with the evidence's vectors, from 0 to 1."""
+    from engram.operators.retrieval import cosine
+
+    return clip(F.array_max(F.transform(evidence, lambda v: cosine(question, v))))
+
+
+def fanned_out(rows: DataFrame, evaluate) -> DataFrame:
+    """``rows`` (group_id, route_id, seq, question) with the columns that ``evaluate`` adds to a row.
+
+    Questions of a group and route with one normal form are evaluated once, by the first, and all get what came back.
+    """
+    key = ["group_id", "route_id", "_normal"]
+    normal = rows.withColumn("_normal", text.normal_question(F.col("question")))
+    firsts = normal.withColumn("_turn", F.row_number().over(Window.partitionBy(*key).orderBy("seq"))).where("_turn = 1").drop("_turn")
+    done = evaluate(firsts)
+    new = [c for c in done.columns if c not in firsts.columns]
+    return normal.join(done.select(*key, *new), key, "left").drop("_normal")
+
+
 def advantages(rows: DataFrame, by_std: bool = True, eps: float = 1e-6) -> DataFrame:
     """``rows`` (uid, score, available) with advantage: the score against its group's available ones; 0 if unavailable."""
     w = Window.partitionBy("uid")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from engram.functions import text
@@ -49,9 +49,65 @@ def committed(rows: DataFrame) -> DataFrame:
     return rows.withColumn("outcome", outcome).withColumn("pool", F.when(F.col("outcome") == "committed", "success").otherwise("high_priority"))
 
 
-def round_counters(rows: DataFrame) -> DataFrame:
-    """Outcomes of a round: counts by case."""
-    return rows.groupBy("case_id").agg(*(F.count_if(F.col("outcome") == o).alias(o) for o in ("success", "pending", "unavailable")))
+def round_counters(rows: DataFrame, edits: DataFrame | None = None) -> DataFrame:
+    """Outcomes of a round: counts by case; with ``edits`` (of ``committed``, and case_id) also committed and discarded ones."""
+    out = rows.groupBy("case_id").agg(*(F.count_if(F.col("outcome") == o).alias(o) for o in ("success", "pending", "unavailable")))
+    if edits is None:
+        return out
+    done = edits.groupBy("case_id").agg(F.count_if(F.col("outcome") == "committed").alias("committed"), F.count_if(F.col("outcome") != "committed").alias("discarded"))
+    return out.join(done, "case_id", "left").fillna(0, ["committed", "discarded"])
+
+
+def evaluated(questions: DataFrame, retrieve, judge, least: float = 0.8) -> DataFrame:
+    """``questions`` (question_id, question) with node_ids (in rank order), correctness, error and outcome.
+
+    ``retrieve(questions)`` gives question_id, id, rank; ``judge(rows)`` gives question_id, correctness, error from
+    question_id, question and node_ids.  A question that retrieves nothing isn't shown to the judge: its correctness is 0.
+    """
+    hits = retrieve(questions).groupBy("question_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "id"))), lambda h: h["id"]).alias("node_ids"))
+    both = questions.join(hits, "question_id", "left")
+    judged = both.where("node_ids is not null")
+    marks = judge(judged.select("question_id", "question", "node_ids")).select("question_id", F.col("correctness").alias("_c"), F.col("error").alias("error"))
+    out = both.join(marks, "question_id", "left").withColumn("correctness", F.when(F.col("node_ids").isNull(), 0.0).otherwise(F.col("_c"))).drop("_c")
+    return defended(out, least)
+
+
+def commit_round(nodes: DataFrame, pending: DataFrame, actions: DataFrame, retrieve) -> tuple[DataFrame, DataFrame]:
+    """(nodes after the round's edits, outcomes) of one edit a case.
+
+    ``pending``: case_id, question_id, question, commit_valid, score; ``actions``: as for ``store.apply_actions``;
+    ``retrieve(pending, nodes)`` gives case_id, question_id, id, rank over the nodes as they would be.  Edits that are valid and score
+    above 0 are tried; if the question then retrieves a memory the edit stays and its question is bound to what was
+    retrieved, else the case's nodes stay as they were and the question waits.
+    """
+    from engram.operators import store
+
+    good = pending.where(F.col("commit_valid") & (F.col("score") > 0))
+    tried = store.apply_actions(nodes, actions.join(good.select("case_id", "question_id"), ["case_id", "question_id"], "left_semi"))
+    hits = retrieve(good, tried).groupBy("case_id", "question_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "id"))), lambda h: h["id"]).alias("node_ids"))
+    outcomes = committed(pending.join(hits, ["case_id", "question_id"], "left").withColumn("n_retrieved", F.coalesce(F.size("node_ids"), F.lit(0))))
+    kept = outcomes.where("outcome = 'committed'")
+    after = tried.join(kept.select("case_id"), "case_id", "left_semi").unionByName(nodes.join(kept.select("case_id"), "case_id", "left_anti"))
+    binds = outcomes.select("case_id", "question_id", F.lit(0).alias("seq"), F.when(F.col("outcome") == "committed", F.col("node_ids")).otherwise(F.array().cast("array<string>")).alias("node_ids"))
+    return store.bind_questions(after, binds), outcomes
+
+
+def frozen_contexts(routes: DataFrame, nodes: DataFrame, ledger: DataFrame, versions: DataFrame) -> DataFrame:
+    """``routes`` (case_id, route and more) with what a reward may look at later: memory_version, memory_nodes and
+    prior_questions (question, answer in ledger order), as they are now."""
+    held = nodes.groupBy("case_id").agg(F.array_sort(F.collect_list(F.struct("id", *(c for c in nodes.columns if c not in ("case_id", "id"))))).alias("memory_nodes"))
+    prior = ledger.groupBy("case_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "question", "answer"))), lambda x: x.dropFields("place")).alias("prior_questions"))
+    return routes.join(versions, "case_id", "left").join(held, "case_id", "left").join(prior, "case_id", "left")
+
+
+def thawed_nodes(contexts: DataFrame) -> DataFrame:
+    """case_id, route and the memory nodes that ``frozen_contexts`` holds, a row each."""
+    return contexts.select("case_id", "route", F.inline("memory_nodes"))
+
+
+def guarded(routes: DataFrame) -> DataFrame:
+    """``routes`` without the records' questions and answers, which must not reach the question writer."""
+    return routes.drop("question", "answer")
 
 
 def question_id(route: Column, question: Column) -> Column:
@@ -75,6 +131,16 @@ def replayed(high_priority: DataFrame, success: DataFrame, archive: DataFrame, m
     return both.withColumnRenamed("item", "question_id")
 
 
+def kept_questions(linked: DataFrame, pool: DataFrame, archive: DataFrame, most: int = 4) -> DataFrame:
+    """case_id, question_id, place: questions that an edit must not break.  ``linked`` (case_id, question_id, seq) to its
+    targets come first, then the ``most`` first of the success ``pool``, each once; those the archive lacks are left out."""
+    early = pool.withColumn("_k", F.row_number().over(Window.partitionBy("case_id").orderBy("seq"))).where(F.col("_k") <= most)
+    part = lambda df, p: df.select("case_id", "question_id", F.struct(F.lit(p).alias("p"), F.col("seq").cast("long").alias("seq")).alias("turn"))
+    both = part(linked, 0).unionByName(part(early, 1)).groupBy("case_id", "question_id").agg(F.min("turn").alias("turn"))
+    known = both.join(archive.select("case_id", "question_id"), ["case_id", "question_id"], "left_semi")
+    return known.select("case_id", "question_id", F.row_number().over(Window.partitionBy("case_id").orderBy("turn", "question_id")).alias("place"))
+
+
 def run_rounds(spark: SparkSession, folder: str, state: dict[str, DataFrame], step: Callable[[dict[str, DataFrame], int], dict[str, DataFrame]], rounds: int) -> dict[str, DataFrame]:
     """Apply ``step`` to the state tables round by round, each from the checkpoint of the one before.
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from engram.functions.text import COMPARISON_DIMENSIONS, STATE_TERMS, TRANSITION_TERMS
 
+from . import collection, state
+
 UPPER_WORD, WORD = r"[^\p{L}\p{N}_]", r"[^\p{L}\p{N}_]+"
 TOKEN = r"[a-z0-9]+|[\x{4e00}-\x{9fff}]"
 
@@ -50,7 +52,7 @@ def _dimension(name: str, terms: list[str]) -> str:
 DIMENSIONS = "list_filter([" + ", ".join(_dimension(n, t) for n, t in COMPARISON_DIMENSIONS.items()) + "], lambda x: x IS NOT NULL)"
 
 BM25 = f"""
-d AS (SELECT doc_id AS id, regexp_extract_all(lower(text), '{TOKEN}') AS t, lang, source FROM documents),
+d AS (SELECT doc_id AS id, regexp_extract_all(lower(concat_ws(' ', text, lang, source)), '{TOKEN}') AS t FROM documents),
 n AS (SELECT count(*) AS n, avg(len(t)) AS a FROM d),
 q AS (SELECT DISTINCT item_id AS query_id, unnest(regexp_extract_all(lower(text), '{TOKEN}')) AS term FROM benchmark),
 tf AS (SELECT id, term, any_value(l) AS l, count(*) AS tf FROM (SELECT id, len(t) AS l, unnest(t) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY id, term),
@@ -60,26 +62,53 @@ bm AS (SELECT query_id, id, round(sum(ln(1 + (n.n - df.df + 0.5) / (df.df + 0.5)
 bmr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM bm)"""
 
 PLANS = f"""
-plans AS (SELECT item_id AS query_id, regexp_extract_all(lower(text), '{TOKEN}')[1] AS word, 'src' || CAST(item_id % 20 AS VARCHAR) AS tag FROM benchmark),
-md AS (SELECT query_id, doc_id AS id, 1.0::DOUBLE AS score FROM plans, documents WHERE lower(lang) = tag OR lower(source) = tag OR contains(lower(text), word))"""
+plans AS (SELECT item_id AS query_id, list_distinct(list_filter(regexp_extract_all(lower(text), '{TOKEN}'), lambda w: length(w) >= 8)) AS words, 'src' || CAST(item_id % 20 AS VARCHAR) AS tag FROM benchmark),
+kw AS (SELECT query_id, unnest(words) AS word FROM plans),
+md AS (
+  SELECT query_id, doc_id AS id, 1.0::DOUBLE AS score FROM plans JOIN documents ON lower(lang) = tag OR lower(source) = tag
+  UNION SELECT query_id, doc_id, 1.0 FROM kw JOIN documents ON contains(lower(text), word))"""
 
-NEAR = "near AS (SELECT a.doc_id AS a, b.doc_id AS b FROM documents a JOIN documents b ON CAST(floor(a.doc_id / 4.0) AS BIGINT) = CAST(floor(b.doc_id / 4.0) AS BIGINT) AND a.doc_id <> b.doc_id)"
+NEAR = "near AS (SELECT a.doc_id AS a, b.doc_id AS b FROM documents a JOIN documents b ON a.source = b.source AND a.doc_id <> b.doc_id)"
 
 
 def _expand(seeds: str, name: str) -> str:
     return f"""
 {name}_m AS (SELECT s.query_id, near.b AS id, s.id AS seed, s.score, row_number() OVER (PARTITION BY s.query_id, near.b ORDER BY s.score DESC, s.id) AS turn
-  FROM {seeds} s JOIN near ON s.id = near.a WHERE NOT EXISTS (SELECT 1 FROM {seeds} x WHERE x.query_id = s.query_id AND x.id = near.b)),
+  FROM {seeds} s JOIN near ON s.id = near.a WHERE (s.query_id, near.b) NOT IN (SELECT (x.query_id, x.id) FROM {seeds} x)),
 {name} AS (SELECT query_id, id, seed, 1 AS hop, round(score * 0.8, 6) AS score FROM {name}_m WHERE turn = 1)"""
 
 
+HYBRID = f"""{PLANS}, {NEAR},
+act AS (SELECT * FROM documents WHERE doc_id % 10 <> 9),
+d AS (SELECT doc_id AS id, regexp_extract_all(lower(concat_ws(' ', text, lang, source)), '{TOKEN}') AS t FROM act),
+n AS (SELECT count(*) AS n, avg(len(t)) AS a FROM d),
+q AS (SELECT DISTINCT item_id AS query_id, unnest(regexp_extract_all(lower(text || ' src' || CAST(item_id % 20 AS VARCHAR)), '{TOKEN}')) AS term FROM benchmark),
+tf AS (SELECT id, term, any_value(l) AS l, count(*) AS tf FROM (SELECT id, len(t) AS l, unnest(t) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY id, term),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+bm AS (SELECT query_id, id, round(sum(ln(1 + (n.n - df.df + 0.5) / (df.df + 0.5)) * tf.tf * 2.5 / (tf.tf + 1.5 * (1 - 0.75 + 0.75 * tf.l / n.a))), 6) AS score
+  FROM q JOIN tf USING (term) JOIN df USING (term), n GROUP BY query_id, id),
+lexall AS (SELECT query_id, id, CASE WHEN max(score) OVER (PARTITION BY query_id) > 0 THEN score / max(score) OVER (PARTITION BY query_id) ELSE 0 END AS score FROM bm),
+ne AS (SELECT count(*) AS n FROM embeddings),
+nv AS (SELECT act.doc_id AS id, CAST(e.embedding AS DOUBLE[]) AS v FROM act, ne JOIN embeddings e ON e.vec_id = act.doc_id % ne.n),
+qv AS (SELECT b.item_id AS query_id, CAST(e.embedding AS DOUBLE[]) AS v FROM (SELECT item_id, unnest([0, 1]) AS part FROM benchmark) b, ne JOIN embeddings e ON e.vec_id = (b.item_id + b.part) % ne.n),
+vecall AS (SELECT query_id, id, round((max(round(list_cosine_similarity(qv.v, nv.v), 6)) + 1) / 2, 7) AS score FROM qv, nv GROUP BY query_id, id),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY src, query_id ORDER BY score DESC, id) AS rank FROM (SELECT *, 'bm25' AS src FROM lexall UNION ALL SELECT *, 'embedding' FROM vecall)),
+channels AS (SELECT query_id, id, score, src FROM ranked WHERE rank <= 20 AND score > 0 UNION ALL SELECT md.*, 'metadata' FROM md JOIN act ON md.id = act.doc_id),
+seeds AS (SELECT query_id, id, max(score) AS score FROM channels GROUP BY query_id, id), {_expand('seeds', 'ex')},
+fused AS (
+  SELECT query_id, id, round(max(score), 7) AS recall_score, array_to_string(list_sort(list(DISTINCT src)), ',') AS sources
+  FROM (SELECT * FROM channels UNION ALL SELECT query_id, id, score, 'graph' FROM ex WHERE id % 10 <> 9) GROUP BY query_id, id),
+few AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY recall_score DESC, id) AS rank FROM fused QUALIFY rank <= 40)"""
+
 COSINES = "cos AS (SELECT q.vec_id AS query_id, e.vec_id AS id, round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])), 6) AS score FROM embeddings q, embeddings e WHERE q.vec_id < 5)"
 
 QUESTIONS = """
+c0 AS (SELECT conv_id, turn, coalesce(text, '') AS said, lag(coalesce(text, '')) OVER (PARTITION BY conv_id ORDER BY turn, role, coalesce(text, '')) AS before FROM conversations),
 qs AS (
   SELECT conv_id, turn, CASE WHEN conv_id % 5 = 0 THEN 'Which memory is ' WHEN conv_id % 5 = 1 THEN 'what of C' || conv_id || ' ' ELSE 'memorial ' END
-    || substring(text, 1, 40) || CASE turn % 3 WHEN 0 THEN '??' WHEN 1 THEN ' ?' ELSE '.' END AS question, 'c' || conv_id AS node, substring(text, 3, 10) AS answer
-  FROM conversations WHERE text IS NOT NULL)"""
+    || said || CASE turn % 3 WHEN 0 THEN '??' WHEN 1 THEN ' ?' ELSE '.' END AS question, 'c' || conv_id AS node, CASE WHEN turn % 4 = 0 THEN said ELSE coalesce(before, '') END AS answer
+  FROM c0)"""
 
 
 def _fold(c: str) -> str:
@@ -128,9 +157,51 @@ a3 AS (
     WHEN 'judge_unavailable' THEN 0.0 WHEN 'scored' THEN greatest(-1.0, least(1.0, 0.4 * (1 - memory) + 0.25 * val + 0.2 * novelty + 0.15 * fidelity) - pen)
     ELSE greatest(-1.0, worst.score - pen) END::DOUBLE, 6) AS score FROM a2)"""
 
+BUILDER = """
+b0 AS (
+  SELECT event_id AS k, event_id % 4 AS o, round((event_id * 7 % 101) / 100, 2) AS bef, round(0.55::DOUBLE + 0.45::DOUBLE * (event_id * 5 % 101) / 100, 2) AS aft, round(0.55::DOUBLE + 0.45::DOUBLE * (event_id * 3 % 101) / 100, 2) AS g,
+    round(0.55::DOUBLE + 0.45::DOUBLE * (event_id * 11 % 101) / 100, 2) AS aq, round(0.55::DOUBLE + 0.45::DOUBLE * (event_id * 13 % 101) / 100, 2) AS mq,
+    CASE WHEN event_id % 2 = 0 THEN least(round(0.55::DOUBLE + 0.45::DOUBLE * (event_id * 17 % 101) / 100, 2), round(0.55::DOUBLE + 0.45::DOUBLE * (event_id * 19 % 101) / 100, 2)) ELSE 1.0 END::DOUBLE AS kept,
+    least(1.0, greatest(0, event_id * 3 % 50 - event_id % 50) / greatest(1, event_id % 20)::DOUBLE) AS growth, least(1.0, greatest(0, event_id % 50 - event_id * 3 % 50) / greatest(1, event_id % 50)::DOUBLE) AS shrink FROM events),
+b1 AS (SELECT *, CASE o WHEN 0 THEN k % 140 BETWEEN 1 AND 128 WHEN 1 THEN k % 6 < 5 AND k % 140 BETWEEN 1 AND 128 WHEN 2 THEN k % 6 < 5 ELSE true END AS sem,
+  list_min(list_filter([CASE WHEN g < 0.8::DOUBLE THEN g / 0.8::DOUBLE - 1 END, CASE WHEN aft < 0.8::DOUBLE THEN aft / 0.8::DOUBLE - 1 END, CASE WHEN aq < 0.6::DOUBLE THEN aq / 0.6::DOUBLE - 1 END, CASE WHEN mq < 0.6::DOUBLE THEN mq / 0.6::DOUBLE - 1 END, CASE WHEN kept < 0.8::DOUBLE THEN kept / 0.8::DOUBLE - 1 END], lambda x: x IS NOT NULL)) AS worst FROM b0),
+b2 AS (SELECT *, CASE WHEN k % 19 = 0 THEN 'schema_invalid' WHEN k % 23 = 0 THEN 'constraint_invalid' WHEN NOT sem THEN 'action_invalid' WHEN k % 29 = 0 THEN 'judge_unavailable' WHEN worst IS NOT NULL THEN 'failed' ELSE 'scored' END AS stage FROM b1),
+b3 AS (SELECT *, k AS event_id, round(CASE stage WHEN 'schema_invalid' THEN -1.0 WHEN 'constraint_invalid' THEN -0.8 WHEN 'action_invalid' THEN -0.7 WHEN 'judge_unavailable' THEN 0.0 WHEN 'failed' THEN worst
+  ELSE least(1.0, greatest(0.0, 0.7 * greatest(0.0, aft - bef) + 0.2 * (aq + mq) / 2 + 0.1 * shrink - 0.1 * growth)) END::DOUBLE, 6) AS score, CASE WHEN stage = 'scored' THEN 1.0 ELSE 0.0 END::DOUBLE AS commit_valid FROM b2)"""
+
+EARLY = "('schema_invalid', 'question_invalid', 'multiple_questions', 'metadata_leak', 'id_leak')"
+ATTACK_METRICS = f"""
+af AS (
+  SELECT *, stage <> 'schema_invalid' AS parsed, stage NOT IN {EARLY} AS asked,
+    stage NOT IN {EARLY} AND stage NOT IN ('duplicate', 'oracle_unavailable', 'oracle_invalid') AS ok,
+    stage NOT IN {EARLY} AND stage NOT IN ('duplicate', 'oracle_unavailable', 'oracle_invalid', 'answer_leak', 'route_unfaithful', 'gold_insufficient', 'judge_unavailable') AS seen FROM a3),
+am AS (
+  SELECT k, k AS event_id, stage, score, CASE WHEN stage IN ('oracle_unavailable', 'judge_unavailable') THEN 0.0 ELSE 1.0 END::DOUBLE AS reward_available,
+    parsed::INT::DOUBLE AS schema_valid, parsed::INT::DOUBLE AS format_valid, asked::INT::DOUBLE AS question_valid, (parsed AND k % 2 = 0)::INT::DOUBLE AS question_mark, ok::INT::DOUBLE AS oracle_valid,
+    CASE WHEN seen THEN gold ELSE 0 END::DOUBLE AS gold_correctness, (seen AND gold >= 0.8::DOUBLE)::INT::DOUBLE AS gold_pass,
+    CASE WHEN seen THEN memory ELSE 0 END::DOUBLE AS memory_correctness, round(CASE WHEN seen THEN 1 - memory ELSE 0 END::DOUBLE, 6) AS uncovered, (seen AND memory < 0.8::DOUBLE)::INT::DOUBLE AS uncovered_pass,
+    CASE WHEN seen THEN parametric ELSE 0 END::DOUBLE AS parametric_correctness, (seen AND parametric < 0.8::DOUBLE)::INT::DOUBLE AS parametric_pass,
+    CASE WHEN seen THEN val ELSE 0 END::DOUBLE AS value, (seen AND val >= 0.5::DOUBLE)::INT::DOUBLE AS value_pass,
+    round(CASE WHEN seen THEN novelty ELSE 0 END::DOUBLE, 6) AS novelty, (seen AND novelty >= 0.2::DOUBLE)::INT::DOUBLE AS novelty_pass,
+    CASE WHEN ok THEN fidelity ELSE 0 END::DOUBLE AS route_fidelity, (ok AND fidelity >= 0.8)::INT::DOUBLE AS route_pass, (stage = 'scored')::INT::DOUBLE AS attack_valid FROM af)"""
+
 MARK_CLASS = "[.!。！]+$"
 
-SQL = {
+_MODES = f"""WITH {GRAPH},
+dim AS (SELECT case_id, id, unnest({DIMENSIONS}) AS dimension FROM active),
+u AS (SELECT atf.*, dim.dimension FROM atf JOIN dim ON atf.case_id = dim.case_id AND atf.fact = dim.id),
+f AS (SELECT case_id, id, status, chat_time, tags, lower(concat_ws(' ', nullif(key, ''), memory, array_to_string(tags, ' '))) AS text FROM nodes WHERE type = 'fact'),
+tp AS (SELECT e.case_id, ' ' || t.text || ' ' AS padded, list_intersect(s.tags, t.tags) AS shared
+  FROM edges e JOIN f s ON e.case_id = s.case_id AND e.source = s.id AND s.status = 'archived' JOIN f t ON e.case_id = t.case_id AND e.target = t.id AND t.status = 'activated' WHERE e.type = 'MERGED_TO' AND t.chat_time > s.chat_time),
+mc AS (
+  SELECT case_id, 'single_fact' AS mode, 1 AS k FROM active UNION ALL SELECT case_id, 'same_topic', len(walk) FROM walks
+  UNION ALL SELECT case_id, 'temporal_evolution', 2 FROM tp WHERE {_any("padded", TRANSITION_TERMS)} AND (len(shared) > 0 OR {_any("padded", STATE_TERMS)})
+  UNION ALL SELECT a.case_id, 'comparison', 3 FROM u a JOIN u b ON a.case_id = b.case_id AND a.topic = b.topic AND a.dimension = b.dimension AND a.fact < b.fact)
+SELECT case_id, mode, count(*) AS n, CAST(sum(k) AS BIGINT) AS steps FROM mc GROUP BY ALL"""
+
+SQL = collection.SQL | state.build(GRAPH, EDITS, TOKEN) | {
+    "bundle_sources": collection._bundle_sql(GRAPH),
+    "mode_candidates": _MODES,
     "case_summary": f"""WITH {GRAPH}
 SELECT n.*, coalesce(e.edges, 0) AS edges, coalesce(e.parent, 0) AS parent, coalesce(e.merged_to, 0) AS merged_to FROM (
   SELECT case_id, count(*) AS nodes, count(*) FILTER (status = 'activated') AS activated, count(*) FILTER (status = 'archived') AS archived, count(*) FILTER (type = 'fact') AS fact, count(*) FILTER (type = 'topic') AS topic FROM nodes GROUP BY case_id) n
@@ -159,27 +230,28 @@ SELECT a.case_id, a.topic, a.fact AS fact_a, b.fact AS fact_b, a.dimension FROM
     "walk_signature": f"""WITH {GRAPH}
 SELECT case_id, topic, array_to_string(walk, '>') AS walk, substring(sha256(case_id || '|same_topic||' || array_to_string(walk, '|')), 1, 20) AS signature FROM walks""",
     "walk_directions": f"""WITH {GRAPH},
-known AS (SELECT case_id, a, b, type, max(direction) AS direction FROM (
-  SELECT case_id, source AS a, target AS b, type, 'forward' AS direction FROM edges UNION ALL SELECT case_id, target, source, type, 'reverse' FROM edges) GROUP BY ALL),
+every AS (SELECT * FROM edges UNION ALL SELECT case_id, target, source, type FROM edges WHERE type = 'PARENT' AND length(source || target) % 2 = 0),
+turns AS (
+  SELECT case_id, source AS a, target AS b, type, 'forward' AS direction, source AS s, target AS t, 0 AS back FROM every
+  UNION ALL SELECT case_id, target, source, type, 'reverse', source, target, 1 FROM every),
+known AS (SELECT case_id, a, b, type, direction FROM turns QUALIFY row_number() OVER (PARTITION BY case_id, a, b, type ORDER BY s DESC, t DESC, back DESC) = 1),
 steps AS (SELECT case_id, topic AS route, k - 1 AS step, walk[k] AS from_id, walk[k + 1] AS to_id FROM (SELECT *, unnest(range(1, len(walk))) AS k FROM walks))
 SELECT s.case_id, s.from_id, s.to_id, s.route, CAST(s.step AS INTEGER) AS step, known.type, known.direction FROM steps s JOIN known ON s.case_id = known.case_id AND s.from_id = known.a AND s.to_id = known.b""",
     "source_dedup": """SELECT conv_id % 20 AS route, conv_id || ':' || turn AS source_id,
 first_value(conv_id || ':' || turn) OVER (PARTITION BY conv_id % 20, role, coalesce(text, '') ORDER BY conv_id, turn) AS canonical_id FROM conversations""",
     "token_counts": rf"SELECT doc_id AS id, CAST(len(regexp_extract_all(coalesce(text, ''), '[a-zA-Z0-9]+|[\x{{4e00}}-\x{{9fff}}]')) AS BIGINT) AS tokens FROM documents",
-    "doc_freq": f"SELECT term, count(DISTINCT id) AS df FROM (SELECT doc_id AS id, unnest(regexp_extract_all(lower(text), '{TOKEN}')) AS term FROM documents) GROUP BY term",
+    "doc_freq": f"SELECT term, count(DISTINCT id) AS df FROM (SELECT doc_id AS id, unnest(regexp_extract_all(lower(concat_ws(' ', text, lang, source)), '{TOKEN}')) AS term FROM documents) GROUP BY term",
     "bm25_topk": f"WITH {BM25} SELECT query_id, id, score, CAST(rank AS INTEGER) AS rank FROM bmr WHERE rank <= 20 AND score > 0",
     "vector_topk": f"WITH {COSINES} SELECT query_id, id, score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM cos) WHERE rank <= 20 AND score > 0",
     "metadata_match": f"WITH {PLANS} SELECT * FROM md",
     "provenance_neighbours": """WITH p AS (SELECT 'c' || c_custkey AS id, CAST(floor(c_custkey / 7.0) AS BIGINT) AS m FROM customer)
 SELECT a.id AS a, b.id AS b FROM p a JOIN p b ON a.m = b.m AND a.id <> b.id""",
     "graph_expand": f"WITH {BM25}, {NEAR}, seeds AS (SELECT * FROM bmr WHERE rank <= 5 AND score > 0), {_expand('seeds', 'ex')} SELECT * FROM ex",
-    "hybrid_fusion": f"""WITH {BM25}, {PLANS}, {NEAR},
-lex AS (SELECT query_id, id, CASE WHEN max(score) OVER (PARTITION BY query_id) > 0 THEN score / max(score) OVER (PARTITION BY query_id) ELSE 0 END AS score FROM bmr WHERE rank <= 20 AND score > 0),
-f1 AS (SELECT query_id, id, max(score) AS score FROM (SELECT * FROM lex UNION ALL SELECT * FROM md) GROUP BY query_id, id),
-seeds AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM f1) WHERE rank <= 5 AND score > 0), {_expand('seeds', 'ex')},
-f2 AS (SELECT query_id, id, round(max(score), 6) AS score, array_to_string(list_sort(list(DISTINCT src)), ',') AS sources FROM (
-  SELECT *, 'bm25' AS src FROM lex UNION ALL SELECT *, 'metadata' FROM md UNION ALL SELECT query_id, id, score, 'graph' FROM ex) GROUP BY query_id, id)
-SELECT query_id, id, score, CAST(rank AS INTEGER) AS rank, sources FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM f2) WHERE rank <= 40 AND score > 0""",
+    "hybrid_fusion": f"WITH {HYBRID} SELECT query_id, id, recall_score AS score, CAST(rank AS INTEGER) AS rank, sources FROM few",
+    "hybrid_retrieve": f"""WITH {HYBRID},
+rr AS (SELECT few.* EXCLUDE (rank), round((length(text) % 97) / 97.0::DOUBLE, 6) AS score FROM few JOIN documents ON doc_id = id),
+r5 AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INTEGER) AS rank FROM rr)
+SELECT r5.query_id, r5.id, r5.score, r5.rank, r5.recall_score, r5.sources, ex.seed, coalesce(ex.hop, 0) AS hop FROM r5 LEFT JOIN ex ON r5.query_id = ex.query_id AND r5.id = ex.id AND ex.id % 10 <> 9 WHERE r5.rank <= 5""",
     "question_constraints": f"""WITH {QUESTIONS}
 SELECT conv_id, turn, CASE WHEN question = '' THEN 'question_invalid' WHEN len(regexp_extract_all(question, '[?？]')) > 1 THEN 'multiple_questions'
   WHEN regexp_matches(question, '(?i)(^|{UPPER_WORD})(route|evidence|facts?|nodes?|memory|context|ids?|instructions?)({UPPER_WORD}|$)') THEN 'metadata_leak'
@@ -187,29 +259,42 @@ SELECT conv_id, turn, CASE WHEN question = '' THEN 'question_invalid' WHEN len(r
     "question_forms": f"""WITH {QUESTIONS}
 SELECT conv_id, turn, {_normal("question")} AS normal, CASE WHEN regexp_matches(question, '[?？]$') THEN question ELSE regexp_replace(question, '{MARK_CLASS}', '') || '?' END AS marked,
   {_plain("answer")} <> '' AND contains(' ' || {_plain("question")} || ' ', ' ' || {_plain("answer")} || ' ') AS leaked, turn % 2 = 0 AS abstained FROM qs""",
-    "duplicate_antijoin": f"""WITH {QUESTIONS}, q AS (SELECT conv_id % 7 AS group_id, conv_id * 100 + turn AS seq, {_normal("substring(question, 1, 14)")} AS normal FROM qs)
-SELECT group_id, seq, EXISTS (SELECT 1 FROM q k WHERE k.seq % 11 = 0 AND k.group_id = q.group_id AND k.normal = q.normal) OR row_number() OVER (PARTITION BY group_id, normal ORDER BY seq) > 1 AS duplicate FROM q""",
+    "duplicate_antijoin": f"""WITH {QUESTIONS}, q AS (SELECT conv_id % 7 AS group_id, conv_id * 100 + turn AS seq, turn, {_normal("question")} AS normal FROM qs)
+SELECT group_id, seq, EXISTS (SELECT 1 FROM q k WHERE k.turn = 0 AND k.group_id = q.group_id AND k.normal = q.normal) OR row_number() OVER (PARTITION BY group_id, normal ORDER BY seq) > 1 AS duplicate FROM q WHERE turn > 0""",
     "route_fidelity": f"""SELECT o_orderkey, {MODE4}[o_orderkey % 4 + 1] AS mode, least(1.0, (
   CAST(o_orderkey % 5 IN (o_orderkey % 4, o_orderkey % 6) OR o_orderkey % 3 IN (o_orderkey % 4, o_orderkey % 6) AS INTEGER) + CAST(o_orderkey % 7 IN (o_orderkey % 4, o_orderkey % 6) AS INTEGER))
   / CASE WHEN o_orderkey % 4 = 0 THEN 1.0 ELSE 2.0 END)::DOUBLE AS fidelity FROM orders""",
     "attacker_reward": f"WITH {ATTACKS} SELECT k AS event_id, stage, score, CASE WHEN stage IN ('oracle_unavailable', 'judge_unavailable') THEN 0.0 ELSE 1.0 END::DOUBLE AS reward_available FROM a3",
-    "reward_summary": f"""WITH {ATTACKS} SELECT count(*) AS samples, count(*) FILTER (score > 0) AS positive, count(*) FILTER (score = 0) AS zero, count(*) FILTER (score < 0) AS negative,
-  count(*) FILTER (stage = 'oracle_unavailable') AS oracle_unavailable, count(*) FILTER (stage = 'judge_unavailable') AS judge_unavailable, count(*) FILTER (stage = 'scored') AS attack_valid FROM a3""",
-    "builder_reward": """WITH b0 AS (
-  SELECT event_id AS k, event_id % 4 AS o, round((event_id * 7 % 101) / 100, 2) AS bef, round(0.55::DOUBLE + 0.45::DOUBLE * (event_id * 5 % 101) / 100, 2) AS aft, round(0.55::DOUBLE + 0.45::DOUBLE * (event_id * 3 % 101) / 100, 2) AS g,
-    round(0.55::DOUBLE + 0.45::DOUBLE * (event_id * 11 % 101) / 100, 2) AS aq, round(0.55::DOUBLE + 0.45::DOUBLE * (event_id * 13 % 101) / 100, 2) AS mq,
-    CASE WHEN event_id % 2 = 0 THEN least(round(0.55::DOUBLE + 0.45::DOUBLE * (event_id * 17 % 101) / 100, 2), round(0.55::DOUBLE + 0.45::DOUBLE * (event_id * 19 % 101) / 100, 2)) ELSE 1.0 END::DOUBLE AS kept,
-    least(1.0, greatest(0, event_id * 3 % 50 - event_id % 50) / greatest(1, event_id % 20)::DOUBLE) AS growth, least(1.0, greatest(0, event_id % 50 - event_id * 3 % 50) / greatest(1, event_id % 50)::DOUBLE) AS shrink FROM events),
-b1 AS (SELECT *, CASE o WHEN 0 THEN k % 140 BETWEEN 1 AND 128 WHEN 1 THEN k % 6 < 5 AND k % 140 BETWEEN 1 AND 128 WHEN 2 THEN k % 6 < 5 ELSE true END AS sem,
-  list_min(list_filter([CASE WHEN g < 0.8::DOUBLE THEN g / 0.8::DOUBLE - 1 END, CASE WHEN aft < 0.8::DOUBLE THEN aft / 0.8::DOUBLE - 1 END, CASE WHEN aq < 0.6::DOUBLE THEN aq / 0.6::DOUBLE - 1 END, CASE WHEN mq < 0.6::DOUBLE THEN mq / 0.6::DOUBLE - 1 END, CASE WHEN kept < 0.8::DOUBLE THEN kept / 0.8::DOUBLE - 1 END], lambda x: x IS NOT NULL)) AS worst FROM b0),
-b2 AS (SELECT *, CASE WHEN k % 19 = 0 THEN 'schema_invalid' WHEN k % 23 = 0 THEN 'constraint_invalid' WHEN NOT sem THEN 'action_invalid' WHEN k % 29 = 0 THEN 'judge_unavailable' WHEN worst IS NOT NULL THEN 'failed' ELSE 'scored' END AS stage FROM b1)
-SELECT k AS event_id, stage, round(CASE stage WHEN 'schema_invalid' THEN -1.0 WHEN 'constraint_invalid' THEN -0.8 WHEN 'action_invalid' THEN -0.7 WHEN 'judge_unavailable' THEN 0.0 WHEN 'failed' THEN worst
-  ELSE least(1.0, greatest(0.0, 0.7 * greatest(0.0, aft - bef) + 0.2 * (aq + mq) / 2 + 0.1 * shrink - 0.1 * growth)) END::DOUBLE, 6) AS score, CASE WHEN stage = 'scored' THEN 1.0 ELSE 0.0 END::DOUBLE AS commit_valid FROM b2""",
+    "attack_metrics": f"WITH {ATTACKS}, {ATTACK_METRICS} SELECT * EXCLUDE (k) FROM am",
+    "reward_summary": f"""WITH {ATTACKS}, {ATTACK_METRICS}
+SELECT count(*) AS samples, count(*) FILTER (score > 0) AS positive, count(*) FILTER (score = 0) AS neutral, count(*) FILTER (score < 0) AS negative,
+  count(*) FILTER (stage = 'oracle_unavailable') AS oracle_unavailable, count(*) FILTER (stage = 'judge_unavailable') AS judge_unavailable,
+  {", ".join(f"count(*) FILTER ({c} > 0) AS {c}" for c in ("schema_valid", "question_valid", "oracle_valid", "route_pass", "gold_pass", "parametric_pass", "uncovered_pass", "value_pass", "novelty_pass", "attack_valid"))},
+  count(DISTINCT CASE WHEN k % 37 = 0 THEN k // 1000 END) AS batch_fallbacks FROM am""",
+    "builder_reward": f"WITH {BUILDER} SELECT event_id, stage, score, commit_valid FROM b3",
     "grpo_advantage": """WITH w AS (SELECT event_id, user_id, value, event_type <> 'error' AS ok, CASE WHEN event_type <> 'error' THEN value END AS s FROM events),
 g AS (SELECT *, count(s) OVER (PARTITION BY user_id) AS n, avg(s) OVER (PARTITION BY user_id) AS m, stddev_samp(s) OVER (PARTITION BY user_id) AS sd FROM w)
 SELECT event_id, round(CASE WHEN NOT ok OR n = 1 THEN 0.0 ELSE (value - m) / (sd + 1e-6) END, 6) AS advantage FROM g""",
     "novelty": f"WITH {COSINES} SELECT query_id, round(least(1.0, greatest(0.0, (0.92::DOUBLE - max(score)) / (0.92::DOUBLE - 0.75::DOUBLE))), 6) AS novelty FROM cos WHERE query_id <> id GROUP BY query_id",
     "memory_versions": f"WITH {EDITS} SELECT case_id, seq, op, CAST(sum(CASE WHEN op <> 'noop' THEN 1 ELSE 0 END) OVER (PARTITION BY case_id ORDER BY seq) AS BIGINT) AS version FROM ed",
+    "edit_fold": f"""WITH {EDITS},
+a AS (SELECT *, count(*) FILTER (op = 'add') OVER (PARTITION BY case_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS c FROM ed),
+e AS (SELECT * EXCLUDE (op), CASE WHEN op IN ('merge', 'delete') AND c = 0 THEN 'noop' ELSE op END AS op FROM a),
+adds AS (SELECT case_id, c + 1 AS r, k FROM e WHERE op = 'add'),
+t AS (SELECT case_id, seq, op, k, unnest(CASE WHEN c > 1 THEN [c, c - 1] ELSE [c] END) AS r FROM e WHERE op IN ('merge', 'delete')),
+gone AS (SELECT case_id, count(DISTINCT r) AS n FROM t GROUP BY case_id),
+m AS (SELECT case_id, seq, len(list_distinct(list_append(list(ak), any_value(k)))) AS links, len(list_distinct(list_append(list(ak % 5), any_value(k % 5)))) AS rests
+  FROM (SELECT t.*, adds.k AS ak FROM t JOIN adds ON t.case_id = adds.case_id AND t.r = adds.r WHERE t.op = 'merge') GROUP BY case_id, seq),
+s AS (
+  SELECT case_id, count(*) FILTER (op IN ('add', 'merge')) AS nodes, count(*) FILTER (op = 'add') AS n_add, count(*) FILTER (op <> 'noop') AS version FROM e GROUP BY case_id),
+l AS (SELECT case_id, sum(links) AS links, sum(rests) AS rests FROM m GROUP BY case_id)
+SELECT s.case_id, s.nodes, s.nodes - coalesce(gone.n, 0) AS active, 2 * s.nodes AS tokens, s.version, CAST(s.n_add + coalesce(l.links, 0) AS BIGINT) AS links, CAST(s.n_add + coalesce(l.rests, 0) AS BIGINT) AS rests_on
+FROM s LEFT JOIN gone ON s.case_id = gone.case_id LEFT JOIN l ON s.case_id = l.case_id WHERE s.nodes > 0""",
+    "builder_metrics": f"""WITH {BUILDER},
+f AS (SELECT *, stage NOT IN ('schema_invalid', 'constraint_invalid', 'action_invalid') AS acted, stage NOT IN ('schema_invalid', 'constraint_invalid', 'action_invalid', 'judge_unavailable') AS seen FROM b3)
+SELECT event_id, stage, score, (stage <> 'judge_unavailable')::INT::DOUBLE AS reward_available, acted::INT::DOUBLE AS action_valid, (seen AND aft >= 0.8::DOUBLE)::INT::DOUBLE AS answer_pass,
+  CASE WHEN seen THEN kept ELSE 0 END::DOUBLE AS retention, (seen AND kept >= 0.8::DOUBLE)::INT::DOUBLE AS retention_pass, round(CASE WHEN acted THEN growth ELSE 0 END::DOUBLE, 6) AS memory_cost,
+  round(CASE WHEN seen THEN greatest(0.0, aft - bef) ELSE 0 END::DOUBLE, 6) AS gain, CASE WHEN seen THEN g ELSE 0 END::DOUBLE AS groundedness FROM f""",
     "pool_membership": f"""WITH {EDITS}, p AS (SELECT case_id, k AS question_id, seq, CASE WHEN op = 'delete' THEN 'high_priority' ELSE 'success' END AS pool FROM ed WHERE op <> 'noop'),
 l AS (SELECT *, last_value(pool) OVER (PARTITION BY case_id, question_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS now FROM p),
 b AS (SELECT case_id, question_id, now AS pool, max(CASE WHEN pool <> now THEN seq ELSE 0 END) AS broke FROM l GROUP BY ALL)
@@ -235,9 +320,11 @@ SELECT case_id, place, ids FROM (SELECT *, row_number() OVER (PARTITION BY case_
 i AS (SELECT *, sum(CASE WHEN saturated THEN 0 ELSE 1 END) OVER (PARTITION BY case_id ORDER BY round) AS island FROM r),
 s AS (SELECT *, CAST(sum(CASE WHEN saturated THEN 1 ELSE 0 END) OVER (PARTITION BY case_id, island ORDER BY round) AS BIGINT) AS streak FROM i)
 SELECT case_id, round, saturated, streak, streak >= 2 AS stopped FROM s""",
-    "saturation": """SELECT f.case_id, f.n >= 4 AND f.judged AND f.open = 0 AND w.case_id IS NULL AS saturated FROM (
-  SELECT user_id AS case_id, count(*) AS n, bool_and(event_id % 97 <> 0) AS judged, count(*) FILTER (event_id % 53 = 0) AS open FROM events WHERE event_type IN ('click', 'view') GROUP BY 1) f
-LEFT JOIN (SELECT DISTINCT user_id AS case_id FROM events WHERE event_type = 'error' AND value > 100) w ON f.case_id = w.case_id""",
+    "saturation": """WITH s AS (SELECT c.case_id, coalesce(f.n >= 4 AND f.judged AND f.open = 0 AND w.case_id IS NULL, false) AS saturated, c.nodes FROM (
+  SELECT user_id AS case_id, count(*) FILTER (event_type = 'signup') AS nodes FROM events GROUP BY 1) c
+LEFT JOIN (SELECT user_id AS case_id, count(*) AS n, bool_and(event_id % 97 <> 0) AS judged, count(*) FILTER (event_id % 53 = 0) AS open FROM events WHERE event_type IN ('click', 'view') GROUP BY 1) f ON c.case_id = f.case_id
+LEFT JOIN (SELECT DISTINCT user_id AS case_id FROM events WHERE event_type = 'error' AND value > 100) w ON c.case_id = w.case_id)
+SELECT case_id, saturated, saturated AND nodes = 0 AS builder_saturated FROM s""",
     "action_validation": """WITH a AS (SELECT event_id AS k, ['add', 'merge', 'delete', 'noop', 'move'][event_id % 5 + 1] AS op, CASE event_id % 3 WHEN 0 THEN [] WHEN 1 THEN [event_id % 4] ELSE [event_id % 4, event_id % 7] END AS t, event_id % 2 = 0 AS has FROM events)
 SELECT k AS event_id, CASE WHEN k % 13 = 0 OR k % 11 = 0 THEN 'keys' WHEN op = 'move' THEN 'operation' WHEN len(list_distinct(t)) <> len(t) THEN 'repeated' WHEN len(list_filter(t, lambda x: x >= 5)) > 0 THEN 'range'
   WHEN op = 'add' AND (len(t) > 0 OR NOT has) THEN 'shape' WHEN op = 'merge' AND (len(t) = 0 OR NOT has) THEN 'shape' WHEN op = 'delete' AND (len(t) = 0 OR has) THEN 'shape' WHEN op = 'noop' AND (len(t) > 0 OR has) THEN 'shape' END AS error FROM a""",
@@ -251,14 +338,16 @@ SELECT case_id, route, string_agg(memory, chr(10) ORDER BY k) FILTER (type = 'fa
     "mode_fallback": f"""WITH {GRAPH},
 dim AS (SELECT case_id, id, unnest({DIMENSIONS}) AS dimension FROM active),
 u AS (SELECT atf.*, dim.dimension FROM atf JOIN dim ON atf.case_id = dim.case_id AND atf.fact = dim.id),
-p AS (SELECT a.case_id, a.fact AS first FROM u a JOIN u b ON a.case_id = b.case_id AND a.topic = b.topic AND a.dimension = b.dimension AND a.fact < b.fact WHERE a.dimension = 'location' AND a.case_id % 3 = 0)
+p AS (SELECT a.case_id, a.fact AS first FROM u a JOIN u b ON a.case_id = b.case_id AND a.topic = b.topic AND a.dimension = b.dimension AND a.fact < b.fact WHERE a.dimension = 'location')
 SELECT * FROM p UNION ALL SELECT case_id, id AS first FROM active WHERE case_id NOT IN (SELECT case_id FROM p)""",
     "mode_funnel": """SELECT o_orderpriority AS mode, count(*) AS sampled, count(*) FILTER (o_orderkey % 3 <> 0) AS attempted, count(*) FILTER (o_totalprice < 150000) AS fits, count(*) FILTER (o_orderstatus = 'O') AS selected FROM orders GROUP BY 1""",
     "time_hull": 'SELECT o_custkey, min(CASE WHEN o_orderkey % 5 <> 0 THEN o_orderpriority END) AS start, max(CASE WHEN o_orderkey % 5 <> 0 THEN o_orderpriority END) AS "end" FROM orders GROUP BY 1',
     "compaction_audit": """WITH r AS (SELECT o_custkey AS case_id, o_orderkey AS k, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS place FROM orders)
 SELECT case_id, min(place) AS place FROM r WHERE k % 5 <> 0 AND k % 13 < k % 11 AND (k % 2 = 1 OR k % 3 = 0) GROUP BY 1""",
-    "round_outcomes": """WITH r AS (SELECT user_id AS case_id, CASE WHEN event_type = 'error' OR value IS NULL THEN 'unavailable' WHEN abs(value / 100) >= 0.8 THEN 'success' ELSE 'pending' END AS o FROM events)
-SELECT case_id, count(*) FILTER (o = 'success') AS success, count(*) FILTER (o = 'pending') AS pending, count(*) FILTER (o = 'unavailable') AS unavailable FROM r GROUP BY 1""",
+    "round_outcomes": """WITH r AS (SELECT user_id AS case_id, CASE WHEN event_type = 'error' OR value IS NULL THEN 'unavailable' WHEN abs(value / 100) >= 0.8 THEN 'success' ELSE 'pending' END AS o,
+  event_type = 'click' AS edit, event_id % 5 <> 0 AND value > 0 AND event_id % 4 > 0 AS kept FROM events)
+SELECT case_id, count(*) FILTER (o = 'success') AS success, count(*) FILTER (o = 'pending') AS pending, count(*) FILTER (o = 'unavailable') AS unavailable,
+  count(*) FILTER (edit AND kept) AS committed, count(*) FILTER (edit AND NOT coalesce(kept, false)) AS discarded FROM r GROUP BY 1""",
     "guarded_commit": """WITH r AS (SELECT event_id, CASE WHEN event_id % 5 = 0 OR event_id % 7 = 0 OR value <= 0 THEN 'discarded' WHEN event_id % 4 > 0 THEN 'committed' ELSE 'unsupported' END AS outcome FROM events)
 SELECT event_id, outcome, CASE WHEN outcome = 'committed' THEN 'success' ELSE 'high_priority' END AS pool FROM r""",
     "replay_queue": """SELECT case_id, question_id, place FROM (SELECT o_custkey AS case_id, o_orderkey AS question_id, row_number() OVER (PARTITION BY o_custkey ORDER BY CASE WHEN o_orderstatus = 'P' THEN 0 ELSE 1 END, o_orderkey) AS place

@@ -70,9 +70,11 @@ def walk_signature(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def walk_directions(spark: SparkSession, sf: str) -> DataFrame:
+    """Directions of walks where some parents also have an edge the other way."""
     v = Views(spark, sf)
     s = graph.same_topic(v.edges(), v.nodes()).select("case_id", F.col("topic").alias("route"), graph.topic_walk(F.col("topic"), F.slice("facts", 1, 3)).alias("walk"))
-    return graph.walk_steps(s, v.edges())
+    opposed = v.edges().where("type = 'PARENT' and length(concat(source, target)) % 2 = 0").select("case_id", F.col("target").alias("source"), F.col("source").alias("target"), "type")
+    return graph.walk_steps(s, v.edges().unionByName(opposed))
 
 
 def source_dedup(spark: SparkSession, sf: str) -> DataFrame:
@@ -116,8 +118,9 @@ def vector_topk_20(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _plans(v: Views) -> DataFrame:
-    words = text.tokens(F.col("query"))
-    return v.queries().select("query_id", F.slice(words, 1, 1).alias("keywords"), F.array(F.concat(F.lit("SRC"), F.col("query_id") % 20)).alias("tags"))
+    """Keywords are the query's words of eight letters and more."""
+    words = F.filter(F.array_distinct(text.tokens(F.col("query"))), lambda w: F.length(w) >= 8)
+    return v.queries().select("query_id", "query", F.col("query").alias("rewritten_query"), words.alias("keywords"), F.array(F.concat(F.lit("SRC"), F.col("query_id") % 20)).alias("tags"))
 
 
 def metadata_match(spark: SparkSession, sf: str) -> DataFrame:
@@ -135,31 +138,43 @@ def _seeds(v: Views) -> DataFrame:
     return retrieval.top_k(retrieval.bm25(v.queries(), v.memories()), 5).select("query_id", "id", "score")
 
 
-def _neighbours(v: Views) -> DataFrame:
-    near = v.memories().select("id", F.array((F.col("id") / 4).cast("long").cast("string")).alias("provenance"))
-    return retrieval.provenance_neighbours(near.select(F.concat(F.lit("d"), "id").alias("id"), "provenance")).select(F.substring("a", 2, 20).try_cast("long").alias("a"), F.substring("b", 2, 20).try_cast("long").alias("b"))
-
-
 def graph_expand(spark: SparkSession, sf: str) -> DataFrame:
+    """Along the memories' own sources, of which one may hold a third of all."""
     v = Views(spark, sf)
-    return retrieval.expand(_seeds(v), _neighbours(v))
+    return retrieval.expand(_seeds(v), retrieval.memberships(v.memories()))
+
+
+def _hybrid(v: Views, rerank, k: int) -> DataFrame:
+    """Vectors are the embeddings' rows in turn: a memory has the one at its id, a query those at its id and the next."""
+    e = _embeddings(v)
+    n = e.agg(F.count("*").alias("n"))
+    at = lambda rows, place, *names: rows.crossJoin(F.broadcast(n)).withColumn("at", place % F.col("n")).join(e.withColumnRenamed("id", "at"), "at").select(*names, "vector")
+    nodes = v.memories()
+    parts = v.queries().select("query_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("part"))
+    return retrieval.hybrid_retrieve(_plans(v), at(parts, F.col("query_id") + F.col("part"), "query_id", "part"), nodes, at(nodes.select("id"), F.col("id"), "id"), rerank, k)
 
 
 def hybrid_fusion(spark: SparkSession, sf: str) -> DataFrame:
-    v = Views(spark, sf)
-    lexical = retrieval.max_normalised(retrieval.top_k(retrieval.bm25(v.queries(), v.memories()), retrieval.RECALL_K).select("query_id", "id", "score"))
-    first = retrieval.fuse({"bm25": lexical, "metadata": retrieval.metadata_matches(_plans(v), v.memories())})
-    seeds = retrieval.top_k(first, 5).select("query_id", "id", "score")
-    both = retrieval.fuse({"bm25": lexical, "metadata": retrieval.metadata_matches(_plans(v), v.memories()), "graph": retrieval.expand(seeds, _neighbours(v))})
-    out = retrieval.top_k(both.withColumn("score", F.round("score", 6)), retrieval.CANDIDATES)
-    return out.select("query_id", "id", "score", "rank", F.array_join("sources", ",").alias("sources"))
+    """Four channels as one list of candidates."""
+    out = _hybrid(Views(spark, sf), None, retrieval.CANDIDATES)
+    return out.select("query_id", "id", F.col("recall_score").alias("score"), "rank", F.array_join("sources", ",").alias("sources"))
+
+
+def hybrid_retrieve(spark: SparkSession, sf: str) -> DataFrame:
+    """The five best candidates by a stand-in for a reranker, which goes by the text's length."""
+    rerank = lambda shown: shown.select("query_id", "id", F.round(F.length("content") % 97 / 97, 6).alias("rerank"))
+    out = _hybrid(Views(spark, sf), rerank, 5)
+    return out.withColumn("sources", F.array_join("sources", ","))
 
 
 def _questions(v: Views) -> DataFrame:
-    c = v.table("conversations").where("text is not null")
+    """Each turn as a question; its answer is the turn before, or itself in every fourth."""
+    said = F.coalesce("text", F.lit(""))
+    c = v.table("conversations").withColumn("before", F.lag(said).over(Window.partitionBy("conv_id").orderBy("turn", "role", said)))
     ends = F.when(F.col("turn") % 3 == 0, "??").when(F.col("turn") % 3 == 1, " ?").otherwise(".")
     lead = F.when(F.col("conv_id") % 5 == 0, "Which memory is ").when(F.col("conv_id") % 5 == 1, F.concat(F.lit("what of C"), F.col("conv_id").cast("string"), F.lit(" "))).otherwise("memorial ")
-    return c.select("conv_id", "turn", F.concat(lead, F.substring("text", 1, 40), ends).alias("question"), F.concat(F.lit("c"), F.col("conv_id").cast("string")).alias("node"), F.substring("text", 3, 10).alias("answer"))
+    answer = F.when(F.col("turn") % 4 == 0, said).otherwise(F.coalesce("before", F.lit("")))
+    return c.select("conv_id", "turn", F.concat(lead, said, ends).alias("question"), F.concat(F.lit("c"), F.col("conv_id").cast("string")).alias("node"), answer.alias("answer"))
 
 
 def question_constraints(spark: SparkSession, sf: str) -> DataFrame:
@@ -172,9 +187,10 @@ def question_forms(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def duplicate_antijoin(spark: SparkSession, sf: str) -> DataFrame:
-    q = _questions(Views(spark, sf)).select((F.col("conv_id") % 7).alias("group_id"), (F.col("conv_id") * 100 + F.col("turn")).alias("seq"), F.substring("question", 1, 14).alias("question"))
-    known = q.where("seq % 11 = 0")
-    return rewards.duplicates(q, known).select("group_id", "seq", "duplicate")
+    """Later turns against all first turns of a group of conversations."""
+    q = _questions(Views(spark, sf)).select((F.col("conv_id") % 7).alias("group_id"), (F.col("conv_id") * 100 + F.col("turn")).alias("seq"), "question", "turn")
+    known = q.where("turn = 0")
+    return rewards.duplicates(q.where("turn > 0"), known).select("group_id", "seq", "duplicate")
 
 
 def route_fidelity(spark: SparkSession, sf: str) -> DataFrame:
@@ -206,11 +222,23 @@ def attacker_reward(spark: SparkSession, sf: str) -> DataFrame:
     return rewards.attack_rewards(_attacks(Views(spark, sf))).select("event_id", "stage", "score", "reward_available")
 
 
+def attack_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    """The whole vector of metrics of each attack."""
+    m = rewards.attack_metrics(rewards.attack_rewards(_attacks(Views(spark, sf))))
+    return m.select("event_id", "stage", *(F.round(c, 6).alias(c) for c in METRICS))
+
+
+METRICS = ["score", "reward_available", "schema_valid", "format_valid", "question_valid", "question_mark", "oracle_valid", "gold_correctness", "gold_pass", "memory_correctness", "uncovered", "uncovered_pass", "parametric_correctness", "parametric_pass", "value", "value_pass", "novelty", "novelty_pass", "route_fidelity", "route_pass", "attack_valid"]
+
+
 def reward_summary(spark: SparkSession, sf: str) -> DataFrame:
-    return rewards.reward_summary(rewards.attack_rewards(_attacks(Views(spark, sf))))
+    """Counts over all attacks; every batch of 1000 with an oracle error stands for one that failed whole."""
+    rows = rewards.attack_metrics(rewards.attack_rewards(_attacks(Views(spark, sf))))
+    failed = F.when(F.col("oracle_error"), (F.col("event_id") / 1000).cast("long"))
+    return rewards.reward_summary(rows.withColumn("batch_error", failed))
 
 
-def builder_reward(spark: SparkSession, sf: str) -> DataFrame:
+def _edits_judged(v: Views) -> DataFrame:
     k = F.col("event_id")
     part = lambda n: F.round(((k * n) % 101) / 100, 2)
     high = lambda n: F.round(0.55 + 0.45 * ((k * n) % 101) / 100, 2)
@@ -218,12 +246,21 @@ def builder_reward(spark: SparkSession, sf: str) -> DataFrame:
     op = F.element_at(F.array(*map(F.lit, ("add", "merge", "delete", "noop"))), (k % 4 + 1).cast("int"))
     targets = F.when(op.isin("merge", "delete"), F.array((k % 6).cast("int"))).otherwise(F.array().cast("array<int>"))
     valid = rewards.edit_valid(op, targets, F.array(*map(F.lit, range(5))), F.when(op.isin("add", "merge"), (k % 140).cast("int")))
-    rows = Views(spark, sf).table("events").select(
+    return v.table("events").select(
         "event_id", (k % 19 != 0).alias("schema_valid"), (k % 23 != 0).alias("constraint_valid"), valid.alias("semantic_valid"), (k % 29 == 0).alias("judge_error"),
         part(7).alias("before"), high(5).alias("after"), high(3).alias("groundedness"), high(11).alias("action_quality"), high(13).alias("memory_quality"),
         F.when(k % 2 == 0, F.array(high(17), high(19))).otherwise(F.array().cast("array<double>")).alias("retention"), growth.alias("growth"), shrink.alias("shrink"),
     )
-    return rewards.builder_rewards(rows).select("event_id", "stage", "score", "commit_valid")
+
+
+def builder_reward(spark: SparkSession, sf: str) -> DataFrame:
+    return rewards.builder_rewards(_edits_judged(Views(spark, sf))).select("event_id", "stage", "score", "commit_valid")
+
+
+def builder_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    m = rewards.builder_metrics(rewards.builder_rewards(_edits_judged(Views(spark, sf))))
+    names = ["score", "reward_available", "action_valid", "answer_pass", "retention", "retention_pass", "memory_cost", "gain", "groundedness"]
+    return m.select("event_id", "stage", *(F.round(c, 6).alias(c) for c in names))
 
 
 def grpo_advantage(spark: SparkSession, sf: str) -> DataFrame:
@@ -257,14 +294,16 @@ def edit_fold(spark: SparkSession, sf: str) -> DataFrame:
     first = F.col("op").isin("merge", "delete") & (F.count_if(F.col("op") == "add").over(earlier) == 0)
     e = v.edits().withColumn("first", first).withColumn("op", F.when(F.col("first"), "noop").otherwise(F.col("op")))
     e = memory.running_version(e).withColumn("content", F.concat_ws(" ", F.lit("event"), "event_id"))
-    made = F.when(F.col("op") == "add", memory.new_id(F.col("case_id"), F.col("version"), F.col("content")))
-    known = F.slice(F.reverse(F.collect_list(made).over(earlier)), 1, 2)
+    e = e.withColumn("made", F.when(F.col("op") == "add", memory.new_id(F.col("case_id"), F.col("version"), F.col("content"))))
+    e = e.withColumn("before", F.last("made", ignorenulls=True).over(earlier))
+    e = e.withColumn("pair", F.when(F.col("op") == "add", F.array("made", "before")))
     none = F.array().cast("array<string>")
+    known = F.array_compact(F.last("pair", ignorenulls=True).over(earlier))
     shaped = e.withColumn("targets", F.when(F.col("op").isin("merge", "delete"), known).otherwise(none))
     source = F.array(F.concat(F.lit("e"), "event_id"))
     rows = shaped.select("case_id", "seq", "op", "targets", "content", F.concat(F.lit("q"), "k").alias("question_id"), F.array(F.concat(F.lit("p"), F.col("k") % 5)).alias("provenance"), source.alias("source_ids"), none.alias("tags"))
     out = memory.fold_edits(rows)
-    return out.groupBy("case_id").agg(F.count("*").alias("nodes"), F.count_if(F.col("status") == "active").alias("active"), F.sum("token_count").cast("long").alias("tokens"), F.max("updated_version").alias("version"), F.sum(F.size("linked_questions")).cast("long").alias("links"))
+    return out.groupBy("case_id").agg(F.count("*").alias("nodes"), F.count_if(F.col("status") == "active").alias("active"), F.sum("token_count").cast("long").alias("tokens"), F.max("updated_version").alias("version"), F.sum(F.size("linked_questions")).cast("long").alias("links"), F.sum(F.size("provenance")).cast("long").alias("rests_on"))
 
 
 def pool_membership(spark: SparkSession, sf: str) -> DataFrame:
@@ -323,10 +362,12 @@ def stop_streak(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def saturation(spark: SparkSession, sf: str) -> DataFrame:
+    """Every user is a case, also those without a fresh question; nodes are their signups."""
     e = Views(spark, sf).table("events")
     fresh = e.where("event_type in ('click', 'view')").select(F.col("user_id").alias("case_id"), (F.col("event_id") % 97 != 0).alias("available"), (F.col("event_id") % 53 != 0).alias("resolved"))
     waiting = e.where("event_type = 'error' and value > 100").select(F.col("user_id").alias("case_id"))
-    return convergence.saturation(fresh, waiting)
+    cases = e.groupBy(F.col("user_id").alias("case_id")).agg(F.count_if(F.col("event_type") == "signup").alias("active_nodes"))
+    return convergence.saturation(fresh, waiting, cases)
 
 
 def _actions(v: Views) -> DataFrame:
@@ -350,7 +391,7 @@ def oracle_reconcile(spark: SparkSession, sf: str) -> DataFrame:
 
 def training_records(spark: SparkSession, sf: str) -> DataFrame:
     d = Views(spark, sf).memories()
-    rows = d.select(F.lit("ask").alias("system"), F.struct("id", F.substring("content", 1, 30).alias("target")).alias("payload"), F.sha2("content", 256).alias("truth"), F.struct(F.col("id").alias("index")).alias("extra"))
+    rows = d.select(F.lit("ask").alias("system"), F.struct("id", F.col("content").alias("target")).alias("payload"), F.sha2("content", 256).alias("truth"), F.struct(F.col("id").alias("index")).alias("extra"))
     r = datasets.training_records(rows, "attacker", "memory_attack")
     return r.select("data_source", "ability", F.col("extra_info.index").alias("id"), F.col("reward_model.ground_truth").alias("truth"), F.col("prompt")[0]["role"].alias("first_role"), F.size("prompt").cast("long").alias("turns"))
 
@@ -365,7 +406,7 @@ def route_bundle(spark: SparkSession, sf: str) -> DataFrame:
 def mode_fallback(spark: SparkSession, sf: str) -> DataFrame:
     v = Views(spark, sf)
     single = graph.single_fact(v.nodes()).select("case_id", F.col("walk")[0].alias("first"))
-    pairs = graph.comparison(v.edges(), v.nodes()).where("dimension = 'location' and case_id % 3 = 0").select("case_id", F.col("fact_a").alias("first"))
+    pairs = graph.comparison(v.edges(), v.nodes()).where("dimension = 'location'").select("case_id", F.col("fact_a").alias("first"))
     return graph.fallback(pairs, single, v.nodes().select("case_id").distinct())
 
 
@@ -390,7 +431,8 @@ def compaction_audit(spark: SparkSession, sf: str) -> DataFrame:
 def round_outcomes(spark: SparkSession, sf: str) -> DataFrame:
     e = Views(spark, sf).table("events")
     rows = e.select(F.col("user_id").alias("case_id"), "event_id", F.abs(F.col("value") / 100).alias("correctness"), F.when(F.col("event_type") == "error", "timeout").alias("error"))
-    return rounds.round_counters(rounds.defended(rows))
+    edits = e.where("event_type = 'click'").select(F.col("user_id").alias("case_id"), (F.col("event_id") % 5 != 0).alias("commit_valid"), F.col("value").alias("score"), (F.col("event_id") % 4).alias("n_retrieved"))
+    return rounds.round_counters(rounds.defended(rows), rounds.committed(edits))
 
 
 def guarded_commit(spark: SparkSession, sf: str) -> DataFrame:
@@ -414,8 +456,8 @@ def context_blocks(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = [
     case_summary, relation_histogram, case_edges, case_index_parse, missing_users, topic_fact_index, single_fact_candidates, same_topic_candidates,
     temporal_candidates, comparison_candidates, walk_signature, walk_directions, source_dedup, token_counts, doc_freq, bm25_topk, vector_topk, vector_topk_20,
-    metadata_match, provenance_neighbours, graph_expand, hybrid_fusion, question_constraints, question_forms, duplicate_antijoin, route_fidelity,
-    attacker_reward, reward_summary, builder_reward, grpo_advantage, novelty, novelty_20, memory_versions, edit_fold, pool_membership, link_binding,
+    metadata_match, provenance_neighbours, graph_expand, hybrid_fusion, hybrid_retrieve, question_constraints, question_forms, duplicate_antijoin, route_fidelity,
+    attacker_reward, attack_metrics, reward_summary, builder_reward, builder_metrics, grpo_advantage, novelty, novelty_20, memory_versions, edit_fold, pool_membership, link_binding,
     protected_questions, round_robin, priority_fill, stratified_sizes, weighted_sample, compaction_pairs, stop_streak, saturation,
     action_validation, oracle_reconcile, training_records, route_bundle, mode_fallback, mode_funnel, time_hull, compaction_audit, round_outcomes,
     guarded_commit, replay_queue, context_blocks,
@@ -423,4 +465,6 @@ QUERIES = [
 
 
 def queries() -> dict:
-    return {q.__name__: q for q in QUERIES}
+    from . import collection, state
+
+    return {q.__name__: q for q in [*QUERIES, *collection.QUERIES, *state.QUERIES]}

@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 NODE = "id string, user_name string, type string, status string, memory_type string, key string, memory string, background string, tags array<string>, confidence double, version int, created_at string, updated_at string, sources array<string>"
@@ -40,25 +40,63 @@ def case_users(spark: SparkSession, version: str, n: int) -> DataFrame:
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """Question records with case_index, their position: a JSON array, an object with ``data``, or one JSON object a line."""
+    """Question records with case_index, their position: a JSON array, an object with ``data``, or one JSON object a line.
+
+    Lines are read as lines, numbered by their place in the order of files and splits; only a document that is one array
+    or object is read whole, as JSON has to be.  Anything else is an error.
+    """
+    first = F.ltrim("value")
+    head = spark.read.text(path).where(F.trim("value") != "").limit(1).select(first.alias("v")).first()
+    if head is None:
+        return spark.createDataFrame([], f"case_index long, {RECORD}")
+    kinds = f"array<struct<{_nested(RECORD)}>>"
+    line = F.from_json(F.lit(head.v), "data string, question string")
+    one = spark.range(1).select(line.alias("r"), F.try_parse_json(F.lit(head.v)).isNotNull().alias("whole")).first()
+    if head.v.startswith("{") and one.whole and one.r.data is None:
+        lines = spark.read.text(path).withColumn("_at", F.monotonically_increasing_id()).where(F.trim("value") != "")
+        return _numbered(lines.withColumn("r", F.from_json("value", RECORD))).select("case_index", "r.*")
     raw = spark.read.text(path, wholetext=True)
-    as_rows = F.from_json("value", f"array<struct<{_nested(RECORD)}>>")
-    as_data = F.from_json(F.get_json_object("value", "$.data"), f"array<struct<{_nested(RECORD)}>>")
-    lines = F.transform(F.filter(F.split("value", "\n"), lambda x: F.trim(x) != ""), lambda x: F.from_json(x, RECORD))
-    is_array, is_data = F.ltrim("value").startswith("["), F.get_json_object("value", "$.data").isNotNull()
-    rows = F.when(is_array, as_rows).when(is_data, as_data).otherwise(lines)
-    return raw.select(F.posexplode(rows).alias("case_index", "r")).select("case_index", "r.*")
+    listed = F.when(F.ltrim("value").startswith("["), F.from_json("value", kinds)).otherwise(F.from_json(F.get_json_object("value", "$.data"), kinds))
+    wrong = F.raise_error(F.lit("neither a list of records, nor an object with data, nor lines")).cast(kinds)
+    return raw.select(F.posexplode(F.coalesce(listed, wrong)).alias("case_index", "r")).select(F.col("case_index").cast("long"), "r.*")
 
 
-def case_records(cases: DataFrame, records: DataFrame) -> DataFrame:
-    """Each case with the record at its index."""
-    return cases.join(records, "case_index")
+def _numbered(rows: DataFrame) -> DataFrame:
+    """``rows`` with case_index from 0 in the order of ``_at``, whose upper bits are the partition: counts of partitions are
+    summed (one row each), and rows are ranked within their own."""
+    part = F.shiftright("_at", 33)
+    counts = rows.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    before = counts.withColumn("_before", F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).drop("_n")
+    place = F.row_number().over(Window.partitionBy("_part").orderBy("_at"))
+    return rows.withColumn("_part", part).withColumn("_k", place).join(before, "_part").withColumn("case_index", F.col("_before") + F.col("_k") - 1)
 
 
 def write_graph(nodes: DataFrame, edges: DataFrame, path: str, version: str) -> None:
-    """A graph as one JSON document for exchange.  Keep large graphs in Parquet; this is one case's size."""
+    """A graph for exchange: JSON lines of nodes and of edges in folders of their own, and one line with version and counts.
+
+    Nothing is gathered; ``write_graph_document`` writes the single document of a small graph.
+    """
+    for name, rows in (("nodes", nodes), ("edges", edges)):
+        rows.select(F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"}).alias("value")).write.mode("overwrite").text(f"{path}/{name}")
+    spark = nodes.sparkSession
+    spark.createDataFrame([(json.dumps({"version": version, "stats": graph_stats(nodes, edges)}),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/about")
+
+
+def graph_stats(nodes: DataFrame, edges: DataFrame) -> dict:
     relations = {r.type: r.n for r in edges.groupBy("type").agg(F.count("*").alias("n")).orderBy("type").toLocalIterator()}
-    stats = {"num_users": nodes.select("user_name").distinct().count(), "num_nodes": nodes.count(), "num_edges": edges.count(), "relation_counts": relations}
+    return {"num_users": nodes.select("user_name").distinct().count(), "num_nodes": nodes.count(), "num_edges": edges.count(), "relation_counts": relations}
+
+
+def read_graph_lines(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of ``write_graph``."""
+    return spark.read.schema(NODE).json(f"{path}/nodes"), spark.read.schema(EDGE).json(f"{path}/edges")
+
+
+def write_graph_document(nodes: DataFrame, edges: DataFrame, path: str, version: str, most: int = 100_000) -> None:
+    """A graph of at most ``most`` nodes and edges as one JSON document; a larger one is an error."""
+    stats = graph_stats(nodes, edges)
+    if stats["num_nodes"] + stats["num_edges"] > most:
+        raise ValueError(f"{stats['num_nodes']} nodes and {stats['num_edges']} edges are too many for one document; use write_graph")
     side = lambda df: df.agg(F.collect_list(F.struct(*df.columns)).alias("x"))
     doc = side(nodes).select(F.col("x").alias("nodes")).crossJoin(side(edges).select(F.col("x").alias("edges")))
     out = doc.select(F.to_json(F.struct(F.lit(version).alias("version"), "nodes", "edges", F.parse_json(F.lit(json.dumps(stats))).alias("stats")), {"ignoreNullFields": "false", "pretty": "true"}).alias("value"))
@@ -84,9 +122,10 @@ def read_checkpoint(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
 
 
 def latest_checkpoint(paths: DataFrame) -> DataFrame:
-    """The path with the largest number after global_step_, by number and not by text."""
+    """The path with the largest number after global_step_, by number and not by text; an error if there is none."""
     step = F.regexp_extract("path", r"global_step_(\d+)/?$", 1)
-    return paths.where(step != "").agg(F.max_by("path", step.cast("long")).alias("path"))
+    last = F.max_by("path", step.cast("long"))
+    return paths.where(step != "").agg(F.coalesce(last, F.raise_error(F.lit("no global_step_ checkpoint"))).alias("path"))
 
 
 def append_trace(rows: DataFrame, path: str) -> None:
@@ -94,10 +133,25 @@ def append_trace(rows: DataFrame, path: str) -> None:
     rows.select(F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"}).alias("value")).write.mode("append").text(path)
 
 
-def write_training(records: DataFrame, split: DataFrame, folder: str) -> None:
-    """Records by split (id, split) as Parquet folders train and val; an error if there are none."""
-    if records.isEmpty():
-        raise ValueError("no training records")
+def write_training(records: DataFrame, split: DataFrame, folder: str) -> dict:
+    """Records by split (id, split) as Parquet folders train and val; an error if there are none, or none in a split.
+
+    Gives {split: rows} and, where records have extra_info.route.attack_mode, {"modes": {split: {mode: rows}}} besides.
+    """
     both = records.join(split, "id")
-    for part in ("train", "val"):
+    nested = "extra_info.route.attack_mode"
+    try:
+        both.select(nested).schema  # noqa: B018 - analysed, not run
+        mode = F.col(nested)
+    except AnalysisException:
+        mode = F.lit(None).cast("string")
+    sizes, modes = {"train": 0, "val": 0}, {"train": {}, "val": {}}
+    for r in both.groupBy("split", mode.alias("mode")).agg(F.count("*").alias("n")).collect():  # two rows a mode
+        sizes[r.split] += r.n
+        if r.mode is not None:
+            modes[r.split][r.mode] = r.n
+    if not all(sizes.values()):
+        raise ValueError(f"no training records in a split: {sizes}")
+    for part in sizes:
         both.where(F.col("split") == part).drop("split", "id").write.mode("overwrite").parquet(f"{folder}/{part}.parquet")
+    return sizes | {"modes": modes}

@@ -12,9 +12,11 @@ import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from engram.functions.text import normal_question, strip
+
 
 def call_in_halves(call: Callable[[list], list], items: list) -> list[tuple[object, str | None, int]]:
     """(result, error, requests made) of each item; the requests of a batch are booked on its first item."""
@@ -98,10 +100,37 @@ def cached_results(requests: DataFrame, cache: DataFrame) -> tuple[DataFrame, Da
 
 def identity_plan(queries: DataFrame) -> DataFrame:
     """The query plan without a parser: the query itself, no keywords, no tags."""
+    return parsed_plan(queries.withColumn("response", F.lit(None).cast("string")))
+
+
+def parsed_plan(queries: DataFrame) -> DataFrame:
+    """Plans from a parser's answers: ``queries`` (query_id, query, response).
+
+    The response is JSON with rewritten_query, retrieval_queries, keywords and tags; items are trimmed and blank ones
+    dropped.  What is missing has its default; a malformed response, or none, is the query itself.
+    """
+    v = F.try_parse_json("response")
+    said = F.try_variant_get(v, "$.rewritten_query", "string")
+    rewritten = strip(F.when(F.coalesce(said, F.lit("")) == "", F.col("query")).otherwise(said))
+    listed = lambda name, default: F.filter(F.transform(F.coalesce(F.try_variant_get(v, f"$.{name}", "array<string>"), default), strip), lambda x: x != "")
     none = F.array().cast("array<string>")
-    return queries.select("query_id", F.col("query").alias("rewritten_query"), F.array("query").alias("retrieval_queries"), none.alias("keywords"), none.alias("tags"))
+    return queries.select("query_id", "query", rewritten.alias("rewritten_query"), listed("retrieval_queries", F.array(rewritten)).alias("retrieval_queries"), listed("keywords", none).alias("keywords"), listed("tags", none).alias("tags"))
+
+
+def cached_plans(queries: DataFrame, cache: DataFrame, ask) -> DataFrame:
+    """Plans of ``queries`` (query_id, query): those that ``cache`` (query, response) has, and for others what ``ask`` (query to
+    query, response) says; a query that repeats is asked once."""
+    missing = queries.select("query").distinct().join(cache, "query", "left_anti")
+    known = cache.select("query", "response").unionByName(ask(missing).select("query", "response"))
+    return parsed_plan(queries.join(known, "query", "left"))
+
+
+def oracle_key(route_signature: Column, question: Column) -> Column:
+    """The key of an oracle's answer in a cache: route and normal form of the question."""
+    return F.concat_ws("|", route_signature, normal_question(question))
 
 
-def request_accounting(results: DataFrame) -> DataFrame:
-    """requests, fallback (beyond one for each batch) and the first error."""
-    return results.agg(F.sum("requests").alias("requests"), F.min_by("error", F.when(F.col("error").isNotNull(), F.col("id"))).alias("first_error"), F.count_if(F.col("error").isNotNull()).alias("errors"))
+def request_accounting(results: DataFrame, batch: int = 4) -> DataFrame:
+    """requests, fallbacks (beyond one for each batch of ``batch`` items), first_error and errors of ``results`` (id, requests, error)."""
+    beyond = F.sum("requests") - F.ceil(F.count("*") / batch)
+    return results.agg(F.sum("requests").alias("requests"), beyond.cast("long").alias("fallbacks"), F.min_by("error", F.when(F.col("error").isNotNull(), F.col("id"))).alias("first_error"), F.count_if(F.col("error").isNotNull()).alias("errors"))

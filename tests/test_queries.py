@@ -22,9 +22,11 @@ def test_weighted_sample_draws_two_of_each_topic(spark):
     assert rows == queries()["weighted_sample"](spark, DATA).collect() or sorted(map(tuple, rows)) == sorted(map(tuple, queries()["weighted_sample"](spark, DATA).collect()))
 
 
-def test_edit_fold_versions_agree(spark):
-    fold = {r.case_id: r.version for r in queries()["edit_fold"](spark, DATA).collect()}
-    assert fold and all(v >= 1 for v in fold.values())
+def test_drawn_routes(spark):
+    rows = queries()["drawn_routes"](spark, DATA).collect()
+    assert rows and all(2 <= len(set(r.facts)) == len(r.facts) <= 3 and r.walk[1] == r.topic and len(r.walk) == 2 * len(r.facts) - 1 for r in rows)
+    assert {len(r.facts) for r in rows} == {2, 3} and len({r.signature for r in rows}) == len(rows)
+    assert sorted(map(str, rows)) == sorted(map(str, queries()["drawn_routes"](spark, DATA).collect()))
 
 
 def test_entry_runs(spark):

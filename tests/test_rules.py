@@ -1,12 +1,16 @@
 """Worked cases of single rules."""
 
+import datetime
+import hashlib
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from engram.functions import jsonx, text
-from engram.operators import convergence, datasets, graph, memory, retrieval, rewards
+from engram.functions import jsonx, templates, text
+from engram.operators import checks, convergence, datasets, graph, memory, retrieval, rewards, store
+from engram.sources import providers
 
 
 def one(spark, column):
@@ -107,9 +111,173 @@ def test_support_goes_from_the_last_rank(spark):
 
 def test_expand(spark):
     seeds = spark.createDataFrame([(1, "a", 0.5), (1, "z", 0.9)], "query_id int, id string, score double")
-    near = spark.createDataFrame([("a", "b"), ("z", "b"), ("b", "c"), ("a", "z")], "a string, b string")
-    got = {r.id: (r.seed, r.hop, r.score) for r in retrieval.expand(seeds, near, depth=2).collect()}
+    members = spark.createDataFrame([("1", "a"), ("1", "b"), ("2", "z"), ("2", "b"), ("3", "b"), ("3", "c"), ("4", "a"), ("4", "z")], "group string, id string")
+    got = {r.id: (r.seed, r.hop, r.score) for r in retrieval.expand(seeds, members, depth=2).collect()}
     assert got == {"b": ("z", 1, 0.72), "c": ("z", 2, 0.576)}
+    active = spark.createDataFrame([("c",)], "id string")  # b is a bridge only
+    assert [r.id for r in retrieval.expand(seeds, members, depth=2, active=active).collect()] == ["c"]
+
+
+def queue_walk(seeds, near, depth, decay=0.8):
+    """Breadth first from all seeds at once."""
+    queue = [(i, i, 0) for i, _ in sorted(seeds.items(), key=lambda x: (-x[1], x[0]))]
+    seen, out = set(seeds), {}
+    while queue:
+        node, seed, hop = queue.pop(0)
+        if hop < depth:
+            for other in sorted(near.get(node, ())):
+                if other not in seen:
+                    seen.add(other)
+                    out[other] = (seed, hop + 1, round(seeds[seed] * decay ** (hop + 1), 6))
+                    queue.append((other, seed, hop + 1))
+    return out
+
+
+@pytest.mark.parametrize("depth", [1, 2, 3])
+def test_expand_as_a_queue(spark, depth):
+    r = random.Random(depth)
+    nodes = [(k, r.sample([f"p{x}" for x in range(12)] + [str(x) for x in range(40)], r.randint(0, 3))) for k in range(40)]
+    df = spark.createDataFrame(nodes, "id long, provenance array<string>")
+    near = {}
+    for row in retrieval.provenance_neighbours(df).collect():
+        near.setdefault(row.a, set()).add(row.b)
+    seeds = {k: round(r.random(), 3) for k in r.sample(range(40), 4)}
+    s = spark.createDataFrame([(1, k, v) for k, v in seeds.items()], "query_id int, id long, score double")
+    got = {x.id: (x.seed, x.hop, x.score) for x in retrieval.expand(s, retrieval.memberships(df), depth).collect()}
+    assert got == queue_walk(seeds, near, depth)
+
+
+def test_said_words(spark):
+    docs = spark.createDataFrame([(1, "the blueberry pie"), (2, "berry"), (3, ""), (4, None)], "id long, content string")
+    words = spark.createDataFrame([(1, "blueberry"), (2, "berr"), (3, "y p"), (4, ""), (5, "berries")], "query_id int, word string")
+    got = {}
+    for r in retrieval.said(words, docs).collect():
+        got.setdefault(r.query_id, set()).add(r.id)
+    assert got == {1: {1}, 2: {1, 2}, 3: {1}, 4: {1, 2, 3, 4}}
+
+
+def test_opposed_edges(spark):
+    walks = spark.createDataFrame([(1, "r", ["A", "B", "A"])], "case_id int, route string, walk array<string>")
+    edges = spark.createDataFrame([(1, "A", "B", "PARENT", 0), (1, "B", "A", "PARENT", 1)], "case_id int, source string, target string, type string, pos int")
+    way = lambda e: [r.direction for r in graph.walk_steps(walks, e).orderBy("step").collect()]
+    assert way(edges) == ["reverse", "forward"]  # the later edge is B to A
+    assert way(edges.withColumn("pos", 1 - F.col("pos"))) == ["forward", "reverse"]
+    assert way(edges.where("pos = 0")) == ["forward", "reverse"]
+    loop = spark.createDataFrame([(1, "A", "A", "PARENT", 0)], "case_id int, source string, target string, type string, pos int")
+    assert [r.direction for r in graph.walk_steps(spark.createDataFrame([(1, "r", ["A", "A"])], "case_id int, route string, walk array<string>"), loop).collect()] == ["reverse"]
+
+
+def fold_by_hand(edits):
+    """{(case, content): (status, provenance, questions, created, updated)}."""
+    nodes, version = {}, {}
+    unique = lambda *lists: list(dict.fromkeys(x for xs in lists for x in xs))
+    for case, _, op, targets, content, q, prov in sorted(edits, key=lambda e: e[:2]):
+        if op == "noop":
+            continue
+        v = version[case] = version.get(case, 0) + 1
+        hit = [nodes[t] for t in targets]
+        if op in ("merge", "delete"):
+            for n in hit:
+                n.update(status="archived", updated=v)
+        if op in ("add", "merge"):
+            made = hashlib.sha256(f"{case}|{v}|{content}".encode()).hexdigest()[:20]
+            nodes[made] = {"case": case, "content": content, "status": "active", "prov": unique(prov, *(n["prov"] for n in hit)), "qs": unique(*(n["qs"] for n in hit), [q] if q else []), "created": v, "updated": v}
+    return {(n["case"], n["content"]): (n["status"], n["prov"], n["qs"], n["created"], n["updated"]) for n in nodes.values()}
+
+
+def test_fold_of_merges_of_merges(spark):
+    r = random.Random(4)
+    edits = []
+    for case in (1, 2, 3):
+        made, version = [], 0
+        for seq in range(25):
+            op = r.choice(["add", "add", "merge", "merge", "delete", "noop"]) if len(made) > 1 else "add"
+            targets = r.sample(made, r.randint(1, 2)) if op in ("merge", "delete") else []
+            version += op != "noop"
+            content = f"c{seq}"
+            edits.append((case, seq, op, targets, content, r.choice([None, "", "q1", f"q{seq}"]), [f"p{r.randrange(6)}", f"p{r.randrange(6)}"]))
+            if op in ("add", "merge"):
+                made.append(hashlib.sha256(f"{case}|{version}|{content}".encode()).hexdigest()[:20])
+    schema = "case_id long, seq long, op string, targets array<string>, content string, question_id string, provenance array<string>"
+    df = spark.createDataFrame(edits, schema).withColumn("source_ids", F.array(F.lit("s"))).withColumn("tags", F.lit(None).cast("array<string>"))
+    got = {(n.case_id, n.content): (n.status, n.provenance, n.linked_questions, n.created_version, n.updated_version) for n in memory.fold_edits(df).collect()}
+    assert got == fold_by_hand(edits)
+    lost = spark.createDataFrame([(1, 1, "delete", ["nobody"], "", None, [])], schema).withColumn("source_ids", F.array().cast("array<string>")).withColumn("tags", F.array().cast("array<string>"))
+    with pytest.raises(ValueError, match="don't exist"):
+        memory.fold_edits(lost)
+
+
+def test_store_refuses(spark):
+    edits = spark.createDataFrame([(1, 1, "add", [], "one", "q1", ["p"], ["s"], ["t"])], "case_id long, seq long, op string, targets array<string>, content string, question_id string, provenance array<string>, source_ids array<string>, tags array<string>")
+    nodes = memory.fold_edits(edits)
+    with pytest.raises(ValueError, match="exist"):
+        store.add_nodes(nodes, nodes)
+    with pytest.raises(ValueError, match="no such"):
+        store.archive_nodes(nodes, spark.createDataFrame([(1, "x", 2)], "case_id long, id string, version long"))
+    bad = spark.createDataFrame([(1, "q", 1, True, [], 1)], "case_id long, question_id string, seq long, passed boolean, node_ids array<string>, version long")
+    with pytest.raises(ValueError, match="without support"):
+        store.capability_ledger(bad)
+    assert store.advance_iteration(spark.createDataFrame([(1, 4)], "case_id long, iteration long")).first().iteration == 5
+    assert store.archive_nodes(nodes, nodes.select("case_id", "id", F.lit(9).cast("long").alias("version"))).first().updated_version == 9
+
+
+def test_demands_are_errors(spark):
+    df = spark.createDataFrame([(1, True), (2, None)], "k int, found boolean")
+    assert checks.demand(df.where("k = 1"), F.col("found"), "missing question").count() == 1
+    with pytest.raises(Exception, match="missing question"):
+        checks.demand(df, F.col("found"), "missing question").collect()
+
+
+def test_prompts_are_json(spark):
+    said = 'a "b"\n\\ ß\t价'
+    prompt = one(spark, templates.attacker_payload(F.array(lit(said), lit(None).cast("string")), lit("comparison"), lit("cost"), F.array().cast("array<string>")))
+    assert prompt == json.dumps({"target": [said, None], "dimension": "cost", "known": []}, ensure_ascii=False)
+    sources = F.array(F.struct(lit("user").alias("role"), lit(None).cast("string").alias("chat_time"), lit(said).alias("content")))
+    items = F.array(F.struct(lit(0).alias("id"), lit("what?").alias("question")))
+    want = {"mode": "same_topic", "sources": [{"id": 0, "role": "user", "time": None, "content": said}], "items": [{"id": 0, "question": "what?"}]}
+    assert one(spark, templates.oracle_payload(lit("same_topic"), sources, items, lit(None).cast("string"))) == json.dumps(want, ensure_ascii=False, separators=(",", ":"))
+    row = spark.createDataFrame([("x", datetime.datetime(2024, 1, 2, 3, 4, 5), datetime.date(2024, 1, 2))], "a string, t timestamp, d date")
+    assert row.select(templates.plain_values(row.dtypes)).first() == ("x", "2024-01-02T03:04:05.000000Z", "2024-01-02")
+
+
+def test_reward_hook(spark):
+    solutions = spark.createDataFrame([(1, "g", "What is new?"), (2, "g", "two\nlines"), (3, "g", "Known. ")], "id long, group_id string, solution string")
+    context = solutions.select("id", F.array().cast("array<string>").alias("identifiers"), F.array(F.lit("known?")).alias("prior"), F.lit(False).alias("oracle_error"), F.lit(True).alias("oracle_valid"), F.lit(0.5).alias("relevance"), F.lit("x").alias("answer"), F.lit(1.0).alias("fidelity"), F.lit("y").alias("golden_answer"), F.lit(False).alias("judge_error"), F.lit(1.0).alias("gold"), F.lit(0.0).alias("parametric"), F.lit(0.0).alias("memory"), F.lit(1.0).alias("value"), F.lit(1.0).alias("novelty"))
+    got = {r.id: (r.stage, r.score, r.schema_valid, r.question_valid, r.attack_valid) for r in rewards.compute_score(solutions, context).collect()}
+    assert got == {1: ("scored", 1.0, 1.0, 1.0, 1.0), 2: ("schema_invalid", -1.0, 0.0, 0.0, 0.0), 3: ("duplicate", -1.0, 1.0, 1.0, 0.0)}
+
+
+def test_relevance_and_question_text(spark):
+    v = lambda *x: F.array(*map(lit, x))
+    assert one(spark, rewards.route_relevance(v(1.0, 0.0), F.array(v(0.0, 1.0), v(3.0, 4.0)))) == pytest.approx(0.6)
+    assert one(spark, rewards.route_relevance(v(1.0, 0.0), F.array(v(-1.0, 0.0)))) == 0
+    assert one(spark, rewards.question_text(lit("q"), lit("a"))) == "q\nAnswer: a"
+
+
+def test_cached_plans_and_answers(spark):
+    queries = spark.createDataFrame([(1, "a"), (2, "b"), (3, "b")], "query_id int, query string")
+    cache = spark.createDataFrame([("a", '{"rewritten_query":"A"}')], "query string, response string")
+    asked = []
+
+    def ask(missing):
+        asked.extend(r.query for r in missing.collect())
+        return missing.withColumn("response", F.lit('{"keywords":["k"]}'))
+
+    got = {r.query_id: (r.rewritten_query, r.keywords) for r in providers.cached_plans(queries, cache, ask).collect()}
+    assert got == {1: ("A", []), 2: ("b", ["k"]), 3: ("b", ["k"])} and asked == ["b"]
+    keys = spark.createDataFrame([("r", "What?"), ("r", "what."), ("s", "what")], "route string, q string").select(providers.oracle_key(F.col("route"), F.col("q")).alias("key"))
+    assert keys.distinct().count() == 2
+    known, missing = providers.cached_results(keys, keys.limit(1).withColumn("result", F.lit("x")))
+    assert known.count() + missing.count() >= 3
+
+
+def test_shuffle_and_draws(spark):
+    rows = spark.range(200)
+    order = [r.id for r in datasets.shuffled(rows, 3).collect()]
+    assert sorted(order) == list(range(200)) and order != sorted(order) and order == [r.id for r in datasets.shuffled(rows.repartition(5), 3).collect()]
+    size = datasets.draw_size(1, 2, F.least(F.lit(3), F.col("id") + 2), "id")
+    sizes = [r.n for r in rows.select(size.alias("n")).collect()]
+    assert set(sizes) == {2, 3} and 60 < sizes.count(3) < 140 and sizes[0] == 2
 
 
 def test_split_membership(spark):

@@ -15,15 +15,42 @@ def test_records_in_three_forms(spark, tmp_path):
         assert [(r.case_index, r.question, r.question_id) for r in got] == [(0, "x", "a"), (1, "y", None)], name
 
 
+def test_record_lines_are_numbered_in_order(spark, tmp_path):
+    folder = tmp_path / "lines"
+    folder.mkdir()
+    for k in range(3):
+        (folder / f"f{k}.jsonl").write_text("".join(json.dumps({"question": f"{k}-{i}"}) + "\n\n" for i in range(50)))
+    got = graphs.read_records(spark, f"file://{folder}").collect()
+    assert sorted(r.case_index for r in got) == list(range(150))
+    by = [r.question for r in sorted(got, key=lambda r: r.case_index)]
+    for k in range(3):  # files may come in any order, lines of one don't
+        assert [q for q in by if q.startswith(f"{k}-")] == [f"{k}-{i}" for i in range(50)]
+
+
+def test_other_records_are_errors(spark, tmp_path):
+    (tmp_path / "bad").write_text(json.dumps({"data": 5}))
+    with pytest.raises(Exception, match="neither"):
+        graphs.read_records(spark, f"file://{tmp_path}/bad").collect()
+    (tmp_path / "empty").write_text("\n")
+    assert graphs.read_records(spark, f"file://{tmp_path}/empty").count() == 0
+
+
 def test_graph_round_trip(spark, tmp_path):
     doc = {"version": "1", "nodes": [{"id": "n1", "user_name": "u1", "type": "fact", "created_at": "2"}, {"id": "n0", "user_name": "u1", "created_at": "1", "tags": ["a"]}, {"id": "n2", "user_name": "u2"}], "edges": [{"source": "n1", "target": "n2", "type": "PARENT"}, {"source": "n1", "target": "n0", "type": "PARENT"}]}
     (tmp_path / "g.json").write_text(json.dumps(doc, indent=1))
     nodes, edges = graphs.read_graph(spark, f"file://{tmp_path}/g.json")
     assert [r.id for r in graphs.node_scan(nodes, ["u1"]).collect()] == ["n0", "n1"]
     assert [(r.source, r.target) for r in graphs.edge_scan(edges, nodes, ["u1"]).collect()] == [("n1", "n0")]
-    graphs.write_graph(nodes, edges, f"file://{tmp_path}/out", "2")
+    graphs.write_graph_document(nodes, edges, f"file://{tmp_path}/out", "2")
     text = "".join(p.read_text() for p in sorted((tmp_path / "out").glob("part-*")))
     assert json.loads(text)["stats"]["num_nodes"] == 3 and len(json.loads(text)["edges"]) == 2
+    with pytest.raises(ValueError):
+        graphs.write_graph_document(nodes, edges, f"file://{tmp_path}/out", "2", most=4)
+    graphs.write_graph(nodes, edges, f"file://{tmp_path}/lines", "2")
+    back, arcs = graphs.read_graph_lines(spark, f"file://{tmp_path}/lines")
+    assert sorted(map(str, back.select(nodes.columns).collect())) == sorted(map(str, nodes.collect())) and arcs.count() == 2
+    about = json.loads("".join(p.read_text() for p in (tmp_path / "lines" / "about").glob("part-*")))
+    assert about["stats"] == {"num_users": 2, "num_nodes": 3, "num_edges": 2, "relation_counts": {"PARENT": 2}}
 
 
 def test_checkpoint(spark, tmp_path):
@@ -34,12 +61,18 @@ def test_checkpoint(spark, tmp_path):
     assert graphs.read_checkpoint(spark, folder)["nodes"].count() == 5
     paths = spark.createDataFrame([("/a/global_step_9",), ("/a/global_step_10",), ("/a/x",)], "path string")
     assert graphs.latest_checkpoint(paths).first().path == "/a/global_step_10"
+    with pytest.raises(Exception, match="no global_step_"):
+        graphs.latest_checkpoint(paths.where("path = '/a/x'")).collect()
 
 
 def test_training_files(spark, tmp_path):
     records = spark.createDataFrame([(1, "a"), (2, "b")], "id int, v string")
     split = spark.createDataFrame([(1, "train"), (2, "val")], "id int, split string")
-    graphs.write_training(records, split, f"file://{tmp_path}/t")
+    assert graphs.write_training(records, split, f"file://{tmp_path}/t") == {"train": 1, "val": 1, "modes": {"train": {}, "val": {}}}
+    moded = records.withColumn("extra_info", F.struct(F.struct(F.lit("comparison").alias("attack_mode")).alias("route")))
+    assert graphs.write_training(moded, split, f"file://{tmp_path}/m")["modes"] == {"train": {"comparison": 1}, "val": {"comparison": 1}}
+    with pytest.raises(ValueError):  # an empty split
+        graphs.write_training(records, split.where("id = 1"), f"file://{tmp_path}/t")
     assert spark.read.parquet(f"file://{tmp_path}/t/val.parquet").first().v == "b"
     with pytest.raises(ValueError):
         graphs.write_training(records.limit(0), split, f"file://{tmp_path}/t")
