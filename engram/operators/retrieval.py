@@ -132,26 +132,35 @@ def _cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.round(np.divide(a @ b.T, norms, out=np.zeros(norms.shape), where=norms != 0), 6) + 0.0
 
 
-GRAM = 6
+#: A run of letters, digits and underscores; words are sought in runs no longer than LONG by their first GRAM characters.
+RUN, GRAM, LONG = r"[\p{L}\p{N}_]+", 4, 64
 
 
 def said(words: DataFrame, docs: DataFrame) -> DataFrame:
     """query_id, id where a document's ``content`` holds a ``word`` of the query (both lower-cased already).
 
-    A word is looked up by its first ``GRAM`` characters among those that begin at each place of a document, in an
-    equi-join, and confirmed by containment; shorter words by as many as they have.  An empty word is in every document.
+    A word that is one run of letters and digits stands in a text if and only if it stands in one of the text's runs.  So words
+    are matched with the different runs of all texts, in an equi-join on the ``GRAM`` characters at each place of a run, and
+    runs are joined back to their texts.  Few words are shorter or hold other characters, and few runs are longer: these
+    are compared each with each.  An empty word is in every document.
     """
-    sized = words.withColumn("k", F.least(F.length("word"), F.lit(GRAM))).distinct()
-    out = docs.select("id").crossJoin(sized.where("k = 0").select("query_id").distinct()).select("query_id", "id")
-    keyed = sized.where("k > 0").withColumn("key", F.substring("word", 1, GRAM))
-    sizes = sorted(r.k for r in keyed.select("k").distinct().collect())  # at most GRAM
-    for k in sizes:
-        asked = keyed.where(F.col("k") == k).select("query_id", "word", "key")
-        keys = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("content") - k + 1), lambda i: F.substring(F.col("content"), i, F.lit(k))))
-        places = docs.where(F.length("content") >= k).select("id", F.explode(keys).alias("key")).join(asked.select("key").distinct(), "key")
-        pairs = places.join(asked.select("key", "word").distinct(), "key").join(docs.select("id", "content"), "id").where(F.contains("content", "word")).select("id", "word")
-        out = out.unionByName(pairs.join(asked.select("query_id", "word"), "word").select("query_id", "id"))
-    return out.distinct()
+    sought = checkpointed(words.where("word is not null").distinct())
+    simple = F.col("word").rlike(rf"^{RUN}$")
+    each = docs.select("id", F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit(f"({RUN})"), F.lit(1)))).alias("run"))
+    runs = each.select("run").distinct()
+    plain = sought.where(simple).select("word").distinct()
+    keyed = plain.where(F.length("word") >= GRAM).withColumn("key", F.substring("word", 1, GRAM))
+    places = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("run") - GRAM + 1), lambda i: F.substring(F.col("run"), i, F.lit(GRAM))))
+    short = runs.where(F.length("run").between(GRAM, LONG)).select("run", F.explode(places).alias("key"))
+    holds = F.contains("run", "word")
+    met = short.join(keyed, "key").where(holds).select("run", "word")
+    met = met.unionByName(runs.where(F.length("run") > LONG).join(plain.where(F.length("word") >= GRAM), holds).select("run", "word"))
+    met = met.unionByName(runs.join(plain.where(F.length("word") < GRAM), holds).select("run", "word"))
+    found = each.join(met.distinct(), "run").select("id", "word").distinct().join(sought, "word").select("query_id", "id")
+    odd = sought.where(~simple & (F.col("word") != ""))
+    found = found.unionByName(docs.select("id", "content").join(odd, F.contains("content", "word")).select("query_id", "id"))
+    blank = sought.where("word = ''").select("query_id").distinct()
+    return found.unionByName(docs.select("id").crossJoin(blank).select("query_id", "id")).distinct()
 
 
 def metadata_matches(queries: DataFrame, nodes: DataFrame) -> DataFrame:
