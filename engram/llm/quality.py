@@ -54,8 +54,11 @@ def features(texts: pa.Array, bits: int) -> tuple[np.ndarray, np.ndarray]:
     bounds = lists.offsets.to_numpy().astype(np.int64)
     bounds = bounds - bounds[0]
     coded = pc.dictionary_encode(lists.flatten())
-    codes = coded.indices.to_numpy()
-    table = np.array([word_hashes(w) for w in coded.dictionary.to_pylist()] or np.zeros((0, 2)), np.uint64)
+    codes, words = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+    if "" in words:  # white space at an end, or nothing else, is no word
+        real = codes != words.index("")
+        codes, bounds = codes[real], np.concatenate([[0], np.cumsum(real)])[bounds]
+    table = np.array([word_hashes(w) for w in words] or np.zeros((0, 2)), np.uint64)
     own = table[codes]  # words x (word, shape)
     mix, shift = np.uint64(0x9E3779B97F4A7C15), np.uint64(64 - bits)
     single = own * mix

@@ -4,8 +4,8 @@ Each id is cut into ``CHUNK``-bit chunks, lowest first.  Level ``k`` holds the
 ``k``-th chunk of every id that has one, packed, with a bitmap that says for
 which of them a chunk follows at level ``k + 1``.  The rank of a set bit in that
 bitmap is the id's place at the next level; a directory of cumulative set bits
-for each 512-bit block makes rank a table look-up and one popcount.  Any token is read
-from a few bytes at computed places; no block is decoded.
+for each 512-bit block makes rank a table look-up and popcounts within a block.  ``DacReader``
+reads any token, or the ids of any document, by ranged reads at computed places.
 
 File layout (little endian)::
 
@@ -132,6 +132,52 @@ class DacFile:
         return self.get(np.arange(self.ends[k - 1] if k else 0, self.ends[k]))
 
 
+class DacReader:
+    """Ids of a file by ranged reads of an open, seekable one: the header once, then for each level a byte for each id, the
+    bitmap's words there and in the rest of their block before, and one directory entry."""
+
+    def __init__(self, file):
+        self.file = file
+        magic, _, self.chunk, n, self.tokens, self.docs = HEAD.unpack(self._read(0, HEAD.size))
+        if magic != MAGIC:
+            raise ValueError("not a DAC file")
+        sizes = self._read(HEAD.size, LEVEL.size * n)
+        self.ends_at = HEAD.size + LEVEL.size * n + 8 * self.docs
+        at, self.levels = self.ends_at + 8 * self.docs, []
+        for k in range(n):
+            entries, size = LEVEL.unpack_from(sizes, LEVEL.size * k)
+            blocks = -(-max(entries, 1) // BLOCK)
+            self.levels.append((at, at + size, at + size + blocks * BLOCK // 8))  # chunks, bitmap, directory
+            at += size + blocks * BLOCK // 8 + 4 * (blocks + 1)
+
+    def _read(self, at: int, size: int) -> bytes:
+        self.file.seek(at)
+        return self.file.read(size)
+
+    def ids(self, start: int, end: int) -> np.ndarray:
+        """Ids at the places from ``start`` up to ``end``; at each level they stand side by side."""
+        if not 0 <= start <= end <= self.tokens:
+            raise IndexError((start, end))
+        out, live, shift = np.zeros(end - start, np.uint32), np.arange(end - start), 0
+        for chunks, bitmap, directory in self.levels:
+            out[live] |= np.frombuffer(self._read(chunks + start, end - start), "u1").astype(np.uint32) << np.uint32(shift)
+            block = start // BLOCK
+            words = np.frombuffer(self._read(bitmap + block * BLOCK // 8, 8 * (-(-end // 64)) - block * BLOCK // 8), "u1")
+            bits = np.unpackbits(words, bitorder="little")
+            more = bits[start - block * BLOCK : end - block * BLOCK] == 1
+            if not more.any():
+                break
+            before = int.from_bytes(self._read(directory + 4 * block, 4), "little") + int(bits[: start - block * BLOCK].sum())
+            live, start, end, shift = live[more], before, before + int(more.sum()), shift + self.chunk
+        return out
+
+    def document(self, k: int) -> np.ndarray:
+        """Ids of the file's ``k``-th document."""
+        first = max(k - 1, 0)
+        ends = np.frombuffer(self._read(self.ends_at + 8 * first, 8 * (k - first + 1)), "<u8").astype(np.int64)
+        return self.ids(int(ends[0]) if k else 0, int(ends[-1]))
+
+
 def write_bytes(uri: str, data: bytes) -> None:
     """Write through a temporary name, so that a file under its own name is whole; a task run again replaces it."""
     store, path = fs.FileSystem.from_uri(uri)
@@ -148,6 +194,12 @@ def read_bytes(uri: str) -> bytes:
         return f.read()
 
 
+def open_file(uri: str):
+    """A file open for reading at any place."""
+    store, path = fs.FileSystem.from_uri(uri)
+    return store.open_input_file(path)
+
+
 def write_store(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 2, spaced: bool = False, file_tokens: int = 8_000_000) -> DataFrame:
     """Write ``docs`` (doc_id, text) as DAC files under ``folder``; returns the table of files
     (file, part, seq, first_doc, n_docs, n_tokens), written beside them.
@@ -213,13 +265,14 @@ def read_store(files: DataFrame, buffer: int = 500_000) -> DataFrame:
 
 
 def token(files: DataFrame, place: int) -> int:
-    """The id at a global place: one file and a few bytes of it are looked at."""
-    rows = files.select("file", "part", "seq", "n_tokens").orderBy("part", "seq").toLocalIterator()
-    for row in rows:
-        if place < row.n_tokens:
-            return int(DacFile(read_bytes(row.file)).get([place])[0])
-        place -= row.n_tokens
-    raise IndexError(place)
+    """The id at a global place: the table of files names the file, of which some bytes at computed places are read."""
+    before = F.sum("n_tokens").over(Window.orderBy("part", "seq"))  # one row a file
+    held = files.select("file", "n_tokens", before.alias("until")).where((F.col("until") > place) & (F.col("until") - F.col("n_tokens") <= place)).first()
+    if held is None or place < 0:
+        raise IndexError(place)
+    with open_file(held.file) as f:
+        at = place - (held.until - held.n_tokens)
+        return int(DacReader(f).ids(at, at + 1)[0])
 
 
 def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -229,5 +282,3 @@ def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     files = write_store(docs, public_tokenizers.path("word_bpe_49k.json"), new_folder(spark, "dac"))
     return read_store(files).select("doc_id", "start", "n_tokens", F.crc32("tokens_le").alias("ids_crc32"))
-
-

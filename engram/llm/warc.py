@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import new_folder, parts_of, slices, written
-from .token_store import read_bytes, write_bytes
+from .token_store import open_file, write_bytes
 
 # Fixed values of the Zstandard seekable format.
 SKIPPABLE = 0x184D2A5E
@@ -97,29 +97,34 @@ class BundleWriter:
 
 
 class Bundle:
-    """Reads a bundle: its index, a record by id, or all records frame by frame."""
+    """Reads an open, seekable bundle by ranges: its seek table and index from the end, then single frames."""
 
-    def __init__(self, data: bytes):
-        self.data = data
-        n, _, magic = FOOTER.unpack_from(data, len(data) - FOOTER.size)
+    def __init__(self, file):
+        self.file = file
+        size = file.seek(0, 2)
+        n, _, magic = FOOTER.unpack(self._read(size - FOOTER.size, FOOTER.size))
         if magic != SEEKABLE:
             raise ValueError("no seek table at the end")
-        at = len(data) - FOOTER.size - n * FRAME.size
-        self.frames = np.frombuffer(data, "<u4", 2 * n, at).reshape(n, 2)
+        table = self._read(size - FOOTER.size - n * FRAME.size, n * FRAME.size)
+        self.frames = np.frombuffer(table, "<u4").reshape(n, 2)
         self.starts = np.concatenate([[0], np.cumsum(self.frames[:, 0], dtype=np.int64)])
-        kind, size = HEAD.unpack_from(data, int(self.starts[-1]))
+        kind, length = HEAD.unpack(self._read(int(self.starts[-1]), HEAD.size))
         if kind != INDEX:
             raise ValueError("no record index after the frames")
-        self.index = np.frombuffer(data, ENTRY, size // ENTRY.itemsize, int(self.starts[-1]) + HEAD.size)
+        self.index = np.frombuffer(self._read(int(self.starts[-1]) + HEAD.size, length), ENTRY)
+
+    def _read(self, at: int, size: int) -> bytes:
+        self.file.seek(at)
+        return self.file.read(size)
 
     def frame(self, k: int) -> bytes:
-        raw = memoryview(self.data)[int(self.starts[k]) : int(self.starts[k + 1])]
+        raw = self._read(int(self.starts[k]), int(self.frames[k, 0]))
         return zstandard.ZstdDecompressor().decompress(raw, max_output_size=int(self.frames[k, 1]))
 
     def record(self, record_id: int) -> list[tuple[dict[str, str], bytes]]:
-        """All records of an id: one frame is expanded for each."""
+        """All records of an id: one frame is read and expanded for each."""
         lo, hi = np.searchsorted(self.index["record"], [record_id, record_id + 1])
-        return [parse_record(self.frame(e["frame"])[e["offset"] : e["offset"] + e["length"]]) for e in self.index[lo:hi]]
+        return [parse_record(self.frame(int(e["frame"]))[e["offset"] : e["offset"] + e["length"]]) for e in self.index[lo:hi]]
 
     def records(self) -> Iterator[tuple[int, dict[str, str], bytes]]:
         order = np.lexsort((self.index["offset"], self.index["frame"]))
@@ -177,8 +182,8 @@ def read_bundles(bundles: DataFrame) -> DataFrame:
         schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary())])
         for batch in batches:
             for name in batch["file"].to_pylist():
-                rows, held = [], 0
-                for page_id, head, block in Bundle(read_bytes(name)).records():
+                rows, held, file = [], 0, open_file(name)
+                for page_id, head, block in Bundle(file).records():
                     if head["WARC-Type"] == "response":
                         rows.append((page_id, head["WARC-Target-URI"], "response", len(block), hashlib.sha256(block).hexdigest(), None, block))
                     else:
@@ -189,6 +194,7 @@ def read_bundles(bundles: DataFrame) -> DataFrame:
                         rows, held = [], 0
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+                file.close()
 
     schema = "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary"
     return bundles.select("file").repartition(parts_of(bundles.sparkSession), "file").mapInArrow(read, schema)

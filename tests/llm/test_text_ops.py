@@ -1,6 +1,8 @@
 """Operators on texts against brute force, with odd rows: nulls, empty and long texts, repeats, extra columns."""
 
 import hashlib
+import io
+import math
 import random
 import re
 import zlib
@@ -220,6 +222,43 @@ def test_dac_codes():
     assert (dac.document(0) == ids).all() and dac.get([5])[0] == 2**32 - 1
 
 
+class Counted(io.BytesIO):
+    """A file that counts the bytes read."""
+
+    count = 0
+
+    def read(self, size=-1):
+        got = super().read(size)
+        self.count += len(got)
+        return got
+
+
+def test_dac_ranges():
+    r = np.random.default_rng(2)
+    ids = np.where(r.random(100_000) < 0.7, r.integers(0, 200, 100_000), r.integers(0, 2**20, 100_000)).astype(np.uint32)
+    ends = np.unique(np.append(r.integers(1, len(ids), 300), len(ids)))
+    data = token_store.dac_encode(ids, np.arange(len(ends)), ends)
+    file = Counted(data)
+    reader = token_store.DacReader(file)
+    for k in (0, 1, 57, len(ends) - 1):
+        assert (reader.document(k) == ids[ends[k - 1] if k else 0 : ends[k]]).all()
+    for a, b in ((0, 0), (0, 1), (511, 514), (99_000, 100_000), (0, 100_000)):
+        assert (reader.ids(a, b) == ids[a:b]).all()
+    file.count = 0
+    assert [int(reader.ids(p, p + 1)[0]) for p in (5, 4096, 77_777)] == [int(ids[p]) for p in (5, 4096, 77_777)] and file.count < 1000
+    with pytest.raises(IndexError):
+        reader.ids(0, 100_001)
+
+
+def test_token_store_of_odd_rows(spark, tmp_path):
+    """Repeated doc_ids are rows of their own in order, null ones come last."""
+    path, encode = tokenizer("word_bpe_49k.json")
+    df = spark.createDataFrame([(2, "b b", 1), (None, "none", 1), (1, None, 1), (2, "b b", 1), (None, None, 1)], "doc_id long, text string, start int")
+    got = token_store.read_store(token_store.write_store(df, path, f"file://{tmp_path}/odd")).orderBy("start").collect()
+    assert [r.doc_id for r in got] == [1, 2, 2, None, None] and [r.start for r in got] == np.cumsum([0, *(r.n_tokens for r in got)])[:-1].tolist()
+    assert got[0].n_tokens == 1 and got[1].n_tokens == len(encode("b b")) + 1 and sorted(r.n_tokens for r in got[3:]) == [1, len(encode("none")) + 1]
+
+
 def check_packing(rows, lengths, capacity):
     """Every piece once, gapless sequences within capacity."""
     by, seen = {}, {}
@@ -315,6 +354,55 @@ def test_quality_held_out(spark):
     assert [r.score for r in odd] == [0.5, 0.5] and {r.score2 for r in odd} == {"a", "b"}
 
 
+def quality_by_hand(train, texts, bits):
+    """Scores from dictionaries: hashed words, pairs and their shapes, one weight at a time."""
+    mix, mask = 0x9E3779B97F4A7C15, (1 << 64) - 1
+
+    def grams(text):
+        words, out = [quality.word_hashes(w) for w in (text or "").split()], {}
+        for k, own in enumerate(words):
+            for side in (0, 1):
+                after = own[side] + 7 if k + 1 == len(words) else own[side] * 1_000_003 + words[k + 1][side] + 1
+                for h in (own[side], after):
+                    f = (h * mix & mask) >> (64 - bits)
+                    out[f] = out.get(f, 0) + 1
+        n = sum(out.values())
+        return {f: c / n for f, c in out.items()}
+
+    z, n, alpha, l1, l2 = {}, {}, 2.0, 1e-4, 1e-4
+
+    def weight(f):
+        v = z.get(f, 0.0)
+        return 0.0 if abs(v) <= l1 else -(v - math.copysign(l1, v)) / ((1 + math.sqrt(n.get(f, 0.0))) / alpha + l2)
+
+    ones = max(1, sum(y for _, y in train))
+    balance = {1: len(train) / 2 / ones, 0: len(train) / 2 / max(1, len(train) - ones)}
+    for _ in range(3):
+        for text, y in train:
+            x = grams(text) | {"bias": 1.0}
+            w = {f: weight(f) for f in x}
+            p = 1 / (1 + math.exp(-sum(w[f] * v for f, v in x.items())))
+            for f, v in x.items():
+                g = (p - y) * v * balance[y]
+                s = (math.sqrt(n.get(f, 0.0) + g * g) - math.sqrt(n.get(f, 0.0))) / alpha
+                z[f], n[f] = z.get(f, 0.0) + g - s * w[f], n.get(f, 0.0) + g * g
+    return [1 / (1 + math.exp(-weight("bias") - sum(weight(f) * v for f, v in grams(t).items()))) for t in texts]
+
+
+def test_quality_against_dictionaries(spark, docs):
+    bits = 12
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i, _ in odd_docs()] + [(None, 1), (3, None)], "doc_id long, y int")
+    order = [r.doc_id for r in labels.where("doc_id is not null and y is not null").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").collect()]
+    texts = dict(odd_docs())
+    train = [(texts[i], int(i % 4 == 0)) for i in order]
+    w = quality.train(docs, labels, bits=bits)
+    got = {r.doc_id: r.score for r in quality.scored(docs, w, bits).collect()}
+    want = quality_by_hand(train, texts.values(), bits)
+    assert all(abs(got[i] - s) < 1e-4 for i, s in zip(texts, want, strict=True)) and len(got) == len(texts)
+    long = "A" * 30 + "b" * 30
+    assert quality.word_hashes(long)[1] == quality.word_hashes("Zy")[1] and quality.word_hashes("a-" * 40)[1] != quality.word_hashes("a-" * 20)[1]
+
+
 @pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
 def test_same_as_sql(spark, name):
     same(spark, registry.queries()[name], registry.oracle_sql()[name], DATA)
