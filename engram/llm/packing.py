@@ -61,6 +61,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id:
             if with_ids:
                 out["ids"] = pa.array([bytes(p) for p in parts], pa.binary())
             yield pa.RecordBatch.from_pydict(out)
+        enc.settle()
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
     return docs.select("doc_id", "text").mapInArrow(cut, schema)

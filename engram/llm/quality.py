@@ -133,6 +133,7 @@ def scored(docs: DataFrame, weights: np.ndarray, bits: int = BITS, keep: tuple[s
             logit = (sums[bounds[1:]] - sums[bounds[:-1]]) / n + float(w[-1])
             p = 1 / (1 + np.exp(-np.clip(logit, -35, 35)))
             yield pa.RecordBatch.from_arrays([*(batch[c] for c in kept), pa.array(p)], [*kept, score])
+        word_hashes.cache_clear()  # the worker lives on
 
     kept = ["doc_id", *(c for c in keep if c != "doc_id")]
     needed = list(dict.fromkeys([*kept, "text"]))

@@ -44,7 +44,8 @@ GRAM = 20
 HOT = 4096
 #: Windows of a run at most; repetitive text would make longer ones.
 LONGEST = 256
-SLICE = 1 << 20
+#: Bytes hashed at once; the hashes take about a hundred times as much.
+SLICE = 1 << 19
 
 
 def contents(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -206,7 +207,7 @@ def refine(doc: np.ndarray, start: np.ndarray, data: list[bytes]) -> np.ndarray:
     return np.stack([row[hit], within[hit]], axis=1)
 
 
-def refined(rows: DataFrame, batch_bytes: int = 2 << 20) -> DataFrame:
+def refined(rows: DataFrame, batch_bytes: int = 1 << 20) -> DataFrame:
     """doc_id, crc, data (spans) from the rows with bytes to refine."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

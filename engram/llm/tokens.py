@@ -81,6 +81,12 @@ class Encoder:
                 out[k] = new[pieces[k]] = np.array(enc.ids, np.uint32).tobytes()
         return out
 
+    def settle(self) -> None:
+        """At a task's end: of the pieces remembered keep those of the last half generation at most, as a worker lives on."""
+        self.old = {}
+        if len(self.new) > self.memory // 2:
+            self.new = {}
+
     def _letters(self, piece: str, k: int, out: list) -> bool:
         """Encode a piece of letters (after one space at most); says whether it was one."""
         word = piece[1:] if piece[:1] == " " else piece
