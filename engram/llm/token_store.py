@@ -232,7 +232,6 @@ def write_store(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 2, s
                 seq, held, count = seq + 1, [], 0
         if held:
             yield close()
-        enc.settle()
 
     # rows without a doc_id are dealt by their texts, as they may be many
     order = [F.col("doc_id").asc_nulls_last(), F.when(F.col("doc_id").isNull(), F.xxhash64("text"))]
