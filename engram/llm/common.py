@@ -92,6 +92,59 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 2 <
     give_back()
 
 
+#: Spreads a 64-bit number's bits, as a factor.
+MIX = np.uint64(0x9E3779B97F4A7C15)
+
+
+def finish(h: np.ndarray) -> np.ndarray:
+    """Spread a 64-bit number's bits."""
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+class Earliest:
+    """The smallest id that a task has met for each key that several ids share, before any shuffle.
+
+    A key that stands in a large share of all rows then goes on with about a row a
+    task.  At most ``most`` keys are remembered, those met last; a key that is not
+    remembered only means that its row goes on.  A key is a pair of 64-bit numbers.
+    """
+
+    def __init__(self, most: int = 1 << 16) -> None:
+        self.most, self.turn = most, 0
+        self.mixed, self.one, self.two = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.least, self.used = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def of(self, one: np.ndarray, two: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """The smallest id met so far with each row's key, these rows included."""
+        if not len(ids):
+            return ids
+        self.turn += 1
+        mixed = finish(one.view(np.uint64) * MIX + two.view(np.uint64))
+        order = np.argsort(mixed)
+        mixed, one, two, own = mixed[order], one[order], two[order], ids[order]
+        starts = np.flatnonzero(np.append(True, (one[1:] != one[:-1]) | (two[1:] != two[:-1])))
+        least, most = np.minimum.reduceat(own, starts), np.maximum.reduceat(own, starts)
+        known = np.zeros(len(starts), bool)
+        if len(self.mixed):
+            at = np.minimum(np.searchsorted(self.mixed, mixed[starts]), len(self.mixed) - 1)
+            known = (self.one[at] == one[starts]) & (self.two[at] == two[starts])
+            least = np.where(known, np.minimum(least, self.least[at]), least)
+            self.least[at[known]], self.used[at[known]] = least[known], self.turn
+        new = starts[(least < most) & ~known]
+        if len(new):
+            keep = np.argsort(np.append(self.used, np.full(len(new), self.turn)), kind="stable")[-self.most :]
+            values = (mixed[new], one[new], two[new], least[(least < most) & ~known], np.full(len(new), self.turn))
+            old = (self.mixed, self.one, self.two, self.least, self.used)
+            joined = [np.append(o, v)[keep] for o, v in zip(old, values, strict=True)]
+            sort = np.argsort(joined[0])
+            self.mixed, self.one, self.two, self.least, self.used = (x[sort] for x in joined)
+        out = np.empty(len(ids), np.int64)
+        out[order] = np.repeat(least, np.diff(np.append(starts, len(ids))))
+        return out
+
+
 def fresh(columns: list[str], *names: str) -> list[str]:
     """``names`` for columns to add to ``columns``; one that is taken, in any case of letters, gets as many ``_`` as it needs."""
     taken, out = {c.lower() for c in columns}, []

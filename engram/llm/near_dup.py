@@ -11,7 +11,9 @@ For sets that fit their sketch this is certain at any union's size (13 shared an
 of about 2e-9.  Lists on runs rather than values stay short for words and passages
 that many documents share.
 
-A list links its members to its smallest, never to each other.  Connected lists
+A list links its members to its smallest, never to each other; a task does so for
+the members that it holds itself, so that a list of very many documents is a few
+rows of each task.  Connected lists
 are clusters; only inside a cluster can links be.  Clusters are compared in
 blocks of at most ``BLOCK`` documents: the similarity estimated from the union's
 sketch drops pairs that are far off, the full sets decide the others exactly, and
@@ -35,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import parts_of, slices, staged
+from .common import MIX, Earliest, finish, parts_of, slices, staged
 from .components import components
 
 #: Values that a sketch retains.
@@ -45,14 +47,6 @@ RUNS = ((2, 2, 5), (3, 5, 15), (4, 13, None))
 #: Documents of a block.
 BLOCK = 256
 SPACES = r"[\x20\x09-\x0D]+"
-MIX = np.uint64(0x9E3779B97F4A7C15)
-
-
-def finish(h: np.ndarray) -> np.ndarray:
-    """Spread a 64-bit number's bits."""
-    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return h ^ (h >> np.uint64(31))
 
 
 def shingle_sets(texts: pa.Array, size: int) -> list[np.ndarray]:
@@ -115,6 +109,30 @@ def sketches(docs: DataFrame, size: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(sketch, "doc_id long, n_shingles long, hi long, lo long, keys array<long>")
 
 
+def list_rows(classes: DataFrame) -> DataFrame:
+    """rep, key, least: a row for each list that a document is in.
+
+    Where the task has met a smaller document of the list, ``least`` is that and the row needs no list: its key is a number of
+    its own.  A list that many documents share is thus a row or so of each task.
+    """
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met = Earliest()
+        with np.errstate(over="ignore"):
+            for whole in batches:
+                for lo in range(0, whole.num_rows, 2048):
+                    batch = whole.slice(lo, 2048)
+                    lists = batch["keys"]
+                    rep = np.repeat(batch["rep"].to_numpy(), np.diff(lists.offsets.to_numpy()))
+                    key = lists.flatten().to_numpy()
+                    least = met.of(key, np.zeros(len(key), np.int64), rep)
+                    done = least < rep
+                    key = np.where(done, finish(key.view(np.uint64) + rep.view(np.uint64) * MIX).view(np.int64), key)
+                    yield pa.RecordBatch.from_arrays([pa.array(rep), pa.array(key), pa.array(least, mask=~done)], ["rep", "key", "least"])
+
+    return classes.select("rep", "keys").mapInArrow(rows, "rep long, key long, least long")
+
+
 def block_links(ids: np.ndarray, sets: list[np.ndarray], side: np.ndarray, percent: int) -> list[tuple[int, int]]:
     """A spanning forest of the links among documents of one block (all of one side), or between two."""
     n = len(ids)
@@ -202,9 +220,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     rows = staged(sketches(docs, size), "sketches")
     real = rows.where("n_shingles > 0 and doc_id is not null")
     classes = staged(real.groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"), F.any_value("keys").alias("keys")), "classes")
-    lists = classes.select("rep", F.explode("keys").alias("key"))
-    least = F.min("rep").over(Window.partitionBy("key"))
-    met = lists.withColumn("least", least).where("rep > least").groupBy("rep").agg(F.min("least").alias("v"), F.collect_set("least").alias("firsts"))
+    least = F.coalesce("least", F.min("rep").over(Window.partitionBy("key")))
+    met = list_rows(classes).withColumn("least", least).where("rep > least").groupBy("rep").agg(F.min("least").alias("v"), F.collect_set("least").alias("firsts"))
     # a document's lists start with at most as many others as it has keys; all are tied to the smallest of them
     stars = met.select("v", F.explode(F.array_append("firsts", F.col("rep"))).alias("u")).where("u <> v").distinct()
     clusters = components(stars).withColumnsRenamed({"node": "rep", "component": "cluster"})
