@@ -7,7 +7,9 @@ it takes to tell ``LENGTH`` bytes apart:
 1. *Buckets.*  A window of ``LENGTH`` bytes is put in the bucket of the smallest
    hash among its ``GRAM``-byte grams, which depends on the window alone.
    Neighbouring windows mostly share it, so a document has a row for each run of
-   windows in one bucket, with a hash of the run's windows.  Buckets of a single
+   windows in one bucket, with a hash of the run's windows.  Runs equal to one of a
+   smaller document in the same task are settled there, so that a bucket of very
+   many documents is a few rows of each task.  Buckets of a single
    document are done.  In a bucket, runs equal to one of a smaller document are
    covered whole; only the first run of each kind, where there are several kinds,
    needs refinement.
@@ -35,8 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import fresh, parts_of, slices, staged
-from .near_dup import finish
+from .common import MIX, Earliest, finish, fresh, parts_of, slices, staged
 
 LENGTH = 50
 GRAM = 20
@@ -115,14 +116,18 @@ def run_ids(texts: pa.Array, raw: np.ndarray, bounds: np.ndarray, doc: np.ndarra
 
 
 def runs(docs: DataFrame) -> DataFrame:
-    """doc_id, bucket, kind, run."""
+    """doc_id, bucket, kind, run.  A run that equals one of a smaller document of the same task has a negative number as bucket."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met = Earliest()
         with np.errstate(over="ignore"):
             for batch in slices(batches, "text", SLICE):
                 raw, bounds = contents(batch["text"])
                 doc, bucket, _, _, kind, _ = bucket_runs(raw, bounds)
-                yield pa.RecordBatch.from_pydict({"doc_id": batch["doc_id"].cast(pa.int64()).take(pa.array(doc)), "bucket": pa.array(bucket), "kind": pa.array(kind), "run": pa.array(run_ids(batch["text"], raw, bounds, doc))})
+                ids, run = batch["doc_id"].cast(pa.int64()).to_numpy()[doc], run_ids(batch["text"], raw, bounds, doc)
+                own = finish(ids.view(np.uint64) * MIX + run.view(np.uint64)) | np.uint64(1 << 63)
+                bucket = np.where(met.of(bucket, kind, ids) < ids, own.view(np.int64), bucket)
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(bucket), pa.array(kind), pa.array(run)], ["doc_id", "bucket", "kind", "run"])
 
     return docs.select("doc_id", "text").where("doc_id is not null").mapInArrow(find, "doc_id long, bucket long, kind long, run long")
 
@@ -134,7 +139,7 @@ def judged_runs(docs: DataFrame) -> DataFrame:
         "*",
         *(f(c).over(bucket).alias(n) for f, c, n in ((F.min, "doc_id", "d0"), (F.max, "doc_id", "d1"), (F.min, "kind", "k0"), (F.max, "kind", "k1"), (F.count, "run", "size"))),
     )
-    shared = rows.where("d0 < d1").withColumn("covered", F.col("doc_id") > F.min("doc_id").over(kind))
+    shared = rows.where("bucket < 0 or d0 < d1").withColumn("covered", (F.col("bucket") < 0) | (F.col("doc_id") > F.min("doc_id").over(kind)))
     what = F.when(F.col("covered"), 0).when(F.col("size") <= HOT, 1).otherwise(2)
     return shared.where("covered or k0 < k1").select("doc_id", (F.shiftleft("run", 2) + what).alias("code")).groupBy("doc_id").agg(F.collect_list("code").alias("codes"))
 
