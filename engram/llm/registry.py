@@ -5,6 +5,7 @@ from __future__ import annotations
 from .decontaminate import OP7_SQL, op7_decontamination, op7_proximity
 from .embed_dup import op6_embedding_dup
 from .line_dedup import OP4_SQL, OP4_WHOLE_SQL, op4_line_dedup, op4_line_dedup_whole
+from .merkle import OP11_SQL, op11_merkle_manifest
 from .near_dup import op2_near_dup
 from .packing import op5_packing
 from .quality import op8_quality
@@ -29,8 +30,9 @@ def queries():
         "op8_quality": op8_quality,
         "op9_url_filter": op9_url_filter,
         "op10_warc": op10_warc,
+        "op11_merkle_manifest": op11_merkle_manifest,
     }
 
 
 def oracle_sql():
-    return {"op1_substring_dedup": OP1_SQL, "op2_near_dup": OP2_SQL, "op6_embedding_dup": OP6_SQL, "op4_line_dedup": OP4_SQL, "op4_line_dedup_whole": OP4_WHOLE_SQL, "op7_decontamination": OP7_SQL, "op9_url_filter": OP9_SQL, "op10_warc": OP10_SQL}
+    return {"op1_substring_dedup": OP1_SQL, "op2_near_dup": OP2_SQL, "op6_embedding_dup": OP6_SQL, "op4_line_dedup": OP4_SQL, "op4_line_dedup_whole": OP4_WHOLE_SQL, "op7_decontamination": OP7_SQL, "op9_url_filter": OP9_SQL, "op10_warc": OP10_SQL, "op11_merkle_manifest": OP11_SQL}
