@@ -13,6 +13,7 @@ from .sql import OP1_SQL, OP2_SQL, OP6_SQL
 from .substring_dedup import op1_substring_dedup
 from .token_store import op3_token_store
 from .url_filter import OP9_SQL, op9_url_filter
+from .vector_codes import OP13_SQL, op13_vector_codes
 from .warc import OP10_SQL, op10_warc
 
 
@@ -31,8 +32,9 @@ def queries():
         "op9_url_filter": op9_url_filter,
         "op10_warc": op10_warc,
         "op11_merkle_manifest": op11_merkle_manifest,
+        "op13_vector_codes": op13_vector_codes,
     }
 
 
 def oracle_sql():
-    return {"op1_substring_dedup": OP1_SQL, "op2_near_dup": OP2_SQL, "op6_embedding_dup": OP6_SQL, "op4_line_dedup": OP4_SQL, "op4_line_dedup_whole": OP4_WHOLE_SQL, "op7_decontamination": OP7_SQL, "op9_url_filter": OP9_SQL, "op10_warc": OP10_SQL, "op11_merkle_manifest": OP11_SQL}
+    return {"op1_substring_dedup": OP1_SQL, "op2_near_dup": OP2_SQL, "op6_embedding_dup": OP6_SQL, "op4_line_dedup": OP4_SQL, "op4_line_dedup_whole": OP4_WHOLE_SQL, "op7_decontamination": OP7_SQL, "op9_url_filter": OP9_SQL, "op10_warc": OP10_SQL, "op11_merkle_manifest": OP11_SQL, "op13_vector_codes": OP13_SQL}
