@@ -45,6 +45,8 @@ LEAST_WORDS, MOST_REPEATED = 50, 50
 #: Share of a stratum's good documents that may be rejected, and the chance that this fails anywhere.
 RISK, DOUBT = 0.02, 0.05
 WINDOW = 3
+#: Bits of a place in a text.
+PLACE = 31
 
 
 class Rule(NamedTuple):
@@ -74,21 +76,34 @@ def covered(starts: Column) -> Column:
 def measured(docs: DataFrame, stratum: str = "lang") -> DataFrame:
     """doc_id, stratum (null as an empty text), unit (hash of the text), COUNTS and base_failed of each row.
 
-    Sorting a text's windows finds the repeated ones beside one another; only texts that have any are sorted.
+    Sorting a text's windows finds the repeated ones beside one another; only texts whose windows' hashes repeat are sorted.
     """
     text = F.coalesce("text", F.lit(""))
     rows = docs.select("doc_id", F.coalesce(F.concat(F.lit(":"), F.col(stratum).cast("string")), F.lit("")).alias("stratum"), F.xxhash64("text").alias("unit"), text.alias("text"), F.regexp_extract_all(text, F.lit(f"({WORDS})"), F.lit(1)).alias("words"), F.filter(F.split(text, "\n"), lambda x: x.rlike(WORDS)).alias("lines"))
-    n = F.size("words")
-    window = lambda i: F.concat_ws(" ", *(F.get("words", i + k) for k in range(WINDOW)))
-    windows = F.when(n >= WINDOW, F.transform(F.sequence(F.lit(0), n - WINDOW), window)).otherwise(F.array().cast("array<string>"))
-    rows = rows.select("*", windows.alias("windows"))
-    pair = lambda w, i: F.struct(w.alias("w"), i.alias("i"))
-    rows = rows.withColumn("ordered", F.when(F.size(F.array_distinct("windows")) < F.size("windows"), F.array_sort(F.transform("windows", pair))).otherwise(F.array().cast("array<struct<w:string,i:int>>")))
-    equal = lambda x, k: F.coalesce(x["w"] == F.get("ordered", k)["w"], F.lit(False))
-    twice = F.transform("ordered", lambda x, k: F.when(equal(x, k - 1) | equal(x, k + 1), x["i"]))
+    n, hashes = F.size("words"), F.transform("words", lambda w: F.xxhash64(w))
+    rows = rows.select("*", hashes.alias("h"))
+    later = lambda k: F.slice("h", F.lit(k + 1), F.greatest(n - WINDOW + 1, F.lit(0)))
+    marks = later(0)
+    for k in range(1, WINDOW):
+        marks = F.zip_with(marks, later(k), lambda a, b: F.xxhash64(a, b))
+    rows = rows.select("*", marks.alias("marks"))
+
+    def beside(column: str, value, place) -> Column:
+        """Places whose value stands twice or more in a sorted column."""
+        equal = lambda x, k: F.coalesce(value(x) == value(F.get(column, k)), F.lit(False))
+        return F.filter(F.transform(column, lambda x, k: F.when(equal(x, k - 1) | equal(x, k + 1), place(x))), F.isnotnull)
+
+    # Windows of different hashes are different.  Where hashes repeat, a part of each is sorted with its place in the low
+    # bits, and only windows that are equal in it are sorted as texts.
+    packed = F.sort_array(F.transform("marks", lambda h, i: F.shiftleft(h, PLACE).bitwiseOR(i.cast("long"))))
+    rows = rows.withColumn("packed", F.when(F.size(F.array_distinct("marks")) < F.size("marks"), packed).otherwise(F.array().cast("array<long>")))
+    some = beside("packed", lambda x: F.shiftright(x, PLACE), lambda x: x.bitwiseAND(F.lit((1 << PLACE) - 1)).cast("int"))
+    window = lambda i: F.struct(F.concat_ws(" ", *(F.get("words", i + k) for k in range(WINDOW))).alias("v"), i.alias("i"))
+    rows = rows.withColumn("ordered", F.when(F.size("packed") > 0, F.sort_array(F.transform(some, window))).otherwise(F.array().cast("array<struct<v:string,i:int>>")))
+    starts = F.sort_array(beside("ordered", lambda x: x["v"], lambda x: x["i"]))
     counts = rows.select(
         "doc_id", "stratum", "unit", n.cast("long").alias("n_words"), F.length(F.array_join("words", "")).cast("long").alias("word_chars"), F.regexp_count("text", F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
-        (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"), F.size("lines").cast("long").alias("n_lines"), covered(F.array_sort(F.filter(twice, F.isnotnull))).cast("long").alias("n_repeat_words"),
+        (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"), F.size("lines").cast("long").alias("n_lines"), covered(starts).cast("long").alias("n_repeat_words"),
     )
     return counts.withColumn("base_failed", (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words")))
 
