@@ -104,7 +104,7 @@ def bucket_runs(raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, ...]:
     end = np.append(breaks, len(windows))[np.searchsorted(breaks, start, "right")]
     total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(windows)])
     kind = finish(total[end] - total[start] + (end - start).astype(np.uint64))
-    return first[start], (bucket[start] >> np.uint64(24)).view(np.int64), start, end - start, kind.view(np.int64), windows.view(np.int64)
+    return first[start], (bucket[start] >> np.uint64(1)).view(np.int64), start, end - start, kind.view(np.int64), windows.view(np.int64)
 
 
 def run_ids(texts: pa.Array, raw: np.ndarray, bounds: np.ndarray, doc: np.ndarray) -> np.ndarray:
