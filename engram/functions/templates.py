@@ -86,3 +86,29 @@ def plain_values(columns: list[tuple[str, str]]) -> list[Column]:
     """Columns (name, type) with times and dates as ISO text, so that they can be written as JSON anywhere."""
     iso = {"timestamp": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestamp_ntz": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS", "date": "yyyy-MM-dd"}
     return [(F.date_format(name, iso[kind]) if kind in iso else F.col(f"`{name}`")).alias(name) for name, kind in columns]
+
+
+def _blocks(rows: Column, head) -> Column:
+    return F.array_join(F.transform(rows, lambda r: F.concat(head(r), F.lit("\n"), F.coalesce(r["content"], F.lit("")))), "\n\n")
+
+
+def _or_none(c: Column, quote: str = "") -> Column:
+    """A text, in quotes if asked, or the word None."""
+    return F.coalesce(F.concat(F.lit(quote), c, F.lit(quote)), F.lit("None"))
+
+
+def source_block(sources: Column) -> Column:
+    """Sources (source_id, chat_time, role, content) as the context of an answer."""
+    return _blocks(sources, lambda s: F.concat(F.lit("["), s["source_id"], F.lit("] time="), _or_none(s["chat_time"]), F.lit(" role="), _or_none(s["role"])))
+
+
+def memory_block(memories: Column) -> Column:
+    """Memories (id, time_span, content) as the context of an answer; a span is a pair of quoted times."""
+    span = lambda t: F.coalesce(F.when(t.isNotNull(), F.concat(F.lit("("), _or_none(t["start"], "'"), F.lit(", "), _or_none(t["end"], "'"), F.lit(")"))), F.lit("None"))
+    return _blocks(memories, lambda m: F.concat(F.lit("["), m["id"], F.lit("] time="), span(m["time_span"])))
+
+
+def answer_prompt(question: Column, context: Column, system: str = "") -> Column:
+    """The turns that ask for an answer from a context; ``system`` is the caller's instruction."""
+    user = F.concat(F.lit("Context:\n"), context, F.lit("\n\nQuestion:\n"), question)
+    return F.array(F.struct(F.lit("system").alias("role"), F.lit(system).alias("content")), F.struct(F.lit("user").alias("role"), user.alias("content")))

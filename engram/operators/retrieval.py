@@ -132,35 +132,59 @@ def _cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.round(np.divide(a @ b.T, norms, out=np.zeros(norms.shape), where=norms != 0), 6) + 0.0
 
 
-#: A run of letters, digits and underscores; words are sought in runs no longer than LONG by their first GRAM characters.
-RUN, GRAM, LONG = r"[\p{L}\p{N}_]+", 4, 64
+#: Words of an automaton; more make several, each a pass over the texts.
+WORDS = 1 << 16
 
 
 def said(words: DataFrame, docs: DataFrame) -> DataFrame:
     """query_id, id where a document's ``content`` holds a ``word`` of the query (both lower-cased already).
 
-    A word that is one run of letters and digits stands in a text if and only if it stands in one of the text's runs.  So words
-    are matched with the different runs of all texts, in an equi-join on the ``GRAM`` characters at each place of a run, and
-    runs are joined back to their texts.  Few words are shorter or hold other characters, and few runs are longer: these
-    are compared each with each.  An empty word is in every document.
+    Documents meet all words at once: an automaton of the words goes to every task, which reads each text through it and
+    gives a row for each query that has a word there.  Queries are dealt to as many automata as keep each at about
+    ``WORDS`` words, so what is broadcast is bounded.  An empty word is in every document.
     """
     sought = checkpointed(words.where("word is not null").distinct())
-    simple = F.col("word").rlike(rf"^{RUN}$")
-    each = docs.select("id", F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit(f"({RUN})"), F.lit(1)))).alias("run"))
-    runs = each.select("run").distinct()
-    plain = sought.where(simple).select("word").distinct()
-    keyed = plain.where(F.length("word") >= GRAM).withColumn("key", F.substring("word", 1, GRAM))
-    places = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("run") - GRAM + 1), lambda i: F.substring(F.col("run"), i, F.lit(GRAM))))
-    short = runs.where(F.length("run").between(GRAM, LONG)).select("run", F.explode(places).alias("key"))
-    holds = F.contains("run", "word")
-    met = short.join(keyed, "key").where(holds).select("run", "word")
-    met = met.unionByName(runs.where(F.length("run") > LONG).join(plain.where(F.length("word") >= GRAM), holds).select("run", "word"))
-    met = met.unionByName(runs.join(plain.where(F.length("word") < GRAM), holds).select("run", "word"))
-    found = each.join(met.distinct(), "run").select("id", "word").distinct().join(sought, "word").select("query_id", "id")
-    odd = sought.where(~simple & (F.col("word") != ""))
-    found = found.unionByName(docs.select("id", "content").join(odd, F.contains("content", "word")).select("query_id", "id"))
     blank = sought.where("word = ''").select("query_id").distinct()
-    return found.unionByName(docs.select("id").crossJoin(blank).select("query_id", "id")).distinct()
+    found = docs.select("id").crossJoin(blank).select("query_id", "id")  # what an empty word asks for
+    real = sought.where("word <> ''").join(blank, "query_id", "left_anti")
+    passes = -(-real.count() // WORDS)
+    for k in range(passes):
+        mine = real.where(F.pmod(F.xxhash64("query_id"), F.lit(passes)) == k)
+        found = found.unionByName(_read_through(mine, docs))
+    return found
+
+
+def _read_through(words: DataFrame, docs: DataFrame) -> DataFrame:
+    """``said`` for words that one automaton holds."""
+    held = words.groupBy("word").agg(F.collect_list("query_id").alias("queries")).toArrow()
+    shared = docs.sparkSession.sparkContext.broadcast((held["word"].to_pylist(), held["queries"].combine_chunks()))
+    kind = StructType().add("query_id", words.schema["query_id"].dataType).add("id", docs.schema["id"].dataType)
+    schema = to_arrow_schema(kind)
+
+    def read(batches):
+        import ahocorasick
+
+        automaton, (names, queries) = ahocorasick.Automaton(), shared.value
+        if not names:
+            return
+        for k, word in enumerate(names):
+            automaton.add_word(word, k)
+        automaton.make_automaton()
+        bounds, asked = queries.offsets.to_numpy(), queries.values
+        known = asked.dictionary_encode()
+        number = known.indices.to_numpy()
+        for batch in batches:
+            rows, whose = [], []
+            for k, content in enumerate(batch["content"].to_pylist()):
+                met = {w for _, w in automaton.iter(content)} if content else ()
+                if met:
+                    of = np.unique(np.concatenate([number[bounds[w] : bounds[w + 1]] for w in met]))
+                    whose.append(of)
+                    rows.append(np.full(len(of), k))
+            if rows:
+                yield pa.RecordBatch.from_arrays([known.dictionary.take(pa.array(np.concatenate(whose))), batch["id"].take(pa.array(np.concatenate(rows)))], schema=schema)
+
+    return docs.select("id", "content").mapInArrow(read, kind)
 
 
 def metadata_matches(queries: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -22,12 +22,6 @@ def observation_query(evidence: Column) -> Column:
     return F.array_join(F.transform(evidence, lambda n: n["memory"]), "\n")
 
 
-def context_block(sources: Column) -> Column:
-    """Sources (role, chat_time, content) as numbered text blocks."""
-    line = lambda s, i: F.concat(F.lit("["), (i + 1).cast("string"), F.lit("] "), F.concat_ws(" ", s["chat_time"], s["role"]), F.lit(": "), s["content"])
-    return F.array_join(F.transform(sources, line), "\n\n")
-
-
 def indexed_neighbourhood(nodes: Column) -> Column:
     """Neighbours as an edit writer addresses them: by place."""
     return F.transform(nodes, lambda n, i: F.struct(i.alias("index"), n["content"].alias("content")))

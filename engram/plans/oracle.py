@@ -62,9 +62,9 @@ bm AS (SELECT query_id, id, round(sum(ln(1 + (n.n - df.df + 0.5) / (df.df + 0.5)
 bmr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM bm)"""
 
 PLANS = f"""
-plans AS (SELECT item_id AS query_id, list_distinct(list_filter(regexp_extract_all(lower(text), '{TOKEN}'), lambda w: length(w) >= 8)) AS words, 'src' || CAST(item_id % 20 AS VARCHAR) AS tag FROM benchmark),
+plans AS (SELECT item_id AS query_id, list_distinct(regexp_extract_all(lower(text), '{TOKEN}')) AS words, 'src' || CAST(item_id % 20 AS VARCHAR) AS tag FROM benchmark),
 kw AS (SELECT query_id, unnest(words) AS word FROM plans),
-md AS (
+md AS MATERIALIZED (
   SELECT query_id, doc_id AS id, 1.0::DOUBLE AS score FROM plans JOIN documents ON lower(lang) = tag OR lower(source) = tag
   UNION SELECT query_id, doc_id, 1.0 FROM kw JOIN documents ON contains(lower(text), word))"""
 
@@ -79,29 +79,29 @@ def _expand(seeds: str, name: str) -> str:
 
 
 HYBRID = f"""{PLANS}, {NEAR},
-act AS (SELECT * FROM documents WHERE doc_id % 10 <> 9),
-d AS (SELECT doc_id AS id, regexp_extract_all(lower(concat_ws(' ', text, lang, source)), '{TOKEN}') AS t FROM act),
+act AS MATERIALIZED (SELECT * FROM documents WHERE doc_id % 10 <> 9),
+d AS MATERIALIZED (SELECT doc_id AS id, regexp_extract_all(lower(concat_ws(' ', text, lang, source)), '{TOKEN}') AS t FROM act),
 n AS (SELECT count(*) AS n, avg(len(t)) AS a FROM d),
 q AS (SELECT DISTINCT item_id AS query_id, unnest(regexp_extract_all(lower(text || ' src' || CAST(item_id % 20 AS VARCHAR)), '{TOKEN}')) AS term FROM benchmark),
-tf AS (SELECT id, term, any_value(l) AS l, count(*) AS tf FROM (SELECT id, len(t) AS l, unnest(t) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY id, term),
+tf AS MATERIALIZED (SELECT id, term, any_value(l) AS l, count(*) AS tf FROM (SELECT id, len(t) AS l, unnest(t) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY id, term),
 df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
-bm AS (SELECT query_id, id, round(sum(ln(1 + (n.n - df.df + 0.5) / (df.df + 0.5)) * tf.tf * 2.5 / (tf.tf + 1.5 * (1 - 0.75 + 0.75 * tf.l / n.a))), 6) AS score
+bm AS MATERIALIZED (SELECT query_id, id, round(sum(ln(1 + (n.n - df.df + 0.5) / (df.df + 0.5)) * tf.tf * 2.5 / (tf.tf + 1.5 * (1 - 0.75 + 0.75 * tf.l / n.a))), 6) AS score
   FROM q JOIN tf USING (term) JOIN df USING (term), n GROUP BY query_id, id),
-lexall AS (SELECT query_id, id, CASE WHEN max(score) OVER (PARTITION BY query_id) > 0 THEN score / max(score) OVER (PARTITION BY query_id) ELSE 0 END AS score FROM bm),
+lexall AS MATERIALIZED (SELECT query_id, id, CASE WHEN max(score) OVER (PARTITION BY query_id) > 0 THEN score / max(score) OVER (PARTITION BY query_id) ELSE 0 END AS score FROM bm),
 ne AS (SELECT count(*) AS n FROM embeddings),
-nv AS (SELECT act.doc_id AS id, CAST(e.embedding AS DOUBLE[]) AS v FROM act, ne JOIN embeddings e ON e.vec_id = act.doc_id % ne.n),
-qv AS (SELECT b.item_id AS query_id, CAST(e.embedding AS DOUBLE[]) AS v FROM (SELECT item_id, unnest([0, 1]) AS part FROM benchmark) b, ne JOIN embeddings e ON e.vec_id = (b.item_id + b.part) % ne.n),
-vecall AS (SELECT query_id, id, round((max(round(list_cosine_similarity(qv.v, nv.v), 6)) + 1) / 2, 7) AS score FROM qv, nv GROUP BY query_id, id),
+nv AS MATERIALIZED (SELECT act.doc_id AS id, CAST(e.embedding AS DOUBLE[]) AS v FROM act, ne JOIN embeddings e ON e.vec_id = act.doc_id % ne.n),
+qv AS MATERIALIZED (SELECT b.item_id AS query_id, CAST(e.embedding AS DOUBLE[]) AS v FROM (SELECT item_id, unnest([0, 1]) AS part FROM benchmark) b, ne JOIN embeddings e ON e.vec_id = (b.item_id + b.part) % ne.n),
+vecall AS MATERIALIZED (SELECT query_id, id, round((max(round(list_cosine_similarity(qv.v, nv.v), 6)) + 1) / 2, 7) AS score FROM qv, nv GROUP BY query_id, id),
 ranked AS (
   SELECT *, row_number() OVER (PARTITION BY src, query_id ORDER BY score DESC, id) AS rank FROM (SELECT *, 'bm25' AS src FROM lexall UNION ALL SELECT *, 'embedding' FROM vecall)),
-channels AS (SELECT query_id, id, score, src FROM ranked WHERE rank <= 20 AND score > 0 UNION ALL SELECT md.*, 'metadata' FROM md JOIN act ON md.id = act.doc_id),
-seeds AS (SELECT query_id, id, max(score) AS score FROM channels GROUP BY query_id, id), {_expand('seeds', 'ex')},
-fused AS (
+channels AS MATERIALIZED (SELECT query_id, id, score, src FROM ranked WHERE rank <= 20 AND score > 0 UNION ALL SELECT md.*, 'metadata' FROM md JOIN act ON md.id = act.doc_id),
+seeds AS MATERIALIZED (SELECT query_id, id, max(score) AS score FROM channels GROUP BY query_id, id), {_expand('seeds', 'ex')},
+fused AS MATERIALIZED (
   SELECT query_id, id, round(max(score), 7) AS recall_score, array_to_string(list_sort(list(DISTINCT src)), ',') AS sources
   FROM (SELECT * FROM channels UNION ALL SELECT query_id, id, score, 'graph' FROM ex WHERE id % 10 <> 9) GROUP BY query_id, id),
-few AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY recall_score DESC, id) AS rank FROM fused QUALIFY rank <= 40)"""
+few AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY recall_score DESC, id) AS rank FROM fused QUALIFY rank <= 40)"""
 
-COSINES = "cos AS (SELECT q.vec_id AS query_id, e.vec_id AS id, round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])), 6) AS score FROM embeddings q, embeddings e WHERE q.vec_id < 5)"
+COSINES = "cos AS (SELECT q.vec_id AS query_id, e.vec_id AS id, round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])), 6) AS score FROM embeddings q, embeddings e WHERE q.vec_id % 20 = 0)"
 
 QUESTIONS = """
 c0 AS (SELECT conv_id, turn, coalesce(text, '') AS said, lag(coalesce(text, '')) OVER (PARTITION BY conv_id ORDER BY turn, role, coalesce(text, '')) AS before FROM conversations),
@@ -352,6 +352,9 @@ SELECT case_id, count(*) FILTER (o = 'success') AS success, count(*) FILTER (o =
 SELECT event_id, outcome, CASE WHEN outcome = 'committed' THEN 'success' ELSE 'high_priority' END AS pool FROM r""",
     "replay_queue": """SELECT case_id, question_id, place FROM (SELECT o_custkey AS case_id, o_orderkey AS question_id, row_number() OVER (PARTITION BY o_custkey ORDER BY CASE WHEN o_orderstatus = 'P' THEN 0 ELSE 1 END, o_orderkey) AS place
 FROM orders WHERE o_orderstatus IN ('P', 'O') AND o_totalprice > 50000) WHERE place <= 4""",
-    "context_blocks": """WITH r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, coalesce(text, '')) AS k FROM conversations)
-SELECT conv_id, sha256(string_agg('[' || k || '] ' || role || ': ' || coalesce(text, ''), chr(10) || chr(10) ORDER BY k)) AS block_sha256 FROM r GROUP BY 1""",
+    "context_blocks": r"""WITH t AS (SELECT conv_id, turn, role, coalesce(text, '') AS c, CASE WHEN turn % 3 = 0 THEN printf('2024-01-%02d', turn % 28 + 1) END AS t FROM conversations),
+r AS (SELECT *, coalesce(t, 'None') AS st, CASE WHEN turn % 4 = 1 THEN 'None' ELSE '(' || coalesce('''' || t || '''', 'None') || ', ' || coalesce(CASE WHEN turn % 2 = 0 THEN '''' || t || '''' END, 'None') || ')' END AS mt FROM t),
+b AS (SELECT conv_id, arg_min(c, (turn, role, c)) AS q, string_agg('[' || conv_id || ':' || turn || '] time=' || st || ' role=' || role || chr(10) || c, chr(10) || chr(10) ORDER BY turn, role, c) AS s,
+  string_agg('[' || conv_id || ':' || turn || '] time=' || mt || chr(10) || c, chr(10) || chr(10) ORDER BY turn, role, c) AS m FROM r GROUP BY conv_id)
+SELECT conv_id, sha256('Context:' || chr(10) || s || chr(10) || chr(10) || 'Question:' || chr(10) || q) AS sources_sha256, sha256('Context:' || chr(10) || m || chr(10) || chr(10) || 'Question:' || chr(10) || q) AS memories_sha256 FROM b""",
 }

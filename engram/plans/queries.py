@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from engram.functions import jsonx, text
+from engram.functions import jsonx, templates, text
 from engram.operators import convergence, datasets, graph, memory, retrieval, rewards, rounds
 
 from .views import Views
@@ -100,26 +100,19 @@ def _embeddings(v: Views) -> DataFrame:
     return v.table("embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
 
 
-def _nearest(v: Views, asked: str) -> DataFrame:
-    """The nearest rows of all, for each row of the ``asked`` ones."""
-    e = _embeddings(v)
-    queries = e.where(asked).withColumnRenamed("id", "query_id")
-    return retrieval.top_k(retrieval.vector_scores(queries, e, retrieval.RECALL_K), retrieval.RECALL_K)
+#: Searches ask for every row whose id is divisible by 20, against all rows.
+ASKED = "id % 20 = 0"
 
 
 def vector_topk(spark: SparkSession, sf: str) -> DataFrame:
-    """The five queries that the SQL names; ``vector_topk_20`` has the required ones."""
-    return _nearest(Views(spark, sf), "id < 5")
-
-
-def vector_topk_20(spark: SparkSession, sf: str) -> DataFrame:
-    """Every row whose id is divisible by 20, against all rows."""
-    return _nearest(Views(spark, sf), "id % 20 = 0")
+    e = _embeddings(Views(spark, sf))
+    queries = e.where(ASKED).withColumnRenamed("id", "query_id")
+    return retrieval.top_k(retrieval.vector_scores(queries, e, retrieval.RECALL_K), retrieval.RECALL_K)
 
 
 def _plans(v: Views) -> DataFrame:
-    """Keywords are the query's words of eight letters and more."""
-    words = F.filter(F.array_distinct(text.tokens(F.col("query"))), lambda w: F.length(w) >= 8)
+    """Keywords are all of the query's words."""
+    words = F.array_distinct(text.tokens(F.col("query")))
     return v.queries().select("query_id", "query", F.col("query").alias("rewritten_query"), words.alias("keywords"), F.array(F.concat(F.lit("SRC"), F.col("query_id") % 20)).alias("tags"))
 
 
@@ -267,20 +260,11 @@ def grpo_advantage(spark: SparkSession, sf: str) -> DataFrame:
     return rewards.advantages(Views(spark, sf).rewards()).select("event_id", "advantage")
 
 
-def _novelty(v: Views, asked: str) -> DataFrame:
-    e = _embeddings(v)
-    scored = retrieval.vector_scores(e.where(asked).withColumnRenamed("id", "query_id"), e, 1, others=True)
-    return scored.groupBy("query_id").agg(F.round(rewards.novelty(F.max("score")), 6).alias("novelty"))
-
-
 def novelty(spark: SparkSession, sf: str) -> DataFrame:
-    """Each of the five questions that the SQL names against all others; ``novelty_20`` has the required ones."""
-    return _novelty(Views(spark, sf), "id < 5")
-
-
-def novelty_20(spark: SparkSession, sf: str) -> DataFrame:
-    """Every row whose id is divisible by 20 against all others."""
-    return _novelty(Views(spark, sf), "id % 20 = 0")
+    """Of each question against all other rows."""
+    e = _embeddings(Views(spark, sf))
+    scored = retrieval.vector_scores(e.where(ASKED).withColumnRenamed("id", "query_id"), e, 1, others=True)
+    return scored.groupBy("query_id").agg(F.round(rewards.novelty(F.max("score")), 6).alias("novelty"))
 
 
 def memory_versions(spark: SparkSession, sf: str) -> DataFrame:
@@ -449,15 +433,23 @@ def replay_queue(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def context_blocks(spark: SparkSession, sf: str) -> DataFrame:
-    c = Views(spark, sf).table("conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.lit(None).cast("string").alias("chat_time"), "role", F.coalesce("text", F.lit("")).alias("content")))).alias("s"))
-    return c.select("conv_id", F.sha2(rounds.context_block(F.col("s")), 256).alias("block_sha256"))
+    """Digests of the prompts that answer a conversation's first turn from its turns as sources and as memories."""
+    said = F.coalesce("text", F.lit(""))
+    name = F.concat_ws(":", "conv_id", "turn")
+    time = F.when(F.col("turn") % 3 == 0, F.format_string("2024-01-%02d", (F.col("turn") % 28 + 1).cast("int")))
+    span = F.when(F.col("turn") % 4 != 1, F.struct(time.alias("start"), F.when(F.col("turn") % 2 == 0, time).alias("end")))
+    turns = F.array_sort(F.collect_list(F.struct("turn", "role", said.alias("content"), name.alias("source_id"), time.alias("chat_time"), span.alias("time_span"))))
+    c = Views(spark, sf).table("conversations").groupBy("conv_id").agg(turns.alias("s"))
+    question, memories = F.col("s")[0]["content"], F.transform("s", lambda t: t.dropFields("source_id").withField("id", t["source_id"]))
+    digest = lambda block: F.sha2(templates.answer_prompt(question, block)[1]["content"], 256)
+    return c.select("conv_id", digest(templates.source_block(F.col("s"))).alias("sources_sha256"), digest(templates.memory_block(memories)).alias("memories_sha256"))
 
 
 QUERIES = [
     case_summary, relation_histogram, case_edges, case_index_parse, missing_users, topic_fact_index, single_fact_candidates, same_topic_candidates,
-    temporal_candidates, comparison_candidates, walk_signature, walk_directions, source_dedup, token_counts, doc_freq, bm25_topk, vector_topk, vector_topk_20,
+    temporal_candidates, comparison_candidates, walk_signature, walk_directions, source_dedup, token_counts, doc_freq, bm25_topk, vector_topk,
     metadata_match, provenance_neighbours, graph_expand, hybrid_fusion, hybrid_retrieve, question_constraints, question_forms, duplicate_antijoin, route_fidelity,
-    attacker_reward, attack_metrics, reward_summary, builder_reward, builder_metrics, grpo_advantage, novelty, novelty_20, memory_versions, edit_fold, pool_membership, link_binding,
+    attacker_reward, attack_metrics, reward_summary, builder_reward, builder_metrics, grpo_advantage, novelty, memory_versions, edit_fold, pool_membership, link_binding,
     protected_questions, round_robin, priority_fill, stratified_sizes, weighted_sample, compaction_pairs, stop_streak, saturation,
     action_validation, oracle_reconcile, training_records, route_bundle, mode_fallback, mode_funnel, time_hull, compaction_audit, round_outcomes,
     guarded_commit, replay_queue, context_blocks,

@@ -121,10 +121,14 @@ def visit_counts(spark: SparkSession, sf: str) -> DataFrame:
     return datasets.visit_counts(routes.unionByName(routes.select("case_id", F.slice("evidence", 1, 1).alias("evidence"))))
 
 
+#: Saturated rounds in a row that end a case.
+PATIENCE = 6
+
+
 def active_cases(spark: SparkSession, sf: str) -> DataFrame:
     v = Views(spark, sf)
     cases = v.rounds().select("case_id").distinct()
-    return convergence.active_cases(cases, convergence.streaks(v.rounds()))
+    return convergence.active_cases(cases, convergence.streaks(v.rounds(), PATIENCE))
 
 
 def compaction_actions(spark: SparkSession, sf: str) -> DataFrame:
@@ -255,7 +259,7 @@ c AS (SELECT o_custkey, o_orderkey, CASE WHEN o_orderpriority = '1-URGENT' THEN
 SELECT o_custkey AS case_id, o_orderkey AS question_id, row_number() OVER (PARTITION BY o_custkey ORDER BY p, o_orderkey) AS place FROM c WHERE p IS NOT NULL AND o_totalprice > 50000""",
         "visit_counts": f"WITH {graph_cte}, v AS (SELECT case_id, unnest(list_slice(facts, 1, 3)) AS node_id FROM st UNION ALL SELECT case_id, facts[1] FROM st) SELECT case_id, node_id, count(*) AS visits FROM v GROUP BY ALL",
         "active_cases": """WITH r AS (SELECT user_id AS case_id, CAST(ts AS DATE) AS round, count(*) FILTER (event_type = 'error') = 0 AS s FROM events GROUP BY 1, 2),
-p AS (SELECT *, lag(s) OVER (PARTITION BY case_id ORDER BY round) AS before FROM r) SELECT case_id FROM p GROUP BY case_id HAVING count(*) FILTER (s AND before) = 0""",
+p AS (SELECT *, count(*) FILTER (s) OVER (PARTITION BY case_id ORDER BY round ROWS BETWEEN 5 PRECEDING AND CURRENT ROW) AS k FROM r) SELECT case_id FROM p GROUP BY case_id HAVING max(k) < 6""",
         "compaction_actions": """WITH a AS (SELECT event_id, ['add', 'merge', 'delete', 'noop'][event_id % 4 + 1] AS op, CASE event_id % 3 WHEN 0 THEN [] WHEN 1 THEN [event_id % 7] ELSE [event_id % 4, event_id % 6] END AS t FROM events)
 SELECT event_id, len(t) > 0 AND len(list_filter(t, lambda x: x > 4)) = 0 AND (op = 'delete' OR (op = 'merge' AND len(t) >= 2)) AS valid FROM a""",
         "rerank": """WITH s AS (SELECT o_custkey AS query_id, o_orderkey AS id, CASE WHEN o_orderkey % 3 <> 0 THEN o_orderkey % 10 / 10.0 ELSE 0 END::DOUBLE AS rerank FROM orders)

@@ -42,8 +42,8 @@ def case_users(spark: SparkSession, version: str, n: int) -> DataFrame:
 def read_records(spark: SparkSession, path: str) -> DataFrame:
     """Question records with case_index, their position: a JSON array, an object with ``data``, or one JSON object a line.
 
-    Lines are read as lines, numbered by their place in the order of files and splits; only a document that is one array
-    or object is read whole, as JSON has to be.  Anything else is an error.
+    All files of a folder are numbered as one, in the order of their names.  Lines are read as lines; only a document that
+    is one array or object is read whole, as JSON has to be.  Anything else is an error.
     """
     first = F.ltrim("value")
     head = spark.read.text(path).where(F.trim("value") != "").limit(1).select(first.alias("v")).first()
@@ -53,22 +53,21 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     line = F.from_json(F.lit(head.v), "data string, question string")
     one = spark.range(1).select(line.alias("r"), F.try_parse_json(F.lit(head.v)).isNotNull().alias("whole")).first()
     if head.v.startswith("{") and one.whole and one.r.data is None:
-        lines = spark.read.text(path).withColumn("_at", F.monotonically_increasing_id()).where(F.trim("value") != "")
+        lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_from"), F.monotonically_increasing_id().alias("_at")).where(F.trim("value") != "")
         return _numbered(lines.withColumn("r", F.from_json("value", RECORD))).select("case_index", "r.*")
-    raw = spark.read.text(path, wholetext=True)
+    raw = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("_file"), F.lit(0).alias("_from"))
     listed = F.when(F.ltrim("value").startswith("["), F.from_json("value", kinds)).otherwise(F.from_json(F.get_json_object("value", "$.data"), kinds))
     wrong = F.raise_error(F.lit("neither a list of records, nor an object with data, nor lines")).cast(kinds)
-    return raw.select(F.posexplode(F.coalesce(listed, wrong)).alias("case_index", "r")).select(F.col("case_index").cast("long"), "r.*")
+    return _numbered(raw.select("_file", "_from", F.posexplode(F.coalesce(listed, wrong)).alias("_at", "r"))).select("case_index", "r.*")
 
 
 def _numbered(rows: DataFrame) -> DataFrame:
-    """``rows`` with case_index from 0 in the order of ``_at``, whose upper bits are the partition: counts of partitions are
-    summed (one row each), and rows are ranked within their own."""
-    part = F.shiftright("_at", 33)
-    counts = rows.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
-    before = counts.withColumn("_before", F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).drop("_n")
-    place = F.row_number().over(Window.partitionBy("_part").orderBy("_at"))
-    return rows.withColumn("_part", part).withColumn("_k", place).join(before, "_part").withColumn("case_index", F.col("_before") + F.col("_k") - 1)
+    """``rows`` with case_index from 0 in the order of ``_file``, ``_from`` (where a split of it begins) and ``_at``: counts of
+    splits are summed (one row each), and rows are ranked within their own."""
+    counts = rows.groupBy("_file", "_from").agg(F.count("*").alias("_n"))
+    before = counts.withColumn("_before", F.sum("_n").over(Window.orderBy("_file", "_from")) - F.col("_n")).drop("_n")
+    place = F.row_number().over(Window.partitionBy("_file", "_from").orderBy("_at"))
+    return rows.withColumn("_k", place).join(before, ["_file", "_from"]).withColumn("case_index", F.col("_before") + F.col("_k") - 1)
 
 
 def write_graph(nodes: DataFrame, edges: DataFrame, path: str, version: str) -> None:

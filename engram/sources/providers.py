@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from engram.functions.text import normal_question, strip
+from engram.functions.text import document_text, normal_question, strip
 
 
 def call_in_halves(call: Callable[[list], list], items: list) -> list[tuple[object, str | None, int]]:
@@ -86,11 +86,15 @@ def hashed_embedder(size: int = 64) -> Callable[[], Callable[[list], list]]:
 
 
 def embedded(nodes: DataFrame, cache: DataFrame | None, factory=None, batch: int = 10) -> DataFrame:
-    """id, text_hash, vector of ``nodes`` (id, content); only texts that the cache lacks are embedded."""
-    keyed = nodes.withColumn("text_hash", F.sha2("content", 256))
+    """id, text_hash, vector of ``nodes`` (id, content and, if there are any, tags, which belong to the text).
+
+    Only texts that the cache lacks are embedded; a text whose request failed has no row, so that the next call asks again.
+    """
+    whole = document_text(F.col("content"), F.col("tags")) if "tags" in nodes.columns else F.col("content")
+    keyed = nodes.select("id", whole.alias("text")).withColumn("text_hash", F.sha2("text", 256))
     missing = keyed if cache is None else keyed.join(cache, ["id", "text_hash"], "left_anti")
-    made = with_results(missing, "content", factory or hashed_embedder(), "array<double>", batch).select("id", "text_hash", F.col("result").alias("vector"))
-    return made if cache is None else cache.join(keyed, ["id", "text_hash"], "left_semi").unionByName(made)
+    made = with_results(missing, "text", factory or hashed_embedder(), "array<double>", batch).where("error is null").select("id", "text_hash", F.col("result").alias("vector"))
+    return made if cache is None else cache.join(keyed, ["id", "text_hash"], "left_semi").select("id", "text_hash", "vector").unionByName(made)
 
 
 def cached_results(requests: DataFrame, cache: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -291,3 +291,14 @@ def test_oracle_reconciliation(spark):
     asked = spark.createDataFrame([(0, k) for k in (0, 1, 2)], "batch int, item int")
     back = spark.createDataFrame([(0, k) for k in (0, 1, 1, 7)], "batch int, item int")
     assert {r.item: r.status for r in rewards.reconciled(asked, back).collect()} == {0: "ok", 1: "duplicate", 2: "omitted"}
+
+
+def test_answer_contexts(spark):
+    """Against strings worked out by hand."""
+    source = spark.createDataFrame([([("n:0", "2024-01-02", "user", "I moved."), ("n:1", None, "assistant", "Where?")],)], "s array<struct<source_id:string,chat_time:string,role:string,content:string>>")
+    assert source.select(templates.source_block(F.col("s"))).first()[0] == "[n:0] time=2024-01-02 role=user\nI moved.\n\n[n:1] time=None role=assistant\nWhere?"
+    memory_ = spark.createDataFrame([([("a", ("2024", None), "x"), ("b", None, "y")],)], "m array<struct<id:string,time_span:struct<start:string,end:string>,content:string>>")
+    block = templates.memory_block(F.col("m"))
+    assert memory_.select(block).first()[0] == "[a] time=('2024', None)\nx\n\n[b] time=None\ny"
+    turns = memory_.select(templates.answer_prompt(lit("When?"), block, "Be brief.")).first()[0]
+    assert [t.asDict() for t in turns] == [{"role": "system", "content": "Be brief."}, {"role": "user", "content": "Context:\n[a] time=('2024', None)\nx\n\n[b] time=None\ny\n\nQuestion:\nWhen?"}]

@@ -23,8 +23,18 @@ def test_record_lines_are_numbered_in_order(spark, tmp_path):
     got = graphs.read_records(spark, f"file://{folder}").collect()
     assert sorted(r.case_index for r in got) == list(range(150))
     by = [r.question for r in sorted(got, key=lambda r: r.case_index)]
-    for k in range(3):  # files may come in any order, lines of one don't
-        assert [q for q in by if q.startswith(f"{k}-")] == [f"{k}-{i}" for i in range(50)]
+    assert by == [f"{k}-{i}" for k in range(3) for i in range(50)]
+
+
+def test_records_of_several_files_are_one_numbering(spark, tmp_path):
+    """A short file before a long one, whose splits Spark would take first; and two arrays."""
+    for name, bodies in {"lines": ["\n".join(json.dumps({"question": f"a{k}"}) for k in range(2)), "\n".join(json.dumps({"question": f"b{k}", "answer": "x" * 500}) for k in range(400))], "arrays": [json.dumps([{"question": f"a{k}"} for k in range(3)]), json.dumps([{"question": f"b{k}", "answer": "x" * 900} for k in range(9)])]}.items():
+        (tmp_path / name).mkdir()
+        for part, body in zip("ab", bodies, strict=True):
+            (tmp_path / name / f"{part}.json").write_text(body)
+        got = [r.question for r in graphs.read_records(spark, f"file://{tmp_path}/{name}").orderBy("case_index").collect()]
+        assert got == sorted(got, key=lambda q: (q[0], int(q[1:])))
+        assert [r.case_index for r in graphs.read_records(spark, f"file://{tmp_path}/{name}").orderBy("case_index").collect()] == list(range(len(got)))
 
 
 def test_other_records_are_errors(spark, tmp_path):
@@ -94,6 +104,24 @@ def test_providers(spark):
     vectors = providers.embedded(df.select("id", F.col("t").alias("content")), None)
     again = providers.embedded(df.select("id", F.col("t").alias("content")), vectors)
     assert again.count() == 4 and len(again.first().vector) == 64
+    tagged = df.select("id", F.col("t").alias("content"), F.array(F.lit("x"), F.when(F.col("id") == 1, "y").otherwise("z")).alias("tags"))
+    held = providers.embedded(tagged, vectors)
+    other = providers.embedded(tagged.withColumn("tags", F.array(F.lit("x"), F.lit("z"))), held)
+    hashes = lambda table: {r.id: r.text_hash for r in table.collect()}
+    assert not set(hashes(held).values()) & set(hashes(vectors).values())  # tags are part of the text
+    assert [k for k, h in hashes(other).items() if hashes(held)[k] != h] == [1]
+
+    def fails():
+        def call(items):
+            if any("bad" in i for i in items):
+                raise RuntimeError("no")
+            return [[1.0] for _ in items]
+
+        return call
+
+    some = providers.embedded(tagged, None, fails)
+    assert sorted(r.id for r in some.collect()) == [0, 2, 3]  # a failure is no entry
+    assert sorted(r.id for r in providers.embedded(tagged, some).collect()) == [0, 1, 2, 3]
     answers = iter(["x", "{}", '{"a": 1}'])
     assert providers.with_retry(lambda _: next(answers), ("a",))(None) == {"a": 1}
 

@@ -27,7 +27,7 @@ def test_every_twentieth_row_is_a_query(spark, blocks):
     for q, s in scores.items():
         best = sorted(zip(-s, ids, strict=True))[: retrieval.RECALL_K]
         want |= {(q, k + 1): (int(i), float(-s)) for k, (s, i) in enumerate(best) if s < 0}
-    got = {(r.query_id, r.rank): (r.id, r.score) for r in queries()["vector_topk_20"](spark, DATA).collect()}
+    got = {(r.query_id, r.rank): (r.id, r.score) for r in queries()["vector_topk"](spark, DATA).collect()}
     assert len(scores) > 5 and got.keys() == want.keys()
     assert all(got[k][0] == want[k][0] and abs(got[k][1] - want[k][1]) < 2e-6 for k in want)
 
@@ -35,7 +35,7 @@ def test_every_twentieth_row_is_a_query(spark, blocks):
 def test_every_twentieth_row_has_a_novelty(spark, blocks):
     ids, scores = cosines()
     want = {q: min(1.0, max(0.0, (0.92 - s[ids != q].max()) / (0.92 - 0.75))) for q, s in scores.items()}
-    got = {r.query_id: r.novelty for r in queries()["novelty_20"](spark, DATA).collect()}
+    got = {r.query_id: r.novelty for r in queries()["novelty"](spark, DATA).collect()}
     assert got.keys() == want.keys() and all(abs(got[q] - want[q]) < 2e-5 for q in want)
 
 
