@@ -51,6 +51,13 @@ def _dimension(name: str, terms: list[str]) -> str:
 
 DIMENSIONS = "list_filter([" + ", ".join(_dimension(n, t) for n, t in COMPARISON_DIMENSIONS.items()) + "], lambda x: x IS NOT NULL)"
 
+TEMPORAL = f"""
+f AS (SELECT case_id, id, status, chat_time, tags, lower(concat_ws(' ', nullif(key, ''), memory, array_to_string(tags, ' '))) AS text FROM nodes WHERE type = 'fact'),
+p AS (SELECT e.case_id, e.source, e.target, ' ' || t.text || ' ' AS padded, list_intersect(s.tags, t.tags) AS shared
+  FROM edges e JOIN f s ON e.case_id = s.case_id AND e.source = s.id AND s.status = 'archived' JOIN f t ON e.case_id = t.case_id AND e.target = t.id AND t.status = 'activated'
+  WHERE e.type = 'MERGED_TO' AND t.chat_time > s.chat_time),
+d AS (SELECT *, CASE WHEN {_any("padded", TRANSITION_TERMS)} THEN coalesce(list_min(list_transform(shared, lambda x: {{'n': length(x), 't': x}})).t, CASE WHEN {_any("padded", STATE_TERMS)} THEN 'state' END) END AS dimension FROM p)"""
+
 BM25 = f"""
 d AS (SELECT doc_id AS id, regexp_extract_all(lower(concat_ws(' ', text, lang, source)), '{TOKEN}') AS t FROM documents),
 n AS (SELECT count(*) AS n, avg(len(t)) AS a FROM d),
@@ -217,16 +224,26 @@ FROM (SELECT CASE WHEN n_regionkey = 0 THEN 'other_' ELSE 'lme_exper_user_v1_' E
     "single_fact_candidates": f"WITH {GRAPH} SELECT case_id, id AS fact FROM active",
     "same_topic_candidates": f"WITH {GRAPH} SELECT case_id, topic, n_facts, array_to_string(facts, ',') AS facts FROM st",
     "temporal_candidates": f"""WITH {GRAPH},
-f AS (SELECT case_id, id, status, chat_time, tags, lower(concat_ws(' ', nullif(key, ''), memory, array_to_string(tags, ' '))) AS text FROM nodes WHERE type = 'fact'),
-p AS (SELECT e.case_id, e.source, e.target, ' ' || t.text || ' ' AS padded, list_intersect(s.tags, t.tags) AS shared
-  FROM edges e JOIN f s ON e.case_id = s.case_id AND e.source = s.id AND s.status = 'archived' JOIN f t ON e.case_id = t.case_id AND e.target = t.id AND t.status = 'activated'
-  WHERE e.type = 'MERGED_TO' AND t.chat_time > s.chat_time),
-d AS (SELECT *, CASE WHEN {_any("padded", TRANSITION_TERMS)} THEN coalesce(list_min(list_transform(shared, lambda x: {{'n': length(x), 't': x}})).t, CASE WHEN {_any("padded", STATE_TERMS)} THEN 'state' END) END AS dimension FROM p)
+{TEMPORAL}
 SELECT case_id, source, target, dimension FROM d WHERE dimension IS NOT NULL""",
     "comparison_candidates": f"""WITH {GRAPH},
 dim AS (SELECT case_id, id, unnest({DIMENSIONS}) AS dimension FROM active),
 u AS (SELECT atf.*, dim.dimension FROM atf JOIN dim ON atf.case_id = dim.case_id AND atf.fact = dim.id)
 SELECT a.case_id, a.topic, a.fact AS fact_a, b.fact AS fact_b, a.dimension FROM u a JOIN u b ON a.case_id = b.case_id AND a.topic = b.topic AND a.dimension = b.dimension AND a.fact < b.fact""",
+    "comparison_classes": f"""WITH {GRAPH},
+m AS (SELECT atf.case_id, topic, unnest({DIMENSIONS}) AS dimension, length(n.memory) % 3 AS v FROM atf JOIN active a ON atf.case_id = a.case_id AND fact = a.id JOIN nodes n ON atf.case_id = n.case_id AND fact = n.id),
+k AS (SELECT case_id, topic, dimension, v, count(*) AS n FROM m GROUP BY ALL)
+SELECT x.case_id, x.topic, x.dimension, x.v AS low, y.v AS high, CASE WHEN x.v = y.v THEN x.n * (x.n - 1) // 2 ELSE x.n * y.n END AS pairs FROM k x JOIN k y ON x.case_id = y.case_id AND x.topic = y.topic AND x.dimension = y.dimension AND x.v <= y.v WHERE x.v < y.v OR x.n > 1""",
+    "route_laps": f"""WITH {GRAPH},
+{TEMPORAL},
+m AS (SELECT atf.case_id, topic, unnest({DIMENSIONS}) AS dimension FROM atf JOIN active a ON atf.case_id = a.case_id AND fact = a.id),
+totals AS (
+  SELECT case_id, 1 AS k, count(*) AS n FROM active GROUP BY 1
+  UNION ALL SELECT case_id, 2, sum(n_facts * (n_facts - 1) + n_facts * (n_facts - 1) * (n_facts - 2)) FROM st GROUP BY 1
+  UNION ALL SELECT case_id, 3, count(DISTINCT (source, target, dimension)) FROM d WHERE dimension IS NOT NULL GROUP BY 1
+  UNION ALL SELECT case_id, 4, sum(n * (n - 1) // 2) FROM (SELECT case_id, topic, dimension, count(*) AS n FROM m GROUP BY ALL) GROUP BY 1),
+turns AS (SELECT case_id, k, lap, row_number() OVER (PARTITION BY case_id ORDER BY lap, k) AS place FROM totals, range(1, 7) l(lap) WHERE lap <= n)
+SELECT case_id, {MODE4}[k] AS mode, count(*) AS routes, count(*) AS signatures, CAST(min(lap) AS INTEGER) AS first_lap, CAST(max(lap) AS INTEGER) AS last_lap FROM turns WHERE place <= 6 GROUP BY case_id, k""",
     "walk_signature": f"""WITH {GRAPH}
 SELECT case_id, topic, array_to_string(walk, '>') AS walk, substring(sha256(case_id || '|same_topic||' || array_to_string(walk, '|')), 1, 20) AS signature FROM walks""",
     "walk_directions": f"""WITH {GRAPH},

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from engram.functions import jsonx, templates, text
-from engram.operators import convergence, datasets, graph, memory, retrieval, rewards, rounds
+from engram.operators import convergence, datasets, graph, laps, memory, retrieval, rewards, rounds
 
 from .views import Views
 
@@ -63,6 +63,20 @@ def comparison_candidates(spark: SparkSession, sf: str) -> DataFrame:
     return graph.comparison(v.edges(), v.nodes())
 
 
+def comparison_classes(spark: SparkSession, sf: str) -> DataFrame:
+    """How many pairs of facts to compare there are of so many visits: what a weighted draw goes by."""
+    v = Views(spark, sf)
+    visits = v.nodes().select("case_id", F.col("id").alias("node_id"), (F.length("memory") % 3).alias("visits"))
+    return laps.pair_classes(laps.compared_facts(v.edges(), v.nodes()), visits).select("case_id", "topic", "dimension", "low", "high", "pairs")
+
+
+def route_laps(spark: SparkSession, sf: str) -> DataFrame:
+    """Six routes of each case in laps over all modes: how many of each mode, in which laps, and that they differ."""
+    v = Views(spark, sf)
+    r = laps.lap_routes(v.edges(), v.nodes(), 6, seed=3)
+    return r.groupBy("case_id", "mode").agg(F.count("*").alias("routes"), F.count_distinct("signature").alias("signatures"), F.min("lap").alias("first_lap"), F.max("lap").alias("last_lap"))
+
+
 def walk_signature(spark: SparkSession, sf: str) -> DataFrame:
     v = Views(spark, sf)
     s = graph.same_topic(v.edges(), v.nodes()).withColumn("walk", graph.topic_walk(F.col("topic"), F.slice("facts", 1, 3)))
@@ -447,7 +461,7 @@ def context_blocks(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = [
     case_summary, relation_histogram, case_edges, case_index_parse, missing_users, topic_fact_index, single_fact_candidates, same_topic_candidates,
-    temporal_candidates, comparison_candidates, walk_signature, walk_directions, source_dedup, token_counts, doc_freq, bm25_topk, vector_topk,
+    temporal_candidates, comparison_candidates, comparison_classes, route_laps, walk_signature, walk_directions, source_dedup, token_counts, doc_freq, bm25_topk, vector_topk,
     metadata_match, provenance_neighbours, graph_expand, hybrid_fusion, hybrid_retrieve, question_constraints, question_forms, duplicate_antijoin, route_fidelity,
     attacker_reward, attack_metrics, reward_summary, builder_reward, builder_metrics, grpo_advantage, novelty, memory_versions, edit_fold, pool_membership, link_binding,
     protected_questions, round_robin, priority_fill, stratified_sizes, weighted_sample, compaction_pairs, stop_streak, saturation,
