@@ -1,7 +1,7 @@
 """Versioned memory: edits folded from a change feed, queues, links, protected questions.
 
 Edits of a case are sequential, cases are independent.  What a prefix sum can say
-(versions, pools, links) is a window; the fold of nodes is joins, one round for each depth of merging.
+(versions, pools, links) is a window; the fold of nodes is joins, in rounds that double the depth of merging they reach.
 """
 
 from __future__ import annotations
@@ -23,14 +23,43 @@ def running_version(edits: DataFrame) -> DataFrame:
     return edits.withColumn("version", F.sum(F.when(F.col("op") != "noop", 1).otherwise(0)).over(w).cast("long"))
 
 
+def merged_lists(merges: DataFrame, own: DataFrame, cut=checkpointed) -> DataFrame:
+    """case_id, id and LISTS of all that each of ``merges`` (case_id, id, targets) rests on, itself included, in order.
+
+    ``own``: case_id, id and LISTS of every node by itself.  A merge is a row for each node that it rests on, at a place; an
+    open row is a target that is a merge itself.  A round puts the rows of that merge in the open row's place, so that rows reach
+    twice as deep after it, and keeps a node at its first place, where all that it rests on follows or has gone before:
+    merges of merges n deep take about log2(n) rounds.  Two orders are kept (column ``way``): a merge before its targets, as
+    most lists have it, and after them, as questions do.
+    """
+    key = ["case_id", "id", "way"]
+    ways = F.explode(F.array(F.lit(0), F.lit(1)))
+    itself = merges.select("case_id", "id", ways.alias("way"), F.size("targets").alias("n"), F.col("id").alias("node")).withColumn("place", F.when(F.col("way") == 0, -1).otherwise(F.col("n"))).drop("n")
+    aimed = merges.select("case_id", "id", F.posexplode("targets").alias("place", "node")).select("case_id", "id", ways.alias("way"), "node", "place")
+    is_merge = merges.select("case_id", F.col("id").alias("node"), F.lit(True).alias("open"))
+    rows = itself.withColumn("open", F.lit(False)).unionByName(aimed.join(is_merge, ["case_id", "node"], "left").withColumn("open", F.coalesce("open", F.lit(False))))
+    rows = rows.select(*key, "node", F.struct(F.col("place").alias("a"), F.lit(0).alias("b")).alias("turn"), "open")
+    while True:
+        firsts = rows.groupBy(*key, "node").agg(F.min_by("open", "turn").alias("open"), F.min("turn").alias("turn"))
+        rows = cut(firsts.withColumn("place", F.row_number().over(Window.partitionBy(*key).orderBy("turn"))).drop("turn"))
+        if rows.where("open").isEmpty():
+            break
+        turn = lambda a, b: F.struct(a.alias("a"), b.alias("b")).alias("turn")
+        inner = rows.select("case_id", "way", F.col("id").alias("of"), F.col("node").alias("n"), F.col("open").alias("o"), F.col("place").alias("p"))
+        opened = rows.where("open").withColumnRenamed("node", "of").join(inner, ["case_id", "way", "of"]).select(*key, F.col("n").alias("node"), turn(F.col("place"), F.col("p")), F.col("o").alias("open"))
+        rows = rows.where("not open").select(*key, "node", turn(F.col("place"), F.lit(0)), "open").unionByName(opened)
+    met = rows.join(own.withColumnRenamed("id", "node"), ["case_id", "node"])
+    of = lambda c, way: F.flatten(F.transform(F.array_sort(F.collect_list(F.when(F.col("way") == way, F.struct("place", c)))), lambda x: x[c])).alias(c)
+    return met.groupBy("case_id", "id").agg(*(of(c, int(c == "linked_questions")) for c in LISTS))
+
+
 def fold_edits(edits: DataFrame, start: DataFrame | None = None, cut=checkpointed) -> DataFrame:
     """Memory nodes after all edits of each case: the same as ``store.apply_actions`` one by one, but all at once.
 
     ``edits``: case_id, seq, op, targets, content, question_id, provenance, source_ids, tags and, if there is one,
     time_span; ``start``: nodes to begin with.  Versions are a running sum; a node is archived if an edit aims at it,
-    at the last such version.  Lists of merged nodes are joined from their targets in rounds, as many as merges of
-    merges are deep, each a join on (case_id, id); no case is gathered anywhere.  Each round is cut by ``cut``.
-    A target that doesn't exist by then is an error.
+    at the last such version.  Lists of merged nodes come from ``merged_lists``; no case is gathered anywhere.  Tables
+    that are read again are cut by ``cut``.  A target that doesn't exist by then is an error.
     """
     if "time_span" not in edits.columns:
         edits = edits.withColumn("time_span", F.lit(None).cast("struct<start:string,end:string>"))
@@ -43,18 +72,14 @@ def fold_edits(edits: DataFrame, start: DataFrame | None = None, cut=checkpointe
     if start is not None:
         known = known.unionByName(start.select("case_id", "id", F.lit(0).cast("long").alias("since")))
     store._refuse(aimed.join(known, ["case_id", "id"], "left").where("since is null or since >= version").select("case_id", "version", "id"), "edits aim at memory nodes that don't exist")
-    free = adds.where(F.size(F.coalesce("targets", F.array().cast("array<string>"))) == 0)
-    none = aimed.join(start.select("case_id", "id", *LISTS), ["case_id", "id"]).limit(0) if start is not None else aimed.limit(0).select("*", *(F.array().cast("array<string>").alias(c) for c in LISTS))
-    done = store.made_nodes(free, none)
+    merging = F.size(F.coalesce("targets", F.array().cast("array<string>"))) > 0
+    free, merges = adds.where(~merging), adds.where(merging)
+    nothing = aimed.limit(0).select("*", *(F.array().cast("array<string>").alias(c) for c in LISTS))
+    done = store.made_nodes(free, nothing)
     done = cut(done if start is None else done.unionByName(start))
-    waiting = adds.where(F.size("targets") > 0).select("case_id", "version", "id").join(aimed.withColumnRenamed("id", "target").drop("op"), ["case_id", "version"])
-    while not waiting.isEmpty():
-        held = done.select("case_id", F.col("id").alias("target"), *LISTS)
-        met = waiting.join(held.withColumn("here", F.lit(1)), ["case_id", "target"], "left")
-        ready = met.groupBy("case_id", "version").agg((F.count("here") == F.count("*")).alias("ready")).where("ready").select("case_id", "version")
-        made = store.made_nodes(adds.join(ready, ["case_id", "version"], "left_semi"), met.join(ready, ["case_id", "version"], "left_semi"))
-        done = cut(done.unionByName(made))
-        waiting = cut(waiting.join(done.select("case_id", "id"), ["case_id", "id"], "left_anti"))
+    own = done.select("case_id", "id", *LISTS).unionByName(store.made_nodes(merges, nothing).select("case_id", "id", *LISTS))
+    held = merged_lists(merges.select("case_id", "id", "targets"), own, cut)
+    done = done.unionByName(store.made_nodes(merges, merges.select("case_id", "version", "id").join(held, ["case_id", "id"]).drop("id").withColumn("pos", F.lit(0))))
     archived = aimed.where("op in ('merge', 'delete')").groupBy("case_id", "id").agg(F.max("version").alias("_at"))
     gone = F.col("_at").isNotNull()
     out = done.join(archived, ["case_id", "id"], "left").withColumn("status", F.when(gone, "archived").otherwise(F.col("status")))

@@ -294,18 +294,18 @@ g AS (SELECT *, count(s) OVER (PARTITION BY user_id) AS n, avg(s) OVER (PARTITIO
 SELECT event_id, round(CASE WHEN NOT ok OR n = 1 THEN 0.0 ELSE (value - m) / (sd + 1e-6) END, 6) AS advantage FROM g""",
     "novelty": f"WITH {COSINES} SELECT query_id, round(least(1.0, greatest(0.0, (0.92::DOUBLE - max(score)) / (0.92::DOUBLE - 0.75::DOUBLE))), 6) AS novelty FROM cos WHERE query_id <> id GROUP BY query_id",
     "memory_versions": f"WITH {EDITS} SELECT case_id, seq, op, CAST(sum(CASE WHEN op <> 'noop' THEN 1 ELSE 0 END) OVER (PARTITION BY case_id ORDER BY seq) AS BIGINT) AS version FROM ed",
-    "edit_fold": f"""WITH {EDITS},
-a AS (SELECT *, count(*) FILTER (op = 'add') OVER (PARTITION BY case_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS c FROM ed),
-e AS (SELECT * EXCLUDE (op), CASE WHEN op IN ('merge', 'delete') AND c = 0 THEN 'noop' ELSE op END AS op FROM a),
-adds AS (SELECT case_id, c + 1 AS r, k FROM e WHERE op = 'add'),
-t AS (SELECT case_id, seq, op, k, unnest(CASE WHEN c > 1 THEN [c, c - 1] ELSE [c] END) AS r FROM e WHERE op IN ('merge', 'delete')),
+    "edit_fold": f"""WITH RECURSIVE {EDITS},
+a AS (SELECT *, count(*) FILTER (op = 'add') OVER (PARTITION BY case_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS adds FROM ed),
+e AS (SELECT * EXCLUDE (op), CASE WHEN op IN ('merge', 'delete') AND adds = 0 THEN 'noop' ELSE op END AS op FROM a),
+n AS (SELECT *, count(*) FILTER (op IN ('add', 'merge')) OVER (PARTITION BY case_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS c FROM e),
+made AS (SELECT case_id, c + 1 AS r, op, k FROM n WHERE op IN ('add', 'merge')),
+t AS (SELECT case_id, op, c + 1 AS of, unnest(CASE WHEN c > 1 THEN [c, c - 1] ELSE [c] END) AS r FROM n WHERE op IN ('merge', 'delete')),
 gone AS (SELECT case_id, count(DISTINCT r) AS n FROM t GROUP BY case_id),
-m AS (SELECT case_id, seq, len(list_distinct(list_append(list(ak), any_value(k)))) AS links, len(list_distinct(list_append(list(ak % 5), any_value(k % 5)))) AS rests
-  FROM (SELECT t.*, adds.k AS ak FROM t JOIN adds ON t.case_id = adds.case_id AND t.r = adds.r WHERE t.op = 'merge') GROUP BY case_id, seq),
-s AS (
-  SELECT case_id, count(*) FILTER (op IN ('add', 'merge')) AS nodes, count(*) FILTER (op = 'add') AS n_add, count(*) FILTER (op <> 'noop') AS version FROM e GROUP BY case_id),
+reach AS (SELECT case_id, r AS of, r FROM made UNION SELECT t.case_id, reach.of, t.r FROM reach JOIN t ON t.case_id = reach.case_id AND t.of = reach.r AND t.op = 'merge'),
+m AS (SELECT reach.case_id, reach.of, count(DISTINCT k) AS links, count(DISTINCT k % 5) AS rests FROM reach JOIN made ON reach.case_id = made.case_id AND reach.r = made.r GROUP BY ALL),
+s AS (SELECT case_id, count(*) FILTER (op IN ('add', 'merge')) AS nodes, count(*) FILTER (op <> 'noop') AS version FROM e GROUP BY case_id),
 l AS (SELECT case_id, sum(links) AS links, sum(rests) AS rests FROM m GROUP BY case_id)
-SELECT s.case_id, s.nodes, s.nodes - coalesce(gone.n, 0) AS active, 2 * s.nodes AS tokens, s.version, CAST(s.n_add + coalesce(l.links, 0) AS BIGINT) AS links, CAST(s.n_add + coalesce(l.rests, 0) AS BIGINT) AS rests_on
+SELECT s.case_id, s.nodes, s.nodes - coalesce(gone.n, 0) AS active, 2 * s.nodes AS tokens, s.version, CAST(l.links AS BIGINT) AS links, CAST(l.rests AS BIGINT) AS rests_on
 FROM s LEFT JOIN gone ON s.case_id = gone.case_id LEFT JOIN l ON s.case_id = l.case_id WHERE s.nodes > 0""",
     "builder_metrics": f"""WITH {BUILDER},
 f AS (SELECT *, stage NOT IN ('schema_invalid', 'constraint_invalid', 'action_invalid') AS acted, stage NOT IN ('schema_invalid', 'constraint_invalid', 'action_invalid', 'judge_unavailable') AS seen FROM b3)

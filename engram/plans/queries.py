@@ -286,15 +286,15 @@ def memory_versions(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def edit_fold(spark: SparkSession, sf: str) -> DataFrame:
-    """Adds and deletes of the nodes that earlier adds of the case made; merges take the case's last two."""
+    """Merges and deletes take the last two nodes that adds and merges of the case made, so merges rest on merges."""
     v = Views(spark, sf)
     earlier = Window.partitionBy("case_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
     first = F.col("op").isin("merge", "delete") & (F.count_if(F.col("op") == "add").over(earlier) == 0)
     e = v.edits().withColumn("first", first).withColumn("op", F.when(F.col("first"), "noop").otherwise(F.col("op")))
     e = memory.running_version(e).withColumn("content", F.concat_ws(" ", F.lit("event"), "event_id"))
-    e = e.withColumn("made", F.when(F.col("op") == "add", memory.new_id(F.col("case_id"), F.col("version"), F.col("content"))))
+    e = e.withColumn("made", F.when(F.col("op").isin("add", "merge"), memory.new_id(F.col("case_id"), F.col("version"), F.col("content"))))
     e = e.withColumn("before", F.last("made", ignorenulls=True).over(earlier))
-    e = e.withColumn("pair", F.when(F.col("op") == "add", F.array("made", "before")))
+    e = e.withColumn("pair", F.when(F.col("made").isNotNull(), F.array("made", "before")))
     none = F.array().cast("array<string>")
     known = F.array_compact(F.last("pair", ignorenulls=True).over(earlier))
     shaped = e.withColumn("targets", F.when(F.col("op").isin("merge", "delete"), known).otherwise(none))

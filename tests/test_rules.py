@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from engram.functions import jsonx, templates, text
 from engram.operators import checks, convergence, datasets, graph, memory, retrieval, rewards, store
+from engram.session import checkpointed
 from engram.sources import providers
 
 
@@ -207,6 +208,19 @@ def test_fold_of_merges_of_merges(spark):
         memory.fold_edits(lost)
 
 
+def test_a_long_chain_of_merges_takes_few_rounds(spark):
+    """Each of 1,000 merges takes the node before: the last rests on all, in order, and on their questions the other way."""
+    n, edits, last = 1000, [(1, 1, "add", [], "c1", "q1", ["p1"])], hashlib.sha256(b"1|1|c1").hexdigest()[:20]
+    for k in range(2, n + 2):
+        edits.append((1, k, "merge", [last], f"c{k}", f"q{k}", [f"p{k}"]))
+        last = hashlib.sha256(f"1|{k}|c{k}".encode()).hexdigest()[:20]
+    df = spark.createDataFrame(edits, "case_id long, seq long, op string, targets array<string>, content string, question_id string, provenance array<string>").withColumns({"source_ids": F.array().cast("array<string>"), "tags": F.array().cast("array<string>")})
+    cuts = []
+    rows = {r.id: r for r in memory.fold_edits(df, cut=lambda x: cuts.append(1) or checkpointed(x)).where("status = 'active'").collect()}
+    assert list(rows) == [last] and rows[last].provenance == [f"p{k}" for k in range(n + 1, 0, -1)] and rows[last].linked_questions == [f"q{k}" for k in range(1, n + 2)]
+    assert len(cuts) - 2 <= 12  # but for the edits and the nodes that merge nothing
+
+
 def test_store_refuses(spark):
     edits = spark.createDataFrame([(1, 1, "add", [], "one", "q1", ["p"], ["s"], ["t"])], "case_id long, seq long, op string, targets array<string>, content string, question_id string, provenance array<string>, source_ids array<string>, tags array<string>")
     nodes = memory.fold_edits(edits)
