@@ -6,7 +6,6 @@ Edits of a case are sequential, cases are independent.  What a prefix sum can sa
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -144,24 +143,23 @@ def protected_questions(capabilities: DataFrame, retrieved: DataFrame, most: int
     return chosen.withColumn("rank", rank).where(F.col("rank") <= most).select("case_id", "question_id", "rank")
 
 
-def support(hits: DataFrame, still_answered, failures: tuple[type[Exception], ...] = (ValueError,)) -> DataFrame:
-    """Backward elimination: ``hits`` (question_id, rank, node_id) that the answer needs.
+def support(hits: DataFrame, ask, least: float = 0.8) -> DataFrame:
+    """question_id, rank, node_id: those of ``hits`` that the answer needs, by backward elimination.
 
-    From the last rank up a node goes if ``still_answered(question_id, node_ids)`` without it;
-    the last node never does, and one whose trial raises one of ``failures`` (what a provider raises without a valid
-    answer) stays.
+    From the last rank up a node goes if the question is still answered without it; the last node never does.  All questions
+    take the step together: ``ask(trials)`` gets question_id and node_ids of every trial of a rank at once and gives question_id
+    and correctness.  A node goes at ``least`` or more; one whose trial has no valid judgement (null, or no row) stays.
+    There are as many rounds as the longest list of hits.
     """
-
-    def eliminate(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("rank")
-        kept = rows["node_id"].tolist()
-        for node in reversed(rows["node_id"].tolist()):
-            rest = [n for n in kept if n != node]
-            try:
-                gone = bool(rest) and still_answered(key[0], rest)
-            except failures:  # a judge's failure keeps the node
-                gone = False
-            kept = rest if gone else kept
-        return rows[rows["node_id"].isin(kept)]
-
-    return hits.select("question_id", "rank", "node_id").groupBy("question_id").applyInPandas(eliminate, hits.select("question_id", "rank", "node_id").schema)
+    order = F.transform(F.array_sort(F.collect_list(F.struct("rank", "node_id"))), lambda h: h["node_id"])
+    state = checkpointed(hits.groupBy("question_id").agg(order.alias("nodes")).withColumn("kept", F.col("nodes")))
+    longest = state.agg(F.max(F.size("nodes"))).first()[0] or 0
+    for k in range(longest):
+        node = F.get("nodes", F.size("nodes") - 1 - k)
+        tried = state.where(F.size("nodes") > k).withColumn("rest", F.filter("kept", lambda n: n != node)).where(F.size("rest") > 0)
+        marks = ask(tried.select("question_id", F.col("rest").alias("node_ids"))).select("question_id", "correctness")
+        gone = F.coalesce(F.col("correctness") >= least, F.lit(False))
+        after = state.join(marks, "question_id", "left")
+        state = checkpointed(after.select("question_id", "nodes", F.when(gone, F.filter("kept", lambda n: n != node)).otherwise(F.col("kept")).alias("kept")))
+    needed = state.select("question_id", F.explode("kept").alias("node_id"))
+    return hits.select("question_id", "rank", "node_id").join(needed, ["question_id", "node_id"], "left_semi").select("question_id", "rank", "node_id")

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from engram.functions import text
-from engram.operators import datasets
+from engram.operators import datasets, memory
+from engram.session import checkpointed
 from engram.sources import graphs
 
 
@@ -52,37 +53,59 @@ def round_counters(rows: DataFrame, edits: DataFrame | None = None) -> DataFrame
     return out.join(done, "case_id", "left").fillna(0, ["committed", "discarded"])
 
 
+def attributed(rows: DataFrame, ask, least: float = 0.8) -> DataFrame:
+    """``rows`` (question_id, node_ids in rank order and more) with support: the nodes that the answer needs, in that order.
+
+    ``ask(trials)`` judges question_id, question and node_ids as ``evaluated``'s judge does.
+    """
+    hits = rows.select("question_id", F.posexplode("node_ids").alias("rank", "node_id"))
+    texts = rows.select("question_id", "question")
+    needed = memory.support(hits, lambda trials: ask(trials.join(texts, "question_id").select("question_id", "question", "node_ids")), least)
+    lists = needed.groupBy("question_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "node_id"))), lambda h: h["node_id"]).alias("support"))
+    return rows.join(lists, "question_id", "left")
+
+
 def evaluated(questions: DataFrame, retrieve, judge, least: float = 0.8) -> DataFrame:
-    """``questions`` (question_id, question) with node_ids (in rank order), correctness, error and outcome.
+    """``questions`` (question_id, question) with node_ids (in rank order), correctness, error, outcome and support.
 
     ``retrieve(questions)`` gives question_id, id, rank; ``judge(rows)`` gives question_id, correctness, error from
     question_id, question and node_ids.  A question that retrieves nothing isn't shown to the judge: its correctness is 0.
+    Of a success, support has the nodes that it needs (``memory.support`` by the same judge); others have none.
     """
     hits = retrieve(questions).groupBy("question_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "id"))), lambda h: h["id"]).alias("node_ids"))
-    both = questions.join(hits, "question_id", "left")
-    judged = both.where("node_ids is not null")
-    marks = judge(judged.select("question_id", "question", "node_ids")).select("question_id", F.col("correctness").alias("_c"), F.col("error").alias("error"))
+    both = checkpointed(questions.join(hits, "question_id", "left"))
+    marks = judge(both.where("node_ids is not null").select("question_id", "question", "node_ids")).select("question_id", F.col("correctness").alias("_c"), F.col("error").alias("error"))
     out = both.join(marks, "question_id", "left").withColumn("correctness", F.when(F.col("node_ids").isNull(), 0.0).otherwise(F.col("_c"))).drop("_c")
-    return defended(out, least)
+    out = checkpointed(defended(out, least))
+    needed = attributed(out.where("outcome = 'success'"), judge, least).select("question_id", "support")
+    return out.join(needed, "question_id", "left")
 
 
-def commit_round(nodes: DataFrame, pending: DataFrame, actions: DataFrame, retrieve) -> tuple[DataFrame, DataFrame]:
+def commit_round(nodes: DataFrame, pending: DataFrame, actions: DataFrame, retrieve, judge=None, least: float = 0.8) -> tuple[DataFrame, DataFrame]:
     """(nodes after the round's edits, outcomes) of one edit a case.
 
     ``pending``: case_id, question_id, question, commit_valid, score; ``actions``: as for ``store.apply_actions``;
     ``retrieve(pending, nodes)`` gives case_id, question_id, id, rank over the nodes as they would be.  Edits that are valid and score
-    above 0 are tried; if the question then retrieves a memory the edit stays and its question is bound to what was
-    retrieved, else the case's nodes stay as they were and the question waits.
+    above 0 are tried; if the question then retrieves a memory the edit stays and its question is bound to what it needs of
+    it, else the case's nodes stay as they were and the question waits.  ``judge(rows, nodes)`` gives question_id and
+    correctness of question_id, question, node_ids, by which that is found; without one the question is bound to all.
+    Here a question_id of the judge is the struct of case_id and question_id.
     """
     from engram.operators import store
 
     good = pending.where(F.col("commit_valid") & (F.col("score") > 0))
-    tried = store.apply_actions(nodes, actions.join(good.select("case_id", "question_id"), ["case_id", "question_id"], "left_semi"))
-    hits = retrieve(good, tried).groupBy("case_id", "question_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "id"))), lambda h: h["id"]).alias("node_ids"))
-    outcomes = committed(pending.join(hits, ["case_id", "question_id"], "left").withColumn("n_retrieved", F.coalesce(F.size("node_ids"), F.lit(0))))
+    tried = checkpointed(store.apply_actions(nodes, actions.join(good.select("case_id", "question_id"), ["case_id", "question_id"], "left_semi")))
+    hits = checkpointed(retrieve(good, tried).groupBy("case_id", "question_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "id"))), lambda h: h["id"]).alias("node_ids")))
+    if judge is not None:
+        one = hits.join(pending.select("case_id", "question_id", "question"), ["case_id", "question_id"]).select(F.struct("case_id", "question_id").alias("question_id"), "question", "node_ids")
+        found = attributed(one, lambda trials: judge(trials, tried), least)
+        hits = found.select("question_id.case_id", "question_id.question_id", "node_ids", "support")
+    else:
+        hits = hits.withColumn("support", F.col("node_ids"))
+    outcomes = checkpointed(committed(pending.join(hits, ["case_id", "question_id"], "left").withColumn("n_retrieved", F.coalesce(F.size("node_ids"), F.lit(0)))))
     kept = outcomes.where("outcome = 'committed'")
     after = tried.join(kept.select("case_id"), "case_id", "left_semi").unionByName(nodes.join(kept.select("case_id"), "case_id", "left_anti"))
-    binds = outcomes.select("case_id", "question_id", F.lit(0).alias("seq"), F.when(F.col("outcome") == "committed", F.col("node_ids")).otherwise(F.array().cast("array<string>")).alias("node_ids"))
+    binds = outcomes.select("case_id", "question_id", F.lit(0).alias("seq"), F.when(F.col("outcome") == "committed", F.col("support")).otherwise(F.array().cast("array<string>")).alias("node_ids"))
     return store.bind_questions(after, binds), outcomes
 
 

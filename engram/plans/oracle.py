@@ -108,6 +108,10 @@ fused AS MATERIALIZED (
   FROM (SELECT * FROM channels UNION ALL SELECT query_id, id, score, 'graph' FROM ex WHERE id % 10 <> 9) GROUP BY query_id, id),
 few AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY recall_score DESC, id) AS rank FROM fused QUALIFY rank <= 40)"""
 
+FIVE = """
+rr AS (SELECT few.* EXCLUDE (rank), round((length(text) % 97) / 97.0::DOUBLE, 6) AS score FROM few JOIN documents ON doc_id = id),
+r5 AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INTEGER) AS rank FROM rr QUALIFY rank <= 5)"""
+
 COSINES = "cos AS (SELECT q.vec_id AS query_id, e.vec_id AS id, round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])), 6) AS score FROM embeddings q, embeddings e WHERE q.vec_id % 20 = 0)"
 
 QUESTIONS = """
@@ -265,10 +269,15 @@ first_value(conv_id || ':' || turn) OVER (PARTITION BY conv_id % 20, role, coale
 SELECT a.id AS a, b.id AS b FROM p a JOIN p b ON a.m = b.m AND a.id <> b.id""",
     "graph_expand": f"WITH {BM25}, {NEAR}, seeds AS (SELECT * FROM bmr WHERE rank <= 5 AND score > 0), {_expand('seeds', 'ex')} SELECT * FROM ex",
     "hybrid_fusion": f"WITH {HYBRID} SELECT query_id, id, recall_score AS score, CAST(rank AS INTEGER) AS rank, sources FROM few",
-    "hybrid_retrieve": f"""WITH {HYBRID},
-rr AS (SELECT few.* EXCLUDE (rank), round((length(text) % 97) / 97.0::DOUBLE, 6) AS score FROM few JOIN documents ON doc_id = id),
-r5 AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INTEGER) AS rank FROM rr)
-SELECT r5.query_id, r5.id, r5.score, r5.rank, r5.recall_score, r5.sources, ex.seed, coalesce(ex.hop, 0) AS hop FROM r5 LEFT JOIN ex ON r5.query_id = ex.query_id AND r5.id = ex.id AND ex.id % 10 <> 9 WHERE r5.rank <= 5""",
+    "hybrid_retrieve": f"""WITH {HYBRID}, {FIVE}
+SELECT r5.query_id, r5.id, r5.score, r5.rank, r5.recall_score, r5.sources, ex.seed, coalesce(ex.hop, 0) AS hop FROM r5 LEFT JOIN ex ON r5.query_id = ex.query_id AND r5.id = ex.id AND ex.id % 10 <> 9""",
+    "defence_evaluation": f"""WITH {HYBRID}, {FIVE},
+h AS (SELECT query_id, list({{'id': id, 'n': length(text)}} ORDER BY rank) AS nodes FROM r5 JOIN documents ON id = doc_id GROUP BY query_id),
+j AS (SELECT *, CASE WHEN n % 7 <> 0 THEN (n % 11) / 10.0::DOUBLE END AS c FROM (SELECT *, list_sum(list_transform(nodes, lambda x: x.n)) AS n FROM h)),
+won AS (SELECT query_id, nodes FROM j WHERE c >= 0.5), {state.eliminated("won", "query_id")}
+SELECT item_id AS question_id, array_to_string(list_transform(j.nodes, lambda x: x.id), ',') AS node_ids, CASE WHEN j.query_id IS NULL THEN 0.0 ELSE c END AS correctness,
+  CASE WHEN j.query_id IS NULL THEN 'pending' WHEN c IS NULL THEN 'unavailable' WHEN c >= 0.5 THEN 'success' ELSE 'pending' END AS outcome, array_to_string(list_transform(kept, lambda x: x.id), ',') AS support
+FROM benchmark LEFT JOIN j ON item_id = j.query_id LEFT JOIN el5 ON item_id = el5.query_id""",
     "question_constraints": f"""WITH {QUESTIONS}
 SELECT conv_id, turn, CASE WHEN question = '' THEN 'question_invalid' WHEN len(regexp_extract_all(question, '[?？]')) > 1 THEN 'multiple_questions'
   WHEN regexp_matches(question, '(?i)(^|{UPPER_WORD})(route|evidence|facts?|nodes?|memory|context|ids?|instructions?)({UPPER_WORD}|$)') THEN 'metadata_leak'

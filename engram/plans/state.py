@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from engram.operators import convergence, datasets, graph, memory, retrieval, rewards, rounds, store
@@ -77,23 +77,32 @@ def capability_ledger(spark: SparkSession, sf: str) -> DataFrame:
     return store.capability_ledger(events).withColumn("supporting_node_ids", F.array_join("supporting_node_ids", ","))
 
 
+def _judged(total: Column) -> list[Column]:
+    """A stand-in judge: correctness and error by a number that stands for the memories shown."""
+    return [F.when(total % 7 != 0, (total % 11) / 10).alias("correctness"), F.when(total % 7 == 0, "no answer").alias("error")]
+
+
 def defence_evaluation(spark: SparkSession, sf: str) -> DataFrame:
-    """Questions are asked of the five best memories by BM25; a stand-in judge goes by the first one's length."""
+    """Questions are asked of the five memories that the hybrid retrieval finds, and successes of ever fewer of them; a
+    stand-in judge goes by the texts' length in all."""
+    from .queries import hybrid_retrieve
+
     v = Views(spark, sf)
-    nodes = v.memories().where("status = 'active'")
     asked = v.queries().select(F.col("query_id").alias("question_id"), F.col("query").alias("question"))
-    retrieve = lambda q: retrieval.top_k(retrieval.bm25(q.select(F.col("question_id").alias("query_id"), F.col("question").alias("query")), nodes), 5).select(F.col("query_id").alias("question_id"), "id", "rank")
+    found = hybrid_retrieve(spark, sf).select(F.col("query_id").alias("question_id"), "id", "rank")
+    sizes = v.memories().select("id", F.length("content").cast("long").alias("n"))
 
     def judge(rows: DataFrame) -> DataFrame:
-        first = rows.withColumn("id", F.col("node_ids")[0]).join(nodes.select("id", F.length("content").alias("n")), "id")
-        return first.select("question_id", F.when(F.col("n") % 7 != 0, (F.col("n") % 11) / 10).alias("correctness"), F.when(F.col("n") % 7 == 0, "no answer").alias("error"))
+        each = rows.select("question_id", F.explode("node_ids").alias("id")).join(sizes, "id").groupBy("question_id").agg(F.sum("n").alias("n"))
+        return each.select("question_id", *_judged(F.col("n")))
 
-    out = rounds.evaluated(asked, retrieve, judge)
-    return out.select("question_id", F.array_join(F.col("node_ids").cast("array<string>"), ",").alias("node_ids"), "correctness", "outcome")
+    out = rounds.evaluated(asked, lambda q: found.join(q.select("question_id"), "question_id", "left_semi"), judge, 0.5)
+    shown = lambda c: F.array_join(F.col(c).cast("array<string>"), ",").alias(c)
+    return out.select("question_id", shown("node_ids"), "correctness", "outcome", shown("support"))
 
 
 def commit_round(spark: SparkSession, sf: str) -> DataFrame:
-    """Edits of the store's queries, tried; a question then retrieves the memories linked to it."""
+    """Edits of the store's queries, tried; a question then retrieves five of the memories linked to it and keeps those it needs."""
     v = Views(spark, sf)
     k = F.col("case_id")
     actions = _actions(v)
@@ -102,9 +111,13 @@ def commit_round(spark: SparkSession, sf: str) -> DataFrame:
     def retrieve(asked: DataFrame, nodes: DataFrame) -> DataFrame:
         linked = nodes.where("status = 'active'").select("case_id", "id", F.explode("linked_questions").alias("question_id"))
         rank = F.row_number().over(Window.partitionBy("case_id", "question_id").orderBy("id"))
-        return asked.select("case_id", "question_id").join(linked, ["case_id", "question_id"]).withColumn("rank", rank)
+        return asked.select("case_id", "question_id").join(linked, ["case_id", "question_id"]).withColumn("rank", rank).where("rank <= 5")
 
-    after, outcomes = rounds.commit_round(_nodes(v), pending, actions, retrieve)
+    def judge(trials: DataFrame, nodes: DataFrame) -> DataFrame:
+        ends = F.aggregate(F.transform("node_ids", lambda i: F.ascii(F.right(i, F.lit(1)))), F.lit(0), lambda a, x: a + x)
+        return trials.select("question_id", *_judged(ends))
+
+    after, outcomes = rounds.commit_round(_nodes(v), pending, actions, retrieve, judge, 0.5)
     n = after.groupBy("case_id").agg(F.count("*").alias("nodes"), F.count_if(F.col("status") == "active").alias("active"), F.count_if(F.array_contains("linked_questions", "q1")).alias("support"))
     return outcomes.select("case_id", "outcome", "pool").join(n, "case_id")
 
@@ -224,6 +237,17 @@ _JOINED = "array_to_string(provenance, ',') AS provenance, array_to_string(sourc
 _AFTER = f"SELECT case_id, id, status, {_JOINED}, '' AS time_span, CAST(3 AS BIGINT) AS token_count, CAST(1 AS BIGINT) AS created_version, CAST(v AS BIGINT) AS updated_version FROM kept UNION ALL SELECT * FROM made"
 
 
+def eliminated(hits: str, key: str) -> str:
+    """Backward elimination of ``nodes`` (id and n, in rank order), five at most, by the stand-in judge: el5 has what is kept."""
+    steps = [f"el0 AS (SELECT *, nodes AS kept FROM {hits})"]
+    for k in range(5):
+        total = "list_sum(list_transform(rest, lambda x: x.n))"
+        steps.append(f"""
+el{k + 1} AS (SELECT {key}, nodes, CASE WHEN len(nodes) > {k} AND len(rest) > 0 AND {total} % 7 <> 0 AND {total} % 11 >= 5 THEN rest ELSE kept END AS kept
+  FROM (SELECT *, CASE WHEN len(nodes) > {k} THEN list_filter(kept, lambda x: x.id <> nodes[len(nodes) - {k}].id) ELSE kept END AS rest FROM el{k}))""")
+    return ",".join(steps)
+
+
 def build(graph_cte: str, edits_cte: str, bm25_token: str) -> dict[str, str]:
     """SQL of the queries, over the common tables of the other module."""
     return {
@@ -237,19 +261,12 @@ b AS (SELECT *, list_concat(l, list_filter([CASE WHEN a AND NOT list_contains(li
 SELECT case_id, id, CAST(1 AS BIGINT) AS updated_version, array_to_string(l2, ',') AS linked_questions FROM b""",
         "capability_ledger": f"""WITH {edits_cte}, l AS (SELECT case_id, k AS question_id, min(seq) AS place, arg_max(op, seq) <> 'delete' AS passed, arg_max(event_id % 9, seq) AS node, max(seq) AS last FROM ed GROUP BY case_id, k)
 SELECT case_id, question_id, place, passed, CASE WHEN passed THEN CAST(node AS VARCHAR) ELSE '' END AS supporting_node_ids, CASE WHEN passed THEN last END AS verified_version FROM l""",
-        "defence_evaluation": f"""WITH act AS (SELECT * FROM documents WHERE doc_id % 10 <> 9),
-d AS (SELECT doc_id AS id, regexp_extract_all(lower(concat_ws(' ', text, lang, source)), '{bm25_token}') AS t FROM act), n AS (SELECT count(*) AS n, avg(len(t)) AS a FROM d),
-q AS (SELECT DISTINCT item_id AS query_id, unnest(regexp_extract_all(lower(text), '{bm25_token}')) AS term FROM benchmark),
-tf AS (SELECT id, term, any_value(l) AS l, count(*) AS tf FROM (SELECT id, len(t) AS l, unnest(t) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY id, term), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
-bm AS (SELECT query_id, id, round(sum(ln(1 + (n.n - df.df + 0.5) / (df.df + 0.5)) * tf.tf * 2.5 / (tf.tf + 1.5 * (1 - 0.75 + 0.75 * tf.l / n.a))), 6) AS score FROM q JOIN tf USING (term) JOIN df USING (term), n GROUP BY query_id, id),
-r AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM bm) WHERE rank <= 5 AND score > 0),
-h AS (SELECT query_id, string_agg(CAST(id AS VARCHAR), ',' ORDER BY rank) AS node_ids, arg_min(id, rank) AS first FROM r GROUP BY query_id),
-j AS (SELECT b.item_id, h.node_ids, CASE WHEN h.first IS NULL THEN 0.0 WHEN length(a.text) % 7 <> 0 THEN (length(a.text) % 11) / 10.0 END::DOUBLE AS c FROM benchmark b LEFT JOIN h ON b.item_id = h.query_id LEFT JOIN act a ON a.doc_id = h.first)
-SELECT item_id AS question_id, node_ids, c AS correctness, CASE WHEN c IS NULL THEN 'unavailable' WHEN c >= 0.8 THEN 'success' ELSE 'pending' END AS outcome FROM j""",
         "commit_round": f"""WITH {_applied("['p1', 'p9']", "['s']", "['q1']", _SPAN)},
 tried AS (SELECT case_id, id, status, linked AS l FROM kept WHERE true UNION ALL SELECT case_id, id, status, string_split(linked_questions, ',') FROM made),
 p AS (SELECT DISTINCT case_id, case_id % 5 <> 0 AND case_id % 7 <> 0 AS good FROM n),
-h AS (SELECT case_id, count(*) AS hits FROM tried WHERE status = 'active' AND list_contains(l, 'q1') GROUP BY case_id),
+h1 AS (SELECT case_id, id, row_number() OVER (PARTITION BY case_id ORDER BY id) AS rank FROM tried WHERE status = 'active' AND list_contains(l, 'q1')),
+h2 AS (SELECT case_id, list({{'id': id, 'n': ascii(right(id, 1))}} ORDER BY rank) AS nodes FROM h1 WHERE rank <= 5 GROUP BY case_id), {eliminated("h2", "case_id")},
+h AS (SELECT case_id, len(kept) AS hits FROM el5),
 o AS (SELECT p.case_id, CASE WHEN NOT good THEN 'discarded' WHEN coalesce(hits, 0) > 0 THEN 'committed' ELSE 'unsupported' END AS outcome, coalesce(hits, 0) AS hits FROM p LEFT JOIN h ON p.case_id = h.case_id),
 a AS (SELECT tried.case_id, status FROM tried JOIN o ON tried.case_id = o.case_id WHERE outcome = 'committed' UNION ALL SELECT n.case_id, status FROM n JOIN o ON n.case_id = o.case_id WHERE outcome <> 'committed')
 SELECT o.case_id, outcome, CASE WHEN outcome = 'committed' THEN 'success' ELSE 'high_priority' END AS pool, count(*) AS nodes, count(*) FILTER (status = 'active') AS active, CASE WHEN outcome = 'committed' THEN hits ELSE 0 END AS support

@@ -104,10 +104,40 @@ def test_fold_and_version(spark):
     assert memory.active_tokens(memory.fold_edits(merged, nodes)).first().active_tokens == 1
 
 
+def eliminated(nodes, judge):
+    kept = list(nodes)
+    for n in reversed(nodes):
+        rest = [x for x in kept if x != n]
+        if rest and (judge(rest) or 0) >= 0.8:
+            kept = rest
+    return kept
+
+
 def test_support_goes_from_the_last_rank(spark):
-    hits = spark.createDataFrame([("q", k, f"n{k}") for k in (1, 2, 3)], "question_id string, rank int, node_id string")
-    kept = memory.support(hits, lambda q, nodes: "n2" in nodes)
-    assert [r.node_id for r in kept.collect()] == ["n2"]
+    """All questions in lockstep equal a loop over each; a round asks once for the whole table."""
+    r = random.Random(6)
+    marks = {}  # of (question, nodes): correctness, or none where the judge fails
+    lists = {q: r.sample("abcdefgh", r.randint(1, 5)) for q in range(40)}
+
+    def judge(q, nodes):
+        return marks.setdefault((q, tuple(nodes)), r.choice([0.0, 0.5, 0.8, 1.0, 0.9, None]))
+
+    want = {q: eliminated(nodes, lambda rest, q=q: judge(q, rest)) for q, nodes in lists.items()}
+    asked, rounds_ = [], []
+
+    def ask(trials):
+        rows = [(t.question_id, t.node_ids) for t in trials.collect()]
+        asked.extend(rows)
+        rounds_.append(len(rows))
+        found = [(q, judge(q, nodes)) for q, nodes in rows]
+        return spark.createDataFrame([x for x in found if x[0] % 2 or x[1] is not None], "question_id long, correctness double")
+
+    hits = spark.createDataFrame([(q, k + 1, n) for q, nodes in lists.items() for k, n in enumerate(nodes)], "question_id long, rank int, node_id string")
+    got = {}
+    for x in sorted(memory.support(hits, ask).collect(), key=lambda x: x.rank):
+        got.setdefault(x.question_id, []).append(x.node_id)
+    assert got == want and len(rounds_) == 5 and len(asked) == len(marks)
+    assert memory.support(hits.limit(0), ask).count() == 0
 
 
 def test_expand(spark):
