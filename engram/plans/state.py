@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from engram.operators import convergence, datasets, graph, memory, retrieval, rewards, rounds, store
+from engram.operators import compaction, convergence, datasets, graph, memory, retrieval, rewards, rounds, store
 from engram.sources import graphs
 
 from .views import Views
@@ -122,6 +122,32 @@ def commit_round(spark: SparkSession, sf: str) -> DataFrame:
     return outcomes.select("case_id", "outcome", "pool").join(n, "case_id")
 
 
+def compaction_trials(spark: SparkSession, sf: str) -> DataFrame:
+    """Candidates of each customer's open orders, of which a stand-in policy merges or deletes; a question retrieves three of
+    the memories linked to it, and a stand-in judge goes by their names."""
+    v = Views(spark, sf)
+    nodes, k = _nodes(v), F.col("case_id")
+    pairs = convergence.compaction_candidates(nodes.where("status = 'active'").withColumn("pos", F.col("id").cast("long")).select("case_id", "pos", "id", "tags"), compaction.MOST)
+    merge = (F.size("ids") == 2) & ((k + F.col("place")) % 2 == 0)
+    op, targets = F.when(merge, "merge").otherwise("delete"), F.when(merge, F.col("ids")).otherwise(F.slice("ids", 1, 1))
+    actions = pairs.select("case_id", "place", ((k + F.col("place")) % 3 != 0).alias("valid"), op.alias("op"), targets.alias("targets"), F.concat(F.lit("memory of "), k.cast("string")).alias("content"), _strings().alias("tags"))
+    every = nodes.select("case_id").distinct().select("case_id", F.explode(F.sequence(F.lit(0), F.lit(9))).alias("seq")).withColumn("question_id", F.concat(F.lit("q"), "seq"))
+
+    def retrieve(asked: DataFrame, held: DataFrame) -> DataFrame:
+        linked = held.where("status = 'active'").select("case_id", "id", F.explode("linked_questions").alias("question_id"))
+        rank = F.row_number().over(Window.partitionBy("case_id", "question_id").orderBy("id"))
+        return asked.select("case_id", "question_id").join(linked, ["case_id", "question_id"]).withColumn("rank", rank).where("rank <= 3")
+
+    def judge(rows: DataFrame, held: DataFrame) -> DataFrame:
+        ends = F.aggregate(F.transform("node_ids", lambda i: F.ascii(F.right(i, F.lit(1)))), F.lit(0), lambda a, x: a + x)
+        return rows.select("question_id", F.when(ends % 29 != 0, 1 - (ends % 7) / 20).alias("correctness"))
+
+    pool, archive = every.where("seq < 6"), every.where("seq <> 7").select("case_id", "question_id", F.lit("what?").alias("question"))
+    after, audits = compaction.tried_compactions(nodes, actions, pool, archive, retrieve, judge, 0.2, 0.71)
+    n = after.groupBy("case_id").agg(F.sum(F.when(F.col("status") == "active", F.col("token_count")).otherwise(0)).cast("long").alias("tokens"), F.count("*").alias("nodes"), F.sum(F.size("linked_questions")).cast("long").alias("links"))
+    return audits.select("case_id", "compressed", "attempts").join(n, "case_id")
+
+
 def kept_questions(spark: SparkSession, sf: str) -> DataFrame:
     o = Views(spark, sf).table("orders").select(F.col("o_custkey").alias("case_id"), F.col("o_orderkey").alias("question_id"), F.col("o_orderkey").alias("seq"), "o_orderstatus", "o_totalprice", "o_orderpriority")
     out = rounds.kept_questions(o.where("o_orderpriority = '1-URGENT'"), o.where("o_orderstatus <> 'F'"), o.where("o_totalprice > 50000"))
@@ -237,17 +263,50 @@ _JOINED = "array_to_string(provenance, ',') AS provenance, array_to_string(sourc
 _AFTER = f"SELECT case_id, id, status, {_JOINED}, '' AS time_span, CAST(3 AS BIGINT) AS token_count, CAST(1 AS BIGINT) AS created_version, CAST(v AS BIGINT) AS updated_version FROM kept UNION ALL SELECT * FROM made"
 
 
-def eliminated(hits: str, key: str) -> str:
-    """Backward elimination of ``nodes`` (id and n, in rank order), five at most, by the stand-in judge: el5 has what is kept."""
+def eliminated(hits: str, key: str, passes: str = "{n} % 7 <> 0 AND {n} % 11 >= 5", most: int = 5) -> str:
+    """Backward elimination of ``nodes`` (id and n, in rank order), ``most`` at most, by what a stand-in judge ``passes``: the
+    last of the tables el0, el1 and so on has what is kept."""
     steps = [f"el0 AS (SELECT *, nodes AS kept FROM {hits})"]
-    for k in range(5):
-        total = "list_sum(list_transform(rest, lambda x: x.n))"
+    test = passes.format(n="list_sum(list_transform(rest, lambda x: x.n))")
+    for k in range(most):
         steps.append(f"""
-el{k + 1} AS (SELECT {key}, nodes, CASE WHEN len(nodes) > {k} AND len(rest) > 0 AND {total} % 7 <> 0 AND {total} % 11 >= 5 THEN rest ELSE kept END AS kept
+el{k + 1} AS (SELECT {key}, nodes, CASE WHEN len(nodes) > {k} AND len(rest) > 0 AND {test} THEN rest ELSE kept END AS kept
   FROM (SELECT *, CASE WHEN len(nodes) > {k} THEN list_filter(kept, lambda x: x.id <> nodes[len(nodes) - {k}].id) ELSE kept END AS rest FROM el{k}))""")
     return ",".join(steps)
 
 
+def _answers(name: str, asked: str, live: str, key: str) -> str:
+    """Three memories of each question, and what the stand-in judge of ``compaction_trials`` says of them."""
+    return f"""
+{name}h AS (SELECT p.{key}, p.q, id, row_number() OVER (PARTITION BY p.{key}, p.q ORDER BY id) AS rank FROM {asked} p JOIN {live} l ON p.{key} = l.{key} AND p.q = l.q QUALIFY rank <= 3),
+{name}l AS (SELECT {key}, q, list({{'id': id, 'n': ascii(right(id, 1))}} ORDER BY rank) AS nodes, sum(ascii(right(id, 1))) AS n FROM {name}h GROUP BY {key}, q),
+{name} AS (SELECT p.{key}, p.q, nodes, CASE WHEN n IS NULL THEN 0.0::DOUBLE WHEN n % 29 <> 0 THEN 1 - (n % 7) / 20.0::DOUBLE END AS c FROM {asked} p LEFT JOIN {name}l l ON p.{key} = l.{key} AND p.q = l.q)"""
+
+
+_TRIALS = f"""
+ap AS (SELECT case_id, id, tags, row_number() OVER (PARTITION BY case_id ORDER BY CAST(id AS BIGINT)) AS r FROM n WHERE status = 'active'),
+x AS (SELECT a.case_id, CASE WHEN list_has_any(a.tags, b.tags) THEN 0 ELSE 1 END AS kind, a.r AS i, b.r AS j, [a.id, b.id] AS ids FROM ap a JOIN ap b ON a.case_id = b.case_id AND a.r < b.r UNION ALL SELECT case_id, 2, r, 0, [id] FROM ap),
+c AS (SELECT case_id, ids, row_number() OVER (PARTITION BY case_id ORDER BY kind, i, j) AS place FROM x QUALIFY place <= 8),
+tr AS (SELECT case_id, place, case_id * 8 + place - 1 AS k, merge, CASE WHEN merge THEN ids ELSE ids[1:1] END AS t FROM (SELECT *, len(ids) = 2 AND (case_id + place) % 2 = 0 AS merge FROM c) WHERE (case_id + place) % 3 <> 0),
+mg AS (SELECT DISTINCT tr.k, substring(sha256(tr.k || '|2|memory of ' || tr.case_id), 1, 20) AS id, unnest(linked) AS q FROM tr JOIN n ON tr.case_id = n.case_id AND list_contains(t, n.id) WHERE merge),
+old AS (SELECT k, n.id, n.status = 'active' AND NOT list_contains(t, n.id) AS active, linked FROM tr JOIN n ON tr.case_id = n.case_id),
+live AS (SELECT k, id, unnest(linked) AS q FROM old WHERE active UNION ALL SELECT k, id, q FROM mg),
+prot AS (SELECT DISTINCT k, q FROM (SELECT k, unnest(linked) AS q FROM tr JOIN n ON tr.case_id = n.case_id AND list_contains(t, n.id) UNION ALL SELECT k, 'q' || j FROM tr, range(4) y(j)) WHERE q <> 'q7'),
+was AS (SELECT case_id, unnest(linked) AS q, id FROM n WHERE status = 'active'), asked AS (SELECT DISTINCT case_id, q FROM prot JOIN tr ON prot.k = tr.k),
+{_answers("a", "prot", "live", "k")}, {_answers("b", "asked", "was", "case_id")},
+ok AS (SELECT tr.case_id, tr.place, tr.k FROM tr JOIN a ON tr.k = a.k JOIN b ON tr.case_id = b.case_id AND a.q = b.q GROUP BY ALL HAVING bool_and(coalesce(a.c >= 0.71 AND b.c - a.c <= 0.2, false))),
+best AS (SELECT case_id, min(place) AS place, arg_min(k, place) AS k FROM ok GROUP BY case_id),
+sup AS (SELECT a.k, a.q, nodes FROM a JOIN best ON a.k = best.k), {eliminated("sup", "k, q", "{n} % 29 <> 0 AND {n} % 7 <= 5", 3)},
+links AS (
+  SELECT best.case_id, count(*) AS n FROM best JOIN (SELECT k, id, unnest(linked) AS q FROM old UNION ALL SELECT k, id, q FROM mg) l ON best.k = l.k WHERE (l.k, l.q) NOT IN (SELECT (k, q) FROM prot) GROUP BY best.case_id),
+bound AS (SELECT best.case_id, sum(len(kept)) AS n FROM best JOIN el3 ON best.k = el3.k GROUP BY best.case_id),
+s AS (SELECT case_id, count(*) AS nodes, count(*) FILTER (status = 'active') AS active, sum(len(linked)) AS links FROM n GROUP BY case_id),
+m AS (SELECT case_id, count(*) AS n FROM c GROUP BY case_id)
+SELECT m.case_id, best.k IS NOT NULL AS compressed, coalesce(best.place, m.n) AS attempts, 3 * (s.active - (best.k IS NOT NULL)::INT) AS tokens,
+  s.nodes + CASE WHEN tr.merge THEN 1 ELSE 0 END AS nodes, CAST(CASE WHEN best.k IS NULL THEN s.links ELSE coalesce(links.n, 0) + coalesce(bound.n, 0) END AS BIGINT) AS links
+FROM m JOIN s ON m.case_id = s.case_id LEFT JOIN best ON m.case_id = best.case_id LEFT JOIN tr ON best.k = tr.k LEFT JOIN links ON m.case_id = links.case_id LEFT JOIN bound ON m.case_id = bound.case_id"""
+
+
 def build(graph_cte: str, edits_cte: str, bm25_token: str) -> dict[str, str]:
     """SQL of the queries, over the common tables of the other module."""
     return {
@@ -271,6 +330,7 @@ o AS (SELECT p.case_id, CASE WHEN NOT good THEN 'discarded' WHEN coalesce(hits,
 a AS (SELECT tried.case_id, status FROM tried JOIN o ON tried.case_id = o.case_id WHERE outcome = 'committed' UNION ALL SELECT n.case_id, status FROM n JOIN o ON n.case_id = o.case_id WHERE outcome <> 'committed')
 SELECT o.case_id, outcome, CASE WHEN outcome = 'committed' THEN 'success' ELSE 'high_priority' END AS pool, count(*) AS nodes, count(*) FILTER (status = 'active') AS active, CASE WHEN outcome = 'committed' THEN hits ELSE 0 END AS support
 FROM o JOIN a ON o.case_id = a.case_id GROUP BY o.case_id, outcome, hits""",
+        "compaction_trials": f"WITH {_NODES}, {_TRIALS}",
         "kept_questions": """WITH o AS (SELECT *, row_number() OVER (PARTITION BY o_custkey, o_orderstatus <> 'F' ORDER BY o_orderkey) AS k FROM orders),
 c AS (SELECT o_custkey, o_orderkey, CASE WHEN o_orderpriority = '1-URGENT' THEN 0 WHEN o_orderstatus <> 'F' AND k <= 4 THEN 1 END AS p, o_totalprice FROM o)
 SELECT o_custkey AS case_id, o_orderkey AS question_id, row_number() OVER (PARTITION BY o_custkey ORDER BY p, o_orderkey) AS place FROM c WHERE p IS NOT NULL AND o_totalprice > 50000""",
@@ -292,6 +352,6 @@ g AS (SELECT id, count(*) AS edges FROM (SELECT source AS id FROM e UNION ALL SE
 
 
 QUERIES = [
-    store_apply, store_compact, store_add_archive, store_bind, capability_ledger, defence_evaluation, commit_round, kept_questions, visit_counts, active_cases, compaction_actions, rerank, random_split,
+    store_apply, store_compact, store_add_archive, store_bind, capability_ledger, defence_evaluation, commit_round, compaction_trials, kept_questions, visit_counts, active_cases, compaction_actions, rerank, random_split,
     drawn_routes, unseen_routes, mode_candidates, frozen_contexts, graph_scan, case_users, checkpoints,
 ]
