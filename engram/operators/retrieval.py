@@ -134,6 +134,8 @@ def _cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 #: Words of an automaton; more make several, each a pass over the texts.
 WORDS = 1 << 16
+#: Up to FEW words of at most SHORT letters are looked up one by one.
+SHORT, FEW = 3, 512
 
 
 def said(words: DataFrame, docs: DataFrame) -> DataFrame:
@@ -167,8 +169,12 @@ def _read_through(words: DataFrame, docs: DataFrame) -> DataFrame:
         automaton, (names, queries) = ahocorasick.Automaton(), shared.value
         if not names:
             return
+        short = [(k, word) for k, word in enumerate(names) if len(word) <= SHORT]  # they match all over a text: one look each
+        short = short if len(short) <= FEW else []
+        apart = {k for k, _ in short}
         for k, word in enumerate(names):
-            automaton.add_word(word, k)
+            if k not in apart:
+                automaton.add_word(word, k)
         automaton.make_automaton()
         bounds, asked = queries.offsets.to_numpy(), queries.values
         known = asked.dictionary_encode()
@@ -176,7 +182,8 @@ def _read_through(words: DataFrame, docs: DataFrame) -> DataFrame:
         for batch in batches:
             rows, whose = [], []
             for k, content in enumerate(batch["content"].to_pylist()):
-                met = {w for _, w in automaton.iter(content)} if content else ()
+                met = {w for _, w in automaton.iter(content)} if content and len(automaton) else set()
+                met.update(w for w, word in short if content and word in content)
                 if met:
                     of = np.unique(np.concatenate([number[bounds[w] : bounds[w + 1]] for w in met]))
                     whose.append(of)
@@ -236,6 +243,33 @@ def expand(seeds: DataFrame, members: DataFrame, depth: int = DEPTH, decay: floa
     return out if active is None else out.join(active.select("id"), "id", "left_semi")
 
 
+def worth_expanding(recalled: DataFrame, most: int = CANDIDATES, decay: float = DECAY) -> DataFrame:
+    """Those of ``recalled`` (query_id, id, score) whose neighbours can be among the query's ``most`` best: a neighbour scores
+    ``decay`` times as much, so it must reach the last of the best that are recalled already, if there are so many."""
+    best = top_k(recalled.select("query_id", "id", "score"), most, positive=False).groupBy("query_id").agg(F.min("score").alias("least"), F.count("*").alias("n"))
+    least = F.when(F.col("n") >= most, F.col("least"))
+    kept = recalled.join(best, "query_id").where(least.isNull() | (F.round(F.col("score") * decay, 6) >= least))
+    return kept.select("query_id", "id", "score")
+
+
+def best_reached(seeds: DataFrame, visited: DataFrame, members: DataFrame, active: DataFrame, most: int = CANDIDATES, decay: float = DECAY) -> DataFrame:
+    """What ``expand`` gives at depth 1, but for rows that can't be among a query's ``most`` best.
+
+    ``visited`` (query_id, id) are reached already.  All members that a seed reaches through a group have one score, so of
+    the group's active members in order of id only the first ``most`` that aren't visited matter, which are among the first
+    ``most`` plus as many as the group has visited ones.  A query gets no more rows from a group than that.
+    """
+    first = F.min_by(F.struct(F.col("id").alias("seed"), "score"), F.struct(-F.col("score"), "id"))
+    entered = checkpointed(seeds.join(members, "id").groupBy("query_id", "group").agg(first.alias("m")))
+    groups = members.join(entered.select("group").distinct(), "group", "left_semi").join(active.select("id"), "id", "left_semi").distinct()
+    ranked = groups.withColumn("place", F.row_number().over(Window.partitionBy("group").orderBy("id")))
+    known = visited.join(entered.select("query_id").distinct(), "query_id", "left_semi").join(groups, "id").groupBy("query_id", "group").agg(F.count("*").alias("known"))
+    lists = entered.join(known, ["query_id", "group"], "left").withColumn("last", F.lit(most) + F.coalesce("known", F.lit(0)))
+    met = lists.join(ranked, "group").where("place <= last").join(visited.select("query_id", "id"), ["query_id", "id"], "left_anti")
+    won = met.groupBy("query_id", "id").agg(F.min_by("m", F.struct(-F.col("m.score"), F.col("m.seed"))).alias("m"))
+    return won.select("query_id", "id", "m.seed", F.lit(1).alias("hop"), F.round(F.col("m.score") * decay, 6).alias("score"))
+
+
 def max_normalised(scored: DataFrame) -> DataFrame:
     """Scores divided by the query's best; 0 where that isn't positive."""
     best = F.max("score").over(Window.partitionBy("query_id"))
@@ -281,7 +315,12 @@ def hybrid_retrieve(plans: DataFrame, vectors: DataFrame, nodes: DataFrame, node
     lexical = cut(max_normalised(bm25(asked, active)))
     dense = cut(plan_scores(vectors, node_vectors.join(active.select("id"), "id", "left_semi"), recall_k))
     recalled = checkpointed(fuse({"bm25": lexical, "embedding": dense, "metadata": metadata_matches(plans, active)}))
-    graph = checkpointed(expand(recalled.select("query_id", "id", "score"), memberships(nodes), depth, active=active))
+    whole = recalled.select("query_id", "id", "score")
+    if depth == 1:
+        reached = best_reached(worth_expanding(whole, most), whole, memberships(nodes), active, most)
+    else:
+        reached = expand(whole, memberships(nodes), depth, active=active)
+    graph = checkpointed(reached)
     reached = graph.select("query_id", "id", "score", F.array(F.lit("graph")).alias("sources"))
     both = recalled.unionByName(reached).groupBy("query_id", "id").agg(F.round(F.max("score"), 7).alias("score"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("sources")))).alias("sources"))
     few = top_k(both, most, positive=False).withColumnRenamed("score", "recall_score").drop("rank")
