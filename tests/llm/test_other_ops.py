@@ -24,6 +24,24 @@ def test_components(spark):
     assert components.components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
+@pytest.mark.parametrize("shape", ["chain", "star", "high star", "clique", "mixed"])
+def test_components_of_hard_shapes(spark, shape):
+    draw = np.random.default_rng(5)
+    names = draw.permutation(300).tolist()
+    links = {
+        "chain": [(k, k + 1) for k in range(299)],
+        "star": [(0, k) for k in range(1, 300)],
+        "high star": [(k, 299) for k in range(299)],
+        "clique": [(a, b) for a in range(40) for b in range(a)],
+        "mixed": [(names[k], names[k + 1]) for k in range(299) if k % 50] + [(7, 7), (None, 3), (3, None), (names[1], names[2]), (names[2], names[1])],
+    }[shape]
+    real = [(u, v) for u, v in links if u is not None and v is not None and u != v]
+    want = brute.components(range(300), real)
+    rows = components.components(spark.createDataFrame(links, "u long, v long")).collect()
+    assert len(rows) == len({x.node for x in rows})
+    assert {x.node: x.component for x in rows} == {n: want[n] for n in {n for link in real for n in link}}
+
+
 def vectors():
     r = np.random.default_rng(4)
     rows = []
