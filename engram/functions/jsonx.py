@@ -23,27 +23,29 @@ def is_object(c: Column) -> Column:
     return F.coalesce(F.schema_of_variant(F.try_parse_json(c)).startswith("OBJECT"), F.lit(False))
 
 
+def object_in(text: str | None, required: set[str]) -> dict | None:
+    """The first JSON object in free text that has the required keys."""
+    decode = json.JSONDecoder().raw_decode
+    at = -1 if text is None else text.find("{")
+    while at >= 0:
+        try:
+            value, _ = decode(text, at)
+        except ValueError:
+            value = None
+        if isinstance(value, dict) and required <= value.keys():
+            return value
+        at = text.find("{", at + 1)
+    return None
+
+
 def first_object(required: tuple[str, ...]):
     """A function for a text column: the first JSON object in it that has the required keys, as JSON, else null."""
     need = set(required)
 
     @F.pandas_udf("string")
     def find(texts):
-        decode = json.JSONDecoder().raw_decode
-
-        def one(text):
-            at = -1 if text is None else text.find("{")
-            while at >= 0:
-                try:
-                    value, _ = decode(text, at)
-                except ValueError:
-                    value = None
-                if isinstance(value, dict) and need <= value.keys():
-                    return json.dumps(value, ensure_ascii=False)
-                at = text.find("{", at + 1)
-            return None
-
-        return texts.map(one)
+        found = (object_in(text, need) for text in texts)
+        return texts.__class__([None if v is None else json.dumps(v, ensure_ascii=False) for v in found], dtype=object)
 
     return find
 

@@ -8,55 +8,89 @@ halved until the items that fail stand alone, each with its error.
 from __future__ import annotations
 
 import hashlib
-import json
+from collections import deque
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from engram.functions.jsonx import object_in
 from engram.functions.text import document_text, normal_question, strip
+from engram.session import checkpointed
 
 
-def call_in_halves(call: Callable[[list], list], items: list) -> list[tuple[object, str | None, int]]:
-    """(result, error, requests made) of each item; the requests of a batch are booked on its first item."""
-    try:
-        out = call(items)
-        if len(out) != len(items):
-            raise ValueError(f"{len(out)} results for {len(items)} items")
-        return [(r, None, int(k == 0)) for k, r in enumerate(out)]
-    except Exception as error:
-        if len(items) == 1:
-            return [(None, f"{type(error).__name__}: {error}", 1)]
-        half = len(items) // 2
-        both = call_in_halves(call, items[:half]) + call_in_halves(call, items[half:])
-        return [(both[0][0], both[0][1], both[0][2] + 1), *both[1:]]
+def resolved(call: Callable[[list], list], items: list, alone: int = 1, shared: int = 1) -> list[tuple[object, str | None, int]]:
+    """(result, error, requests made) of each item; the requests of a batch are booked on its first item.
 
-
-def with_results(rows: DataFrame, column: str, factory: Callable[[], Callable[[list], list]], result_type: str, batch: int = 4) -> DataFrame:
-    """``rows`` with result, error and requests of an outside function over ``column``."""
+    A batch is asked for up to ``shared`` times, each time for those of its items that have no result yet, a batch of one item
+    up to ``alone`` times.  What is left is halved, and each half is asked for likewise, until single items fail by
+    themselves.  A call fails whole if it raises or returns another number of results; a result that is an exception is
+    that item's failure.
+    """
+    results: list[object] = [None] * len(items)
+    errors: list[str | None] = [None] * len(items)
+    parts, requests = deque([list(range(len(items)))]), 0
+    while parts:
+        left = whole = parts.popleft()
+        for _ in range(alone if len(items) == 1 else shared):
+            if not left:
+                break
+            requests += 1
+            try:
+                found = call([items[i] for i in left])
+                if len(found) != len(left):
+                    raise ValueError(f"{len(found)} results for {len(left)} items")
+            except Exception as error:
+                found = [error] * len(left)
+            for i, value in zip(left, found, strict=True):
+                failed = isinstance(value, Exception)
+                results[i], errors[i] = (None, f"{type(value).__name__}: {value}") if failed else (value, None)
+            left = [i for i in left if errors[i] is not None]
+        if len(left) > 1:
+            parts.extendleft([left[len(left) // 2 :], left[: len(left) // 2]])
+        elif left and len(whole) > 1:
+            parts.appendleft(left)
+    return [(r, e, requests * (k == 0)) for k, (r, e) in enumerate(zip(results, errors, strict=True))]
+
+
+def with_results(rows: DataFrame, column: str, factory: Callable[[], Callable[[list], list]], result_type: str, batch: int = 4, alone: int = 1, shared: int = 1, open_requests: int = 1, skip_null: bool = False) -> DataFrame:
+    """``rows`` with result, error and requests of an outside function over ``column``.
+
+    A task has up to ``open_requests`` batches under way at once, so the function must allow calls from as many threads; rows
+    keep their order.  With ``skip_null``, a null is not asked for: no result, no error, no request.  ``alone`` and
+    ``shared`` are as for ``resolved``.  A task that is lost asks again.
+    """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         call = factory()
-        for frame in frames:
-            found = []
-            for lo in range(0, len(frame), batch):
-                found += call_in_halves(call, frame[column].iloc[lo : lo + batch].tolist())
-            yield frame.assign(result=[x[0] for x in found], error=[x[1] for x in found], requests=[x[2] for x in found])
+        with ThreadPoolExecutor(max_workers=open_requests) as pool:
+            for frame in frames:
+                items = [list(x) if isinstance(x, np.ndarray) else x for x in frame[column]]
+                asked = [k for k, x in enumerate(items) if not (skip_null and x is None)]
+                found = [(None, None, 0)] * len(items)
+                dealt = [asked[lo : lo + batch] for lo in range(0, len(asked), batch)]
+                for places, said in zip(dealt, pool.map(lambda ks: resolved(call, [items[k] for k in ks], alone, shared), dealt), strict=True):
+                    for k, one in zip(places, said, strict=True):
+                        found[k] = one
+                add = {name: pd.Series([x[at] for x in found], index=frame.index, dtype=kind) for at, (name, kind) in enumerate((("result", object), ("error", object), ("requests", int)))}
+                yield frame.assign(**add)
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
     return rows.mapInPandas(run, f"{fields}, result {result_type}, error string, requests int")
 
 
 def with_retry(call: Callable[[object], str], required: tuple[str, ...], attempts: int = 3) -> Callable[[object], dict]:
-    """Ask until the answer is a JSON object with the keys; the last error is raised."""
+    """Ask until the answer has a JSON object with the keys in it; the last error is raised."""
 
     def ask(item):
         last: Exception = ValueError("no attempt")
         for _ in range(attempts):
             try:
-                value = json.loads(call(item))
-                if not isinstance(value, dict) or not set(required) <= value.keys():
+                value = object_in(call(item), set(required))
+                if value is None:
                     raise ValueError("keys")
                 return value
             except ValueError as error:
@@ -102,6 +136,21 @@ def cached_results(requests: DataFrame, cache: DataFrame) -> tuple[DataFrame, Da
     return requests.join(cache, "key"), requests.join(cache, "key", "left_anti")
 
 
+def through_cache(requests: DataFrame, cache: DataFrame, ask) -> tuple[DataFrame, DataFrame]:
+    """(``requests`` with result and error, the cache with what is new) by key; ``cache`` has key and result.
+
+    ``ask(rows)`` gives key, result, error; it gets one row for each key that the cache lacks.  A failure is no entry.  A null
+    key is asked for by itself, and never kept.
+    """
+    known, missing = cached_results(requests.where("key is not null"), cache)
+    fresh = checkpointed(ask(missing.dropDuplicates(["key"])).select("key", "result", "error"))
+    keyless = requests.where("key is null").withColumn("key", F.uuid())
+    keyless = checkpointed(keyless)
+    alone = keyless.join(ask(keyless).select("key", "result", "error"), "key", "left").withColumn("key", F.lit(None).cast(requests.schema["key"].dataType))
+    out = known.withColumn("error", F.lit(None).cast("string")).unionByName(missing.join(fresh, "key", "left")).unionByName(alone)
+    return out, cache.select("key", "result").unionByName(fresh.where("error is null").select("key", "result"))
+
+
 def identity_plan(queries: DataFrame) -> DataFrame:
     """The query plan without a parser: the query itself, no keywords, no tags."""
     return parsed_plan(queries.withColumn("response", F.lit(None).cast("string")))
