@@ -183,6 +183,36 @@ def compute_score(solutions: DataFrame, context: DataFrame, p: AttackParams = At
     return attack_metrics(attack_rewards(both, p), p).drop("solution", "identifiers", "prior")
 
 
+def compute_builder_score(solutions: DataFrame, context: DataFrame, judge, p: BuilderParams = BuilderParams(), most: int = 128) -> DataFrame:
+    """A trainer's reward hook for edits: metrics of each of ``solutions`` (id, solution).
+
+    ``context``: id, neighbourhood (the memories' ids by place).  The first JSON object with an action's keys in a solution
+    counts.  ``judge(rows)`` gets the valid ones (id, operation, target_ids, content, null where the operation has none) and gives
+    id, judge_error, before, after, groundedness, action_quality, memory_quality, retention, growth, shrink; an action that it
+    leaves out has no reward.  Content has at most ``most`` tokens.  A solution without a context has an empty neighbourhood.
+    """
+    from engram.functions import jsonx
+    from engram.operators import checks
+
+    near = F.coalesce("neighbourhood", F.array().cast("array<string>"))
+    both = solutions.join(context.select("id", "neighbourhood"), "id", "left").withColumn("_action", jsonx.first_object(("operation", "targets", "content"))(F.col("solution")))
+    v, error = F.try_parse_json("_action"), F.col("_error")
+    both = both.withColumn("_error", jsonx.action_error(F.col("_action"), F.size(near)))
+    named = checks.kind(checks.field(v, "operation")) == "STRING"
+    schema = error.isNull() | ~(error.isin("keys", "targets", "content") | ((error == "operation") & ~named))
+    op = F.when(error.isNull(), F.try_variant_get(v, "$.operation", "string"))
+    places = F.when(error.isNull(), F.try_variant_get(v, "$.targets", "array<int>"))
+    content = F.when(op.isin("add", "merge"), F.try_variant_get(v, "$.content", "string"))
+    read = both.select("id", near.alias("_near"), schema.alias("schema_valid"), error.isNull().alias("constraint_valid"), op.alias("operation"), places.alias("_places"), content.alias("content"))
+    targets = F.transform("_places", lambda i: F.get(F.col("_near"), i))
+    read = read.withColumn("target_ids", targets)
+    valid = edit_valid(F.col("operation"), F.col("target_ids"), F.col("_near"), F.when(F.col("content").isNotNull(), text.token_count(F.col("content"))), most)
+    rows = read.withColumn("semantic_valid", F.coalesce(valid, F.lit(False))).drop("_near", "_places")
+    marks = judge(rows.where("semantic_valid").select("id", "operation", "target_ids", "content"))
+    scored = rows.join(marks, "id", "left").withColumn("judge_error", F.coalesce("judge_error", F.lit(True)))
+    return builder_metrics(builder_rewards(scored, p), p).drop("operation", "target_ids", "content")
+
+
 def reward_summary(metrics: DataFrame) -> DataFrame:
     """One row of counts over ``attack_metrics``; batch_fallbacks counts the different batches whose oracle call failed whole
     (a column batch_error, if there is one)."""

@@ -7,7 +7,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from engram.operators import judges
+from engram.operators import judges, rewards
 from engram.sources import providers
 
 
@@ -152,3 +152,29 @@ def test_what_is_new_goes_into_the_cache(spark):
     assert len(asked[0]) == 2 and asked[1] == [5, 6]
     again, _ = providers.through_cache(rows.where("id <= 3"), after, ask)
     assert again.where("result is null").count() == 0 and asked[2:] == [[], []]
+
+
+def test_the_hook_of_edits_scores_each_stage(spark):
+    act = lambda op, targets, content: json.dumps({"operation": op, "targets": targets, "content": content})
+    solutions = {
+        1: "Sure: " + act("add", [], "a new fact"), 2: act("merge", [0, 1], "both"), 3: act("delete", [1], ""), 4: act("noop", [], ""),
+        5: "no action", 6: act(3, [], ""), 7: act("add", ["0"], "x"), 8: act("move", [], ""), 9: act("merge", [2], "x"), 10: act("delete", [0, 0], ""),
+        11: act("add", [], "word " * 129), 12: act("add", [], "judge is down"), 13: act("add", [], "left out"), 14: act("delete", [0], ""), 15: None,
+    }
+    rows = spark.createDataFrame(list(solutions.items()), "id int, solution string")
+    context = spark.createDataFrame([(k, ["m0", "m1"]) for k in solutions if k != 14], "id int, neighbourhood array<string>")
+    seen = {}
+
+    def judge(valid):
+        seen.update({r.id: (r.operation, r.target_ids, r.content) for r in valid.collect()})
+        marks = valid.where("id <> 13").select("id", (F.col("id") == 12).alias("judge_error"))
+        one = {"before": 0.2, "after": 0.9, "groundedness": 0.9, "action_quality": 0.8, "memory_quality": 0.8, "growth": 0.1, "shrink": 0.0}
+        return marks.select("*", *(F.lit(x).alias(n) for n, x in one.items()), F.array(F.lit(1.0)).alias("retention"))
+
+    got = {r.id: r for r in rewards.compute_builder_score(rows, context, judge).collect()}
+    assert seen == {1: ("add", [], "a new fact"), 2: ("merge", ["m0", "m1"], "both"), 3: ("delete", ["m1"], None), 4: ("noop", [], None), 12: ("add", [], "judge is down"), 13: ("add", [], "left out")}
+    stages = {1: "scored", 2: "scored", 3: "scored", 4: "scored", 5: "schema_invalid", 6: "schema_invalid", 7: "schema_invalid", 8: "constraint_invalid", 9: "constraint_invalid", 10: "constraint_invalid", 11: "action_invalid", 12: "judge_unavailable", 13: "judge_unavailable", 14: "constraint_invalid", 15: "schema_invalid"}
+    assert {k: r.stage for k, r in got.items()} == stages
+    assert (got[5].score, got[8].score, got[11].score, got[12].score, got[12].reward_available) == (-1.0, -0.8, -0.7, 0.0, 0.0)
+    p = rewards.BuilderParams()
+    assert got[1].score == round(p.gain * 0.7 + p.quality_weight * 0.8 - p.growth * 0.1, 6) and got[1].commit_valid == 1.0
