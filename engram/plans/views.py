@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from engram.session import spread
+
 
 class Views:
     def __init__(self, spark: SparkSession, folder: str):
@@ -36,7 +38,7 @@ class Views:
 
     def memories(self) -> DataFrame:
         """Memory nodes are documents; each rests on its source, tags are language and source, every tenth is archived."""
-        return self.table("documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"), F.array("lang", "source").alias("tags"), F.array("source").alias("provenance"), F.when(F.col("doc_id") % 10 == 9, "archived").otherwise("active").alias("status"), "n_chars")
+        return spread(self.table("documents")).select(F.col("doc_id").alias("id"), F.col("text").alias("content"), F.array("lang", "source").alias("tags"), F.array("source").alias("provenance"), F.when(F.col("doc_id") % 10 == 9, "archived").otherwise("active").alias("status"), "n_chars")
 
     def queries(self) -> DataFrame:
         return self.table("benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))

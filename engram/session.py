@@ -35,3 +35,10 @@ def checkpointed(df: DataFrame) -> DataFrame:
             raise ValueError("spark.checkpoint.dir is not set: name a folder that the driver and all executors share")
         context.setCheckpointDir(named or "file://" + tempfile.mkdtemp(prefix="engram-"))
     return df.checkpoint()
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """``scan``, a plain read of files, dealt to all cores if it comes in fewer partitions: one row group can't be split,
+    and work on its texts would stay in one task.  Larger inputs have partitions enough and are not moved."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
