@@ -141,6 +141,11 @@ def evidence_rows(candidates: DataFrame) -> DataFrame:
     return candidates.select(question_id(F.col("route"), F.col("question")).alias("question_id"), F.posexplode("source_ids").alias("place", "source_id"))
 
 
+def protected_rows(capability: DataFrame) -> DataFrame:
+    """question_id, question, canonical_answer: what an edit writer sees of ledger rows (of ``capability_rows``)."""
+    return capability.select("question_id", "question", F.col("oracle_answer").alias("canonical_answer"))
+
+
 def replayed(high_priority: DataFrame, success: DataFrame, archive: DataFrame, most: int = 4) -> DataFrame:
     """case_id, question_id, place: waiting questions, then the oldest answered ones, that the archive has."""
     known = lambda df: df.join(archive.select("case_id", "question_id"), ["case_id", "question_id"], "left_semi")

@@ -138,6 +138,26 @@ def oracle_payloads(spark: SparkSession, sf: str) -> DataFrame:
     return _known(Views(spark, sf)).select("o_custkey", F.sha2(payload, 256).alias("payload_sha256"))
 
 
+def oracle_contexts(spark: SparkSession, sf: str) -> DataFrame:
+    """A row for each source that an oracle is shown."""
+    k = F.col("o_custkey")
+    sources = F.transform("o", lambda x: F.struct(x["role"].alias("role"), x["day"].alias("chat_time"), x["said"].alias("content")))
+    context = templates.oracle_context(_of(k, *datasets.MODES), F.when(k % 2 == 0, "time"), sources)
+    shown = _known(Views(spark, sf)).select("o_custkey", context.alias("c")).select("o_custkey", "c.attack_mode", "c.mode_dimension", F.posexplode("c.source_records").alias("place", "s"))
+    return shown.select("o_custkey", "attack_mode", "mode_dimension", F.col("place").cast("long").alias("place"), "s.role", "s.chat_time", "s.content")
+
+
+def protected_ledger(spark: SparkSession, sf: str) -> DataFrame:
+    """Candidates to ledger rows, to what is shown of them, with the number of sources in their evidence rows."""
+    k = F.col("o_custkey")
+    asked = _known(Views(spark, sf)).select(k.cast("string").alias("route"), _of(k, *datasets.MODES).alias("mode"), F.posexplode(F.slice("o", 1, 3)).alias("i", "x"), F.size("o").alias("version"))
+    sources = F.transform(F.sequence(F.lit(0), F.col("i")), lambda n: F.concat_ws(":", F.col("x.o_orderkey"), n))
+    candidates = asked.select("route", "mode", F.col("x.said").alias("question"), F.col("x.role").alias("answer"), sources.alias("source_ids"), "version")
+    capability = rounds.capability_rows(candidates)
+    evidence = rounds.evidence_rows(candidates).groupBy("question_id").agg(F.count("*").alias("n_sources"), F.max("source_id").alias("last_source"))
+    return rounds.protected_rows(capability).join(evidence, "question_id").join(capability.select("question_id", "passed", "attack_mode", F.col("verified_version").cast("long").alias("version")), "question_id")
+
+
 def builder_prompts(spark: SparkSession, sf: str) -> DataFrame:
     k = F.col("o_custkey")
     evidence = F.transform(F.slice("o", 1, 2), lambda x: F.struct(x["said"].alias("quote"), x["day"].alias("chat_time"), x["role"].alias("role")))
@@ -319,6 +339,10 @@ SELECT o_custkey, sha256(t) AS user_sha256, 'Ask. ' || mode AS system, CAST(len(
 x AS (SELECT *, '{{"id":' || i - 1 || ',"role":' || role || ',"time":' || day || ',"content":' || said || '}}' AS src, '{{"id":' || i - 1 || ',"question":' || said || '}}' AS item FROM j),
 g AS (SELECT o_custkey, {_list("src", sep=",")} AS src, {_list("item", "i <= 3", ",")} AS items FROM x GROUP BY o_custkey)
 SELECT o_custkey, sha256('{{"mode":"' || {_MODE} || '","sources":' || src || ',"items":' || items || CASE WHEN o_custkey % 2 = 0 THEN ',"dimension":"time"' ELSE '' END || '}}') AS payload_sha256 FROM g""",
+    "oracle_contexts": f"""WITH {_KNOWN} SELECT o_custkey, {_MODE} AS attack_mode, CASE WHEN o_custkey % 2 = 0 THEN 'time' END AS mode_dimension, i - 1 AS place, role, day AS chat_time, said AS content FROM r""",
+    "protected_ledger": f"""WITH {_KNOWN}, c AS (SELECT o_custkey, count(*) AS n FROM o GROUP BY o_custkey)
+SELECT substring(sha256(o_custkey || chr(10) || said), 1, 20) AS question_id, said AS question, role AS canonical_answer, i AS n_sources, o_orderkey || ':' || i - 1 AS last_source, false AS passed, {_MODE} AS attack_mode, n AS version
+FROM r JOIN c USING (o_custkey) WHERE i <= 3""",
     "builder_prompts": f"""WITH {_KNOWN},
 x AS (SELECT *, '{{"text": ' || said || ', "time": ' || day || ', "role": ' || role || '}}' AS ev, '{{"id": "q1", "question": ' || said || ', "canonical_answer": ' || role || '}}' AS kept,
   '{{"index": ' || i - 3 || ', "content": ' || said || ', "linked_questions": ' || CASE WHEN role = '"O"' THEN '["O", "q2"]' ELSE '[]' END || ', "tags": [' || role || '], "time_span": ' || CASE WHEN day = 'null' THEN 'null' ELSE '[' || day || ', null]' END || '}}' AS node FROM j),
@@ -354,6 +378,6 @@ JOIN (SELECT case_id, route, string_agg(source_id, ',' ORDER BY pos, ordinal) AS
 
 
 QUERIES = [
-    oracle_items, edit_judgements, label_judgements, ledger_lookups, case_records, collector_filter, latest_times, attacker_prompts, oracle_payloads, builder_prompts, prompt_lengths,
+    oracle_items, edit_judgements, label_judgements, ledger_lookups, case_records, collector_filter, latest_times, attacker_prompts, oracle_payloads, oracle_contexts, protected_ledger, builder_prompts, prompt_lengths,
     question_parse, first_objects, strict_actions, query_plans, fan_out, request_accounting, mode_histogram, source_explode, bundle_sources,
 ]
