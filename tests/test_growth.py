@@ -62,3 +62,17 @@ def test_bm25_counts_repeated_rows_as_one_text(spark):
     got = {(r.query_id, r.id): r.score for r in retrieval.bm25(q, d).collect()}
     assert got.keys() == want.keys() and all(abs(got[x] - want[x]) < 1e-6 for x in want)
     assert retrieval.bm25(q.limit(0), d).count() == retrieval.bm25(q, d.limit(0)).count() == 0
+
+
+def test_metadata_is_met_in_one_reading(spark, memories, asked):
+    (rows, nodes), (questions, queries) = memories, asked
+    plans = queries.withColumn("keywords", F.split("query", " "))
+    found = retrieval.metadata_matches(plans, nodes)
+    want = {(q, k) for q, text, tags in questions for k, c, t, _, _ in rows if tags[0].lower() == t[0] or (c and any(w in c for w in text.split()))}
+    got = [(r.query_id, r.id) for r in found.collect()]
+    assert len(got) == len(want) and set(got) == want and exchanges(found) == 0
+    twice = retrieval.metadata_matches(plans, nodes.unionByName(nodes))
+    assert sorted((r.query_id, r.id) for r in twice.collect()) == sorted(want)
+    first = {(q, k) for q in range(8) for k in sorted(k for p, k in want if p == q)[:5]}
+    for df in (nodes, nodes.unionByName(nodes)):
+        assert {(r.query_id, r.id) for r in retrieval.metadata_matches(plans, df, 5).collect()} == first
