@@ -76,3 +76,18 @@ def test_metadata_is_met_in_one_reading(spark, memories, asked):
     first = {(q, k) for q in range(8) for k in sorted(k for p, k in want if p == q)[:5]}
     for df in (nodes, nodes.unionByName(nodes)):
         assert {(r.query_id, r.id) for r in retrieval.metadata_matches(plans, df, 5).collect()} == first
+
+
+def test_hybrid_recalls_no_more_than_can_be_kept(spark, memories, asked, monkeypatch):
+    """With more metadata matches than candidates the same rows come out as with all of them, and few are recalled."""
+    (_, nodes), (_, queries) = memories, asked
+    plans = queries.withColumns({"rewritten_query": F.col("query"), "keywords": F.split("query", " ")})
+    plans = plans.withColumn("keywords", F.when(F.col("query_id") == 5, F.array(F.lit("nothing"))).otherwise(F.col("keywords")))
+    vector = lambda c: F.array(*((c * n % 7 - 3).cast("double") for n in (1, 2, 3)))
+    of_q, of_n = queries.select("query_id", F.lit(0).alias("part"), vector(F.col("query_id")).alias("vector")), nodes.select("id", vector(F.col("id")).alias("vector"))
+    run = lambda: sorted(map(str, retrieval.hybrid_retrieve(plans, of_q, nodes, of_n, None, 15, 6, 15).collect()))
+    fuse, met, recalled = retrieval.fuse, retrieval.metadata_matches, []
+    monkeypatch.setattr(retrieval, "fuse", lambda channels: recalled.append(max(r["count"] for r in channels["metadata"].groupBy("query_id").count().collect())) or fuse(channels))
+    got = run()
+    monkeypatch.setattr(retrieval, "metadata_matches", lambda q, n, most=None: met(q, n))
+    assert got == run() and recalled[0] <= 15 < recalled[1]
