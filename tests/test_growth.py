@@ -91,3 +91,22 @@ def test_hybrid_recalls_no_more_than_can_be_kept(spark, memories, asked, monkeyp
     got = run()
     monkeypatch.setattr(retrieval, "metadata_matches", lambda q, n, most=None: met(q, n))
     assert got == run() and recalled[0] <= 15 < recalled[1]
+
+
+def test_expansion_moves_members_once(spark, memories):
+    """Nodes of one group are final as they are made: no shuffle by query and node but for those of several groups."""
+    rows, nodes = memories
+    seeds = spark.createDataFrame([(q, k, 1.0 / (1 + k % 3)) for q in range(6) for k in range(q, 40, 7)], "query_id long, id long, score double")
+    several = nodes.withColumn("provenance", F.when(F.col("id") % 3 == 0, F.array(F.lit("SRC1"), F.lit("SRC2"))).otherwise(F.col("provenance")))
+    seen, groups = {}, {r.id: set(r.provenance) for r in several.collect()}
+    for r in sorted(seeds.collect(), key=lambda r: (r.query_id, -r.score, r.id)):
+        seen.setdefault(r.query_id, []).append((r.id, r.score))
+    want = {}
+    for q, some in seen.items():
+        for seed, score in some:
+            for k, of in groups.items():
+                if of & groups[seed] and k not in dict(some):
+                    want.setdefault((q, k), (seed, round(score * 0.8, 6)))
+    out = retrieval.expand(seeds, retrieval.memberships(several))
+    assert exchanges(out) <= 1
+    assert {(r.query_id, r.id): (r.seed, r.score) for r in out.collect()} == want
