@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from engram.operators import compaction, convergence, datasets, graph, memory, retrieval, rewards, rounds, store
+from engram.session import checkpointed, small_side
 from engram.sources import graphs
 
 from .views import Views
@@ -89,8 +90,9 @@ def defence_evaluation(spark: SparkSession, sf: str) -> DataFrame:
 
     v = Views(spark, sf)
     asked = v.queries().select(F.col("query_id").alias("question_id"), F.col("query").alias("question"))
-    found = hybrid_retrieve(spark, sf).select(F.col("query_id").alias("question_id"), "id", "rank")
-    sizes = v.memories().select("id", F.length("content").cast("long").alias("n"))
+    found = checkpointed(hybrid_retrieve(spark, sf).select(F.col("query_id").alias("question_id"), "id", "rank"))
+    texts = v.memories().select("id", "content").join(small_side(found.select("id").distinct()), "id", "left_semi")
+    sizes = checkpointed(texts.select("id", F.length("content").cast("long").alias("n")))  # a trial reads no texts again
 
     def judge(rows: DataFrame) -> DataFrame:
         each = rows.select("question_id", F.explode("node_ids").alias("id")).join(sizes, "id").groupBy("question_id").agg(F.sum("n").alias("n"))

@@ -110,3 +110,21 @@ def test_expansion_moves_members_once(spark, memories):
     out = retrieval.expand(seeds, retrieval.memberships(several))
     assert exchanges(out) <= 1
     assert {(r.query_id, r.id): (r.seed, r.score) for r in out.collect()} == want
+
+
+def test_trials_of_a_defence_read_no_texts(spark, monkeypatch):
+    from engram.operators import rounds
+    from engram.plans.queries import queries
+
+    plans, whole = [], rounds.evaluated
+
+    def spied(asked, retrieve, judge, least):
+        def seen(rows):
+            plans.append((marks := judge(rows))._jdf.queryExecution().executedPlan().toString())
+            return marks
+
+        return whole(asked, retrieve, seen, least)
+
+    monkeypatch.setattr(rounds, "evaluated", spied)
+    assert queries()["defence_evaluation"](spark, "/root/testdata/sf0.001").count() > 0
+    assert len(plans) > 1 and not any("FileScan" in p for p in plans)
