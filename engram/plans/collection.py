@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from engram.functions import jsonx, templates, text
 from engram.operators import checks, datasets, graph, rewards, rounds
+from engram.session import checkpointed
 from engram.sources import providers
 
 from .views import Views
@@ -237,15 +238,18 @@ def mode_histogram(spark: SparkSession, sf: str) -> DataFrame:
     return datasets.mode_histogram(Views(spark, sf).table("orders").select(F.struct(route.alias("route")).alias("extra_info")))
 
 
-def _sources(v: Views) -> DataFrame:
-    """Facts with sources as JSON, one of them encoded twice; orders of a customer share the source of their priority."""
+def _sources(v: Views, of: DataFrame | None = None) -> DataFrame:
+    """Facts with sources as JSON, one of them encoded twice; orders of a customer share the source of their priority.  With
+    ``of`` (case_id, id) those facts only."""
     k = F.col("o_orderkey")
     plain = F.to_json(F.struct(F.lit("user").alias("role"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("chat_time"), F.col("o_orderstatus").alias("content")), {"ignoreNullFields": "false"})
     shared = F.to_json(F.struct(F.lit(None).cast("string").alias("role"), F.lit(None).cast("string").alias("chat_time"), F.col("o_orderpriority").alias("content")), {"ignoreNullFields": "false"})
     twice = F.get_json_object(F.to_json(F.struct(F.to_json(F.array(shared)).alias("x"))), "$.x")
     o = v.table("orders").join(v.table("customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").cast("long").alias("case_id")), "o_custkey")
-    raw = o.select("case_id", F.concat(F.lit("o:"), k).alias("id"), F.array(plain, templates.quoted(shared), F.when(k % 3 == 0, plain)).alias("sources"))
-    return graph.exploded_sources(raw.withColumn("sources", F.array_compact("sources"))).join(raw.select(F.col("id").alias("node_id"), "case_id"), "node_id")
+    o = o.withColumn("id", F.concat(F.lit("o:"), k))
+    o = o if of is None else o.join(of, ["case_id", "id"], "left_semi")
+    raw = o.select("case_id", "id", F.array(plain, templates.quoted(shared), F.when(k % 3 == 0, plain)).alias("sources"))
+    return graph.exploded_sources(raw.withColumn("sources", F.array_compact("sources")))
 
 
 def source_explode(spark: SparkSession, sf: str) -> DataFrame:
@@ -257,7 +261,9 @@ def bundle_sources(spark: SparkSession, sf: str) -> DataFrame:
     """Routes over a topic's first three facts, with their sources, each once."""
     v = Views(spark, sf)
     routes = graph.same_topic(v.edges(), v.nodes()).select("case_id", F.col("topic").alias("route"), graph.topic_walk(F.col("topic"), F.slice("facts", 1, 3)).alias("walk"))
-    b = graph.route_bundles(routes, v.nodes(), _sources(v))
+    routes = checkpointed(routes)  # only what they walk over is decoded
+    walked = routes.select("case_id", F.explode("walk").alias("id")).distinct()
+    b = graph.route_bundles(routes, v.nodes(), _sources(v, walked))
     ids = F.array_join(F.transform("evidence", lambda n: F.array_join(n["source_ids"], ",")), ";")
     return b.select("case_id", "route", ids.alias("source_ids"), F.array_join(F.transform("source_records", lambda s: s["source_id"]), ",").alias("records"))
 

@@ -128,3 +128,15 @@ def test_trials_of_a_defence_read_no_texts(spark, monkeypatch):
     monkeypatch.setattr(rounds, "evaluated", spied)
     assert queries()["defence_evaluation"](spark, "/root/testdata/sf0.001").count() > 0
     assert len(plans) > 1 and not any("FileScan" in p for p in plans)
+
+
+def test_bundles_decode_only_what_is_walked(spark, monkeypatch):
+    from engram.operators import graph
+    from engram.plans.queries import queries
+
+    seen, whole = [], graph.route_bundles
+    monkeypatch.setattr(graph, "route_bundles", lambda routes, nodes, sources: seen.append((routes, sources)) or whole(routes, nodes, sources))
+    assert queries()["bundle_sources"](spark, "/root/testdata/sf0.001").count() > 0
+    (routes, sources), = seen
+    walked = {(r.case_id, i) for r in routes.collect() for i in r.walk if i.startswith("o:")}
+    assert {(r.case_id, r.node_id) for r in sources.collect()} == walked
