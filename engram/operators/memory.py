@@ -6,6 +6,8 @@ Edits of a case are sequential, cases are independent.  What a prefix sum can sa
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -152,14 +154,27 @@ def support(hits: DataFrame, ask, least: float = 0.8) -> DataFrame:
     There are as many rounds as the longest list of hits.
     """
     order = F.transform(F.array_sort(F.collect_list(F.struct("rank", "node_id"))), lambda h: h["node_id"])
-    state = checkpointed(hits.groupBy("question_id").agg(order.alias("nodes")).withColumn("kept", F.col("nodes")))
-    longest = state.agg(F.max(F.size("nodes"))).first()[0] or 0
-    for k in range(longest):
-        node = F.get("nodes", F.size("nodes") - 1 - k)
-        tried = state.where(F.size("nodes") > k).withColumn("rest", F.filter("kept", lambda n: n != node)).where(F.size("rest") > 0)
-        marks = ask(tried.select("question_id", F.col("rest").alias("node_ids"))).select("question_id", "correctness")
-        gone = F.coalesce(F.col("correctness") >= least, F.lit(False))
-        after = state.join(marks, "question_id", "left")
-        state = checkpointed(after.select("question_id", "nodes", F.when(gone, F.filter("kept", lambda n: n != node)).otherwise(F.col("kept")).alias("kept")))
-    needed = state.select("question_id", F.explode("kept").alias("node_id"))
-    return hits.select("question_id", "rank", "node_id").join(needed, ["question_id", "node_id"], "left_semi").select("question_id", "rank", "node_id")
+    found = needed(hits.groupBy("question_id").agg(order.alias("node_ids")), ask, least)
+    return hits.select("question_id", "rank", "node_id").join(found.select("question_id", F.explode("support").alias("node_id")), ["question_id", "node_id"], "left_semi").select("question_id", "rank", "node_id")
+
+
+def needed(rows: DataFrame, ask, least: float = 0.8) -> DataFrame:
+    """``rows`` (question_id, node_ids in rank order and more) with support in place of node_ids, as in the function above.
+
+    A row is written as long as it has a node to try, with the nodes it still has and how many of them are untried; ``ask``
+    gets its other columns too.
+    """
+    size = lambda c: F.coalesce(F.size(c), F.lit(0))
+    state = rows.withColumn("support", F.array_distinct("node_ids")).drop("node_ids").withColumn("untried", size("support"))
+    trying, done = (F.col("untried") > 0) & (size("support") > 1), []
+    while True:
+        state = checkpointed(state)
+        done.append(state.where(~trying).drop("untried"))
+        going = state.where(trying)
+        if going.isEmpty():
+            return reduce(DataFrame.unionByName, done)
+        node = F.element_at("support", F.col("untried"))
+        rest = F.filter("support", lambda n: n != node)
+        marks = ask(going.withColumn("node_ids", rest).drop("support", "untried")).select("question_id", F.col("correctness").alias("_mark"))
+        gone = F.coalesce(F.col("_mark") >= least, F.lit(False))
+        state = going.join(marks, "question_id", "left").withColumn("support", F.when(gone, rest).otherwise(F.col("support"))).withColumn("untried", F.col("untried") - 1).drop("_mark")

@@ -58,11 +58,8 @@ def attributed(rows: DataFrame, ask, least: float = 0.8) -> DataFrame:
 
     ``ask(trials)`` judges question_id, question and node_ids as ``evaluated``'s judge does.
     """
-    hits = rows.select("question_id", F.posexplode("node_ids").alias("rank", "node_id"))
-    texts = rows.select("question_id", "question")
-    needed = memory.support(hits, lambda trials: ask(trials.join(texts, "question_id").select("question_id", "question", "node_ids")), least)
-    lists = needed.groupBy("question_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "node_id"))), lambda h: h["node_id"]).alias("support"))
-    return rows.join(lists, "question_id", "left")
+    found = memory.needed(rows.withColumn("_all", F.col("node_ids")), lambda trials: ask(trials.select("question_id", "question", "node_ids")), least)
+    return found.select(*(F.col("_all").alias(c) if c == "node_ids" else F.col(c) for c in rows.columns), "support")
 
 
 def evaluated(questions: DataFrame, retrieve, judge, least: float = 0.8) -> DataFrame:

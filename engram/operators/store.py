@@ -59,9 +59,10 @@ def made_nodes(edits: DataFrame, targets: DataFrame) -> DataFrame:
     questions the other way round, and the edit's own time span alone.
     """
     lists = ["provenance", "source_ids", "linked_questions", "tags"]
-    held = targets.groupBy("case_id", "version").agg(F.array_sort(F.collect_list(F.struct("pos", *(F.coalesce(c, _none()).alias(c) for c in lists)))).alias("_t"))
-    both = edits.join(held, ["case_id", "version"], "left").withColumn("_t", F.coalesce("_t", F.filter(F.array(F.struct(F.lit(0).alias("pos"), *(_none().alias(c) for c in lists))), lambda x: F.lit(False))))
-    of = lambda name: F.transform("_t", lambda t: t[name])
+    listed = lambda c: F.array_sort(F.collect_list(F.struct("pos", F.coalesce(c, _none()).alias("l")))).alias(f"_{c}")
+    held = targets.groupBy("case_id", "version").agg(*map(listed, lists))  # each by itself: lists that aren't asked for are not moved
+    both = edits.join(held, ["case_id", "version"], "left")
+    of = lambda name: F.coalesce(F.transform(f"_{name}", lambda t: t["l"]), F.array().cast("array<array<string>>"))
     own = lambda name: F.coalesce(name, _none())
     question = F.when(F.coalesce("question_id", F.lit("")) != "", F.array("question_id")).otherwise(_none())
     return both.select(
@@ -85,10 +86,14 @@ def apply_actions(nodes: DataFrame, actions: DataFrame) -> DataFrame:
     return archive_nodes(nodes, aimed.where("op in ('merge', 'delete')").select("case_id", "id", "version")).unionByName(made)
 
 
+def bare(actions: DataFrame) -> DataFrame:
+    """``actions`` (case_id, version, op, targets, content, tags) without a question, provenance or time span of their own."""
+    return actions.select("case_id", "version", "op", "targets", "content", F.lit(None).cast("string").alias("question_id"), _none().alias("provenance"), _none().alias("source_ids"), "tags", F.lit(None).cast("struct<start:string,end:string>").alias("time_span"))
+
+
 def compact(nodes: DataFrame, actions: DataFrame) -> DataFrame:
-    """``apply_actions`` without a question, provenance or time span of the actions' own."""
-    bare = actions.select("case_id", "version", "op", "targets", "content", F.lit(None).cast("string").alias("question_id"), _none().alias("provenance"), _none().alias("source_ids"), "tags", F.lit(None).cast("struct<start:string,end:string>").alias("time_span"))
-    return apply_actions(nodes, bare)
+    """``apply_actions`` of ``bare`` actions."""
+    return apply_actions(nodes, bare(actions))
 
 
 def bind_questions(nodes: DataFrame, binds: DataFrame) -> DataFrame:
@@ -100,11 +105,14 @@ def bind_questions(nodes: DataFrame, binds: DataFrame) -> DataFrame:
     last = binds.groupBy("case_id", "question_id").agg(F.max_by(F.struct("node_ids", "seq"), "seq").alias("b")).select("case_id", "question_id", "b.seq", "b.node_ids")
     support = last.select("case_id", "question_id", "seq", F.explode("node_ids").alias("id")).distinct()
     links = nodes.select("case_id", "id", F.posexplode("linked_questions").alias("pos", "question_id"))
-    loosed = links.join(last.select("case_id", "question_id").join(support, ["case_id", "question_id"], "left").select("case_id", "question_id", F.lit(True).alias("_bound")).distinct(), ["case_id", "question_id"], "left")
-    kept = loosed.join(support.select("case_id", "question_id", "id", F.lit(True).alias("_own")), ["case_id", "question_id", "id"], "left").where("_bound is null or _own")
+    # a support is at hand where its question's links are met, so links move once by question and once by node
+    known = last.select("case_id", "question_id", "node_ids", F.lit(True).alias("_bound"))
+    kept = links.join(known, ["case_id", "question_id"], "left").where("_bound is null or coalesce(array_contains(node_ids, id), false)")
     kept = kept.select("case_id", "id", "question_id", F.lit(0).alias("new"), F.col("pos").cast("long").alias("place"))
-    added = support.join(links.select("case_id", "question_id", "id"), ["case_id", "question_id", "id"], "left_anti").select("case_id", "id", "question_id", F.lit(1).alias("new"), F.col("seq").cast("long").alias("place"))
-    lists = kept.unionByName(added).groupBy("case_id", "id").agg(F.transform(F.array_sort(F.collect_list(F.struct("new", "place", "question_id"))), lambda x: x["question_id"]).alias("_links"))
+    both = kept.unionByName(support.select("case_id", "id", "question_id", F.lit(1).alias("new"), F.col("seq").cast("long").alias("place")))
+    lists = both.groupBy("case_id", "id").agg(F.array_sort(F.collect_list(F.struct("new", "place", "question_id"))).alias("_l"))
+    part = lambda new: F.transform(F.filter("_l", lambda x: x["new"] == new), lambda x: x["question_id"])
+    lists = lists.select("case_id", "id", F.concat(part(0), F.array_except(part(1), part(0))).alias("_links"))
     return nodes.join(lists, ["case_id", "id"], "left").withColumn("linked_questions", F.coalesce("_links", _none())).select(*COLUMNS)
 
 

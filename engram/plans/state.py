@@ -136,9 +136,13 @@ def compaction_trials(spark: SparkSession, sf: str) -> DataFrame:
     every = nodes.select("case_id").distinct().select("case_id", F.explode(F.sequence(F.lit(0), F.lit(9))).alias("seq")).withColumn("question_id", F.concat(F.lit("q"), "seq"))
 
     def retrieve(asked: DataFrame, held: DataFrame) -> DataFrame:
-        linked = held.where("status = 'active'").select("case_id", "id", F.explode("linked_questions").alias("question_id"))
-        rank = F.row_number().over(Window.partitionBy("case_id", "question_id").orderBy("id"))
-        return asked.select("case_id", "question_id").join(linked, ["case_id", "question_id"]).withColumn("rank", rank).where("rank <= 3")
+        linked = held.where("status = 'active'").select("case_id", "id", "trial", "without", F.explode("linked_questions").alias("question_id"))
+        # no trial shows a node that follows three which all trials have
+        before = Window.partitionBy("case_id", "question_id").orderBy("id").rowsBetween(Window.unboundedPreceding, -1)
+        few = linked.withColumn("n", F.count_if(F.col("trial").isNull() & (F.size("without") == 0)).over(before)).where("n < 3")
+        lists = few.groupBy("case_id", "question_id").agg(F.array_sort(F.collect_list(F.struct("id", "trial", "without"))).alias("few"))
+        ids = F.transform(F.filter("few", compaction.seen), lambda x: x["id"])
+        return asked.join(lists, ["case_id", "question_id"], "left").withColumn("node_ids", F.slice(ids, 1, 3)).drop("few")
 
     def judge(rows: DataFrame, held: DataFrame) -> DataFrame:
         ends = F.aggregate(F.transform("node_ids", lambda i: F.ascii(F.right(i, F.lit(1)))), F.lit(0), lambda a, x: a + x)

@@ -140,3 +140,33 @@ def test_bundles_decode_only_what_is_walked(spark, monkeypatch):
     (routes, sources), = seen
     walked = {(r.case_id, i) for r in routes.collect() for i in r.walk if i.startswith("o:")}
     assert {(r.case_id, r.node_id) for r in sources.collect()} == walked
+
+
+def test_trials_of_a_compaction_copy_no_nodes(spark, monkeypatch):
+    """What is retrieved from has every node once, and at most one more for each trial."""
+    from engram.operators import compaction
+    from engram.plans.queries import queries
+
+    sizes, whole = [], compaction.tried_compactions
+
+    def spied(nodes, actions, pool, archive, retrieve, *rest):
+        def seen(asked, held):
+            sizes.append((held.count(), nodes.count() + actions.where("valid and op = 'merge'").count()))
+            return retrieve(asked, held)
+
+        return whole(nodes, actions, pool, archive, seen, *rest)
+
+    monkeypatch.setattr(compaction, "tried_compactions", spied)
+    assert queries()["compaction_trials"](spark, "/root/testdata/sf0.001").count() > 0
+    assert sizes and all(n <= most for n, most in sizes)
+
+
+def test_elimination_writes_only_rows_that_have_nodes_to_try(spark, monkeypatch):
+    from engram.operators import memory
+
+    written, cut = [], memory.checkpointed
+    monkeypatch.setattr(memory, "checkpointed", lambda df: written.append((out := cut(df)).count()) or out)
+    hits = spark.createDataFrame([(q, r, f"n{r}") for q in range(20) for r in range(1 + 4 * (q == 0))], "question_id long, rank int, node_id string")
+    kept = memory.support(hits, lambda trials: trials.select("question_id", F.when(F.array_contains("node_ids", "n2"), 1.0).otherwise(0.0).alias("correctness")))
+    assert {(r.question_id, r.node_id) for r in kept.collect()} == {(0, "n2"), *((q, "n0") for q in range(1, 20))}
+    assert written[0] == 20 and set(written[1:]) == {1}
