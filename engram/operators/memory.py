@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from engram.operators import store
 from engram.operators.store import new_id
-from engram.session import checkpointed
+from engram.session import checkpointed, small_side
 
 LISTS = ["provenance", "source_ids", "linked_questions", "tags"]
 
@@ -27,31 +27,32 @@ def running_version(edits: DataFrame) -> DataFrame:
 def merged_lists(merges: DataFrame, own: DataFrame, cut=checkpointed) -> DataFrame:
     """case_id, id and LISTS of all that each of ``merges`` (case_id, id, targets) rests on, itself included, in order.
 
-    ``own``: case_id, id and LISTS of every node by itself.  A merge is a row for each node that it rests on, at a place; an
-    open row is a target that is a merge itself.  A round puts the rows of that merge in the open row's place, so that rows reach
-    twice as deep after it, and keeps a node at its first place, where all that it rests on follows or has gone before:
-    merges of merges n deep take about log2(n) rounds.  Two orders are kept (column ``way``): a merge before its targets, as
-    most lists have it, and after them, as questions do.
+    ``own``: case_id, id and LISTS of every node by itself.  A merge is a row with the ids that it rests on in two orders: before
+    its targets (``down``), as most lists have it, and after them (``up``), as questions do; ``open`` are those that are merges
+    still to be looked into.  A round puts the lists of these in their places, so that a row reaches twice as deep after it, and
+    keeps an id at its first place: merges of merges n deep take about log2(n) rounds.  A row with nothing open is final.
     """
-    key = ["case_id", "id", "way"]
-    ways = F.explode(F.array(F.lit(0), F.lit(1)))
-    itself = merges.select("case_id", "id", ways.alias("way"), F.size("targets").alias("n"), F.col("id").alias("node")).withColumn("place", F.when(F.col("way") == 0, -1).otherwise(F.col("n"))).drop("n")
-    aimed = merges.select("case_id", "id", F.posexplode("targets").alias("place", "node")).select("case_id", "id", ways.alias("way"), "node", "place")
-    is_merge = merges.select("case_id", F.col("id").alias("node"), F.lit(True).alias("open"))
-    rows = itself.withColumn("open", F.lit(False)).unionByName(aimed.join(is_merge, ["case_id", "node"], "left").withColumn("open", F.coalesce("open", F.lit(False))))
-    rows = rows.select(*key, "node", F.struct(F.col("place").alias("a"), F.lit(0).alias("b")).alias("turn"), "open")
+    key = ["case_id", "id"]
+    is_merge = merges.select("case_id", F.col("id").alias("of"))
+    inner = merges.select(*key, F.explode("targets").alias("of")).join(is_merge, ["case_id", "of"]).groupBy(*key).agg(F.collect_set("of").alias("open"))
+    lists = {"down": F.array_distinct(F.concat(F.array("id"), "targets")), "up": F.array_distinct(F.concat("targets", F.array("id")))}
+    rows = cut(merges.join(inner, key, "left").select(*key, *(c.alias(n) for n, c in lists.items()), F.coalesce("open", F.array().cast("array<string>")).alias("open")))
+    done = []
     while True:
-        firsts = rows.groupBy(*key, "node").agg(F.min_by("open", "turn").alias("open"), F.min("turn").alias("turn"))
-        rows = cut(firsts.withColumn("place", F.row_number().over(Window.partitionBy(*key).orderBy("turn"))).drop("turn"))
-        if rows.where("open").isEmpty():
+        done.append(rows.where(F.size("open") == 0))
+        going = rows.where(F.size("open") > 0)
+        if going.isEmpty():
             break
-        turn = lambda a, b: F.struct(a.alias("a"), b.alias("b")).alias("turn")
-        inner = rows.select("case_id", "way", F.col("id").alias("of"), F.col("node").alias("n"), F.col("open").alias("o"), F.col("place").alias("p"))
-        opened = rows.where("open").withColumnRenamed("node", "of").join(inner, ["case_id", "way", "of"]).select(*key, F.col("n").alias("node"), turn(F.col("place"), F.col("p")), F.col("o").alias("open"))
-        rows = rows.where("not open").select(*key, "node", turn(F.col("place"), F.lit(0)), "open").unionByName(opened)
-    met = rows.join(own.withColumnRenamed("id", "node"), ["case_id", "node"])
-    of = lambda c, way: F.flatten(F.transform(F.array_sort(F.collect_list(F.when(F.col("way") == way, F.struct("place", c)))), lambda x: x[c])).alias(c)
-    return met.groupBy("case_id", "id").agg(*(of(c, int(c == "linked_questions")) for c in LISTS))
+        known = reduce(DataFrame.unionByName, done).unionByName(going).withColumnRenamed("id", "of")
+        parts = known.join(small_side(going.select(*key, F.explode("open").alias("of"))), ["case_id", "of"]).groupBy(*key).agg(F.collect_list(F.struct("of", "down", "up", "open")).alias("parts"))
+        put = lambda c: F.array_distinct(F.flatten(F.transform(c, lambda n: F.coalesce(F.get(F.filter("parts", lambda x: x["of"] == n), 0)[c], F.array(n)))))
+        opened = F.array_distinct(F.flatten(F.transform("parts", lambda x: x["open"])))
+        rows = cut(going.drop("open").join(parts, key).select(*key, put("down").alias("down"), put("up").alias("up"), opened.alias("open")))
+    placed = lambda c: F.array_sort(F.transform(c, lambda n, i: F.struct(n.alias("node"), i.alias("place"))))
+    both = F.zip_with(placed("down"), placed("up"), lambda x, y: F.struct(x["node"].alias("node"), x["place"].alias("down"), y["place"].alias("up")))
+    met = reduce(DataFrame.unionByName, done).select(*key, F.explode(both).alias("x")).select(*key, "x.*").join(own.withColumnRenamed("id", "node"), ["case_id", "node"])
+    of = lambda c, place: F.flatten(F.transform(F.array_sort(F.collect_list(F.struct(place, c))), lambda x: x[c])).alias(c)
+    return met.groupBy(*key).agg(*(of(c, "up" if c == "linked_questions" else "down") for c in LISTS))
 
 
 def fold_edits(edits: DataFrame, start: DataFrame | None = None, cut=checkpointed) -> DataFrame:
@@ -73,14 +74,12 @@ def fold_edits(edits: DataFrame, start: DataFrame | None = None, cut=checkpointe
     if start is not None:
         known = known.unionByName(start.select("case_id", "id", F.lit(0).cast("long").alias("since")))
     store._refuse(aimed.join(known, ["case_id", "id"], "left").where("since is null or since >= version").select("case_id", "version", "id"), "edits aim at memory nodes that don't exist")
-    merging = F.size(F.coalesce("targets", F.array().cast("array<string>"))) > 0
-    free, merges = adds.where(~merging), adds.where(merging)
+    merges = adds.where(F.size(F.coalesce("targets", F.array().cast("array<string>"))) > 0).select("case_id", "id", "targets")
     nothing = aimed.limit(0).select("*", *(F.array().cast("array<string>").alias(c) for c in LISTS))
-    done = store.made_nodes(free, nothing)
+    done = store.made_nodes(adds, nothing)
     done = cut(done if start is None else done.unionByName(start))
-    own = done.select("case_id", "id", *LISTS).unionByName(store.made_nodes(merges, nothing).select("case_id", "id", *LISTS))
-    held = merged_lists(merges.select("case_id", "id", "targets"), own, cut)
-    done = done.unionByName(store.made_nodes(merges, merges.select("case_id", "version", "id").join(held, ["case_id", "id"]).drop("id").withColumn("pos", F.lit(0))))
+    held = merged_lists(merges, done.select("case_id", "id", *LISTS), cut).withColumnsRenamed({c: f"_{c}" for c in LISTS})
+    done = done.join(held, ["case_id", "id"], "left").withColumns({c: F.coalesce(F.array_distinct(f"_{c}"), c) for c in LISTS})
     archived = aimed.where("op in ('merge', 'delete')").groupBy("case_id", "id").agg(F.max("version").alias("_at"))
     gone = F.col("_at").isNotNull()
     out = done.join(archived, ["case_id", "id"], "left").withColumn("status", F.when(gone, "archived").otherwise(F.col("status")))

@@ -170,3 +170,24 @@ def test_elimination_writes_only_rows_that_have_nodes_to_try(spark, monkeypatch)
     kept = memory.support(hits, lambda trials: trials.select("question_id", F.when(F.array_contains("node_ids", "n2"), 1.0).otherwise(0.0).alias("correctness")))
     assert {(r.question_id, r.node_id) for r in kept.collect()} == {(0, "n2"), *((q, "n0") for q in range(1, 20))}
     assert written[0] == 20 and set(written[1:]) == {1}
+
+
+def test_a_fold_writes_a_row_for_each_merge(spark):
+    """However many nodes a merge rests on; and a later round writes only merges that have something open."""
+    import hashlib
+
+    from engram.operators import memory
+    from engram.session import checkpointed
+
+    edits = []
+    for case, n in ((1, 12), (2, 2), (3, 2)):
+        last = hashlib.sha256(f"{case}|1|c1".encode()).hexdigest()[:20]
+        edits.append((case, 1, "add", [], "c1", "q1", ["p1"]))
+        for k in range(2, n + 2):
+            edits.append((case, k, "merge", [last], f"c{k}", f"q{k}", [f"p{k}"]))
+            last = hashlib.sha256(f"{case}|{k}|c{k}".encode()).hexdigest()[:20]
+    df = spark.createDataFrame(edits, "case_id long, seq long, op string, targets array<string>, content string, question_id string, provenance array<string>").withColumns({"source_ids": F.array().cast("array<string>"), "tags": F.array().cast("array<string>")})
+    written = []
+    rows = memory.fold_edits(df, cut=lambda x: written.append((out := checkpointed(x)).count()) or out).where("status = 'active'").collect()
+    assert sorted((r.case_id, len(r.provenance), len(r.linked_questions)) for r in rows) == [(1, 13, 13), (2, 3, 3), (3, 3, 3)]
+    assert written[:3] == [19, 19, 16] and written[3:] == [13, 10, 8, 4]
