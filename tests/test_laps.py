@@ -6,7 +6,7 @@ from itertools import combinations
 
 from pyspark.sql import functions as F
 
-from engram.operators import datasets, laps
+from engram.operators import datasets, graph, laps
 
 NODES = "case_id long, id string, type string, status string, memory string, key string, tags array<string>, chat_time timestamp"
 EDGES = "case_id long, source string, target string, type string"
@@ -108,3 +108,35 @@ def test_a_visited_fact_is_drawn_less(spark):
     past = spark.createDataFrame([], "case_id long, signature string")
     drawn = laps._listed(facts, cases, past, cases.select("case_id", F.lit("a").alias("node_id"), F.lit(3).alias("visits")), 4)
     assert close(Counter(r.walk[0] for r in drawn.collect()), {"a": 0.25, "b": 1}, n)
+
+
+def test_laps_read_no_nodes_again(spark):
+    """Facts and topics are read for the candidates, whatever the number of laps and modes."""
+    edges, nodes = graph_of(spark)
+    calls = spark.sparkContext.accumulator(0)
+
+    def counted(case):
+        calls.add(1)
+        return case
+
+    laps.lap_routes(edges, nodes.repartition(2).withColumn("case_id", F.udf(counted, "long")("case_id")), 1, seed=1).collect()
+    assert 0 < calls.value <= 2 * nodes.count()
+
+
+def test_topics_hold_each_fact_once(spark):
+    """Whichever way edges point, and however often."""
+    edges, nodes = graph_of(spark)
+    both = edges.unionByName(edges.select("case_id", F.col("target").alias("source"), F.col("source").alias("target"), "type")).unionByName(edges)
+    rows = graph.filled_topics(both, nodes, graph.read_facts(nodes)).collect()
+    assert {(r.case_id, r.topic): [f.fact for f in r.facts] for r in rows} == {(1, "t1"): ["f"], (2, "t2"): ["a0", "a1", "a2"], (2, "t3"): ["b0", "b1"], (3, "t4"): ["new"]}
+    assert {f.fact: f.dimensions for r in rows for f in r.facts if r.case_id == 2} == {**{f"a{k}": ["cost"] for k in range(3)}, **{f"b{k}": ["location"] for k in range(2)}}
+
+
+def test_classes_of_unvisited_topics_are_counted_before(spark):
+    members = spark.range(60).select(F.lit(1).cast("long").alias("case_id"), (F.col("id") % 6).cast("string").alias("topic"), F.lit("cost").alias("dimension"), F.col("id").cast("string").alias("fact"))
+    visits = spark.createDataFrame([(1, "7", 2), (1, "13", 1), (1, "9", 1)], "case_id long, node_id string, visits long")
+    counts = members.groupBy("case_id", "topic", "dimension").agg(F.count("*").alias("n"))
+    cands = laps.Candidates(None, None, None, members, None, None, counts)
+    got = laps._classes(cands, members.select("case_id").distinct(), visits, F.broadcast)
+    want = laps.pair_classes(members, visits)
+    assert sorted(map(tuple, got.select(want.columns).collect())) == sorted(map(tuple, want.collect()))
