@@ -14,11 +14,21 @@ that many documents share.
 A list links its members to its smallest, never to each other; a task does so for
 the members that it holds itself, so that a list of very many documents is a few
 rows of each task.  Connected lists
-are clusters; only inside a cluster can links be.  Clusters are compared in
-blocks of at most ``BLOCK`` documents: the similarity estimated from the union's
+are clusters; only inside a cluster can links be.  A passage that many short texts
+share can tie them all into one, so clusters of more than ``FEW`` documents are
+taken apart: a set that is linked shares ``percent`` of its values at least, so one
+more than it may lack of its rarest in the cluster hold a shared one, for any order
+of values.  Only documents that share such a value stay together, and this misses
+no link.
+
+Clusters are compared in blocks of at most ``BLOCK`` documents: the similarity
+estimated from the union's
 sketch drops pairs that are far off, the full sets decide the others exactly, and
-pairs that are joined already are passed over.  A block emits a spanning forest
-of its links, so rows grow with documents and not with pairs.
+pairs that are joined already are passed over.  In clusters of more than ``BLOCKS``
+blocks one block, with the smallest document, is compared with all others first;
+the most documents that this joins are not compared among themselves.  A block
+emits a spanning forest of its links, so rows grow with documents and not with
+pairs.
 
 A null or empty text has an empty set, linked with nothing.  A null doc_id is
 linked with nothing and has a null component.  Rows that share a doc_id are
@@ -34,7 +44,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import MIX, Earliest, finish, parts_of, slices, staged
@@ -46,6 +56,10 @@ K = 96
 RUNS = ((2, 2, 5), (3, 5, 15), (4, 13, None))
 #: Documents of a block.
 BLOCK = 256
+#: Blocks of a cluster up to which all pairs of blocks are compared at once.
+BLOCKS = 4
+#: Documents of a cluster up to which it is compared as it is.
+FEW = 16
 SPACES = r"[\x20\x09-\x0D]+"
 
 
@@ -173,23 +187,27 @@ def block_links(ids: np.ndarray, sets: list[np.ndarray], side: np.ndarray, perce
     return links
 
 
-def verified(members: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """Links (u, v) among ``members`` (rep, hi, lo, cluster, n): a spanning forest for each block."""
-    # a shuffle of both at any size: members grow with the corpus, too far for a broadcast
-    texts = docs.select(F.col("doc_id").alias("rep"), "text").join(members.hint("merge"), "rep")
+def sized(clusters: DataFrame) -> DataFrame:
+    """``clusters`` (rep, cluster) with n, the number of documents of the cluster."""
+    return clusters.join(clusters.groupBy("cluster").agg(F.count("*").alias("n")), "cluster")
+
+
+def apart(sets: DataFrame, percent: int) -> DataFrame:
+    """``sets`` (rep, lo, cluster, s) to (rep, cluster): the clusters taken apart; documents that can have no link are left out."""
+    values = sets.select("rep", "lo", "cluster", F.size("s").alias("m"), F.explode("s").alias("value"))
+    counts = values.groupBy("cluster", "value").agg(F.count("*").alias("n"))
+    # documents under one id have sets of their own
+    place = F.row_number().over(Window.partitionBy("rep", "lo").orderBy("n", "value"))
+    firsts = values.join(counts, ["cluster", "value"]).withColumn("place", place).where(f"place <= m - ({percent} * m + 99) div 100 + 1")
+    shared = staged(firsts.where("n > 1").select("rep", "cluster", "value"), "firsts")
+    least = shared.groupBy("cluster", "value").agg(F.min("rep").alias("least"))
+    links = shared.join(least, ["cluster", "value"]).where("rep > least").select(F.col("least").alias("u"), F.col("rep").alias("v"))
+    return components(links).withColumnsRenamed({"node": "rep", "component": "cluster"})
 
-    def full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        with np.errstate(over="ignore"):
-            for batch in slices(batches, "text"):
-                sets = shingle_sets(batch["text"], size)
-                own = np.array([set_hash(s) == (a, b) for s, a, b in zip(sets, batch["hi"].to_pylist(), batch["lo"].to_pylist(), strict=True)], bool)
-                out = pa.RecordBatch.from_arrays([batch["rep"], batch["cluster"], batch["blocks"], pa.array(sets, pa.list_(pa.int64()))], ["rep", "cluster", "blocks", "s"])
-                yield out.filter(pa.array(own))
 
-    with_sets = texts.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).select("rep", "text", "hi", "lo", "cluster", "blocks").mapInArrow(full_sets, "rep long, cluster long, blocks int, s array<long>")
-    own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
-    pairs = with_sets.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    pairs = pairs.select("cluster", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "s")
+def compared(pairs: DataFrame, percent: int) -> DataFrame:
+    """Links (u, v) of ``pairs`` (rep, cluster, s, own, other), a row for each block ``other`` that a document of block ``own`` meets:
+    a spanning forest for each pair of blocks."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -211,10 +229,59 @@ def verified(members: DataFrame, docs: DataFrame, size: int, percent: int) -> Da
         if held:
             yield done()
 
-    dealt = pairs.repartition(parts_of(docs.sparkSession), "cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "rep")
+    rows = pairs.select("cluster", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "s")
+    dealt = rows.repartition(parts_of(pairs.sparkSession), "cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "rep")
     return dealt.mapInArrow(compare, "u long, v long")
 
 
+def blocks(n: str) -> Column:
+    return F.ceil(F.col(n) / BLOCK).cast("int")
+
+
+def block(n: Column) -> Column:
+    return F.pmod(F.xxhash64("rep"), n).cast("int")
+
+
+def verified(members: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links (u, v) among ``members`` (rep, hi, lo, cluster, n): a spanning forest for each pair of blocks."""
+    # a shuffle of both at any size: members grow with the corpus, too far for a broadcast
+    texts = docs.select(F.col("doc_id").alias("rep"), "text").join(members.hint("merge"), "rep")
+
+    def full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with np.errstate(over="ignore"):
+            for batch in slices(batches, "text"):
+                sets = shingle_sets(batch["text"], size)
+                own = np.array([set_hash(s) == (a, b) for s, a, b in zip(sets, batch["hi"].to_pylist(), batch["lo"].to_pylist(), strict=True)], bool)
+                out = pa.RecordBatch.from_arrays([batch["rep"], batch["lo"], batch["cluster"], batch["n"], pa.array(sets, pa.list_(pa.int64()))], ["rep", "lo", "cluster", "n", "s"])
+                yield out.filter(pa.array(own))
+
+    whole = staged(texts.select("rep", "text", "hi", "lo", "cluster", "n").mapInArrow(full_sets, "rep long, lo long, cluster long, n long, s array<long>"), "sets")
+    many = whole.where(F.col("n") > FEW)
+    sets = whole.where(F.col("n") <= FEW).unionByName(many.drop("cluster", "n").join(sized(apart(many, percent)), "rep")).drop("lo")
+
+    large = F.col("n") > BLOCKS * BLOCK
+    small = sets.where(~large).withColumn("own", block(blocks("n"))).withColumn("other", F.explode(F.sequence(F.lit(0), blocks("n") - 1)))
+    links = staged(compared(small.drop("n"), percent), "links")
+    sets = staged(sets.where(large), "large")
+    if sets.isEmpty():
+        return links
+
+    own = F.when(F.col("rep") == F.col("cluster"), 0).otherwise(block(blocks("n")))
+    first = sets.withColumn("own", own).withColumn("other", F.explode(F.when(F.col("own") == 0, F.sequence(F.lit(0), blocks("n") - 1)).otherwise(F.array(F.lit(0)))))
+    links = links.unionByName(found := staged(compared(first.drop("n"), percent), "links"))
+    joined = sets.select("rep", "cluster").distinct().join(components(found).withColumnRenamed("node", "rep"), "rep")
+    parts = joined.groupBy("cluster", "component").agg(F.count("*").alias("n"))
+    most = parts.groupBy("cluster").agg(F.max_by("component", F.struct("n", "component")).alias("component"), F.max("n").alias("home"))
+    homes = joined.join(most, ["cluster", "component"]).select("rep", F.lit(True).alias("at_home"))
+    rest = sets.join(homes, "rep", "left").join(most.drop("component"), "cluster", "left").fillna(False, "at_home").fillna(0, "home")
+    rest = rest.withColumn("others", F.col("n") - F.col("home")).where("others > 0")
+    # blocks of the other documents come first, those of the joined ones after them
+    own = F.when(F.col("at_home"), blocks("others") + block(blocks("home"))).otherwise(block(blocks("others")))
+    met = F.when(F.col("at_home"), blocks("others")).otherwise(blocks("others") + blocks("home"))
+    rest = rest.select("rep", "cluster", "s", own.alias("own"), F.explode(F.sequence(F.lit(0), met - 1)).alias("other"))
+    return links.unionByName(compared(rest, percent))
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every document; ``size`` words a shingle, ``percent`` similarity."""
     rows = staged(sketches(docs, size), "sketches")
@@ -225,8 +292,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     # a document's lists start with at most as many others as it has keys; all are tied to the smallest of them
     stars = met.select("v", F.explode(F.array_append("firsts", F.col("rep"))).alias("u")).where("u <> v").distinct()
     clusters = components(stars).withColumnsRenamed({"node": "rep", "component": "cluster"})
-    sizes = clusters.groupBy("cluster").agg(F.count("*").alias("n"))
-    members = classes.select("rep", "hi", "lo").join(clusters.join(sizes, "cluster"), "rep")
+    members = classes.select("rep", "hi", "lo").join(sized(clusters), "rep")
     linked = components(staged(verified(staged(members, "members"), docs, size, percent), "links"))
     joined = classes.select("hi", "lo", "rep").join(linked.withColumnRenamed("node", "rep"), "rep", "left")
     known = joined.select("hi", "lo", F.coalesce("component", "rep").alias("least"))

@@ -79,6 +79,54 @@ def test_near_duplicates_over_blocks(docs, monkeypatch):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in near_dup.near_duplicates(docs, 2).collect()} == want
 
 
+def rows_dealt(monkeypatch, frame):
+    """Counts the rows that are dealt to pairs of blocks from now on."""
+    dealt, own = [], frame.sortWithinPartitions
+
+    def counted(self, *columns):
+        dealt.append(self.count())
+        return own(self, *columns)
+
+    monkeypatch.setattr(frame, "sortWithinPartitions", counted)
+    return dealt
+
+
+def test_near_duplicates_of_a_common_passage(spark, docs, monkeypatch):
+    """A passage that many short texts share ties them to one cluster, whose blocks must not all meet."""
+    monkeypatch.setattr(near_dup, "BLOCK", 4)
+    r = random.Random(6)
+    passage, texts = " ".join(f"p{k}" for k in range(14)), []
+    for _ in range(90):
+        w = r.choices([f"v{k}" for k in range(900)], k=r.randrange(12, 30))
+        texts.append(passage + " " + " ".join(w))
+        if r.random() < 0.5:
+            texts.append(passage + " " + " ".join([*w[:-1], "last"]))
+    rows = list(enumerate(texts, 7))
+    dealt = rows_dealt(monkeypatch, type(docs))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 2).collect()}
+    assert got == brute.near_duplicates(rows, 2)
+    assert 0 < sum(dealt) < 3 * len(rows), dealt
+
+
+@pytest.mark.parametrize("edits", [6, 9])
+def test_near_duplicates_in_a_large_group(spark, docs, monkeypatch, edits):
+    """Of many near copies of one text those that it joins don't meet one another; with nine edits it joins only some."""
+    monkeypatch.setattr(near_dup, "BLOCK", 4)
+    r = random.Random(7)
+    whole, rows = [f"v{k}" for k in range(150)], []
+    for k in range(160):
+        w = list(whole)
+        for _ in range(edits if k else 0):
+            w[r.randrange(len(w))] = f"e{r.randrange(10**6)}"
+        rows.append((k, " ".join(w)))
+    rows += [(k % 160, " ".join(r.choices(whole, k=60))) for k in range(155, 165)]  # ids that stand twice have nothing near
+    dealt = rows_dealt(monkeypatch, type(docs))
+    got = {(r.doc_id, r.n_shingles): r.component_id for r in near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 2).collect()}
+    want = brute.near_duplicates(rows[:160], 2)
+    assert {i: got[i, n] for i, (n, _) in want.items()} == {i: c for i, (_, c) in want.items()}
+    assert 0 < sum(dealt) < (160 * 4 if edits == 6 else 160 * 160), dealt
+
+
 def test_near_duplicates_without_id(spark, docs):
     rows = near_dup.near_duplicates(docs.withColumn("doc_id", F.when(F.col("doc_id") > 30, F.col("doc_id"))), 2).collect()
     assert all(r.kept and r.component_id is None for r in rows if r.doc_id is None) and len(rows) == len(odd_docs())
