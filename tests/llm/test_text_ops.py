@@ -97,7 +97,7 @@ def test_near_duplicates_of_a_common_passage(spark, docs, monkeypatch):
     r = random.Random(6)
     passage, texts = " ".join(f"p{k}" for k in range(14)), []
     for _ in range(90):
-        w = r.choices([f"v{k}" for k in range(900)], k=r.randrange(12, 30))
+        w = r.choices([f"v{k}" for k in range(900)], k=r.randrange(8, 16))
         texts.append(passage + " " + " ".join(w))
         if r.random() < 0.5:
             texts.append(passage + " " + " ".join([*w[:-1], "last"]))
